@@ -1,5 +1,272 @@
-"""Registered queries."""
+"""Registered queries: popularity, history, similar items, CF and hybrid."""
 
 from __future__ import annotations
 
-from .catalog import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.text import ts_text
+from ..operators import cf, encode, hybrid, popular, ratings, similarity
+from ..sources import tables as T
+from .catalog import register
+
+POP = """(select row_number() over (order by rating_number desc nulls last, item_id) as rank, item_id,
+                 cast(coalesce(rating_number, 0) as double) / 1000.0 as score
+          from v_items order by rating_number desc nulls last, item_id limit {n})"""
+
+DOT = "list_dot_product(cast({a} as double[]), cast({b} as double[]))"
+
+
+def _cos(a: str, b: str) -> str:
+    na = f"sqrt({DOT.format(a=a, b=a)})"
+    nb = f"sqrt({DOT.format(a=b, b=b)})"
+    return f"(case when {na} > 0 and {nb} > 0 then {DOT.format(a=a, b=b)} / ({na} * {nb}) else 0.0 end)"
+
+
+@register("popular_items", "L1,F9,P11", f"select * from {POP.format(n=10)}")
+def q_popular_items(spark, d):
+    return popular.popular_items(T.items(spark, d), 10)
+
+
+@register("category_hot_items", "L2,P5,W1", """
+    select main_category, rank, item_id, score from
+      (select main_category, item_id, cast(coalesce(rating_number, 0) as double) / 1000.0 as score,
+              row_number() over (partition by main_category
+                                 order by rating_number desc nulls last, item_id) as rank
+       from v_items where main_category is not null)
+    where rank <= 5""")
+def q_category_hot(spark, d):
+    return popular.category_hot_items(T.items(spark, d), 5)
+
+
+@register("user_history", "L3,P6,W1", """
+    select user_id, rank, item_id, rating, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts from
+      (select *, row_number() over (partition by user_id order by ts desc, item_id, rating) as rank
+       from v_interactions)
+    where rank <= 20""")
+def q_user_history(spark, d):
+    h = popular.user_history(T.interactions(spark, d), 20)
+    return h.select("user_id", "rank", "item_id", "rating", ts_text("ts").alias("ts"))
+
+
+def _event_top(event_type: str, n: int, enrich: bool) -> str:
+    body = f"""(select row_number() over (order by n desc, item_id desc) as rank, item_id, n from
+                 (select item_id, count(*) as n from v_activity
+                  where event_type = '{event_type}' and item_id is not null group by item_id)
+                order by n desc, item_id desc limit {n})"""
+    if not enrich:
+        return f"select rank, item_id, n from {body}"
+    return f"""select t.rank, t.item_id, t.n, i.title, i.main_category, i.average_rating, i.rating_number
+               from {body} t join v_items i using (item_id)"""
+
+
+@register("trending_products", "L4,A12,J3,R5", _event_top("product_view", 20, True))
+def q_trending(spark, d):
+    t = popular.trending(T.activity(spark, d), 20, "product_view")
+    return popular.enrich(t, T.items(spark, d))
+
+
+@register("hot_products", "L5,J3,R5", _event_top("purchase", 20, True))
+def q_hot(spark, d):
+    t = popular.trending(T.activity(spark, d), 20, "purchase")
+    return popular.enrich(t, T.items(spark, d))
+
+
+@register("item_views", "A12,ST3", """
+    select item_id, count(*) as n from v_activity
+    where event_type = 'product_view' and item_id is not null group by item_id""")
+def q_item_views(spark, d):
+    return popular.event_counts(T.activity(spark, d), "product_view")
+
+
+@register("category_popular", "L6,A13,R5,W1", """
+    select main_category, item_id, n, rank from
+      (select i.main_category, v.item_id, v.n,
+              row_number() over (partition by i.main_category order by v.n desc, v.item_id desc) as rank
+       from (select item_id, count(*) as n from v_activity
+             where event_type = 'product_view' and item_id is not null group by item_id) v
+       join v_items i using (item_id) where i.main_category is not null)
+    where rank <= 20""")
+def q_category_popular(spark, d):
+    return popular.category_popular(T.activity(spark, d), T.items(spark, d), 20).select(
+        "main_category", "item_id", "n", "rank")
+
+
+@register("recent_views_global", "W4,R5,L9", """
+    select row_number() over (order by ts desc, event_id desc) as rank, event_id, user_id, item_id,
+           strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts
+    from v_activity where event_type = 'product_view' order by ts desc, event_id desc limit 100""")
+def q_recent_global(spark, d):
+    r = popular.recent_global(T.activity(spark, d), 100)
+    return r.select("rank", "event_id", "user_id", "item_id", ts_text("ts").alias("ts"))
+
+
+@register("recent_views_per_user", "W3,R5", """
+    select user_id, rank, event_id, item_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts from
+      (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rank
+       from v_activity where event_type = 'product_view' and user_id is not null)
+    where rank <= 100""")
+def q_recent_per_user(spark, d):
+    r = popular.recent_per_user(T.activity(spark, d), 100)
+    return r.select("user_id", "rank", "event_id", "item_id", ts_text("ts").alias("ts"))
+
+
+def _similar_sql(score_expr: str) -> str:
+    return f"""
+    with vi as (select i.item_id, i.main_category, v.model_factor
+                from v_items i left join v_item_vectors v using (item_id)),
+         q as (select * from vi where model_factor is not null and len(model_factor) > 0
+                                  and main_category is not null),
+         pairs as (select q.item_id, c.item_id as similar_id,
+                          case when c.model_factor is not null and len(c.model_factor) > 0
+                               then {score_expr} else 0.0 end as score
+                   from q join vi c on q.main_category = c.main_category and q.item_id <> c.item_id)
+    select item_id, rank, similar_id, score from
+      (select *, row_number() over (partition by item_id order by round(score, 9) desc, similar_id) as rank
+       from pairs)
+    where rank <= 10"""
+
+
+@register("similar_items", "R3,R4,J7,F6,P7,P11,W2",
+          _similar_sql(_cos("q.model_factor", "c.model_factor") + " + 1.0"))
+def q_similar_items(spark, d):
+    return similarity.similar_items(T.items(spark, d), T.item_vectors(spark, d), 10, "cosine")
+
+
+@register("similar_items_logistic", "R3,J7,F7,W2",
+          _similar_sql("1.0 / (1.0 + exp(-" + DOT.format(a="q.model_factor", b="c.model_factor") + "))"))
+def q_similar_items_logistic(spark, d):
+    return similarity.similar_items(T.items(spark, d), T.item_vectors(spark, d), 10, "logistic")
+
+
+CLS = """
+    dim as (select distinct user_id from v_interactions),
+    req as (select distinct user_id from v_customers),
+    fac as (select distinct user_id from v_user_factors),
+    cls as (select r.user_id, d.user_id is not null as known, f.user_id is not null as has_factor
+            from req r left join dim d using (user_id) left join fac f using (user_id))"""
+
+
+def _cf_sql(n: int) -> str:
+    return f"""
+    cfall as (select u.user_id, i.item_id, {DOT.format(a='u.features', b='i.features')} as score
+              from v_user_factors u join cls using (user_id) cross join v_item_factors i
+              where cls.known and cls.has_factor and len(u.features) > 0 and len(i.features) > 0),
+    cfr as (select user_id, rank, item_id, score, 'cf' as source from
+              (select *, row_number() over (partition by user_id order by round(score, 9) desc, item_id) as rank
+               from cfall) where rank <= {n}),
+    popn as {POP.format(n=n)},
+    cfl as (select * from cfr union all
+            select c.user_id, p.rank, p.item_id, p.score, 'popular' as source
+            from cls c cross join popn p where not c.known)"""
+
+
+@register("user_classes", "J5,P12", f"with {CLS} select user_id, known, has_factor from cls")
+def q_user_classes(spark, d):
+    return cf.user_classes(T.customers(spark, d), T.interactions(spark, d), T.user_factors(spark, d))
+
+
+@register("cf_recommendations", "R1,M10,J5,J8,W1,P8", f"with {CLS}, {_cf_sql(10)} select * from cfl")
+def q_cf(spark, d):
+    return cf.collaborative_recommendations(
+        T.customers(spark, d), T.interactions(spark, d), T.user_factors(spark, d),
+        T.item_factors(spark, d), T.items(spark, d), 10)
+
+
+@register("user_page_recs", "J4,R6,L11", f"""
+    with {CLS}, {_cf_sql(10)}
+    select c.user_id, c.rank, c.item_id, c.score, c.source, i.title
+    from cfl c left join v_items i using (item_id) where c.rank <= 5""")
+def q_user_page(spark, d):
+    recs = hybrid.recommend(T.customers(spark, d), "cf", T.interactions(spark, d),
+                            T.user_factors(spark, d), T.item_factors(spark, d), T.items(spark, d), 10)
+    recs = popular.slice_list(recs, 5)
+    return popular.enrich(recs, T.items(spark, d), "left", ("title",))
+
+
+HYBRID_SQL = f"""
+    with {CLS}, {_cf_sql(20)},
+    pop20 as {POP.format(n=20)},
+    blended as (select c.user_id, c.item_id,
+                       0.6 * c.score + case when coalesce(i.average_rating, 0) <> 0
+                                            then 0.4 * i.average_rating / 5.0 else 0.0 end as score
+                from cfl c join v_items i using (item_id)),
+    best as (select user_id, rank, item_id, score, 'hybrid' as source from
+               (select *, row_number() over (partition by user_id order by round(score, 9) desc, item_id) as rank
+                from blended) where rank <= 10),
+    cnt as (select l.user_id, coalesce(b.n, 0) as n
+            from (select distinct user_id from cfl) l
+            left join (select user_id, count(*) as n from best group by user_id) b using (user_id)
+            where coalesce(b.n, 0) < 10),
+    padc as (select c.user_id, c.n, p.rank as prank, p.item_id, p.score from cnt c cross join pop20 p
+             where not exists (select 1 from best b where b.user_id = c.user_id and b.item_id = p.item_id)),
+    pads as (select user_id, n + r as rank, item_id, score, 'popular_pad' as source from
+               (select *, row_number() over (partition by user_id order by prank) as r from padc)
+             where r <= 10 - n),
+    pop5 as (select rank, item_id, score from pop20 where rank <= 5),
+    hot5 as (select row_number() over (order by rating_number desc nulls last, item_id) as rank, item_id,
+                    cast(coalesce(rating_number, 0) as double) / 1000.0 as score
+             from v_items where main_category = 'PROMO'
+             order by rating_number desc nulls last, item_id limit 5),
+    mixlist as (select rank as pos, item_id, score, 'popular' as source from pop5 union all
+                select (select count(*) from pop5) + rank, item_id, score, 'category_hot' from hot5),
+    mixed as (select e.user_id, m.pos as rank, m.item_id, m.score, m.source
+              from (select user_id from cls where known and not has_factor) e cross join mixlist m
+              where m.pos <= 10)
+    select * from best union all select * from pads union all select * from mixed"""
+
+
+@register("hybrid_recommendations", "R2,R6,F8,J3,U1,U2,L7,W1", HYBRID_SQL)
+def q_hybrid(spark, d):
+    return hybrid.hybrid_recommendations(
+        T.customers(spark, d), T.interactions(spark, d), T.user_factors(spark, d),
+        T.item_factors(spark, d), T.items(spark, d), 10)
+
+
+@register("factor_predictions_eval", "M6,A7,M7,P3", f"""
+    with r as (select item_id, user_id, rating from
+                 (select *, row_number() over (partition by item_id, user_id order by ts desc, rating desc) rn
+                  from v_interactions) where rn = 1),
+         p as (select r.rating, {DOT.format(a='u.features', b='i.features')} as prediction
+               from r join v_user_factors u using (user_id) join v_item_factors i using (item_id))
+    select sqrt(avg((prediction - rating) * (prediction - rating))) as rmse,
+           avg(abs(prediction - rating)) as mae, count(*) as n from p""")
+def q_predictions_eval(spark, d):
+    r = ratings.prepare_ratings_first(T.interactions(spark, d))
+    pred = cf.predict_pairs(r, T.user_factors(spark, d), T.item_factors(spark, d))
+    return cf.regression_metrics(pred)
+
+
+_MODELS: dict = {}
+
+
+def _als(spark, d):
+    """Fit once per (session, data): encode, hash split, ALS (variant A)."""
+    key = (id(spark), d)
+    if key not in _MODELS:
+        inter = T.interactions(spark, d)
+        r = ratings.prepare_ratings_first(inter)
+        udim = encode.dense_index(inter.select("user_id"), "user_id")
+        idim = encode.dense_index(inter.select("item_id"), "item_id")
+        enc = encode.encode_ratings(r, udim, idim)
+        train, test = ratings.hash_split(enc, ["user_id", "item_id"])
+        train = train.select(F.col("user_idx").cast("int"), F.col("item_idx").cast("int"), "rating")
+        model = cf.fit_als(train.persist())
+        _MODELS[key] = (model, udim, idim, train, test)
+    return _MODELS[key]
+
+
+@register("als_fit_metrics", "M4,M5,M6,M7,M12,A7", None)
+def q_als_metrics(spark, d):
+    model, udim, idim, train, test = _als(spark, d)
+    pred = model.transform(test.select(F.col("user_idx").cast("int"), F.col("item_idx").cast("int"), "rating"))
+    m = cf.regression_metrics(pred.na.drop())
+    return m.select("rmse", "mae", F.col("n").alias("n_test"),
+                    F.lit(train.count()).alias("n_train"), F.lit(25).alias("rank"))
+
+
+@register("als_recommendations", "M5,M8,M9,M10,J2,J8", None)
+def q_als_recs(spark, d):
+    model, udim, idim, _, _ = _als(spark, d)
+    uf, itf = cf.factors_from_model(model, udim, idim)
+    return cf.collaborative_recommendations(T.customers(spark, d), T.interactions(spark, d), uf, itf,
+                                            T.items(spark, d), 10)
