@@ -78,6 +78,9 @@ def with_views(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in order)
     body = sql.strip()
-    if body.lower().startswith("with "):
+    low = body.lower()
+    if low.startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
+    if low.startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
