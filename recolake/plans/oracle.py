@@ -51,6 +51,10 @@ VIEWS: dict[str, str] = {
                cast(json_extract_string(props, '$.k') as bigint) * 1200 - 1 as ttl_s
         from events""",
     "v_customers": "select c_custkey as user_id from customer",
+    "v_search_queries": """
+        select distinct query from (
+          select unnest([lower(p.p_name), p.p_type, p.p_brand]) as query
+          from v_activity a join part p on a.item_id = p.p_partkey where a.event_type = 'search')""",
 }
 
 _NAME = re.compile(r"\bv_[a-z_]+\b")

@@ -1,5 +1,88 @@
-"""Registered queries."""
+"""Registered queries: BM25 multi-field search, fuzzy expansion, regex fallback."""
 
 from __future__ import annotations
 
-from .catalog import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.text import tokens
+from ..operators import search as S
+from ..sources import tables as T
+from .catalog import register
+
+TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
+AUTO = "case when length({q}) <= 2 then 0 when length({q}) <= 5 then 1 else 2 end"
+
+
+def _search_sql(fuzzy: bool, keyword_fields: list[tuple[str, float]], title_boost: float = 3.0) -> str:
+    exp = (f"""exp as (select q.qterm, v.term, levenshtein(q.qterm, v.term) as dist
+                      from (select distinct qterm from qt) q, tdf v
+                      where levenshtein(q.qterm, v.term) <= {AUTO.format(q='q.qterm')})"""
+           if fuzzy else
+           "exp as (select distinct q.qterm, q.qterm as term, 0 as dist from qt q join tdf v on v.term = q.qterm)")
+    kws = []
+    for f, boost in keyword_fields:
+        kws.append(f"""select q.query, d.item_id,
+                              ln(1.0 + (s.n - c.df + 0.5) / (c.df + 0.5)) * {boost} as score
+                       from v_search_queries q join docs d on d.{f} = q.query
+                       join (select {f}, count(*) as df from docs where {f} is not null group by {f}) c
+                         on c.{f} = q.query,
+                       (select count(*) as n from docs where {f} is not null) s""")
+    kw_union = "".join(f" union all {k}" for k in kws)
+    return f"""
+    with docs as (select item_id, title, main_category, store from v_items),
+    td as (select item_id, {TOK.format(c='title')} as t from docs where title is not null),
+    tstats as (select count(*) as n, avg(len(t)) as avgdl from td),
+    tlen as (select item_id, len(t) as dl from td),
+    ttf as (select item_id, term, count(*) as tf from (select item_id, unnest(t) as term from td)
+            group by item_id, term),
+    tdf as (select term, count(*) as df from ttf group by term),
+    qt as (select query, unnest(tk) as qterm, unnest(generate_series(1, len(tk))) as pos
+           from (select query, {TOK.format(c='query')} as tk from v_search_queries)),
+    {exp},
+    pt as (select e.qterm, f.item_id,
+                  max((1.0 - e.dist / least(length(e.qterm), length(e.term)))
+                      * ln(1.0 + (s.n - d.df + 0.5) / (d.df + 0.5))
+                      * (f.tf * 2.2 / (f.tf + 1.2 * (1 - 0.75 + 0.75 * l.dl / s.avgdl)))) as s
+           from exp e join tdf d on d.term = e.term join ttf f on f.term = e.term
+           join tlen l on l.item_id = f.item_id, tstats s
+           group by e.qterm, f.item_id),
+    allp as (select qt.query, pt.item_id, sum(pt.s) * {title_boost} as score
+             from qt join pt on pt.qterm = qt.qterm group by qt.query, pt.item_id{kw_union}),
+    best as (select query, item_id, max(score) as score from allp group by query, item_id
+             having max(score) > 0)
+    select query, rank, item_id, score from
+      (select *, row_number() over (partition by query order by round(score, 9) desc, item_id) as rank
+       from best)
+    where rank <= 10"""
+
+
+@register("search_and_recommend", "T1,T3,T5,L8", _search_sql(True, [("main_category", 2.0), ("store", 1.0)]))
+def q_search_and_recommend(spark, d):
+    return S.search(T.items(spark, d), T.search_queries(spark, d), 10,
+                    S.SEARCH_AND_RECOMMEND_FIELDS, fuzzy=True)
+
+
+@register("search_products", "T2,T5,L8", _search_sql(False, [("main_category", 2.0)]))
+def q_search_products(spark, d):
+    return S.search(T.items(spark, d), T.search_queries(spark, d), 10,
+                    S.SEARCH_PRODUCTS_FIELDS, fuzzy=False)
+
+
+@register("fuzzy_term_expansions", "T3,T5", f"""
+    with td as (select distinct unnest({TOK.format(c='p_name')}) as term from part where p_name is not null),
+         qt as (select distinct unnest({TOK.format(c='query')}) as qterm from v_search_queries)
+    select q.qterm, v.term, levenshtein(q.qterm, v.term) as dist from qt q, td v
+    where levenshtein(q.qterm, v.term) <= {AUTO.format(q='q.qterm')}""")
+def q_fuzzy_terms(spark, d):
+    vocab = (T.read(spark, d, "part").select(F.explode(tokens("p_name")).alias("term")).distinct())
+    qt = T.search_queries(spark, d).select(F.explode(tokens("query")).alias("qterm"))
+    return S.fuzzy_expansions(qt, vocab, True).select("qterm", "term", F.col("dist").cast("bigint").alias("dist"))
+
+
+@register("regex_search", "T4,P10", """
+    select query, rank, item_id, 1.0 as score from
+      (select q.query, d.item_id, row_number() over (partition by q.query order by d.item_id) as rank
+       from v_search_queries q join v_items d on regexp_matches(d.title, q.query, 'i'))
+    where rank <= 10""")
+def q_regex_search(spark, d):
+    return S.regex_search(T.items(spark, d), T.search_queries(spark, d), 10)

@@ -119,3 +119,13 @@ def key_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query workload derived from the search events: the searched item's title
+    (lower case), its category and its store - one row per distinct text."""
+    a = activity(spark, sf_dir).filter(F.col("event_type") == "search").select("item_id")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_type", "p_brand")
+    j = a.join(p, "item_id")
+    return (j.select(F.explode(F.array(F.lower("p_name"), "p_type", "p_brand")).alias("query"))
+            .distinct())
