@@ -23,24 +23,30 @@ from pyspark.sql import functions as F
 _POS_MASK = (1 << 33) - 1
 
 
-def dense_index(values: DataFrame, label_col: str, idx_col: str = "idx",
-                count_col: str = "n", checkpoint: bool = True) -> DataFrame:
-    """(label, n, idx): idx 0.. by frequency desc, then label asc (StringIndexer order)."""
-    counts = (values.filter(F.col(label_col).isNotNull())
-              .groupBy(label_col).agg(F.count(F.lit(1)).alias(count_col)))
-    ordered = counts.orderBy(F.desc(count_col), F.col(label_col))
+def row_positions(df: DataFrame, order: list, pos_col: str = "position",
+                  checkpoint: bool = True) -> DataFrame:
+    """0-based position of every row in a global order (``order`` must be total),
+    without a single-partition window: sort, checkpoint, then partition offsets."""
+    ordered = df.orderBy(*order)
     if checkpoint:
         ordered = ordered.checkpoint(eager=True)
     mid = F.monotonically_increasing_id()
-    tagged = ordered.select(label_col, count_col,
-                            F.shiftright(mid, 33).alias("_pid"),
+    tagged = ordered.select("*", F.shiftright(mid, 33).alias("_pid"),
                             mid.bitwiseAND(F.lit(_POS_MASK)).alias("_pos"))
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))
     # one row per partition: a single-partition window over it is bounded
     offsets = sizes.select(
         "_pid", (F.sum("_size").over(Window.orderBy("_pid")) - F.col("_size")).alias("_off"))
     return (tagged.join(F.broadcast(offsets), "_pid")
-            .select(label_col, count_col, (F.col("_off") + F.col("_pos")).alias(idx_col)))
+            .withColumn(pos_col, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off"))
+
+
+def dense_index(values: DataFrame, label_col: str, idx_col: str = "idx",
+                count_col: str = "n", checkpoint: bool = True) -> DataFrame:
+    """(label, n, idx): idx 0.. by frequency desc, then label asc (StringIndexer order)."""
+    counts = (values.filter(F.col(label_col).isNotNull())
+              .groupBy(label_col).agg(F.count(F.lit(1)).alias(count_col)))
+    return row_positions(counts, [F.desc(count_col), F.col(label_col)], idx_col, checkpoint)
 
 
 def encode_ratings(ratings: DataFrame, user_dim: DataFrame, item_dim: DataFrame,

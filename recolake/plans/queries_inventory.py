@@ -1,5 +1,163 @@
-"""Registered queries."""
+"""Registered queries: key inventory reports, users, search documents."""
 
 from __future__ import annotations
 
-from .catalog import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.text import ts_text
+from ..functions.vectors import has_vector
+from ..operators import documents as D
+from ..operators import inventory as I
+from ..operators import users as U
+from ..sources import tables as T
+from .catalog import register
+
+FMT = """case when {x} < 1024 then printf('%.2f B', cast({x} as double))
+              when {x} < 1024 * 1024 then printf('%.2f KB', {x} / 1024.0)
+              when {x} < 1024 * 1024 * 1024 then printf('%.2f MB', {x} / (1024.0 * 1024))
+              when {x} < 1024.0 * 1024 * 1024 * 1024 then printf('%.2f GB', {x} / (1024.0 * 1024 * 1024))
+              else printf('%.2f TB', {x} / (1024.0 * 1024 * 1024 * 1024)) end"""
+
+
+@register("cache_key_totals", "A15,P13,F10", f"""
+    select 'recs:*' as pattern, cast(coalesce(sum(size_bytes), 0) as bigint) as total_bytes,
+           {FMT.format(x='coalesce(sum(size_bytes), 0)')} as total_size, count(*) as total_keys
+    from v_key_inventory where key like 'recs:%' and coalesce(size_bytes, 0) <> 0""")
+def q_cache_key_totals(spark, d):
+    return I.key_size_totals(T.key_inventory(spark, d), "recs:*")
+
+
+@register("largest_cache_keys", "A15,P13,F10", f"""
+    select row_number() over (order by size_bytes desc, key) as rank, key, size_bytes,
+           {FMT.format(x='size_bytes')} as size
+    from v_key_inventory where coalesce(size_bytes, 0) <> 0
+    order by size_bytes desc, key limit 10""")
+def q_largest_keys(spark, d):
+    return I.largest_keys(T.key_inventory(spark, d), "*", 10)
+
+
+@register("key_type_distribution", "A16", """
+    select type, count(*) as n from v_key_inventory group by rollup (type)""")
+def q_key_types(spark, d):
+    return I.key_type_distribution(T.key_inventory(spark, d))
+
+
+@register("expiry_buckets", "A17", """
+    select count(*) filter (where ttl_s > 0) as total_expiring,
+           count(*) filter (where ttl_s > 0 and ttl_s < 3600) as expiring_within_1h,
+           count(*) filter (where ttl_s > 0 and ttl_s < 86400) as expiring_within_1d
+    from v_key_inventory""")
+def q_expiry(spark, d):
+    return I.expiry_buckets(T.key_inventory(spark, d))
+
+
+@register("recommendation_cache", "A18,U3,F15", """
+    select count(*) as total_cached_recommendations,
+           count(distinct split_part(key, ':', 2)) as users_with_cache
+    from v_key_inventory where key like 'recs:%'""")
+def q_rec_cache(spark, d):
+    return I.recommendation_cache(T.key_inventory(spark, d))
+
+
+@register("search_cache", "A19", """
+    select count(*) as total_cached_searches, count(*) as unique_queries
+    from v_key_inventory where key like 'search:%'""")
+def q_search_cache(spark, d):
+    return I.search_cache(T.key_inventory(spark, d))
+
+
+@register("keys_per_db", "A21", """
+    select db, count(*) as keys, count(*) filter (where ttl_s > 0) as expires,
+           avg(case when ttl_s > 0 then ttl_s end) as avg_ttl
+    from v_key_inventory group by rollup (db)""")
+def q_keys_per_db(spark, d):
+    return I.keys_per_db(T.key_inventory(spark, d))
+
+
+@register("trending_totals", "A22,F18", """
+    select cast(least(count(distinct case when event_type = 'product_view' then item_id end), 100) as bigint)
+             as total_viewed_products,
+           cast(least(count(distinct case when event_type = 'purchase' then item_id end), 100) as bigint)
+             as total_purchased_products
+    from v_activity where item_id is not null and event_type in ('product_view', 'purchase')""")
+def q_trending_totals(spark, d):
+    return I.trending_totals(T.activity(spark, d))
+
+
+@register("inventory_report", "K12,A15,A16,A17,A18,A19,A21,A22", None)
+def q_inventory_report(spark, d):
+    return I.inventory_report(T.key_inventory(spark, d), T.activity(spark, d))
+
+
+USERS_SQL = """
+    with batch as (select user_id, row_number() over (order by event_id) - 1 as position
+                   from v_activity where event_type = 'purchase' and user_id is not null),
+         existing as (select distinct user_id from v_activity where event_type = 'user_registration'),
+         firsts as (select user_id, min(position) as first_pos from batch group by user_id),
+         flagged as (select b.user_id, b.position,
+                            e.user_id is null and b.position = f.first_pos as inserted
+                     from batch b join firsts f using (user_id) left join existing e using (user_id))"""
+
+
+@register("insert_users", "G1,J6,W9,F13,S6", USERS_SQL + """
+    select user_id, position, inserted,
+           case when inserted then printf('user_%03d_%s', position, substr(cast(user_id as varchar), 1, 8)) end
+             as username,
+           case when inserted then printf('user_%03d_%s', position, substr(cast(user_id as varchar), 1, 8))
+                                   || '@example.com' end as email
+    from flagged""")
+def q_insert_users(spark, d):
+    r = U.insert_users(_purchase_batch(spark, d), _registered(spark, d), [F.col("event_id")])
+    return r.select("user_id", "position", "inserted", "username", "email")
+
+
+@register("insert_user_counts", "G1,J6,A6", USERS_SQL + """
+    select count(*) filter (where inserted) as inserted, count(*) filter (where not inserted) as skipped
+    from flagged""")
+def q_insert_counts(spark, d):
+    r = U.insert_users(_purchase_batch(spark, d), _registered(spark, d), [F.col("event_id")])
+    return U.insert_counts(r)
+
+
+def _purchase_batch(spark, d):
+    return (T.activity(spark, d).filter((F.col("event_type") == "purchase") & F.col("user_id").isNotNull())
+            .select("event_id", "user_id"))
+
+
+def _registered(spark, d):
+    """Registered users: first registration event per user (created_at)."""
+    return (T.activity(spark, d).filter(F.col("event_type") == "user_registration")
+            .groupBy("user_id").agg(F.min("ts").alias("created_at")))
+
+
+@register("newest_users", "G2,L9", """
+    select user_id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') as created_at from
+      (select user_id, min(ts) as created_at from v_activity where event_type = 'user_registration'
+       group by user_id)
+    order by created_at desc, user_id limit 5""")
+def q_newest_users(spark, d):
+    n = U.newest_users(_registered(spark, d), 5)
+    return n.select("user_id", ts_text("created_at").alias("created_at"))
+
+
+@register("search_documents", "J1,K6,P9,P11,P15,W7", """
+    select i.item_id as doc_id, i.title, i.main_category,
+           v.model_factor is not null and len(v.model_factor) > 0 as has_vector,
+           cast(coalesce(len(v.model_factor), 0) as bigint) as vector_dim
+    from v_items i left join v_item_vectors v using (item_id)""")
+def q_search_documents(spark, d):
+    items = T.items(spark, d).select("item_id", "title", "main_category")
+    docs = D.product_documents(items, T.item_vectors(spark, d))
+    # the index is loaded as: documents without vector first, vectors merged in by upsert
+    base = docs.withColumn("model_factor", F.lit(None).cast("array<float>"))
+    merged = D.upsert(base, docs.filter(has_vector("model_factor")), "doc_id")
+    return merged.select("doc_id", "title", "main_category",
+                         has_vector("model_factor").alias("has_vector"),
+                         F.coalesce(F.size("model_factor"), F.lit(0)).cast("bigint").alias("vector_dim"))
+
+
+@register("display_items", "P14", """
+    select item_id, substr(title, 1, 50) as short_title, cast(floor(average_rating) as bigint) as stars
+    from v_items""")
+def q_display_items(spark, d):
+    return D.display_projection(T.items(spark, d))
