@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cf import collaborative_recommendations, user_classes
-from .popular import category_hot_items, popular_items, ranked_list, top_k_per_key
+from .cf import cf_lists, collaborative_recommendations, user_classes
+from .popular import category_hot_items, popular_items, ranked_list
 
 
 def blend(cf_score, average_rating, cf_weight: float = 0.6, cb_weight: float = 0.4) -> Column:
@@ -30,41 +30,49 @@ def hybrid_recommendations(requests: DataFrame, user_dim: DataFrame, user_factor
        default, the reference's bag behaviour with ``distinct_pad=False``
     4. empty CF list (known user without factor) -> popular num//2 followed
        by the category's hot num//2 ('popular' / 'category_hot'), as coded
-    """
-    cf2 = collaborative_recommendations(requests, user_dim, user_factors, item_factors, items,
-                                        2 * num, block_size=block_size)
-    prod = items.select("item_id", "average_rating")
-    scored = (cf2.join(prod, "item_id")
-              .select("user_id", "item_id", blend("score", "average_rating", cf_weight, cb_weight).alias("score")))
-    best = top_k_per_key(scored, ["user_id"], [F.round("score", 9).desc(), F.col("item_id")], num)
-    best = best.select("user_id", "rank", "item_id", "score", F.lit("hybrid").alias("source"))
 
-    # padding for short lists (users that have a CF list)
-    listed = cf2.select("user_id").distinct()
-    have = best.groupBy("user_id").agg(F.count(F.lit(1)).alias("_cnt"))
-    short = (listed.join(have, "user_id", "left")
-             .select("user_id", F.coalesce("_cnt", F.lit(0)).alias("_cnt"))
-             .filter(F.col("_cnt") < num))
-    pad_pool = ranked_list(popular_items(items, 2 * num), 2 * num)
-    cand = short.select("user_id", "_cnt", F.explode(pad_pool).alias("p")).select(
-        "user_id", "_cnt", F.col("p.rank").alias("_prank"), F.col("p.item_id").alias("item_id"),
-        F.col("p.score").alias("score"))
+    Steps 2-3 are one aggregation per user over at most 2*num rows (a bounded
+    list), so the CF kernel runs once and no per-user join is repeated.
+    """
+    cls = user_classes(requests, user_dim, user_factors)
+    cf2 = cf_lists(cls, user_factors, item_factors, items, 2 * num, block_size)
+    prod = items.select("item_id", "average_rating", F.lit(True).alias("_has_product"))
+    scored = (cf2.join(prod, "item_id", "left")
+              .select("user_id", "item_id", "_has_product",
+                      blend("score", "average_rating", cf_weight, cb_weight).alias("score")))
+    entry = F.when(F.col("_has_product"), F.struct(
+        (-F.round("score", 9)).alias("k"), F.col("item_id").alias("item_id"), F.col("score").alias("score")))
+    # the pad pool is a bounded (2*num) scalar; attached as a column first because
+    # higher-order functions cannot contain subqueries
+    per_user = (scored.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("_c"))
+                .withColumn("_pool", ranked_list(popular_items(items, 2 * num), 2 * num)))
+    best = F.slice("_c", 1, num)
+    pool = F.col("_pool")
+    need = F.lit(num) - F.size(best)
     if distinct_pad:
-        cand = cand.join(best.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+        pads = F.filter(pool, lambda p: ~F.array_contains(F.transform(best, lambda b: b["item_id"]),
+                                                          p["item_id"]))
     else:
-        cand = cand.filter(F.col("_prank") <= num - F.col("_cnt"))
-    pads = top_k_per_key(cand, ["user_id"], [F.col("_prank")], num, "_r")
-    pads = (pads.filter(F.col("_r") <= num - F.col("_cnt"))
-            .select("user_id", (F.col("_cnt") + F.col("_r")).alias("rank"), "item_id", "score",
-                    F.lit("popular_pad").alias("source")))
+        pads = pool
+    pads = F.slice(pads, 1, F.greatest(need, F.lit(0)))
+    tagged = F.concat(
+        F.transform(best, lambda b: F.struct(b["item_id"].alias("item_id"), b["score"].alias("score"),
+                                             F.lit("hybrid").alias("source"))),
+        F.transform(pads, lambda p: F.struct(p["item_id"].alias("item_id"), p["score"].alias("score"),
+                                             F.lit("popular_pad").alias("source"))))
+    lists = per_user.select("user_id", tagged.alias("_l"))
+    listed = (lists.select("user_id", F.posexplode("_l").alias("_pos", "p"))
+              .select("user_id", (F.col("_pos") + 1).cast("bigint").alias("rank"),
+                      F.col("p.item_id").alias("item_id"), F.col("p.score").alias("score"),
+                      F.col("p.source").alias("source")))
 
     # empty CF list: popular half + category-hot half (bag union, order kept)
-    cls = user_classes(requests, user_dim, user_factors)
     empty = cls.filter(F.col("known") & ~F.col("has_factor")).select("user_id")
     half = num // 2
+
     def as_list(df: DataFrame, source: str) -> Column:
-        tagged = df.select(F.struct("rank", "item_id", "score", F.lit(source).alias("source")).alias("e"))
-        return tagged.agg(F.sort_array(F.collect_list("e"))).scalar()
+        t = df.select(F.struct("rank", "item_id", "score", F.lit(source).alias("source")).alias("e"))
+        return t.agg(F.sort_array(F.collect_list("e"))).scalar()
 
     mix = F.concat(as_list(popular_items(items, half), "popular"),
                    as_list(category_hot_items(items, half, fallback_category), "category_hot"))
@@ -72,7 +80,7 @@ def hybrid_recommendations(requests: DataFrame, user_dim: DataFrame, user_factor
              .select("user_id", (F.col("_pos") + 1).cast("bigint").alias("rank"),
                      F.col("p.item_id").alias("item_id"), F.col("p.score").alias("score"),
                      F.col("p.source").alias("source")))
-    return best.unionByName(pads).unionByName(mixed)
+    return listed.unionByName(mixed)
 
 
 def recommend(requests: DataFrame, method: str, user_dim: DataFrame, user_factors: DataFrame,

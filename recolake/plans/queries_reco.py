@@ -167,9 +167,10 @@ def q_user_classes(spark, d):
 
 @register("cf_recommendations", "R1,M10,J5,J8,W1,P8", f"with {CLS}, {_cf_sql(10)} select * from cfl")
 def q_cf(spark, d):
+    inter = T.interactions(spark, d)
     return cf.collaborative_recommendations(
-        T.customers(spark, d), T.interactions(spark, d), T.user_factors(spark, d),
-        T.item_factors(spark, d), T.items(spark, d), 10)
+        T.customers(spark, d), inter, T.user_factors(spark, d),
+        T.item_factors(spark, d), T.items(spark, d, inter), 10)
 
 
 @register("user_page_recs", "J4,R6,L11", f"""
@@ -217,9 +218,10 @@ HYBRID_SQL = f"""
 
 @register("hybrid_recommendations", "R2,R6,F8,J3,U1,U2,L7,W1", HYBRID_SQL)
 def q_hybrid(spark, d):
+    inter = T.interactions(spark, d)
     return hybrid.hybrid_recommendations(
-        T.customers(spark, d), T.interactions(spark, d), T.user_factors(spark, d),
-        T.item_factors(spark, d), T.items(spark, d), 10)
+        T.customers(spark, d), inter, T.user_factors(spark, d),
+        T.item_factors(spark, d), T.items(spark, d, inter), 10)
 
 
 @register("factor_predictions_eval", "M6,A7,M7,P3", f"""
