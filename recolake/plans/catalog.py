@@ -40,5 +40,6 @@ def register(name: str, ops: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
-    from . import queries_core, queries_reco, queries_activity, queries_search, queries_inventory  # noqa: F401
+    from . import (queries_activity, queries_core, queries_inventory, queries_reco,  # noqa: F401
+                   queries_search, queries_streaming)
     return REGISTRY

@@ -77,6 +77,8 @@ def with_views(sql: str) -> str:
         order.append(name)
 
     for n in _deps(sql):
+        if re.search(rf"\b{n} as \(", sql):
+            continue  # already expanded
         visit(n)
     if not order:
         return sql.strip()

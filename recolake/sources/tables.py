@@ -77,7 +77,12 @@ EVENT_TYPE_MAP = {"view": "product_view", "click": "search", "signup": "user_reg
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log with the reference's event names; 'error' rows are not events."""
-    e = read(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+    return activity_from_events(read(spark, sf_dir, "events"))
+
+
+def activity_from_events(events: DataFrame) -> DataFrame:
+    """Row mapping shared by the batch table and the event stream."""
+    e = events.filter(F.col("event_type") != "error")
     et = F.col("event_type")
     mapped = (F.when(et == "view", "product_view").when(et == "click", "search")
               .when(et == "signup", "user_registration").otherwise(et))
