@@ -47,7 +47,7 @@ def q_hourly(spark, d):
 
 def _category_views(spark, d):
     a = T.activity(spark, d).filter(F.col("event_type") == "product_view")
-    i = T.items(spark, d).select("item_id", "main_category").filter(F.col("main_category").isNotNull())
+    i = T.products(spark, d).select("item_id", "main_category").filter(F.col("main_category").isNotNull())
     return a.join(i, "item_id")
 
 

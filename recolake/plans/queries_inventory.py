@@ -146,7 +146,7 @@ def q_newest_users(spark, d):
            cast(coalesce(len(v.model_factor), 0) as bigint) as vector_dim
     from v_items i left join v_item_vectors v using (item_id)""")
 def q_search_documents(spark, d):
-    items = T.items(spark, d).select("item_id", "title", "main_category")
+    items = T.products(spark, d).select("item_id", "title", "main_category")
     docs = D.product_documents(items, T.item_vectors(spark, d))
     # the index is loaded as: documents without vector first, vectors merged in by upsert
     base = docs.withColumn("model_factor", F.lit(None).cast("array<float>"))

@@ -87,7 +87,7 @@ def q_item_views(spark, d):
        join v_items i using (item_id) where i.main_category is not null)
     where rank <= 20""")
 def q_category_popular(spark, d):
-    return popular.category_popular(T.activity(spark, d), T.items(spark, d), 20).select(
+    return popular.category_popular(T.activity(spark, d), T.products(spark, d), 20).select(
         "main_category", "item_id", "n", "rank")
 
 
@@ -129,13 +129,13 @@ def _similar_sql(score_expr: str) -> str:
 @register("similar_items", "R3,R4,J7,F6,P7,P11,W2",
           _similar_sql(_cos("q.model_factor", "c.model_factor") + " + 1.0"))
 def q_similar_items(spark, d):
-    return similarity.similar_items(T.items(spark, d), T.item_vectors(spark, d), 10, "cosine")
+    return similarity.similar_items(T.products(spark, d), T.item_vectors(spark, d), 10, "cosine")
 
 
 @register("similar_items_logistic", "R3,J7,F7,W2",
           _similar_sql("1.0 / (1.0 + exp(-" + DOT.format(a="q.model_factor", b="c.model_factor") + "))"))
 def q_similar_items_logistic(spark, d):
-    return similarity.similar_items(T.items(spark, d), T.item_vectors(spark, d), 10, "logistic")
+    return similarity.similar_items(T.products(spark, d), T.item_vectors(spark, d), 10, "logistic")
 
 
 CLS = """

@@ -58,13 +58,13 @@ def _search_sql(fuzzy: bool, keyword_fields: list[tuple[str, float]], title_boos
 
 @register("search_and_recommend", "T1,T3,T5,L8", _search_sql(True, [("main_category", 2.0), ("store", 1.0)]))
 def q_search_and_recommend(spark, d):
-    return S.search(T.items(spark, d), T.search_queries(spark, d), 10,
+    return S.search(T.products(spark, d), T.search_queries(spark, d), 10,
                     S.SEARCH_AND_RECOMMEND_FIELDS, fuzzy=True)
 
 
 @register("search_products", "T2,T5,L8", _search_sql(False, [("main_category", 2.0)]))
 def q_search_products(spark, d):
-    return S.search(T.items(spark, d), T.search_queries(spark, d), 10,
+    return S.search(T.products(spark, d), T.search_queries(spark, d), 10,
                     S.SEARCH_PRODUCTS_FIELDS, fuzzy=False)
 
 
@@ -85,4 +85,4 @@ def q_fuzzy_terms(spark, d):
        from v_search_queries q join v_items d on regexp_matches(d.title, q.query, 'i'))
     where rank <= 10""")
 def q_regex_search(spark, d):
-    return S.regex_search(T.items(spark, d), T.search_queries(spark, d), 10)
+    return S.regex_search(T.products(spark, d), T.search_queries(spark, d), 10)

@@ -45,14 +45,19 @@ def item_stats(ratings: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rating_number"))
 
 
-def items(spark: SparkSession, sf_dir: str, ratings: DataFrame | None = None) -> DataFrame:
-    """Product table: part joined to its rating statistics (left: unrated parts keep nulls)."""
-    ratings = ratings if ratings is not None else interactions(spark, sf_dir)
-    p = read(spark, sf_dir, "part").select(
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product attributes only (no rating statistics): what search, similarity
+    and category lookups need - a plain scan, no aggregation of the fact."""
+    return read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"),
         F.col("p_type").alias("main_category"), F.col("p_brand").alias("store"),
         F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-    return p.join(item_stats(ratings), "item_id", "left")
+
+
+def items(spark: SparkSession, sf_dir: str, ratings: DataFrame | None = None) -> DataFrame:
+    """Product table: part joined to its rating statistics (left: unrated parts keep nulls)."""
+    ratings = ratings if ratings is not None else interactions(spark, sf_dir)
+    return products(spark, sf_dir).join(item_stats(ratings), "item_id", "left")
 
 
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
