@@ -34,7 +34,8 @@ def hybrid_recommendations(requests: DataFrame, user_dim: DataFrame, user_factor
     Steps 2-3 are one aggregation per user over at most 2*num rows (a bounded
     list), so the CF kernel runs once and no per-user join is repeated.
     """
-    cls = user_classes(requests, user_dim, user_factors)
+    # one row per requested user, used by three branches: materialised once (reliable checkpoint)
+    cls = user_classes(requests, user_dim, user_factors).checkpoint(eager=True)
     cf2 = cf_lists(cls, user_factors, item_factors, items, 2 * num, block_size)
     prod = items.select("item_id", "average_rating", F.lit(True).alias("_has_product"))
     scored = (cf2.join(prod, "item_id", "left")

@@ -219,9 +219,12 @@ HYBRID_SQL = f"""
 @register("hybrid_recommendations", "R2,R6,F8,J3,U1,U2,L7,W1", HYBRID_SQL)
 def q_hybrid(spark, d):
     inter = T.interactions(spark, d)
+    # the product table feeds five branches (blend, pad pool, two fallback lists, ...):
+    # written once to the shared checkpoint dir instead of re-aggregating the fact table
+    items = T.items(spark, d, inter).checkpoint(eager=True)
     return hybrid.hybrid_recommendations(
         T.customers(spark, d), inter, T.user_factors(spark, d),
-        T.item_factors(spark, d), T.items(spark, d, inter), 10)
+        T.item_factors(spark, d), items, 10)
 
 
 @register("factor_predictions_eval", "M6,A7,M7,P3", f"""
