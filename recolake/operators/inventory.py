@@ -99,7 +99,7 @@ def inventory_report(inv: DataFrame, activity: DataFrame, hit: DataFrame | None
             F.lit("keys_per_db").alias("section"), F.coalesce("db", F.lit("total")).alias("metric"),
             F.col("keys").cast("string").alias("value")),
     ]
-    tc = inv.select("type").distinct().agg(F.count(F.lit(1)).alias("type_count"))
+    tc = inv.agg(F.count_distinct("type").alias("type_count"))
     parts.append(long(tc, "key_types", ["type_count"]))
     if hit is not None:
         parts.append(long(hit, "performance", ["hits", "misses", "hit_rate"]))

@@ -142,3 +142,44 @@ def q_hash_sample(spark, d):
     r = T.interactions(spark, d)
     return ratings.hash_sample(r, ["user_id", "item_id", "ts"], 1000).select(
         "user_id", "item_id", "rating", ts_text("ts").alias("ts"))
+
+
+@register("distinct_items", "A3", "select distinct item_id from v_interactions")
+def q_distinct_items(spark, d):
+    return T.interactions(spark, d).select("item_id").distinct()
+
+
+@register("event_messages", "F4,F5,F14,F16,K8,ST1", """
+    select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as iso_ts,
+           'USER_' || cast(cast(floor(epoch(ts)) as bigint) as varchar) as user_key,
+           strftime(to_timestamp(cast(floor(epoch(ts)) as bigint)) at time zone 'UTC', '%Y-%m-%d %H:%M:%S.%f')
+             as second_ts,
+           event_type, item_id
+    from v_activity""")
+def q_event_messages(spark, d):
+    """Events rendered as the reference's JSON messages and parsed back (a
+    round trip through to_json / from_json), with ISO text and epoch ids."""
+    from ..functions.text import iso_text, user_id_from_time
+    from ..streaming.activity import EVENT_SCHEMA
+    a = T.activity(spark, d)
+    msg = a.select("event_id", "ts", F.to_json(F.struct(
+        "event_type", F.col("user_id").cast("string").alias("user_id"),
+        iso_text("ts").alias("timestamp"), F.col("item_id").cast("string").alias("asin"))).alias("value"))
+    parsed = msg.select("event_id", "ts", F.from_json("value", EVENT_SCHEMA).alias("e"))
+    return parsed.select(
+        "event_id", F.col("e.timestamp").alias("iso_ts"), user_id_from_time("ts").alias("user_key"),
+        ts_text(F.timestamp_seconds(F.unix_timestamp("ts"))).alias("second_ts"),
+        F.col("e.event_type").alias("event_type"), F.col("e.asin").cast("bigint").alias("item_id"))
+
+
+@register("item_vector_table", "M8,F2,J2", """
+    select f.item_id, 'v1' as model_version, cast(len(f.features) as bigint) as dim, i.idx
+    from v_item_factors f join
+      (select item_id, row_number() over (order by count(*) desc, item_id) - 1 as idx
+       from v_interactions group by item_id) i using (item_id)""")
+def q_item_vector_table(spark, d):
+    idim = encode.dense_index(T.interactions(spark, d).select("item_id"), "item_id")
+    f = T.item_factors(spark, d)
+    return (f.join(idim.select("item_id", "idx"), "item_id")
+            .select("item_id", F.lit("v1").alias("model_version"),
+                    F.size("features").cast("bigint").alias("dim"), "idx"))

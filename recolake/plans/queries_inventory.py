@@ -84,7 +84,33 @@ def q_trending_totals(spark, d):
     return I.trending_totals(T.activity(spark, d))
 
 
-@register("inventory_report", "K12,A15,A16,A17,A18,A19,A21,A22", None)
+@register("inventory_report", "K12,A15,A16,A17,A18,A19,A21,A22", f"""
+    with inv as (select * from v_key_inventory),
+    ks as (select cast(coalesce(sum(size_bytes), 0) as bigint) as tb, count(*) as tk
+           from inv where coalesce(size_bytes, 0) <> 0),
+    tr as (select least(count(distinct case when event_type = 'product_view' then item_id end), 100) as v,
+                  least(count(distinct case when event_type = 'purchase' then item_id end), 100) as p
+           from v_activity where item_id is not null and event_type in ('product_view', 'purchase'))
+    select 'key_sizes' as section, 'total_bytes' as metric, cast(tb as varchar) as value from ks
+    union all select 'key_sizes', 'total_size', {FMT.format(x='tb')} from ks
+    union all select 'key_sizes', 'total_keys', cast(tk as varchar) from ks
+    union all select 'expiry', 'total_expiring', cast(count(*) filter (where ttl_s > 0) as varchar) from inv
+    union all select 'expiry', 'expiring_within_1h',
+                     cast(count(*) filter (where ttl_s > 0 and ttl_s < 3600) as varchar) from inv
+    union all select 'expiry', 'expiring_within_1d',
+                     cast(count(*) filter (where ttl_s > 0 and ttl_s < 86400) as varchar) from inv
+    union all select 'recommendation_cache', 'total_cached_recommendations', cast(count(*) as varchar)
+              from inv where key like 'recs:%'
+    union all select 'recommendation_cache', 'users_with_cache',
+                     cast(count(distinct split_part(key, ':', 2)) as varchar) from inv where key like 'recs:%'
+    union all select 'search_cache', 'total_cached_searches', cast(count(*) as varchar)
+              from inv where key like 'search:%'
+    union all select 'search_cache', 'unique_queries', cast(count(*) as varchar) from inv where key like 'search:%'
+    union all select 'trending', 'total_viewed_products', cast(v as varchar) from tr
+    union all select 'trending', 'total_purchased_products', cast(p as varchar) from tr
+    union all select 'key_types', coalesce(type, 'total'), cast(count(*) as varchar) from inv group by rollup (type)
+    union all select 'keys_per_db', coalesce(db, 'total'), cast(count(*) as varchar) from inv group by rollup (db)
+    union all select 'key_types', 'type_count', cast(count(distinct type) as varchar) from inv""")
 def q_inventory_report(spark, d):
     return I.inventory_report(T.key_inventory(spark, d), T.activity(spark, d))
 

@@ -273,3 +273,21 @@ def test_stream_rate_limit_equals_batch(spark):
     a = reg["stream_rate_limit_admission"].fn(spark, d)
     b = reg["rate_limit_admission"].fn(spark, d)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_image_urls_and_document_key(spark):
+    df = spark.createDataFrame([
+        Row(item_id="a", parent_asin="P", images=[Row(thumb="t1", large="l1", variant=None, hi_res=None),
+                                                  Row(thumb="t2", large=None, variant=None, hi_res=None),
+                                                  Row(thumb=None, large=None, variant="v", hi_res=None)]),
+        Row(item_id="b", parent_asin=" ", images=[])],
+        "item_id string, parent_asin string, images array<struct<thumb:string,large:string,variant:string,hi_res:string>>")
+    vec = spark.createDataFrame([("a", [1.0], 1), ("a", [2.0], 2)], "item_id string, model_factor array<float>, model_timestamp bigint")
+    docs = {r.item_id: r for r in documents.product_documents(df, vec, "item_id", "parent_asin").collect()}
+    assert docs["a"].images == ["l1", "t2"] and docs["a"].doc_id == "P" and docs["a"].model_factor == [2.0]
+    assert docs["b"].doc_id == "b" and docs["b"].model_factor is None
+
+
+def test_clean_id_lines(spark):
+    df = spark.createDataFrame([(" x ",), ("",), ("   ",), ("y",)], "value string")
+    assert [r.user_id for r in users.clean_id_lines(df).collect()] == ["x", "y"]
