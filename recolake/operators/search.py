@@ -82,20 +82,21 @@ def fuzzy_expansions(query_terms: DataFrame, vocab: DataFrame, fuzzy: bool = Tru
 
 def _text_field_scores(docs: DataFrame, queries: DataFrame, field: str, boost: float,
                        fuzzy: bool) -> DataFrame:
-    d = docs.select("item_id", tokens(_text_value(docs, field)).alias("_t"), F.col(field).isNotNull().alias("_has"))
-    d = d.filter("_has")
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl"))
-    n_docs, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    lens = d.select("item_id", F.size("_t").alias("dl"))
-    tf = (d.select("item_id", F.explode("_t").alias("term"))
-          .groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    d = (docs.filter(F.col(field).isNotNull())
+         .select("item_id", tokens(_text_value(docs, field)).alias("_t")))
+    # one scalar subquery for both collection statistics
+    stats = d.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl"))).scalar()
+    n_docs, avgdl = stats["n"], stats["avgdl"]
+    # postings carry the document length, so no separate length join
+    tf = (d.select("item_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+          .groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     qt = queries.select("query", F.posexplode(tokens("query")).alias("pos", "qterm"))
     exp = fuzzy_expansions(qt, df_.select("term"), fuzzy)
     weight = 1.0 - F.col("dist") / F.least(F.length("qterm"), F.length("term"))
     idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tfn = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    per_term = (exp.join(df_, "term").join(tf, "term").join(lens, "item_id")
+    per_term = (exp.join(df_, "term").join(tf, "term")
                 .select("qterm", "item_id", (weight * idf * tfn).alias("_s")))
     best = per_term.groupBy("qterm", "item_id").agg(F.max("_s").alias("_s"))
     return (qt.join(best, "qterm").groupBy("query", "item_id")

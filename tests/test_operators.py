@@ -291,3 +291,39 @@ def test_image_urls_and_document_key(spark):
 def test_clean_id_lines(spark):
     df = spark.createDataFrame([(" x ",), ("",), ("   ",), ("y",)], "value string")
     assert [r.user_id for r in users.clean_id_lines(df).collect()] == ["x", "y"]
+
+
+def test_blocked_top_k_many_blocks_equals_one_block(spark):
+    """The scale path (many hash blocks per group) gives the same answer as one block."""
+    from recolake.sources import tables as T
+    d = "/root/testdata/sf0.001"
+    items, vecs = T.products(spark, d), T.item_vectors(spark, d)
+    def rounded(df):  # matmul summation order differs with the block shape (last bits of the score)
+        return df.withColumn("score", F.round("score", 9))
+    one = rounded(similarity.similar_items(items, vecs, 10, block_size=100000))
+    many = rounded(similarity.similar_items(items, vecs, 10, block_size=7))
+    assert one.count() > 0 and one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+    uf, itf = T.user_factors(spark, d), T.item_factors(spark, d)
+    a = similarity.blocked_top_k(uf, itf, 5, q_id="user_id", q_vec="features", c_id="item_id",
+                                 c_vec="features", metric="dot", block_size=100000)
+    b = similarity.blocked_top_k(uf, itf, 5, q_id="user_id", q_vec="features", c_id="item_id",
+                                 c_vec="features", metric="dot", block_size=16)
+    a, b = rounded(a), rounded(b)
+    assert a.count() == uf.count() * 5 and a.exceptAll(b).count() == 0
+
+
+def test_stream_session_totals_and_late_data(spark):
+    """ST4/ST10: session windows in the stream; an event older than the watermark is dropped."""
+    import uuid
+    from recolake.session import ensure_checkpoint_dir
+    from recolake.streaming import activity as S
+    base = os.path.join(ensure_checkpoint_dir(spark), f"late-{uuid.uuid4().hex[:8]}")
+    schema = "k string, ts timestamp"
+    spark.createDataFrame([("a", ts(0)), ("a", ts(60)), ("a", ts(10 * 3600))], schema) \
+        .write.parquet(os.path.join(base, "in", "f1"))
+    spark.createDataFrame([("a", ts(120))], schema).write.parquet(os.path.join(base, "in", "f2"))  # late
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(os.path.join(base, "in")))
+    out = S.run_available_now(S.session_totals(stream, ["k"], "1 hour"), "late", "complete")
+    got = sorted((r.session_start, r.n) for r in out.collect())
+    assert got == [(ts(0), 2), (ts(10 * 3600), 1)]
