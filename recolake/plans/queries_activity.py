@@ -46,7 +46,7 @@ def q_hourly(spark, d):
 
 
 def _category_views(spark, d):
-    a = T.activity(spark, d).filter(F.col("event_type") == "product_view")
+    a = T.activity(spark, d, ("product_view",))
     i = T.products(spark, d).select("item_id", "main_category").filter(F.col("main_category").isNotNull())
     return a.join(i, "item_id")
 
@@ -70,7 +70,7 @@ def q_category_sessions(spark, d):
        from {_sessions_sql('v', ['user_id'], USER_TTL)})
     where rank <= 100""")
 def q_user_view_sessions(spark, d):
-    v = T.activity(spark, d).filter((F.col("event_type") == "product_view") & F.col("user_id").isNotNull())
+    v = T.activity(spark, d, ("product_view",)).filter(F.col("user_id").isNotNull())
     s = A.with_session(v, ["user_id"], "ts", USER_TTL)
     top = popular.top_k_per_key(s, ["user_id", "session_start"], [F.col("ts").desc(), F.col("event_id").desc()], 100)
     return top.select("user_id", ts_text("session_start").alias("session_start"), "rank", "event_id", "item_id")
@@ -83,7 +83,7 @@ def q_user_view_sessions(spark, d):
        from {_sessions_sql('v', [], GLOBAL_TTL)})
     where rank <= 100""")
 def q_global_view_sessions(spark, d):
-    v = T.activity(spark, d).filter(F.col("event_type") == "product_view")
+    v = T.activity(spark, d, ("product_view",))
     s = A.with_session(v, [], "ts", GLOBAL_TTL)
     top = popular.top_k_per_key(s, ["session_start"], [F.col("ts").desc(), F.col("event_id").desc()], 100)
     return top.select(ts_text("session_start").alias("session_start"), "rank", "event_id", "item_id", "user_id")
@@ -152,7 +152,7 @@ def q_rate_limit(spark, d):
                 else printf('%.2f%%', sum(case when admitted then 0 else 1 end) * 100.0 / count(*)) end as hit_rate
     from g""")
 def q_cache_hit_rate(spark, d):
-    v = (T.activity(spark, d).filter(F.col("event_type") == "product_view")
+    v = (T.activity(spark, d, ("product_view",))
          .select("event_id", "item_id", "ts"))
     sim = ratelimit.cache_simulation(v, ["item_id"], "ts", CACHE_TTL, "event_id")
     return ratelimit.hit_rate(sim)

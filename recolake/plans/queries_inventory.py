@@ -146,13 +146,13 @@ def q_insert_counts(spark, d):
 
 
 def _purchase_batch(spark, d):
-    return (T.activity(spark, d).filter((F.col("event_type") == "purchase") & F.col("user_id").isNotNull())
+    return (T.activity(spark, d, ("purchase",)).filter(F.col("user_id").isNotNull())
             .select("event_id", "user_id"))
 
 
 def _registered(spark, d):
     """Registered users: first registration event per user (created_at)."""
-    return (T.activity(spark, d).filter(F.col("event_type") == "user_registration")
+    return (T.activity(spark, d, ("user_registration",))
             .groupBy("user_id").agg(F.min("ts").alias("created_at")))
 
 

@@ -61,13 +61,13 @@ def _event_top(event_type: str, n: int, enrich: bool) -> str:
 
 @register("trending_products", "L4,A12,J3,R5", _event_top("product_view", 20, True))
 def q_trending(spark, d):
-    t = popular.trending(T.activity(spark, d), 20, "product_view")
+    t = popular.trending(T.activity(spark, d, ("product_view",)), 20, "product_view")
     return popular.enrich(t, T.items(spark, d))
 
 
 @register("hot_products", "L5,J3,R5", _event_top("purchase", 20, True))
 def q_hot(spark, d):
-    t = popular.trending(T.activity(spark, d), 20, "purchase")
+    t = popular.trending(T.activity(spark, d, ("purchase",)), 20, "purchase")
     return popular.enrich(t, T.items(spark, d))
 
 
@@ -75,7 +75,7 @@ def q_hot(spark, d):
     select item_id, count(*) as n from v_activity
     where event_type = 'product_view' and item_id is not null group by item_id""")
 def q_item_views(spark, d):
-    return popular.event_counts(T.activity(spark, d), "product_view")
+    return popular.event_counts(T.activity(spark, d, ("product_view",)), "product_view")
 
 
 @register("category_popular", "L6,A13,R5,W1", """
@@ -87,7 +87,7 @@ def q_item_views(spark, d):
        join v_items i using (item_id) where i.main_category is not null)
     where rank <= 20""")
 def q_category_popular(spark, d):
-    return popular.category_popular(T.activity(spark, d), T.products(spark, d), 20).select(
+    return popular.category_popular(T.activity(spark, d, ("product_view",)), T.products(spark, d), 20).select(
         "main_category", "item_id", "n", "rank")
 
 
@@ -96,7 +96,7 @@ def q_category_popular(spark, d):
            strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts
     from v_activity where event_type = 'product_view' order by ts desc, event_id desc limit 100""")
 def q_recent_global(spark, d):
-    r = popular.recent_global(T.activity(spark, d), 100)
+    r = popular.recent_global(T.activity(spark, d, ("product_view",)), 100)
     return r.select("rank", "event_id", "user_id", "item_id", ts_text("ts").alias("ts"))
 
 
@@ -106,7 +106,7 @@ def q_recent_global(spark, d):
        from v_activity where event_type = 'product_view' and user_id is not null)
     where rank <= 100""")
 def q_recent_per_user(spark, d):
-    r = popular.recent_per_user(T.activity(spark, d), 100)
+    r = popular.recent_per_user(T.activity(spark, d, ("product_view",)), 100)
     return r.select("user_id", "rank", "event_id", "item_id", ts_text("ts").alias("ts"))
 
 

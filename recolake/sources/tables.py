@@ -80,9 +80,15 @@ def item_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_TYPE_MAP = {"view": "product_view", "click": "search", "signup": "user_registration"}
 
 
-def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event log with the reference's event names; 'error' rows are not events."""
-    return activity_from_events(read(spark, sf_dir, "events"))
+def activity(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None) -> DataFrame:
+    """Event log with the reference's event names; 'error' rows are not events.
+    ``types`` (mapped names) is applied to the raw column, so it reaches the
+    parquet scan as a pushed filter."""
+    e = read(spark, sf_dir, "events")
+    if types:
+        raw = {v: k for k, v in EVENT_TYPE_MAP.items()}
+        e = e.filter(F.col("event_type").isin([raw.get(t, t) for t in types]))
+    return activity_from_events(e)
 
 
 def activity_from_events(events: DataFrame) -> DataFrame:
@@ -100,14 +106,14 @@ def activity_from_events(events: DataFrame) -> DataFrame:
 
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search events with their query text (the title of the searched item, lower case)."""
-    a = activity(spark, sf_dir).filter(F.col("event_type") == "search")
+    a = activity(spark, sf_dir, ("search",))
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"),
                                            F.lower("p_name").alias("query"))
     return a.join(p, "item_id").select("event_id", "ts", "user_id", "query")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = activity(spark, sf_dir).filter(F.col("event_type").isin("search", "product_view"))
+    a = activity(spark, sf_dir, ("search", "product_view"))
     action = F.when(F.col("event_type") == "search", "search").otherwise("recommendations")
     return a.select("event_id", "user_id", action.alias("action"), "ts")
 
@@ -134,7 +140,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query workload derived from the search events: the searched item's title
     (lower case), its category and its store - one row per distinct text."""
-    a = activity(spark, sf_dir).filter(F.col("event_type") == "search").select("item_id")
+    a = activity(spark, sf_dir, ("search",)).select("item_id")
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_type", "p_brand")
     j = a.join(p, "item_id")
     return (j.select(F.explode(F.array(F.lower("p_name"), "p_type", "p_brand")).alias("query"))
