@@ -327,3 +327,25 @@ def test_stream_session_totals_and_late_data(spark):
     out = S.run_available_now(S.session_totals(stream, ["k"], "1 hour"), "late", "complete")
     got = sorted((r.session_start, r.n) for r in out.collect())
     assert got == [(ts(0), 2), (ts(10 * 3600), 1)]
+
+
+def test_rate_limit_hot_key_matches_brute_force(spark):
+    """One key sending far above its limit (dense regime): the jump scan equals a plain greedy loop."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.integers(0, 6 * 3600, 30000))
+    rows = [(i, "hot" if i % 10 else "cold", ts(int(x))) for i, x in enumerate(t)]
+    df = spark.createDataFrame(rows, "id bigint, u string, ts timestamp")
+    got = {r.id: r.admitted for r in ratelimit.rate_limit(df, ["u"], "ts", 50, 3600, "id").collect()}
+    want = {}
+    for key in ("hot", "cold"):
+        adm = []
+        for i, k, x in sorted(rows, key=lambda r: (r[2], r[0])):
+            if k != key:
+                continue
+            live = [a for a in adm if a > x - dt.timedelta(seconds=3600)]
+            want[i] = len(live) < 50
+            if want[i]:
+                adm = live + [x]
+    assert got == want
+    assert sum(got.values()) < 0.1 * len(rows)
