@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import ts_text
+from ..sources import tables as T
 from ..streaming import activity as S
 from . import queries_activity as QA
 from .catalog import REGISTRY, register
@@ -20,6 +22,16 @@ def q_stream_item_views(spark, d):
     return S.run_available_now(S.item_views(S.file_events(spark, d)), "item_views", "complete")
 
 
+@register("stream_category_sessions", "ST4,ST10", REGISTRY["category_sessions"].oracle)
+def q_stream_category_sessions(spark, d):
+    ev = S.file_events(spark, d).filter(F.col("event_type") == "product_view")
+    cats = T.products(spark, d).select("item_id", "main_category").filter(F.col("main_category").isNotNull())
+    counters = S.idle_reset_counters(ev.join(cats, "item_id"), "main_category", QA.CATEGORY_TTL)
+    out = S.run_available_now(counters, "category_counters", "update",
+                              ["main_category", "session_start", "item_id"])
+    return out.select("main_category", ts_text("session_start").alias("session_start"), "item_id", "n")
+
+
 @register("stream_rate_limit_admission", "ST8,ST9", REGISTRY["rate_limit_admission"].oracle)
 def q_stream_rate_limit(spark, d):
     ev = S.file_events(spark, d).filter(F.col("event_type").isin("search", "product_view"))

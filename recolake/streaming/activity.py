@@ -130,20 +130,80 @@ def rate_limit_stream(requests: DataFrame, keys: list[str], limit: int, window_s
     return res.select(*cols, "admitted", "remaining", retry.alias("retry_after"))
 
 
-def run_available_now(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def _counter_state_fn(ttl_us: int):
+    def fn(key, pdfs, state):
+        rows = pd.concat(list(pdfs), ignore_index=True)
+        rows["_us"] = rows["ts"].astype("int64") // 1000
+        rows = rows.sort_values(["_us", "event_id"], kind="stable")
+        if state.exists:
+            start, last, items, counts = state.get
+            cnt = dict(zip(items, counts))
+        else:
+            start, last, cnt = None, None, {}
+        out_s, out_i, out_n = [], [], []
+        touched: set = set()
+        for t, item in zip(rows["_us"].to_numpy(), rows["item_id"].to_numpy()):
+            t, item = int(t), int(item)
+            if last is not None and t - last > ttl_us:   # idle longer than the TTL: counters reset
+                for it in touched:
+                    out_s.append(start), out_i.append(it), out_n.append(cnt[it])
+                touched, cnt, start = set(), {}, t
+            if start is None:
+                start = t
+            cnt[item] = cnt.get(item, 0) + 1
+            touched.add(item)
+            last = t if last is None else max(last, t)
+        for it in touched:
+            out_s.append(start), out_i.append(it), out_n.append(cnt[it])
+        state.update((start, last, list(cnt.keys()), list(cnt.values())))
+        yield pd.DataFrame({"key": [key[0]] * len(out_s), "session_start_us": out_s,
+                            "item_id": out_i, "n": out_n})
+    return fn
+
+
+def idle_reset_counters(events: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
+    """ST4 with the per-item breakdown: per ``key`` (category) item counters that
+    reset after ``ttl_seconds`` without events, as keyed state (session start,
+    last event, item -> count). Update mode: each batch emits the current count
+    of every (key, session, item) it touched; ``run_available_now(mode='update')``
+    keeps the latest value per row key."""
+    kt = dict(events.dtypes)[key]
+    out_schema = f"key {kt}, session_start_us bigint, item_id bigint, n bigint"
+    state_schema = T.StructType([
+        T.StructField("start", T.LongType()), T.StructField("last", T.LongType()),
+        T.StructField("items", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    res = (events.select(key, "ts", "event_id", "item_id").filter(F.col("item_id").isNotNull())
+           .groupBy(key).applyInPandasWithState(_counter_state_fn(int(ttl_seconds) * 1_000_000),
+                                                out_schema, state_schema, "update", "NoTimeout"))
+    return res.select(F.col("key").alias(key), F.timestamp_micros("session_start_us").alias("session_start"),
+                      "item_id", "n")
+
+
+def run_available_now(stream: DataFrame, name: str, mode: str = "complete",
+                      keys: list[str] | None = None) -> DataFrame:
     """Run a streaming query over everything available, then return its result
-    table (parquet under the checkpoint directory; complete mode overwrites,
-    append mode appends)."""
+    table (parquet under the checkpoint directory). complete: each batch
+    overwrites; append: batches append; update: batches append with their
+    epoch and the latest row per ``keys`` wins when read."""
     spark = stream.sparkSession
     base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
     out = os.path.join(base, "table")
-    write_mode = "overwrite" if mode == "complete" else "append"
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode(write_mode).parquet(out)
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(out)
+        elif mode == "update":
+            batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        else:
+            batch.write.mode("append").parquet(out)
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", os.path.join(base, "checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    res = spark.read.parquet(out)
+    if mode == "update":
+        vals = [c for c in res.columns if c not in (keys or []) and c != "_epoch"]
+        latest = res.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_epoch")).alias("_v"))
+        res = latest.select(*keys, "_v.*")
+    return res
