@@ -32,6 +32,14 @@ def q_stream_category_sessions(spark, d):
     return out.select("main_category", ts_text("session_start").alias("session_start"), "item_id", "n")
 
 
+@register("stream_user_view_sessions", "ST5", REGISTRY["user_view_sessions"].oracle)
+def q_stream_user_views(spark, d):
+    ev = S.file_events(spark, d).filter(F.col("event_type") == "product_view")
+    lists = S.recent_lists(ev, "user_id", QA.USER_TTL, 100)
+    out = S.run_available_now(lists, "user_recent", "update", ["user_id", "session_start", "rank"])
+    return out.select("user_id", ts_text("session_start").alias("session_start"), "rank", "event_id", "item_id")
+
+
 @register("stream_rate_limit_admission", "ST8,ST9", REGISTRY["rate_limit_admission"].oracle)
 def q_stream_rate_limit(spark, d):
     ev = S.file_events(spark, d).filter(F.col("event_type").isin("search", "product_view"))

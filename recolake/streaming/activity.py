@@ -179,6 +179,55 @@ def idle_reset_counters(events: DataFrame, key: str, ttl_seconds: int) -> DataFr
                       "item_id", "n")
 
 
+def _recent_state_fn(ttl_us: int, n: int):
+    def fn(key, pdfs, state):
+        rows = pd.concat(list(pdfs), ignore_index=True)
+        rows["_us"] = rows["ts"].astype("int64") // 1000
+        rows = rows.sort_values(["_us", "event_id"], kind="stable")
+        if state.exists:
+            start, last, lts, lids, litems = state.get
+            cur = list(zip(lts, lids, litems))
+        else:
+            start, last, cur = None, None, []
+        out = []
+
+        def emit():
+            top = sorted(cur, key=lambda r: (-r[0], -r[1]))[:n]
+            out.extend((start, i + 1, r[1], r[2]) for i, r in enumerate(top))
+
+        for t, eid, item in zip(rows["_us"].to_numpy(), rows["event_id"].to_numpy(), rows["item_id"].to_numpy()):
+            t = int(t)
+            if last is not None and t - last > ttl_us:   # idle longer than the TTL: the list resets
+                emit()
+                cur, start = [], t
+            if start is None:
+                start = t
+            cur.append((t, int(eid), None if pd.isna(item) else int(item)))
+            cur = sorted(cur, key=lambda r: (-r[0], -r[1]))[:n]    # keep the newest n only
+            last = t if last is None else max(last, t)
+        emit()
+        state.update((start, last, [r[0] for r in cur], [r[1] for r in cur], [r[2] for r in cur]))
+        yield pd.DataFrame({"key": [key[0]] * len(out), "session_start_us": [o[0] for o in out],
+                            "rank": [o[1] for o in out], "event_id": [o[2] for o in out],
+                            "item_id": [o[3] for o in out]})
+    return fn
+
+
+def recent_lists(events: DataFrame, key: str, ttl_seconds: int, n: int = 100) -> DataFrame:
+    """ST5: per key (user) the newest ``n`` events, reset after ``ttl_seconds``
+    idle, as keyed state bounded by n entries. Update mode: each batch emits the
+    current list of every key it touched (rows keyed by key, session, rank)."""
+    kt = dict(events.dtypes)[key]
+    out_schema = f"key {kt}, session_start_us bigint, rank bigint, event_id bigint, item_id bigint"
+    state_schema = ("start bigint, last bigint, ts array<bigint>, ids array<bigint>, "
+                    "items array<bigint>")
+    res = (events.select(key, "ts", "event_id", "item_id").filter(F.col(key).isNotNull())
+           .groupBy(key).applyInPandasWithState(_recent_state_fn(int(ttl_seconds) * 1_000_000, n),
+                                                out_schema, state_schema, "update", "NoTimeout"))
+    return res.select(F.col("key").alias(key), F.timestamp_micros("session_start_us").alias("session_start"),
+                      "rank", "event_id", "item_id")
+
+
 def run_available_now(stream: DataFrame, name: str, mode: str = "complete",
                       keys: list[str] | None = None) -> DataFrame:
     """Run a streaming query over everything available, then return its result
