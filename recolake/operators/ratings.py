@@ -83,8 +83,8 @@ def rating_histogram(ratings: DataFrame, rating_col: str = "rating", bins: int =
     """
     r = F.col(rating_col).cast("double")
     vals = ratings.select(r.alias("x")).filter(F.col("x").isNotNull())
-    mn = vals.agg(F.min("x")).scalar()
-    mx = vals.agg(F.max("x")).scalar()
+    rng = vals.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()  # one pass
+    mn, mx = rng["lo"], rng["hi"]
     lo = F.when(mn == mx, mn - 0.5).otherwise(mn)
     hi = F.when(mn == mx, mx + 0.5).otherwise(mx)
     counts = (vals.select(equal_width_bin(F.col("x"), mn, mx, bins).alias("bin"))
@@ -106,12 +106,12 @@ def stage_counts(reviews: DataFrame, user_col: str = "user_id", item_col: str =
                       F.count_if(complete).alias("complete_rows"))
     pairs = (reviews.filter(complete).select(user_col, item_col).distinct()
              .agg(F.count(F.lit(1)).alias("distinct_pairs")))
-    users = reviews.filter(complete).agg(F.count_distinct(user_col).alias("distinct_users"),
-                                         F.count_distinct(item_col).alias("distinct_items"))
+    distinct = reviews.filter(complete).agg(F.struct(
+        F.count_distinct(user_col).alias("u"), F.count_distinct(item_col).alias("i"))).scalar()
     return raw.select("raw_rows", "complete_rows",
                       pairs.scalar().alias("distinct_pairs"),
-                      users.select("distinct_users").scalar().alias("distinct_users"),
-                      users.select("distinct_items").scalar().alias("distinct_items"))
+                      distinct["u"].alias("distinct_users"),
+                      distinct["i"].alias("distinct_items"))
 
 
 def top_categories(items: DataFrame, category_col: str = "main_category", k: int = 10) -> DataFrame:

@@ -137,23 +137,30 @@ def regex_search(docs: DataFrame, queries: DataFrame, num: int = 10,
     """T4/P10: case-insensitive regex of each query over title, any description
     element or any features element; first num matches by item id, score 1.0.
 
-    Patterns have no join key. The query table is cut into chunks of at most
-    ``max_queries`` patterns (a checked size), each chunk is broadcast and the
-    documents stream past it; only matching (query, doc) rows are emitted.
+    Patterns have no join key. The query table is cut into passes of at most
+    ``max_queries`` patterns (a checked bound); each pass's patterns travel as
+    one array value (an uncorrelated scalar subquery) and every document keeps
+    the patterns it matches - no join operator, only matching rows emitted.
     """
     q = queries.select("query").filter(F.col("query").isNotNull()).distinct()
     n = q.agg(F.count(F.lit(1))).first()[0]
     passes = max(1, -(-n // max_queries))
     arrays = [a for a in ("description", "features") if a in docs.columns]
     d = docs.select("item_id", "title", *arrays)
+
+    def hit(p):
+        rx = F.concat(F.lit("(?i)"), p)
+        c = F.coalesce(F.rlike(F.col("title"), rx), F.lit(False))
+        for arr in arrays:
+            c = c | F.coalesce(F.exists(F.col(arr), lambda x: F.rlike(x, rx)), F.lit(False))
+        return c
+
     out = None
     for i in range(passes):
         chunk = q.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == i) if passes > 1 else q
-        rx = F.concat(F.lit("(?i)"), F.col("query"))
-        cond = F.coalesce(F.rlike(F.col("title"), rx), F.lit(False))
-        for arr in arrays:
-            cond = cond | F.coalesce(F.exists(F.col(arr), lambda x: F.rlike(x, rx)), F.lit(False))
-        m = d.join(F.broadcast(chunk), cond, "inner").select("query", "item_id")
+        # attached as a column first: higher-order functions cannot contain subqueries
+        pats = d.withColumn("_pats", chunk.agg(F.collect_list("query")).scalar())
+        m = pats.select("item_id", F.explode(F.filter(F.col("_pats"), hit)).alias("query"))
         out = m if out is None else out.unionByName(m)
     ranked = top_k_per_key(out, ["query"], [F.col("item_id")], num)
     return ranked.select("query", "rank", "item_id", F.lit(1.0).alias("score"))

@@ -35,15 +35,22 @@ _PAIR_SCHEMA = T.StructType([
 ])
 
 
-def _blocks(df: DataFrame, id_col: str, vec_col: str, group_col: str, block_size: int,
+def _blocks(df: DataFrame, id_col: str, vec_col: str, group_col: str | None, block_size: int,
             prefix: str) -> DataFrame:
-    """(group, blk, nblk, ids, vecs): hash blocks of <= ~block_size rows per group."""
-    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
-    nblk = F.greatest(F.ceil(F.col("_n") / block_size), F.lit(1)).cast("bigint")
-    sized = df.join(sizes.select(group_col, nblk.alias(f"{prefix}nblk")), group_col)
+    """(group, blk, nblk, ids, vecs): hash blocks of <= ~block_size rows per group.
+    Without a group the block count is one scalar (no join on a constant key)."""
+    if group_col is None:
+        n = df.agg(F.count(F.lit(1))).scalar()
+        sized = df.withColumn(f"{prefix}nblk", F.greatest(F.ceil(n / block_size), F.lit(1)).cast("bigint"))
+        keys = []
+    else:
+        sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
+        nblk = F.greatest(F.ceil(F.col("_n") / block_size), F.lit(1)).cast("bigint")
+        sized = df.join(sizes.select(group_col, nblk.alias(f"{prefix}nblk")), group_col)
+        keys = [group_col]
     blk = F.pmod(F.xxhash64(F.col(id_col)), F.col(f"{prefix}nblk"))
     return (sized.withColumn(f"{prefix}blk", blk)
-            .groupBy(group_col, f"{prefix}blk", f"{prefix}nblk")
+            .groupBy(*keys, f"{prefix}blk", f"{prefix}nblk")
             .agg(F.collect_list(F.col(id_col).cast("bigint")).alias(f"{prefix}ids"),
                  F.collect_list(F.col(vec_col).cast("array<double>")).alias(f"{prefix}vecs")))
 
@@ -87,21 +94,25 @@ def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
     ``metric``: 'cosine' (cosine + 1) or 'logistic' (sigmoid of dot) or 'dot'.
     Rows with a null/empty vector must be filtered by the caller.
     """
-    g = group_col or "_g"
-    q = queries.select(F.col(q_id).alias("id"), F.col(q_vec).alias("vec"),
-                       (F.col(group_col) if group_col else F.lit(0)).alias(g))
-    c = candidates.select(F.col(c_id).alias("id"), F.col(c_vec).alias("vec"),
-                          (F.col(group_col) if group_col else F.lit(0)).alias(g))
+    gcols = [group_col] if group_col else []
+    q = queries.select(F.col(q_id).alias("id"), F.col(q_vec).alias("vec"), *gcols)
+    c = candidates.select(F.col(c_id).alias("id"), F.col(c_vec).alias("vec"), *gcols)
     if metric == "cosine":
         q = q.withColumn("vec", _unit("vec"))
         c = c.withColumn("vec", _unit("vec"))
-    qb = _blocks(q, "id", "vec", g, block_size, "q")
-    cb = _blocks(c, "id", "vec", g, block_size, "c")
-    # replicate each query block once per candidate block of its group
-    cn = cb.select(g, "cnblk").distinct()
-    qx = (qb.join(cn, g)
-          .withColumn("cblk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cnblk") - 1))))
-    pairs = qx.join(cb.drop("cnblk"), [g, "cblk"]).select("qids", "qvecs", "cids", "cvecs")
+    qb = _blocks(q, "id", "vec", group_col, block_size, "q")
+    cb = _blocks(c, "id", "vec", group_col, block_size, "c")
+    # replicate each query block once per candidate block of its group, then an
+    # equi join on (group, candidate block)
+    if group_col:
+        cn = cb.select(group_col, "cnblk").distinct()
+        qx = qb.join(cn, group_col)
+        nb = F.col("cnblk")
+    else:
+        qx = qb
+        nb = cb.agg(F.max("cnblk")).scalar()
+    qx = qx.withColumn("cblk", F.explode(F.sequence(F.lit(0).cast("bigint"), nb - 1)))
+    pairs = qx.join(cb.drop("cnblk"), [*gcols, "cblk"]).select("qids", "qvecs", "cids", "cvecs")
     scored = pairs.mapInPandas(_kernel(metric, k, exclude_self), _PAIR_SCHEMA)
     ranked = top_k_per_key(scored, ["qid"], [F.round("score", 9).desc(), F.col("cid")], k)
     return ranked
