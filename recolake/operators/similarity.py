@@ -23,18 +23,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from .popular import top_k_per_key
 
-_PAIR_SCHEMA = T.StructType([
-    T.StructField("qid", T.LongType()),
-    T.StructField("cid", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
-
-
 def _blocks(df: DataFrame, id_col: str, vec_col: str, group_col: str | None, block_size: int,
             prefix: str) -> DataFrame:
     """(group, blk, nblk, ids, vecs): hash blocks of <= ~block_size rows per group.
@@ -51,7 +43,7 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, group_col: str | None, blo
     blk = F.pmod(F.xxhash64(F.col(id_col)), F.col(f"{prefix}nblk"))
     return (sized.withColumn(f"{prefix}blk", blk)
             .groupBy(*keys, f"{prefix}blk", f"{prefix}nblk")
-            .agg(F.collect_list(F.col(id_col).cast("bigint")).alias(f"{prefix}ids"),
+            .agg(F.collect_list(F.col(id_col)).alias(f"{prefix}ids"),
                  F.collect_list(F.col(vec_col).cast("array<double>")).alias(f"{prefix}vecs")))
 
 
@@ -60,8 +52,8 @@ def _kernel(metric: str, k: int, exclude_self: bool):
         for pdf in batches:
             out_q, out_c, out_s = [], [], []
             for qids, qvecs, cids, cvecs in zip(pdf["qids"], pdf["qvecs"], pdf["cids"], pdf["cvecs"]):
-                qi = np.asarray(qids, dtype=np.int64)
-                ci = np.asarray(cids, dtype=np.int64)
+                qi = np.asarray(qids)
+                ci = np.asarray(cids)
                 qm = np.vstack(qvecs).astype(np.float64)
                 cm = np.vstack(cvecs).astype(np.float64)
                 s = qm @ cm.T
@@ -76,7 +68,7 @@ def _kernel(metric: str, k: int, exclude_self: bool):
                 for r in range(len(qi)):
                     order = np.lexsort((ci, -key[r]))[:kk]
                     order = order[np.isfinite(s[r, order])]
-                    out_q.append(np.full(len(order), qi[r], dtype=np.int64))
+                    out_q.append(np.full(len(order), qi[r], dtype=qi.dtype))
                     out_c.append(ci[order])
                     out_s.append(s[r, order])
             if out_q:
@@ -113,7 +105,9 @@ def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
         nb = cb.agg(F.max("cnblk")).scalar()
     qx = qx.withColumn("cblk", F.explode(F.sequence(F.lit(0).cast("bigint"), nb - 1)))
     pairs = qx.join(cb.drop("cnblk"), [*gcols, "cblk"]).select("qids", "qvecs", "cids", "cvecs")
-    scored = pairs.mapInPandas(_kernel(metric, k, exclude_self), _PAIR_SCHEMA)
+    # ids keep their type (integer or string labels)
+    schema = f"qid {dict(q.dtypes)['id']}, cid {dict(c.dtypes)['id']}, score double"
+    scored = pairs.mapInPandas(_kernel(metric, k, exclude_self), schema)
     ranked = top_k_per_key(scored, ["qid"], [F.round("score", 9).desc(), F.col("cid")], k)
     return ranked
 

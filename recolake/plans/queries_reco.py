@@ -275,3 +275,29 @@ def q_als_recs(spark, d):
     uf, itf = cf.factors_from_model(model, udim, idim)
     return cf.collaborative_recommendations(T.customers(spark, d), T.interactions(spark, d), uf, itf,
                                             T.items(spark, d), 10)
+
+
+@register("sql_prediction_errors", "M6,A7,F6,F7", f"""
+    with r as (select item_id, user_id, rating from
+                 (select *, row_number() over (partition by item_id, user_id order by ts desc, rating desc) rn
+                  from v_interactions) where rn = 1),
+         p as (select r.rating, {DOT.format(a='u.features', b='i.features')} as prediction,
+                      {_cos('u.features', 'i.features')} as cosine
+               from r join v_user_factors u using (user_id) join v_item_factors i using (item_id))
+    select sqrt(avg((prediction - rating) * (prediction - rating))) as rmse,
+           avg(abs(prediction - rating)) as mae, avg(cosine) as mean_cosine, count(*) as n from p""")
+def q_sql_prediction_errors(spark, d):
+    """The same evaluation written in Spark SQL with the registered SQL functions."""
+    from ..functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    r = ratings.prepare_ratings_first(T.interactions(spark, d))
+    r.createOrReplaceTempView("recolake_ratings")
+    T.user_factors(spark, d).createOrReplaceTempView("recolake_user_factors")
+    T.item_factors(spark, d).createOrReplaceTempView("recolake_item_factors")
+    return spark.sql("""
+        select sqrt(avg(pow(vec_dot(u.features, i.features) - r.rating, 2))) as rmse,
+               avg(abs(vec_dot(u.features, i.features) - r.rating)) as mae,
+               avg(vec_cosine(u.features, i.features)) as mean_cosine, count(*) as n
+        from recolake_ratings r
+        join recolake_user_factors u on u.user_id = r.user_id
+        join recolake_item_factors i on i.item_id = r.item_id""")

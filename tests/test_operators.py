@@ -349,3 +349,41 @@ def test_rate_limit_hot_key_matches_brute_force(spark):
                 adm = live + [x]
     assert got == want
     assert sum(got.values()) < 0.1 * len(rows)
+
+
+def test_sql_functions(spark):
+    from recolake.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    r = spark.sql("""select format_bytes(16476) as f, word_tokens('Red-Ring 42x') as t,
+                            vec_cosine(array(cast(3 as float), 4), array(cast(6 as float), 8)) as c,
+                            vec_logistic_dot(array(cast(1 as float)), array()) as l""").first()
+    assert r.f == "16.09 KB" and r.t == ["red", "ring", "42x"] and r.c == pytest.approx(1.0) and r.l == 0.0
+
+
+def test_jobs_end_to_end(spark):
+    """M13 -> M12 -> search docs -> recommendations on hand-made JSON lines."""
+    import random
+    from recolake.plans import jobs
+    d = tempfile.mkdtemp(prefix="recolake-jobs-")
+    rnd = random.Random(5)
+    with open(os.path.join(d, "reviews.jsonl"), "w") as f:
+        for u in range(30):
+            for a in rnd.sample(range(20), 8):
+                f.write(json.dumps({"rating": float(1 + (u * a) % 5), "asin": f"A{a}", "parent_asin": f"A{a}",
+                                    "user_id": f"U{u}", "timestamp": 1700000000000 + u * 1000 + a}) + "\n")
+    with open(os.path.join(d, "meta.jsonl"), "w") as f:
+        for a in range(20):
+            f.write(json.dumps({"parent_asin": f"A{a}", "title": f"item {a}", "main_category": "All Beauty",
+                                "average_rating": 3.5, "rating_number": a,
+                                "images": [{"thumb": "t", "large": None}]}) + "\n")
+    counts = jobs.process_all(spark, os.path.join(d, "reviews.jsonl"), os.path.join(d, "meta.jsonl"),
+                              os.path.join(d, "data"))
+    assert counts["reviews"] == 240 and counts["products"] == 20 and counts["user_dim"] == 30
+    m = jobs.train_and_save(spark, os.path.join(d, "data"), os.path.join(d, "model"), max_iter=3, rank=4)
+    assert m["rmse"] > 0 and m["item_vectors"] > 0
+    n = jobs.build_search_docs(spark, os.path.join(d, "data"), os.path.join(d, "model"), os.path.join(d, "docs"))
+    assert n == 20
+    users = spark.createDataFrame([("U1",), ("nobody",)], "user_id string")
+    recs = jobs.recommend_job(spark, users, os.path.join(d, "data"), os.path.join(d, "model"), 5).collect()
+    assert {r.user_id for r in recs} == {"U1", "nobody"}
+    assert {r.source for r in recs if r.user_id == "nobody"} <= {"hybrid", "popular_pad"}
