@@ -40,6 +40,14 @@ def q_stream_user_views(spark, d):
     return out.select("user_id", ts_text("session_start").alias("session_start"), "rank", "event_id", "item_id")
 
 
+@register("stream_search_sessions", "ST7,A14", REGISTRY["search_sessions"].oracle)
+def q_stream_search_sessions(spark, d):
+    ev = S.file_events(spark, d).filter(F.col("event_type") == "search")
+    p = T.read(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.lower("p_name").alias("query"))
+    out = S.global_idle_reset_counts(ev.join(p, "item_id"), "query", QA.SEARCH_TTL, "search_sessions")
+    return out.select(ts_text("session_start").alias("session_start"), "query", "n")
+
+
 @register("stream_rate_limit_admission", "ST8,ST9", REGISTRY["rate_limit_admission"].oracle)
 def q_stream_rate_limit(spark, d):
     ev = S.file_events(spark, d).filter(F.col("event_type").isin("search", "product_view"))

@@ -17,7 +17,7 @@ import uuid
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,6 +228,77 @@ def recent_lists(events: DataFrame, key: str, ttl_seconds: int, n: int = 100) ->
                       "rank", "event_id", "item_id")
 
 
+def global_idle_reset_counts(stream: DataFrame, member: str, ttl_seconds: int, name: str) -> DataFrame:
+    """ST7 (and ST6-style global state) without a single hot key: one global
+    counter set (e.g. search popularity) that resets after ``ttl_seconds`` idle.
+
+    Each micro-batch is merged in ``foreachBatch`` with distributed batch
+    operators: the batch rows plus an anchor row for the previous last event
+    are sessionised with the bucketed session operator, counts are
+    pre-aggregated per (bucket, member), the continuing session adds the stored
+    counts, closed sessions are appended to the output table and the open one
+    becomes the new state table (bounded by the distinct members of one
+    session). Returns the final (session_start, member, n) table after an
+    availableNow run.
+    """
+    from ..operators.activity import bucket_sessions
+    spark = stream.sparkSession
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    out_path = os.path.join(base, "closed")
+    ttl_us = int(ttl_seconds) * 1_000_000
+    versions: list[str] = []
+    closed_written: list[bool] = []   # the checkpoint dir may be a URI: track writes, not os.path
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select(F.col("ts"), F.col(member).alias("member")).filter(F.col("ts").isNotNull())
+        prev = spark.read.parquet(versions[-1]) if versions else None
+        anchor = None
+        if prev is not None:
+            head = prev.agg(F.max("session_start_us").alias("s"), F.max("last_us").alias("l")).first()
+            anchor = (head["s"], head["l"])
+            rows_all = rows.select("ts").unionByName(
+                spark.range(1).select(F.timestamp_micros(F.lit(anchor[1])).alias("ts")))
+        else:
+            rows_all = rows.select("ts")
+        sess = bucket_sessions(rows_all, [], "ts", ttl_seconds)
+        pre = (rows.withColumn("_b", F.floor(F.unix_micros("ts") / ttl_us))
+               .groupBy("_b", "member").agg(F.count(F.lit(1)).alias("n"),
+                                            F.max(F.unix_micros("ts")).alias("last_us")))
+        counts = pre.join(sess, "_b").select("session_start_us", "member", "n", "last_us")
+        if anchor is not None:
+            # the session holding the previous last event continues the stored session
+            cont = sess.filter(F.col("_b") == F.floor(F.lit(anchor[1]) / ttl_us)).select("session_start_us")
+            cont_start = cont.agg(F.max("session_start_us")).scalar()
+            counts = counts.withColumn("session_start_us", F.when(
+                F.col("session_start_us") == cont_start, F.least(F.lit(anchor[0]), F.col("session_start_us")))
+                .otherwise(F.col("session_start_us")))
+            counts = counts.unionByName(prev.select("session_start_us", "member", "n", "last_us"))
+        merged = (counts.groupBy("session_start_us", "member")
+                  .agg(F.sum("n").cast("bigint").alias("n"), F.max("last_us").alias("last_us")))
+        newest = merged.agg(F.max("session_start_us")).scalar()
+        merged = merged.withColumn("_open", F.col("session_start_us") == newest)
+        merged.filter(~F.col("_open")).drop("_open", "last_us").write.mode("append").parquet(out_path)
+        closed_written.append(True)
+        state = os.path.join(base, f"state-{epoch}")
+        (merged.filter("_open").drop("_open")
+         .withColumn("last_us", F.max("last_us").over(Window.partitionBy("session_start_us")))
+         .write.mode("overwrite").parquet(state))
+        versions.append(state)
+
+    q = (stream.writeStream.foreachBatch(merge)
+         .option("checkpointLocation", os.path.join(base, "checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    parts = [spark.read.parquet(versions[-1]).drop("last_us")] if versions else []
+    if closed_written:
+        parts.append(spark.read.parquet(out_path))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res.select(F.timestamp_micros("session_start_us").alias("session_start"),
+                      F.col("member").alias(member), "n")
+
+
 def run_available_now(stream: DataFrame, name: str, mode: str = "complete",
                       keys: list[str] | None = None) -> DataFrame:
     """Run a streaming query over everything available, then return its result

@@ -387,3 +387,21 @@ def test_jobs_end_to_end(spark):
     recs = jobs.recommend_job(spark, users, os.path.join(d, "data"), os.path.join(d, "model"), 5).collect()
     assert {r.user_id for r in recs} == {"U1", "nobody"}
     assert {r.source for r in recs if r.user_id == "nobody"} <= {"hybrid", "popular_pad"}
+
+
+def test_stream_global_counts_across_batches_equal_batch(spark):
+    """ST7: three micro-batches (a session continues across batches, then an idle gap) = batch twin."""
+    import uuid
+    from recolake.session import ensure_checkpoint_dir
+    from recolake.streaming import activity as S
+    base = os.path.join(ensure_checkpoint_dir(spark), f"st7-{uuid.uuid4().hex[:8]}")
+    schema = "ts timestamp, query string"
+    parts = [[(ts(0), "a"), (ts(50), "b")], [(ts(90), "a"), (ts(150), "a")], [(ts(400), "b"), (ts(420), "a")]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(base, "in", f"f{i}"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(os.path.join(base, "in")))
+    got = {(r.session_start, r.query, r.n) for r in S.global_idle_reset_counts(stream, "query", 100, "t").collect()}
+    allrows = spark.createDataFrame([r for p in parts for r in p], schema)
+    want = {(r.session_start, r.query, r.n) for r in activity.session_counts(allrows, [], "query", "ts", 100).collect()}
+    assert got == want == {(ts(0), "a", 3), (ts(0), "b", 1), (ts(400), "b", 1), (ts(400), "a", 1)}
