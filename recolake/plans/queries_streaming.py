@@ -48,6 +48,14 @@ def q_stream_search_sessions(spark, d):
     return out.select(ts_text("session_start").alias("session_start"), "query", "n")
 
 
+@register("stream_global_view_sessions", "ST6,W4", REGISTRY["global_view_sessions"].oracle)
+def q_stream_global_views(spark, d):
+    ev = (S.file_events(spark, d).filter(F.col("event_type") == "product_view")
+          .select("event_id", "user_id", "item_id", "ts"))
+    out = S.global_recent_list(ev, 100, QA.GLOBAL_TTL, "global_recent")
+    return out.select(ts_text("session_start").alias("session_start"), "rank", "event_id", "item_id", "user_id")
+
+
 @register("stream_rate_limit_admission", "ST8,ST9", REGISTRY["rate_limit_admission"].oracle)
 def q_stream_rate_limit(spark, d):
     ev = S.file_events(spark, d).filter(F.col("event_type").isin("search", "product_view"))

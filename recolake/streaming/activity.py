@@ -268,15 +268,15 @@ def global_idle_reset_counts(stream: DataFrame, member: str, ttl_seconds: int, n
         if anchor is not None:
             # the session holding the previous last event continues the stored session
             cont = sess.filter(F.col("_b") == F.floor(F.lit(anchor[1]) / ttl_us)).select("session_start_us")
-            cont_start = cont.agg(F.max("session_start_us")).scalar()
+            cont_start = F.lit(cont.agg(F.max("session_start_us")).first()[0])  # one value
             counts = counts.withColumn("session_start_us", F.when(
                 F.col("session_start_us") == cont_start, F.least(F.lit(anchor[0]), F.col("session_start_us")))
                 .otherwise(F.col("session_start_us")))
             counts = counts.unionByName(prev.select("session_start_us", "member", "n", "last_us"))
         merged = (counts.groupBy("session_start_us", "member")
                   .agg(F.sum("n").cast("bigint").alias("n"), F.max("last_us").alias("last_us")))
-        newest = merged.agg(F.max("session_start_us")).scalar()
-        merged = merged.withColumn("_open", F.col("session_start_us") == newest)
+        newest = merged.agg(F.max("session_start_us")).first()[0]
+        merged = merged.withColumn("_open", F.col("session_start_us") == F.lit(newest))
         merged.filter(~F.col("_open")).drop("_open", "last_us").write.mode("append").parquet(out_path)
         closed_written.append(True)
         state = os.path.join(base, f"state-{epoch}")
@@ -299,6 +299,67 @@ def global_idle_reset_counts(stream: DataFrame, member: str, ttl_seconds: int, n
                       F.col("member").alias(member), "n")
 
 
+def global_recent_list(stream: DataFrame, n: int, ttl_seconds: int, name: str,
+                       order_col: str = "event_id") -> DataFrame:
+    """ST6: one global newest-``n`` list that resets after ``ttl_seconds`` idle,
+    merged per micro-batch without a hot key: the batch's rows are sessionised
+    with the bucketed operator (plus an anchor for the previous last event),
+    cut to the newest n per session with a partial ``WindowGroupLimit``, and
+    merged with the stored list of the continuing session. Closed sessions'
+    lists are appended to the output, the open session's list is the state
+    (n rows). Returns (session_start, rank, event columns...)."""
+    from ..operators.activity import bucket_sessions
+    from ..operators.popular import top_k_per_key
+    spark = stream.sparkSession
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    out_path = os.path.join(base, "closed")
+    ttl_us = int(ttl_seconds) * 1_000_000
+    versions: list[str] = []
+    closed_written: list[bool] = []
+    cols = [c for c in stream.columns]
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select(*cols).filter(F.col("ts").isNotNull()).withColumn("_us", F.unix_micros("ts"))
+        prev = spark.read.parquet(versions[-1]) if versions else None
+        stamps = rows.select("ts")
+        anchor = None
+        if prev is not None:
+            head = prev.agg(F.max("session_start_us").alias("s"), F.max("_us").alias("l")).first()
+            anchor = (head["s"], head["l"])
+            stamps = stamps.unionByName(spark.range(1).select(F.timestamp_micros(F.lit(anchor[1])).alias("ts")))
+        sess = bucket_sessions(stamps, [], "ts", ttl_seconds)
+        tagged = rows.withColumn("_b", F.floor(F.col("_us") / ttl_us)).join(sess, "_b").drop("_b")
+        if anchor is not None:
+            # single values, fetched as such (one row each)
+            cont = sess.filter(F.col("_b") == F.floor(F.lit(anchor[1]) / ttl_us)).agg(
+                F.max("session_start_us")).first()[0]
+            tagged = tagged.withColumn("session_start_us", F.when(
+                F.col("session_start_us") == F.lit(cont), F.least(F.lit(anchor[0]), F.col("session_start_us")))
+                .otherwise(F.col("session_start_us")))
+            tagged = tagged.unionByName(prev.drop("rank"))
+        top = top_k_per_key(tagged, ["session_start_us"], [F.col("_us").desc(), F.col(order_col).desc()], n)
+        newest = tagged.agg(F.max("session_start_us")).first()[0]
+        top = top.withColumn("_open", F.col("session_start_us") == newest)
+        top.filter(~F.col("_open")).drop("_open").write.mode("append").parquet(out_path)
+        closed_written.append(True)
+        state = os.path.join(base, f"state-{epoch}")
+        top.filter("_open").drop("_open").write.mode("overwrite").parquet(state)
+        versions.append(state)
+
+    q = (stream.writeStream.foreachBatch(merge)
+         .option("checkpointLocation", os.path.join(base, "checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    parts = [spark.read.parquet(versions[-1])] if versions else []
+    if closed_written:
+        parts.append(spark.read.parquet(out_path))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res.select(F.timestamp_micros("session_start_us").alias("session_start"), "rank",
+                      *[c for c in cols if c != "ts"], "ts")
+
+
 def run_available_now(stream: DataFrame, name: str, mode: str = "complete",
                       keys: list[str] | None = None) -> DataFrame:
     """Run a streaming query over everything available, then return its result

@@ -405,3 +405,23 @@ def test_stream_global_counts_across_batches_equal_batch(spark):
     allrows = spark.createDataFrame([r for p in parts for r in p], schema)
     want = {(r.session_start, r.query, r.n) for r in activity.session_counts(allrows, [], "query", "ts", 100).collect()}
     assert got == want == {(ts(0), "a", 3), (ts(0), "b", 1), (ts(400), "b", 1), (ts(400), "a", 1)}
+
+
+def test_stream_global_recent_list_across_batches(spark):
+    """ST6: newest-2 list with a 100 s idle reset over three micro-batches = batch twin."""
+    import uuid
+    from recolake.session import ensure_checkpoint_dir
+    from recolake.streaming import activity as S
+    base = os.path.join(ensure_checkpoint_dir(spark), f"st6-{uuid.uuid4().hex[:8]}")
+    schema = "event_id bigint, item_id bigint, ts timestamp"
+    parts = [[(1, 10, ts(0)), (2, 11, ts(50))], [(3, 12, ts(90)), (4, 13, ts(150))], [(5, 14, ts(400))]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(base, "in", f"f{i}"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(os.path.join(base, "in")))
+    got = {(r.session_start, r.rank, r.event_id) for r in S.global_recent_list(stream, 2, 100, "t").collect()}
+    allrows = spark.createDataFrame([r for p in parts for r in p], schema)
+    s = activity.with_session(allrows, [], "ts", 100)
+    want = {(r.session_start, r.rank, r.event_id) for r in popular.top_k_per_key(
+        s, ["session_start"], [F.col("ts").desc(), F.col("event_id").desc()], 2).collect()}
+    assert got == want == {(ts(0), 1, 4), (ts(0), 2, 3), (ts(400), 1, 5)}
