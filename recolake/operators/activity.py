@@ -76,15 +76,25 @@ def trailing_counts(df: DataFrame, keys: list[str], ts_col: str, window_seconds:
                     out: str = "trailing_count") -> DataFrame:
     """Per row, rows of the same key in (t - window, t] (ties at t included).
 
-    Window partitions are (key, window-wide time bucket); rows of the previous
-    bucket are added as context rows, because the frame never reaches further.
-    A hot key is thus spread over its buckets instead of one partition.
+    Skew-proof formulation: count(t - w, t] = P(t) - P(t - w) where P is a
+    running count in (key, time) order. Rows are first combined per (key, ts);
+    every distinct (key, ts) also gets a probe at ts - w. One global prefix sum
+    over (key, ts, row-before-probe) gives both values - range partitioning
+    splits a hot key (or one burst) across tasks - and the counts are joined
+    back on (key, ts).
     """
     w_us = int(window_seconds) * _US
-    base = (df.withColumn("_us", F.unix_micros(F.col(ts_col)))
-            .withColumn("_b", F.floor(F.col("_us") / w_us)).withColumn("_ctx", F.lit(False)))
-    ctx = base.withColumn("_b", F.col("_b") + 1).withColumn("_ctx", F.lit(True))
-    both = base.unionByName(ctx)
-    win = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(-(w_us - 1), 0)
-    return (both.withColumn(out, F.count(F.lit(1)).over(win))
-            .filter(~F.col("_ctx")).drop("_us", "_b", "_ctx"))
+    from .encode import prefix_sum
+    pts = (df.select(*keys, F.unix_micros(F.col(ts_col)).alias("_us"))
+           .groupBy(*keys, "_us").agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    rows = pts.select(*keys, "_us", "_n", F.lit(0).alias("_kind"), F.col("_us").alias("_t"))
+    probes = pts.select(*keys, (F.col("_us") - w_us).alias("_us"), F.lit(0.0).alias("_n"),
+                        F.lit(1).alias("_kind"), F.col("_us").alias("_t"))
+    cum = prefix_sum(rows.unionByName(probes), [*[F.col(k) for k in keys], F.col("_us"), F.col("_kind")],
+                     "_n", "_p")
+    hi = cum.filter(F.col("_kind") == 0).select(*keys, F.col("_t"), F.col("_p").alias("_hi"))
+    lo = cum.filter(F.col("_kind") == 1).select(*keys, F.col("_t"), F.col("_p").alias("_lo"))
+    counts = (hi.join(lo, [*keys, "_t"])
+              .select(*keys, F.col("_t").alias("_us"), F.round(F.col("_hi") - F.col("_lo")).cast("bigint").alias(out)))
+    return (df.withColumn("_us", F.unix_micros(F.col(ts_col))).join(counts, [*keys, "_us"], "left")
+            .drop("_us"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _POS_MASK = (1 << 33) - 1
 
@@ -41,6 +42,34 @@ def row_positions(df: DataFrame, order: list, pos_col: str = "position",
             .withColumn(pos_col, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off"))
 
 
+def prefix_sum(df: DataFrame, order: list, value_col: str, out_col: str = "cum") -> DataFrame:
+    """Inclusive running sum of ``value_col`` in a global order, computed in
+    parallel: range-partitioned sort (a hot key's rows are split across
+    partitions by the later sort columns), reliable checkpoint, per-partition
+    local cumulative sums (Arrow batches), then per-partition offsets - one row
+    per partition, the only broadcast."""
+    import numpy as np
+    import pandas as pd
+
+    ordered = df.orderBy(*order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    schema = T.StructType(list(ordered.schema.fields) + [T.StructField(out_col, T.DoubleType())])
+
+    def local(batches):
+        run = 0.0
+        for pdf in batches:
+            c = np.cumsum(pdf[value_col].fillna(0).to_numpy(dtype=np.float64)) + run
+            if len(c):
+                run = float(c[-1])
+            yield pdf.assign(**{out_col: c})
+
+    loc = ordered.mapInPandas(local, schema)
+    totals = ordered.groupBy("_pid").agg(F.sum(value_col).cast("double").alias("_t"))
+    offsets = totals.select("_pid", (F.coalesce(F.sum("_t").over(Window.orderBy("_pid")), F.lit(0.0))
+                                     - F.coalesce(F.col("_t"), F.lit(0.0))).alias("_off"))
+    return (loc.join(F.broadcast(offsets), "_pid")
+            .withColumn(out_col, F.col(out_col) + F.col("_off")).drop("_pid", "_off"))
+
+
 def dense_index(values: DataFrame, label_col: str, idx_col: str = "idx",
                 count_col: str = "n", checkpoint: bool = True) -> DataFrame:
     """(label, n, idx): idx 0.. by frequency desc, then label asc (StringIndexer order)."""

@@ -425,3 +425,21 @@ def test_stream_global_recent_list_across_batches(spark):
     want = {(r.session_start, r.rank, r.event_id) for r in popular.top_k_per_key(
         s, ["session_start"], [F.col("ts").desc(), F.col("event_id").desc()], 2).collect()}
     assert got == want == {(ts(0), 1, 4), (ts(0), 2, 3), (ts(400), 1, 5)}
+
+
+def test_trailing_counts_hot_burst_and_prefix_sum(spark):
+    """A burst of one key inside one window (the case a per-(key, bucket) window
+    partition cannot split) equals brute force; prefix sums cross partitions."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    t = rng.integers(0, 600, 3000)
+    rows = [(i, "hot" if i % 7 else "x", ts(int(x))) for i, x in enumerate(t)]
+    df = spark.createDataFrame(rows, "id bigint, k string, ts timestamp").repartition(6)
+    got = {r.id: r.trailing_count for r in activity.trailing_counts(df, ["k"], "ts", 120).collect()}
+    by = {}
+    for i, k, x in rows:
+        by.setdefault(k, []).append(x)
+    want = {i: sum(1 for y in by[k] if x - dt.timedelta(seconds=120) < y <= x) for i, k, x in rows}
+    assert got == want
+    ps = encode.prefix_sum(spark.range(0, 5000, 1, 9).withColumn("v", F.lit(2.0)), [F.col("id")], "v", "c")
+    assert ps.filter(F.col("c") != (F.col("id") + 1) * 2).count() == 0
