@@ -80,7 +80,7 @@ def q_fuzzy_terms(spark, d):
 
 
 @register("regex_search", "T4,P10", """
-    select query, rank, item_id, 1.0 as score from
+    select query, rank, item_id, cast(1.0 as double) as score from
       (select q.query, d.item_id, row_number() over (partition by q.query order by d.item_id) as rank
        from v_search_queries q join v_items d on regexp_matches(d.title, q.query, 'i'))
     where rank <= 10""")

@@ -373,7 +373,7 @@ def test_jobs_end_to_end(spark):
                                     "user_id": f"U{u}", "timestamp": 1700000000000 + u * 1000 + a}) + "\n")
     with open(os.path.join(d, "meta.jsonl"), "w") as f:
         for a in range(20):
-            f.write(json.dumps({"parent_asin": f"A{a}", "title": f"item {a}", "main_category": "All Beauty",
+            f.write(json.dumps({"parent_asin": f"A{a}", "title": f"item {a}", "main_category": "PROMO",
                                 "average_rating": 3.5, "rating_number": a,
                                 "images": [{"thumb": "t", "large": None}]}) + "\n")
     counts = jobs.process_all(spark, os.path.join(d, "reviews.jsonl"), os.path.join(d, "meta.jsonl"),
