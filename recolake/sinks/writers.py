@@ -64,3 +64,16 @@ def write_first_labels(dim: DataFrame, path: str, k: int = 1000, label_col: str
     label_col = label_col or dim.columns[0]
     (dim.filter(F.col("idx") < k).orderBy("idx").select(F.col(label_col).cast("string"))
      .write.mode("overwrite").text(path))
+
+
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int,
+                   sort: bool = True, path: str | None = None) -> None:
+    """Persist a fact bucketed (and sorted) by its join/group keys, e.g. the
+    interactions by ``user_id``: later joins and per-key aggregations between
+    tables bucketed the same way read co-located buckets without a shuffle."""
+    w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys)
+    if sort:
+        w = w.sortBy(*keys)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)

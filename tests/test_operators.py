@@ -443,3 +443,23 @@ def test_trailing_counts_hot_burst_and_prefix_sum(spark):
     assert got == want
     ps = encode.prefix_sum(spark.range(0, 5000, 1, 9).withColumn("v", F.lit(2.0)), [F.col("id")], "v", "c")
     assert ps.filter(F.col("c") != (F.col("id") + 1) * 2).count() == 0
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    import uuid
+    from recolake.session import ensure_checkpoint_dir
+    from recolake.sinks import writers
+    base = os.path.join(ensure_checkpoint_dir(spark), f"bucketed-{uuid.uuid4().hex[:8]}")
+    a = spark.range(0, 1000).select((F.col("id") % 50).alias("user_id"), F.col("id").alias("x"))
+    b = spark.range(0, 50).select(F.col("id").alias("user_id"), (F.col("id") * 2).alias("y"))
+    suffix = uuid.uuid4().hex[:6]
+    writers.write_bucketed(a, f"fact_{suffix}", ["user_id"], 4, path=os.path.join(base, "a"))
+    writers.write_bucketed(b, f"dim_{suffix}", ["user_id"], 4, path=os.path.join(base, "b"))
+    with_bc = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table(f"fact_{suffix}").join(spark.table(f"dim_{suffix}"), "user_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and j.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_bc)
