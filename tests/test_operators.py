@@ -463,3 +463,43 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert "Exchange" not in plan and j.count() == 1000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_bc)
+
+
+def test_sinks_and_metrics_roundtrip(spark):
+    import uuid
+    from recolake.session import ensure_checkpoint_dir
+    from recolake.sinks import writers
+    from recolake.sources import files
+    base = os.path.join(ensure_checkpoint_dir(spark), f"sinks-{uuid.uuid4().hex[:8]}")
+    vec = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "item_id bigint, model_factor array<float>")
+    writers.export_vectors_json(vec, os.path.join(base, "vec_json"))                       # K4
+    assert {r.asin for r in spark.read.json(os.path.join(base, "vec_json")).collect()} == {1, 2}
+    assert writers.append_table(vec, os.path.join(base, "app")) == 2                        # K2
+    assert writers.append_table(vec, os.path.join(base, "app")) == 2
+    assert spark.read.parquet(os.path.join(base, "app")).count() == 4
+    writers.write_vector_index(vec, os.path.join(base, "vidx"), buckets=4)                  # K7
+    assert spark.read.parquet(os.path.join(base, "vidx")).select("bucket").distinct().count() >= 1
+    dim = spark.createDataFrame([("u2", 1), ("u1", 0), ("u3", 2)], "user_id string, idx bigint")
+    writers.export_dimension(dim, os.path.join(base, "dim"))                                # K5
+    writers.write_first_labels(dim, os.path.join(base, "first"), 2)                         # K11
+    assert sorted(r.value for r in spark.read.text(os.path.join(base, "first")).collect()) == ["u1", "u2"]
+    writers.write_metrics(spark, {"rmse": 0.5, "mae": 0.1, "model_version": "v1", "rank": 25,
+                                  "max_iter": 10, "reg_param": 0.01}, os.path.join(base, "metrics"))  # K9
+    m = files.load_metrics(spark, os.path.join(base, "metrics")).first()                    # S9
+    assert (m.rmse, m.rank, m.model_version) == (0.5, 25, "v1")
+
+
+def test_exclude_seen_and_dispatch(spark):
+    req, inter, uf, itf, items = _reco_fixture(spark)
+    seen = spark.createDataFrame([(1, 12), (1, 11)], "user_id bigint, item_id bigint")
+    r = cf.collaborative_recommendations(req, inter, uf, itf, items, 3, exclude_seen=seen)
+    u1 = [x.item_id for x in sorted([x for x in r.collect() if x.user_id == 1], key=lambda x: x.rank)]
+    assert u1 == [10, 9, 8]
+    assert hybrid.recommend(req, "other", inter, uf, itf, items, 3).count() == 0
+    assert hybrid.recommend(req, "cf", inter, uf, itf, items, 3).filter("user_id = 1").count() == 3
+
+
+def test_stable_query_hash(spark):
+    a = spark.createDataFrame([("hair spray",)], "q string").select(TX.stable_hash("q")).first()[0]
+    b = spark.createDataFrame([("hair spray",)], "q string").repartition(3).select(TX.stable_hash("q")).first()[0]
+    assert a == b and isinstance(a, int)
