@@ -41,17 +41,27 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, group_col: str | None, blo
         sized = df.join(sizes.select(group_col, nblk.alias(f"{prefix}nblk")), group_col)
         keys = [group_col]
     blk = F.pmod(F.xxhash64(F.col(id_col)), F.col(f"{prefix}nblk"))
-    return (sized.withColumn(f"{prefix}blk", blk)
-            .groupBy(*keys, f"{prefix}blk", f"{prefix}nblk")
-            .agg(F.collect_list(F.col(id_col)).alias(f"{prefix}ids"),
-                 F.collect_list(F.col(vec_col).cast("array<double>")).alias(f"{prefix}vecs")))
+    fields = [F.col(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v")]
+    if "_k" in df.columns:  # per-row k travels with its row
+        fields.append(F.col("_k").alias("k"))
+    grouped = (sized.withColumn(f"{prefix}blk", blk)
+               .groupBy(*keys, f"{prefix}blk", f"{prefix}nblk")
+               .agg(F.collect_list(F.struct(*fields)).alias("_m")))
+    # one list of structs, split into aligned arrays
+    out = [*keys, f"{prefix}blk", f"{prefix}nblk",
+           F.transform("_m", lambda m: m["i"]).alias(f"{prefix}ids"),
+           F.transform("_m", lambda m: m["v"]).alias(f"{prefix}vecs")]
+    if "_k" in df.columns:
+        out.append(F.transform("_m", lambda m: m["k"]).alias(f"{prefix}ks"))
+    return grouped.select(*out)
 
 
 def _kernel(metric: str, k: int, exclude_self: bool):
     def run(batches):
         for pdf in batches:
             out_q, out_c, out_s = [], [], []
-            for qids, qvecs, cids, cvecs in zip(pdf["qids"], pdf["qvecs"], pdf["cids"], pdf["cvecs"]):
+            qks_col = pdf["qks"] if "qks" in pdf.columns else [None] * len(pdf)
+            for qids, qvecs, cids, cvecs, qks in zip(pdf["qids"], pdf["qvecs"], pdf["cids"], pdf["cvecs"], qks_col):
                 qi = np.asarray(qids)
                 ci = np.asarray(cids)
                 qm = np.vstack(qvecs).astype(np.float64)
@@ -64,8 +74,8 @@ def _kernel(metric: str, k: int, exclude_self: bool):
                 if exclude_self:
                     s = np.where(qi[:, None] == ci[None, :], -np.inf, s)
                 key = np.round(s, 9)
-                kk = min(k, len(ci))
                 for r in range(len(qi)):
+                    kk = min(int(qks[r]) if qks is not None else k, len(ci))
                     order = np.lexsort((ci, -key[r]))[:kk]
                     order = order[np.isfinite(s[r, order])]
                     out_q.append(np.full(len(order), qi[r], dtype=qi.dtype))
@@ -80,14 +90,19 @@ def _kernel(metric: str, k: int, exclude_self: bool):
 def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
                   q_id: str, q_vec: str, c_id: str, c_vec: str,
                   group_col: str | None = None, metric: str = "cosine",
-                  exclude_self: bool = False, block_size: int = 512) -> DataFrame:
+                  exclude_self: bool = False, block_size: int = 512,
+                  k_col: str | None = None) -> DataFrame:
     """(qid, cid, score, rank): exact top-k candidates per query.
 
+    ``k_col`` (a column of ``queries``) gives each query its own k; ``k`` is
+    then ignored and the final ranking keeps rank <= that query's k.
+
     ``metric``: 'cosine' (cosine + 1) or 'logistic' (sigmoid of dot) or 'dot'.
     Rows with a null/empty vector must be filtered by the caller.
     """
     gcols = [group_col] if group_col else []
-    q = queries.select(F.col(q_id).alias("id"), F.col(q_vec).alias("vec"), *gcols)
+    q = queries.select(F.col(q_id).alias("id"), F.col(q_vec).alias("vec"), *gcols,
+                       *([F.col(k_col).cast("bigint").alias("_k")] if k_col else []))
     c = candidates.select(F.col(c_id).alias("id"), F.col(c_vec).alias("vec"), *gcols)
     if metric == "cosine":
         q = q.withColumn("vec", _unit("vec"))
@@ -104,10 +119,18 @@ def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
         qx = qb
         nb = cb.agg(F.max("cnblk")).scalar()
     qx = qx.withColumn("cblk", F.explode(F.sequence(F.lit(0).cast("bigint"), nb - 1)))
-    pairs = qx.join(cb.drop("cnblk"), [*gcols, "cblk"]).select("qids", "qvecs", "cids", "cvecs")
+    pairs = qx.join(cb.drop("cnblk"), [*gcols, "cblk"]).select(
+        "qids", "qvecs", "cids", "cvecs", *(["qks"] if k_col else []))
     # ids keep their type (integer or string labels)
     schema = f"qid {dict(q.dtypes)['id']}, cid {dict(c.dtypes)['id']}, score double"
     scored = pairs.mapInPandas(_kernel(metric, k, exclude_self), schema)
+    if k_col:
+        kq = q.select(F.col("id").alias("qid"), F.col("_k"))
+        order = [F.round("score", 9).desc(), F.col("cid")]
+        from pyspark.sql import Window
+        w = Window.partitionBy("qid").orderBy(*order)
+        return (scored.join(kq, "qid").withColumn("rank", F.row_number().over(w).cast("bigint"))
+                .filter(F.col("rank") <= F.col("_k")).drop("_k"))
     ranked = top_k_per_key(scored, ["qid"], [F.round("score", 9).desc(), F.col("cid")], k)
     return ranked
 
