@@ -6,8 +6,10 @@ Exact top-k similarity is a blocked matrix product:
   (group, block) where block = hash(id) mod ceil(group size / block_size);
   a hot group becomes many blocks, never one huge row;
 * every query block meets every candidate block of its group through an
-  *equi* join on (group, candidate block) (the query block is replicated
-  once per candidate block of its group - no cross join, no pair rows);
+  *equi* join on (group, candidate block, salt) (the query block is replicated
+  once per candidate block of its group, a candidate block once per salt
+  value so that few candidate blocks still spread over many tasks - no cross
+  join, no pair rows);
 * a vectorised kernel (numpy matmul inside ``mapInPandas``) scores the
   block pair and emits only the k best candidates per query;
 * the final ``row_number() <= k`` per query is planned with a partial
@@ -119,7 +121,15 @@ def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
         qx = qb
         nb = cb.agg(F.max("cnblk")).scalar()
     qx = qx.withColumn("cblk", F.explode(F.sequence(F.lit(0).cast("bigint"), nb - 1)))
-    pairs = qx.join(cb.drop("cnblk"), [*gcols, "cblk"]).select(
+    # few candidate blocks would leave few join partitions busy: salt the join by
+    # query block and replicate each candidate block ``salt`` times so the block
+    # pairs spread over at least the configured shuffle partitions
+    spark = queries.sparkSession
+    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = max(1, -(-target // max(1, cb.count())))
+    qx = qx.withColumn("_salt", F.pmod(F.col("qblk"), F.lit(salt)))
+    cbs = cb.drop("cnblk").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1))))
+    pairs = qx.join(cbs, [*gcols, "cblk", "_salt"]).select(
         "qids", "qvecs", "cids", "cvecs", *(["qks"] if k_col else []))
     # ids keep their type (integer or string labels)
     schema = f"qid {dict(q.dtypes)['id']}, cid {dict(c.dtypes)['id']}, score double"
