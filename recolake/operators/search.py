@@ -134,8 +134,9 @@ def search(docs: DataFrame, queries: DataFrame, num: int = 10,
 
 def regex_search(docs: DataFrame, queries: DataFrame, num: int = 10,
                  max_queries: int = 10_000) -> DataFrame:
-    """T4/P10: case-insensitive regex of each query over title, any description
-    element or any features element; first num matches by item id, score 1.0.
+    """T4/P10: case-insensitive match of each query (quoted: literal text) over
+    title, any description element or any features element; first num matches
+    by item id, score 1.0.
 
     Patterns have no join key. The query table is cut into passes of at most
     ``max_queries`` patterns (a checked bound); each pass's patterns travel as
@@ -149,7 +150,9 @@ def regex_search(docs: DataFrame, queries: DataFrame, num: int = 10,
     d = docs.select("item_id", "title", *arrays)
 
     def hit(p):
-        rx = F.concat(F.lit("(?i)"), p)
+        # the query is matched as literal text (quoted), case-insensitively, so
+        # metacharacters in user input cannot make the job fail
+        rx = F.concat(F.lit("(?i)\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
         c = F.coalesce(F.rlike(F.col("title"), rx), F.lit(False))
         for arr in arrays:
             c = c | F.coalesce(F.exists(F.col(arr), lambda x: F.rlike(x, rx)), F.lit(False))

@@ -82,7 +82,8 @@ def q_fuzzy_terms(spark, d):
 @register("regex_search", "T4,P10", """
     select query, rank, item_id, cast(1.0 as double) as score from
       (select q.query, d.item_id, row_number() over (partition by q.query order by d.item_id) as rank
-       from v_search_queries q join v_items d on regexp_matches(d.title, q.query, 'i'))
+       from v_search_queries q join v_items d
+         on regexp_matches(d.title, '\Q' || replace(q.query, '\E', '\E\\E\Q') || '\E', 'i'))
     where rank <= 10""")
 def q_regex_search(spark, d):
     return S.regex_search(T.products(spark, d), T.search_queries(spark, d), 10)

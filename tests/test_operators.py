@@ -503,3 +503,10 @@ def test_stable_query_hash(spark):
     a = spark.createDataFrame([("hair spray",)], "q string").select(TX.stable_hash("q")).first()[0]
     b = spark.createDataFrame([("hair spray",)], "q string").repartition(3).select(TX.stable_hash("q")).first()[0]
     assert a == b and isinstance(a, int)
+
+
+def test_regex_search_is_literal_and_safe(spark):
+    docs = spark.createDataFrame([Row(item_id=1, title="Hair (Spray) x.y"), Row(item_id=2, title="xzy hair")])
+    qs = spark.createDataFrame([("hair (spray",), ("x.y",), ("HAIR",)], "query string")
+    got = {(r.query, r.item_id) for r in search.regex_search(docs, qs).collect()}
+    assert got == {("hair (spray", 1), ("x.y", 1), ("HAIR", 1), ("HAIR", 2)}
