@@ -73,7 +73,13 @@ def fuzzy_expansions(query_terms: DataFrame, vocab: DataFrame, fuzzy: bool = Tru
                 .select("qterm", F.col("qterm").alias("term"), F.lit(0).alias("dist")))
     qv = qt.select("qterm", F.explode(deletion_variants(F.col("qterm"), 2)).alias("_v"))
     qv = qv.filter(F.length("qterm") - F.length("_v") <= auto_fuzziness(F.col("qterm")))
-    vv = vocab.select("term", F.explode(deletion_variants(F.col("term"), 2)).alias("_v"))
+    # only vocabulary terms within 2 characters of some query term's length can
+    # be within the edit distance: a semi join on length drops the rest (long
+    # junk tokens never generate their O(len^2) variants)
+    lens = (qt.select(F.explode(F.sequence(F.length("qterm") - 2, F.length("qterm") + 2)).alias("_len"))
+            .distinct())
+    near = vocab.join(lens, F.length(vocab["term"]) == lens["_len"], "left_semi")
+    vv = near.select("term", F.explode(deletion_variants(F.col("term"), 2)).alias("_v"))
     cand = qv.join(vv, "_v").select("qterm", "term").distinct()
     dist = F.levenshtein("qterm", "term", 2)
     return (cand.withColumn("dist", dist)
