@@ -510,3 +510,17 @@ def test_regex_search_is_literal_and_safe(spark):
     qs = spark.createDataFrame([("hair (spray",), ("x.y",), ("HAIR",)], "query string")
     got = {(r.query, r.item_id) for r in search.regex_search(docs, qs).collect()}
     assert got == {("hair (spray", 1), ("x.y", 1), ("HAIR", 1), ("HAIR", 2)}
+
+
+def test_encode_keep_invalid_and_label_lookup(spark):
+    r = spark.createDataFrame([("u1", "a", 5.0), ("u9", "a", 3.0), (None, "b", 1.0)],
+                              "user_id string, item_id string, rating double")
+    udim = spark.createDataFrame([("u1", 0), ("u2", 1)], "user_id string, idx bigint")
+    idim = spark.createDataFrame([("a", 0), ("b", 1)], "item_id string, idx bigint")
+    kept = {(x.user_id, x.user_idx) for x in encode.encode_ratings(r, udim, idim, keep_invalid=True).collect()}
+    assert kept == {("u1", 0), ("u9", 2), (None, 2)}          # unseen and null -> len(labels)
+    inner = encode.encode_ratings(r, udim, idim).collect()
+    assert [(x.user_id, x.item_idx) for x in inner] == [("u1", 0)]
+    recs = spark.createDataFrame([(0, 0.9), (1, 0.8), (2, 0.7)], "item_idx bigint, score double")
+    got = {(x.item_id, x.score) for x in encode.labels_to_items(recs, idim, "item_idx", "item_id").collect()}
+    assert got == {("a", 0.9), ("b", 0.8)}                   # out-of-dictionary index 2 dropped
