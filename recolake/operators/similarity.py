@@ -113,20 +113,22 @@ def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
     cb = _blocks(c, "id", "vec", group_col, block_size, "c")
     # replicate each query block once per candidate block of its group, then an
     # equi join on (group, candidate block)
+    # two numbers about the (small) block table: how many blocks, the most per group
+    n_cb, max_nb = cb.agg(F.count(F.lit(1)), F.max("cnblk")).first()
     if group_col:
         cn = cb.select(group_col, "cnblk").distinct()
         qx = qb.join(cn, group_col)
         nb = F.col("cnblk")
     else:
         qx = qb
-        nb = cb.agg(F.max("cnblk")).scalar()
+        nb = F.lit(max_nb or 1).cast("bigint")
     qx = qx.withColumn("cblk", F.explode(F.sequence(F.lit(0).cast("bigint"), nb - 1)))
     # few candidate blocks would leave few join partitions busy: salt the join by
     # query block and replicate each candidate block ``salt`` times so the block
     # pairs spread over at least the configured shuffle partitions
     spark = queries.sparkSession
     target = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = max(1, -(-target // max(1, cb.count())))
+    salt = max(1, -(-target // max(1, n_cb or 0)))
     qx = qx.withColumn("_salt", F.pmod(F.col("qblk"), F.lit(salt)))
     cbs = cb.drop("cnblk").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1))))
     pairs = qx.join(cbs, [*gcols, "cblk", "_salt"]).select(
