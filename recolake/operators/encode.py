@@ -49,7 +49,6 @@ def prefix_sum(df: DataFrame, order: list, value_col: str, out_col: str = "cum")
     local cumulative sums (Arrow batches), then per-partition offsets - one row
     per partition, the only broadcast."""
     import numpy as np
-    import pandas as pd
 
     ordered = df.orderBy(*order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
     schema = T.StructType(list(ordered.schema.fields) + [T.StructField(out_col, T.DoubleType())])

@@ -79,7 +79,7 @@ def q_fuzzy_terms(spark, d):
     return S.fuzzy_expansions(qt, vocab, True).select("qterm", "term", F.col("dist").cast("bigint").alias("dist"))
 
 
-@register("regex_search", "T4,P10", """
+@register("regex_search", "T4,P10", r"""
     select query, rank, item_id, cast(1.0 as double) as score from
       (select q.query, d.item_id, row_number() over (partition by q.query order by d.item_id) as rank
        from v_search_queries q join v_items d
