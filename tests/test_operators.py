@@ -524,3 +524,12 @@ def test_encode_keep_invalid_and_label_lookup(spark):
     recs = spark.createDataFrame([(0, 0.9), (1, 0.8), (2, 0.7)], "item_idx bigint, score double")
     got = {(x.item_id, x.score) for x in encode.labels_to_items(recs, idim, "item_idx", "item_id").collect()}
     assert got == {("a", 0.9), ("b", 0.8)}                   # out-of-dictionary index 2 dropped
+
+
+def test_hybrid_bag_padding_as_coded(spark):
+    """distinct_pad=False keeps the reference's bag behaviour: pads may repeat listed items."""
+    req, inter, uf, itf, items = _reco_fixture(spark)
+    few = items.filter(F.col("item_id").isin(12, 1, 2, 3))
+    hy = sorted([r for r in hybrid.hybrid_recommendations(req, inter, uf, itf, few, 3, distinct_pad=False)
+                 .collect() if r.user_id == 1], key=lambda r: r.rank)
+    assert [(r.item_id, r.source) for r in hy] == [(12, "hybrid"), (12, "popular_pad"), (3, "popular_pad")]
