@@ -88,8 +88,10 @@ def fuzzy_expansions(query_terms: DataFrame, vocab: DataFrame, fuzzy: bool = Tru
 
 def _text_field_scores(docs: DataFrame, queries: DataFrame, field: str, boost: float,
                        fuzzy: bool) -> DataFrame:
-    d = (docs.filter(F.col(field).isNotNull())
-         .select("item_id", tokens(_text_value(docs, field)).alias("_t")))
+    # a document "has" a text field when the field yields at least one token
+    # (Lucene's docCount), so empty strings / arrays do not count in N or avgdl
+    d = (docs.select("item_id", tokens(_text_value(docs, field)).alias("_t"))
+         .filter(F.size("_t") > 0))
     # one scalar subquery for both collection statistics
     stats = d.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl"))).scalar()
     n_docs, avgdl = stats["n"], stats["avgdl"]

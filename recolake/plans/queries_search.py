@@ -30,7 +30,7 @@ def _search_sql(fuzzy: bool, keyword_fields: list[tuple[str, float]], title_boos
     kw_union = "".join(f" union all {k}" for k in kws)
     return f"""
     with docs as (select item_id, title, main_category, store from v_items),
-    td as (select item_id, {TOK.format(c='title')} as t from docs where title is not null),
+    td as (select item_id, t from (select item_id, {TOK.format(c='title')} as t from docs) where len(t) > 0),
     tstats as (select count(*) as n, avg(len(t)) as avgdl from td),
     tlen as (select item_id, len(t) as dl from td),
     ttf as (select item_id, term, count(*) as tf from (select item_id, unnest(t) as term from td)

@@ -533,3 +533,25 @@ def test_hybrid_bag_padding_as_coded(spark):
     hy = sorted([r for r in hybrid.hybrid_recommendations(req, inter, uf, itf, few, 3, distinct_pad=False)
                  .collect() if r.user_id == 1], key=lambda r: r.rank)
     assert [(r.item_id, r.source) for r in hy] == [(12, "hybrid"), (12, "popular_pad"), (3, "popular_pad")]
+
+
+def test_search_array_fields_and_best_field(spark):
+    """Text fields may be arrays (features, description); the document score is
+    the best boosted field, not the sum over fields."""
+    docs = spark.createDataFrame([
+        Row(item_id=1, title="plain box", main_category="X", store="S",
+            features=["red glossy finish"], description=["a red box"]),
+        Row(item_id=2, title="red red box", main_category="X", store="S", features=[], description=[])],
+        "item_id bigint, title string, main_category string, store string, "
+        "features array<string>, description array<string>")
+    qs = spark.createDataFrame([("red",)], "query string")
+    res = {r.item_id: r.score for r in search.search(docs, qs, 10, fuzzy=False).collect()}
+    assert set(res) == {1, 2}
+    t_only = {r.item_id: r.score for r in search.search(
+        docs, qs, 10, fields=(("title", 3.0, "text"),), fuzzy=False).collect()}
+    f_only = {r.item_id: r.score for r in search.search(
+        docs, qs, 10, fields=(("features", 2.0, "text"),), fuzzy=False).collect()}
+    d_only = {r.item_id: r.score for r in search.search(
+        docs, qs, 10, fields=(("description", 1.0, "text"),), fuzzy=False).collect()}
+    assert res[2] == pytest.approx(t_only[2])
+    assert res[1] == pytest.approx(max(f_only[1], d_only[1]))
