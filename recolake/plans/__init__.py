@@ -1,0 +1 @@
+"""recolake.plans"""

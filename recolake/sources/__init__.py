@@ -1,0 +1 @@
+"""recolake.sources"""
