@@ -20,12 +20,15 @@ FUNCTIONS = {
                    f"CASE WHEN {_NORM_A} > 0 AND {_NORM_B} > 0 THEN {_DOT} / ({_NORM_A} * {_NORM_B}) ELSE 0D END"),
     "vec_logistic_dot": ("a ARRAY<FLOAT>, b ARRAY<FLOAT>", "DOUBLE",
                          f"CASE WHEN b IS NOT NULL AND size(b) > 0 THEN 1D / (1D + exp(-{_DOT})) ELSE 0D END"),
+    "fixed2": ("v DOUBLE", "STRING",
+               "concat(CAST(floor(floor(v * 100D + 0.5D) / 100) AS STRING), '.', "
+               "lpad(CAST(pmod(CAST(floor(v * 100D + 0.5D) AS BIGINT), 100) AS STRING), 2, '0'))"),
     "format_bytes": ("x BIGINT", "STRING",
-                     "CASE WHEN x < 1024 THEN format_string('%.2f B', CAST(x AS DOUBLE)) "
-                     "WHEN x < 1048576 THEN format_string('%.2f KB', x / 1024D) "
-                     "WHEN x < 1073741824 THEN format_string('%.2f MB', x / 1048576D) "
-                     "WHEN x < 1099511627776 THEN format_string('%.2f GB', x / 1073741824D) "
-                     "ELSE format_string('%.2f TB', x / 1099511627776D) END"),
+                     "CASE WHEN x < 1024 THEN concat(fixed2(CAST(x AS DOUBLE)), ' B') "
+                     "WHEN x < 1048576 THEN concat(fixed2(x / 1024D), ' KB') "
+                     "WHEN x < 1073741824 THEN concat(fixed2(x / 1048576D), ' MB') "
+                     "WHEN x < 1099511627776 THEN concat(fixed2(x / 1073741824D), ' GB') "
+                     "ELSE concat(fixed2(x / 1099511627776D), ' TB') END"),
     "word_tokens": ("s STRING", "ARRAY<STRING>",
                     "coalesce(regexp_extract_all(lower(s), '[\\\\p{L}\\\\p{N}]+', 0), array())"),
 }

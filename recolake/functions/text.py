@@ -31,22 +31,35 @@ def tokens(text) -> Column:
                       F.array().cast("array<string>"))
 
 
+def fixed2(x) -> Column:
+    """Non-negative number as text with 2 decimals, half-up on ``x * 100``.
+
+    Built from integer arithmetic (not a printf), so every engine that does
+    IEEE double arithmetic produces the same text, ties included."""
+    cents = F.floor(_c(x).cast("double") * 100.0 + 0.5).cast("bigint")
+    return F.concat((cents / 100).cast("bigint").cast("string"), F.lit("."),
+                    F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+
+
 def format_bytes(size) -> Column:
     """B / KB / MB / GB / TB with 2 decimals, 1024 steps."""
     s = _c(size).cast("double")
     k = 1024.0
-    return (F.when(s < k, F.format_string("%.2f B", s))
-            .when(s < k ** 2, F.format_string("%.2f KB", s / k))
-            .when(s < k ** 3, F.format_string("%.2f MB", s / k ** 2))
-            .when(s < k ** 4, F.format_string("%.2f GB", s / k ** 3))
-            .otherwise(F.format_string("%.2f TB", s / k ** 4)))
+
+    def unit(v, u):
+        return F.concat(fixed2(v), F.lit(" " + u))
+    return (F.when(s < k, unit(s, "B"))
+            .when(s < k ** 2, unit(s / k, "KB"))
+            .when(s < k ** 3, unit(s / k ** 2, "MB"))
+            .when(s < k ** 4, unit(s / k ** 3, "GB"))
+            .otherwise(unit(s / k ** 4, "TB")))
 
 
 def percent_text(num, den) -> Column:
     """'x.xx%' with a guarded denominator; 'N/A' when the denominator is 0 or null."""
     d = _c(den).cast("double")
     return F.when(d.isNull() | (d == 0), F.lit("N/A")).otherwise(
-        F.format_string("%.2f%%", _c(num).cast("double") / d * 100.0))
+        F.concat(fixed2(_c(num).cast("double") / d * 100.0), F.lit("%")))
 
 
 def username(position, user_id) -> Column:

@@ -125,7 +125,8 @@ def hit_rate(sim: DataFrame) -> DataFrame:
     """Hits, misses, hit rate = hits/(hits+misses)*100 as 2-dp text, '0%' on zero."""
     agg = sim.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
     total = F.col("hits") + F.col("misses")
+    from ..functions.text import fixed2
     rate = F.when(total == 0, F.lit("0%")).otherwise(
-        F.format_string("%.2f%%", F.col("hits").cast("double") / total * 100.0))
+        F.concat(fixed2(F.col("hits").cast("double") / total * 100.0), F.lit("%")))
     return agg.select(F.col("hits").cast("bigint").alias("hits"), F.col("misses").cast("bigint").alias("misses"),
                       rate.alias("hit_rate"))

@@ -9,6 +9,7 @@ from ..operators import activity as A
 from ..operators import popular, ratelimit
 from ..sources import tables as T
 from .catalog import register
+from .queries_inventory import F2
 
 TS = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -149,7 +150,8 @@ def q_rate_limit(spark, d):
     select sum(case when admitted then 0 else 1 end)::bigint as hits,
            sum(case when admitted then 1 else 0 end)::bigint as misses,
            case when count(*) = 0 then '0%'
-                else printf('%.2f%%', sum(case when admitted then 0 else 1 end) * 100.0 / count(*)) end as hit_rate
+                else {F2.format(v="cast(sum(case when admitted then 0 else 1 end) as double) / count(*) * 100.0")} || '%'
+           end as hit_rate
     from g""")
 def q_cache_hit_rate(spark, d):
     v = (T.activity(spark, d, ("product_view",))

@@ -12,11 +12,15 @@ from ..operators import users as U
 from ..sources import tables as T
 from .catalog import register
 
-FMT = """case when {x} < 1024 then printf('%.2f B', cast({x} as double))
-              when {x} < 1024 * 1024 then printf('%.2f KB', {x} / 1024.0)
-              when {x} < 1024 * 1024 * 1024 then printf('%.2f MB', {x} / (1024.0 * 1024))
-              when {x} < 1024.0 * 1024 * 1024 * 1024 then printf('%.2f GB', {x} / (1024.0 * 1024 * 1024))
-              else printf('%.2f TB', {x} / (1024.0 * 1024 * 1024 * 1024)) end"""
+# 2-decimal text from integer arithmetic, the same construction as functions.text.fixed2
+# (all arithmetic in double, in the same order as the Spark expressions)
+F2 = ("(cast(floor(cast(({v}) as double) * 100.0 + 0.5) as bigint) // 100)::varchar || '.' || "
+      "lpad((cast(floor(cast(({v}) as double) * 100.0 + 0.5) as bigint) % 100)::varchar, 2, '0')")
+FMT = ("case when {x} < 1024 then " + F2.format(v="cast({x} as double)") + " || ' B' "
+       "when {x} < 1048576 then " + F2.format(v="cast({x} as double) / 1024.0") + " || ' KB' "
+       "when {x} < 1073741824 then " + F2.format(v="cast({x} as double) / 1048576.0") + " || ' MB' "
+       "when {x} < 1099511627776 then " + F2.format(v="cast({x} as double) / 1073741824.0") + " || ' GB' "
+       "else " + F2.format(v="cast({x} as double) / 1099511627776.0") + " || ' TB' end")
 
 
 @register("cache_key_totals", "A15,P13,F10", f"""

@@ -555,3 +555,9 @@ def test_search_array_fields_and_best_field(spark):
         docs, qs, 10, fields=(("description", 1.0, "text"),), fuzzy=False).collect()}
     assert res[2] == pytest.approx(t_only[2])
     assert res[1] == pytest.approx(max(f_only[1], d_only[1]))
+
+
+def test_fixed2_is_half_up_on_the_binary_value(spark):
+    df = spark.createDataFrame([(1.125,), (2.675,), (0.0,), (99.999,), (1152.0 / 1024,)], "x double")
+    got = [r[0] for r in df.select(TX.fixed2("x")).collect()]
+    assert got == ["1.13", "2.68", "0.00", "100.00", "1.13"]       # 2.675 * 100 rounds to 267.5 in IEEE
