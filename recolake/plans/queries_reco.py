@@ -301,3 +301,15 @@ def q_sql_prediction_errors(spark, d):
         from recolake_ratings r
         join recolake_user_factors u on u.user_id = r.user_id
         join recolake_item_factors i on i.item_id = r.item_id""")
+
+
+@register("similar_items_api", "R4,R3,J3", f"""
+    with s as ({_similar_sql(_cos("q.model_factor", "c.model_factor") + " + 1.0").strip()})
+    select s.item_id, s.rank, s.similar_id, s.score, i.title, i.main_category
+    from s join v_items i on i.item_id = s.similar_id""")
+def q_similar_items_api(spark, d):
+    """The similar-items response shape - each neighbour with its product."""
+    products = T.products(spark, d)
+    sim = similarity.similar_items(products, T.item_vectors(spark, d), 10, "cosine")
+    return sim.join(products.select(F.col("item_id").alias("similar_id"), "title", "main_category"),
+                    "similar_id").select("item_id", "rank", "similar_id", "score", "title", "main_category")
