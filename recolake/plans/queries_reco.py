@@ -244,9 +244,10 @@ def q_predictions_eval(spark, d):
 _MODELS: dict = {}
 
 
-def _als(spark, d):
-    """Fit once per (session, data): encode, hash split, ALS (variant A)."""
-    key = (id(spark), d)
+def _als(spark, d, variant: str = "A"):
+    """Fit once per (session, data, variant): encode, hash split, ALS.
+    A = rank 25, reg 0.01, nonnegative; B = rank 50, reg 0.1, unconstrained."""
+    key = (id(spark), d, variant)
     if key not in _MODELS:
         inter = T.interactions(spark, d)
         r = ratings.prepare_ratings_first(inter)
@@ -255,7 +256,9 @@ def _als(spark, d):
         enc = encode.encode_ratings(r, udim, idim)
         train, test = ratings.hash_split(enc, ["user_id", "item_id"])
         train = train.select(F.col("user_idx").cast("int"), F.col("item_idx").cast("int"), "rating")
-        model = cf.fit_als(train.persist())
+        params = (dict(rank=25, reg_param=0.01, nonnegative=True) if variant == "A"
+                  else dict(rank=50, reg_param=0.1, nonnegative=False))
+        model = cf.fit_als(train.persist(), **params)
         _MODELS[key] = (model, udim, idim, train, test)
     return _MODELS[key]
 
@@ -313,3 +316,12 @@ def q_similar_items_api(spark, d):
     sim = similarity.similar_items(products, T.item_vectors(spark, d), 10, "cosine")
     return sim.join(products.select(F.col("item_id").alias("similar_id"), "title", "main_category"),
                     "similar_id").select("item_id", "rank", "similar_id", "score", "title", "main_category")
+
+
+@register("als_variant_b_metrics", "M2,M4,M5,M6,M7,A7", None)
+def q_als_variant_b(spark, d):
+    """Second training configuration: rank 50, reg 0.1, no nonnegativity."""
+    model, udim, idim, train, test = _als(spark, d, "B")
+    pred = model.transform(test.select(F.col("user_idx").cast("int"), F.col("item_idx").cast("int"), "rating"))
+    m = cf.regression_metrics(pred.na.drop())
+    return m.select("rmse", "mae", F.col("n").alias("n_test"), F.lit(50).alias("rank"))
