@@ -6,8 +6,11 @@ not on this image's classpath). Results are written by ``foreachBatch`` into
 a parquet table under the session's checkpoint directory (never the driver's
 memory), so a restarted query resumes from its checkpoint.
 
-Late data (ST10): event-time watermark of 1 hour on ``ts``; events older than
-the watermark are dropped by the stateful operators.
+Late data (ST10): event-time watermark of 1 hour on ``ts``. Rows within the
+watermark are always counted; state older than the watermark is evicted and,
+in append mode, final sessions are emitted then. Rows older than the
+watermark may be dropped (Spark's contract does not promise either way);
+complete mode keeps all state by definition.
 """
 
 from __future__ import annotations
