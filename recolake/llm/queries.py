@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import exact_dedup, language_id, line_dedup, mixing, quality, sentencepiece_codec, token_output
+from . import ann, exact_dedup, language_id, line_dedup, mixing, quality, sentencepiece_codec, token_output
 from .common import documents, scratch_path
 
 
@@ -15,6 +15,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_decisions(docs, line_dedup.new_index(docs))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(table, table.filter("vec_id % 50 = 0"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -41,8 +46,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_predictions(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_exact_dedup, op5_token_output, op6_sentencepiece, op7_source_mixing,
-                               op8_quality_classifier, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_exact_dedup, op5_token_output,
+                               op6_sentencepiece, op7_source_mixing, op8_quality_classifier, op10_language_id)}
 
 OP1_SQL = r"""
 WITH lines AS (
