@@ -31,7 +31,7 @@ from .common import stored
 
 PROJECTIONS = 128
 THRESHOLD = 0.6
-CONFIDENCE = 1.0
+CONFIDENCE = 1.3
 FIRST_WIDTH, WIDEN = 0.3, 1.15
 SHARD_ROWS = 16_384
 GROUP_ROWS = 1024

@@ -108,8 +108,8 @@ def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
             if y - x >= k:
                 out.append(np.unique(s[x:y - k + 1]))
             elif y > x:
-                whole = (h[x:y] * _STEP[:y - x]).sum(dtype=np.uint64) + np.uint64(y - x) * _STEP[k + 3]
-                out.append(mix64(np.array([whole], np.uint64)))
+                whole = (h[x:y] * _STEP[:y - x]).sum(dtype=np.uint64, keepdims=True) + _STEP[k + y - x:k + y - x + 1]
+                out.append(mix64(whole))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
