@@ -370,10 +370,12 @@ def _repeated(sets: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; documents without words all stay. Columns as they were."""
+    """One document of each component, the one with the smallest id; documents without words and rows without an id all stay.
+    Of rows that repeat an id the longest text stays. Columns as they were."""
     found = jaccard_components(docs, id_col, text_col)
-    name = free_name(docs, "_kept_id")
+    name, one = free_name(docs, "_kept_id"), free_name(docs, "_row")
     kept = found.filter("n_shingles = 0 or doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    rows = docs.join(kept, docs[id_col] == kept[name], "left_semi")
-    one, at = free_name(docs, "_row"), Window.partitionBy(id_col).orderBy(F.col(text_col).isNull(), F.length(text_col).desc(), text_col)
-    return rows.withColumn(one, F.row_number().over(at)).filter(F.col(one) == 1).drop(one)
+    known = docs.filter(F.col(id_col).isNotNull())
+    at = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), text_col)
+    rows = known.join(kept, known[id_col].cast("long") == kept[name], "left_semi").withColumn(one, F.row_number().over(at))
+    return rows.filter(F.col(one) == 1).drop(one).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import ann, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, token_output
+from . import ann, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, token_output
 from .common import documents, scratch_path
 
 
@@ -46,12 +46,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir), license_scan.templates(spark))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_predictions(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_exact_dedup, op4_ngram_jaccard_join, op5_token_output,
-                               op6_sentencepiece, op7_source_mixing, op8_quality_classifier, op10_language_id)}
+                               op6_sentencepiece, op7_source_mixing, op8_quality_classifier, op9_license_scan,
+                               op10_language_id)}
 
 OP1_SQL = r"""
 WITH lines AS (
