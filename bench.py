@@ -21,7 +21,8 @@ from recolake.session import build_session  # noqa: E402
 HEADLINE = [
     "hybrid_recommendations", "cf_recommendations", "similar_items", "search_and_recommend",
     "rate_limit_admission", "category_sessions", "user_history", "encoded_ratings",
-    "rating_stats", "trending_products", "trailing_request_counts", "cache_hit_rate",
+    "rating_stats", "trending_products", "trailing_request_counts", "regex_search", "als_fit_metrics",
+    "stream_item_views", "stream_category_sessions",
 ]
 
 

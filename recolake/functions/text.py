@@ -64,7 +64,7 @@ def percent_text(num, den) -> Column:
 
 def username(position, user_id) -> Column:
     """``user_%03d_<first 8 chars of the id>``."""
-    return F.format_string("user_%03d_%s", _c(position).cast("int"),
+    return F.format_string("user_%03d_%s", _c(position).cast("bigint"),
                            F.substring(_c(user_id).cast("string"), 1, 8))
 
 

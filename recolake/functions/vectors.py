@@ -41,9 +41,12 @@ def cosine(a, b) -> Column:
 
 
 def has_vector(a) -> Column:
-    """Python truthiness of the reference: missing or empty vector = no vector."""
+    """Python truthiness of the reference: missing or empty vector = no vector.
+    A vector that holds a null, NaN or infinite component has no score with
+    anything, so it counts as missing too."""
     a = _c(a)
-    return a.isNotNull() & (F.size(a) > 0)
+    finite = F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(a.isNotNull() & (F.size(a) > 0) & finite, F.lit(False))
 
 
 def cosine_plus_one(a, b) -> Column:

@@ -94,7 +94,19 @@ def trailing_counts(df: DataFrame, keys: list[str], ts_col: str, window_seconds:
                      "_n", "_p")
     hi = cum.filter(F.col("_kind") == 0).select(*keys, F.col("_t"), F.col("_p").alias("_hi"))
     lo = cum.filter(F.col("_kind") == 1).select(*keys, F.col("_t"), F.col("_p").alias("_lo"))
-    counts = (hi.join(lo, [*keys, "_t"])
-              .select(*keys, F.col("_t").alias("_us"), F.round(F.col("_hi") - F.col("_lo")).cast("bigint").alias(out)))
-    return (df.withColumn("_us", F.unix_micros(F.col(ts_col))).join(counts, [*keys, "_us"], "left")
-            .drop("_us"))
+    # a null key is a key of its own, so keys are compared null-safe
+    at = ["_t", *keys]
+    lo = lo.select(F.col("_lo"), *[F.col(k).alias(f"_lo_{k}") for k in at])
+    both = hi.join(lo, _same(hi, lo, at, "_lo_"))
+    counts = both.select(*[F.col(k).alias(f"_c_{k}") for k in at],
+                         F.round(F.col("_hi") - F.col("_lo")).cast("bigint").alias(out))
+    rows = df.withColumn("_t", F.unix_micros(F.col(ts_col)))
+    return rows.join(counts, _same(rows, counts, at, "_c_"), "left").select(*df.columns, out)
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str], prefix: str):
+    """All keys equal, nulls included; the right side's keys carry the prefix."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(right[prefix + k])
+    return cond

@@ -42,11 +42,13 @@ def product_documents(products: DataFrame, vectors: DataFrame, key: str = "item_
 def upsert(existing: DataFrame, updates: DataFrame, key: str = "doc_id",
            seq: str | None = None) -> DataFrame:
     """K6: keyed upsert. Within ``updates`` the last write per key wins (highest
-    ``seq``); the result is the updates plus every existing row whose key was
+    ``seq``; without one any one of them stays); the result is the updates plus every existing row whose key was
     not updated (anti join) - a MERGE expressed as union + anti join."""
     if seq is not None:
         last = updates.groupBy(key).agg(F.max_by(F.struct(*updates.columns), F.col(seq)).alias("_r"))
         updates = last.select("_r.*")
+    else:
+        updates = updates.dropDuplicates([key])
     kept = existing.join(updates.select(key), key, "left_anti")
     return kept.unionByName(updates, allowMissingColumns=True)
 

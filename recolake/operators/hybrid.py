@@ -20,7 +20,7 @@ def blend(cf_score, average_rating, cf_weight: float = 0.6, cb_weight: float = 0
 def hybrid_recommendations(requests: DataFrame, user_dim: DataFrame, user_factors: DataFrame,
                            item_factors: DataFrame, items: DataFrame, num: int = 10,
                            cf_weight: float = 0.6, cb_weight: float = 0.4,
-                           fallback_category: str = "PROMO", distinct_pad: bool = True,
+                           *, fallback_category: str, distinct_pad: bool = True,
                            block_size: int = 512) -> DataFrame:
     """R2 for every requested user: (user_id, rank, item_id, score, source).
 
@@ -91,5 +91,7 @@ def recommend(requests: DataFrame, method: str, user_dim: DataFrame, user_factor
         return hybrid_recommendations(requests, user_dim, user_factors, item_factors, items, num, **kw)
     if method == "cf":
         return collaborative_recommendations(requests, user_dim, user_factors, item_factors, items, num)
-    spark = requests.sparkSession
-    return spark.createDataFrame([], "user_id bigint, rank bigint, item_id bigint, score double, source string")
+    # no rows, in the id types of the tables
+    kinds = dict(requests.dtypes)["user_id"], dict(items.dtypes)["item_id"]
+    return requests.sparkSession.createDataFrame(
+        [], f"user_id {kinds[0]}, rank bigint, item_id {kinds[1]}, score double, source string")

@@ -1,12 +1,14 @@
-"""Sliding-window rate limiting (ST8, ST9) and the TTL-cache simulation.
+"""Sliding-window rate limiting (ST8, ST9) and the hit-rate report.
 
 Contract (trap 11): a request of key k at time t is admitted iff fewer than
 ``limit`` *admitted* requests of k lie in (t - window, t]; rejected requests
 do not count; a null user is always admitted (not rate limited).
 
 Admission is greedy and order dependent, so each key's requests are folded
-in time order. The fold is a streaming scan: rows are hash partitioned by
-key, sorted within partitions, and ``mapInPandas`` walks the sorted stream
+in time order. After a pause longer than the window nothing of a key's past
+counts any more, so its requests fall into independent runs (sessions split at
+such gaps), and a hot key spreads over as many tasks as it has runs. The fold is
+a streaming scan: rows are hash partitioned by key and run, sorted within partitions, and ``mapInPandas`` walks the sorted stream
 keeping only the admitted timestamps still inside the window (at most
 ``limit`` values) - no key's requests are ever materialised as a group.
 The scan is per key sequential by definition of greedy admission; memory is
@@ -19,14 +21,26 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .activity import bucket_sessions
+
 _US = 1_000_000
 
 
-def _scan(limit: int, window_us: int, nkeys: int):
+def _codes(values) -> np.ndarray:
+    """Numbers that are equal where the values are, nulls included."""
+    return pd.factorize(values, use_na_sentinel=True)[0]
+
+
+def _limit_for(limit, action):
+    return limit[action] if isinstance(limit, dict) else limit
+
+
+def _scan(limit, window_us: int, nkeys: int):
     """Greedy admission over a partition sorted by (key, time, tie-break).
 
     While fewer than ``limit`` admitted requests are in the window, the next
@@ -49,27 +63,30 @@ def _scan(limit: int, window_us: int, nkeys: int):
             change = np.zeros(n, dtype=bool)
             change[0] = True
             for v in kv:
-                change[1:] |= v[1:] != v[:-1]
+                c = _codes(v)
+                change[1:] |= c[1:] != c[:-1]
             starts = np.flatnonzero(change)
             ends = np.append(starts[1:], n)
             for s, e in zip(starts, ends):
-                k = tuple(v[s] for v in kv)
+                k = tuple(None if pd.isna(v[s]) else v[s] for v in kv)
                 if k != cur:
                     cur = k
                     admitted.clear()
+                # the last key before the run is the action
+                most = _limit_for(limit, k[nkeys - 2])
                 j = s
                 while j < e:
                     t = us[j]
                     while admitted and admitted[0] <= t - window_us:
                         admitted.popleft()
-                    if len(admitted) < limit:
+                    if len(admitted) < most:
                         before[j] = len(admitted)
                         ok[j] = True
                         admitted.append(t)
                         j += 1
                     else:  # window full: reject up to the first request at or after expiry
                         nxt = j + int(np.searchsorted(us[j:e], admitted[0] + window_us, side="left"))
-                        before[j:nxt] = limit
+                        before[j:nxt] = most
                         j = nxt
             out = pdf.drop(columns=[f"_k{i}" for i in range(nkeys)] + ["_us"])
             out["admitted"] = ok
@@ -78,12 +95,20 @@ def _scan(limit: int, window_us: int, nkeys: int):
     return run
 
 
-def rate_limit(requests: DataFrame, keys: list[str], ts_col: str, limit: int,
+def limit_column(limit, keys: list[str]):
+    """The limit as a column: one number, or a number per value of the last key (the action)."""
+    if not isinstance(limit, dict):
+        return F.lit(limit)
+    return F.create_map(*[F.lit(x) for kv in limit.items() for x in kv])[F.col(keys[-1])]
+
+
+def rate_limit(requests: DataFrame, keys: list[str], ts_col: str, limit: int | dict,
                window_seconds: int, order_col: str | None = None) -> DataFrame:
     """Every request with ``admitted``, ``remaining`` (limit - (admitted in
     window + 1); 0 when rejected) and ``retry_after`` (the window, when rejected).
 
-    ``order_col`` breaks ties between requests at the same timestamp; rows
+    ``limit`` is a number, or a number per action (the values of the last key;
+    an action without one is an error). ``order_col`` breaks ties between requests at the same timestamp; rows
     whose first key column is null are admitted without state.
     """
     w_us = int(window_seconds) * _US
@@ -92,38 +117,46 @@ def rate_limit(requests: DataFrame, keys: list[str], ts_col: str, limit: int,
     free = requests.filter(user_null).select(
         *cols, F.lit(True).alias("admitted"), F.lit(None).cast("bigint").alias("remaining"),
         F.lit(None).cast("bigint").alias("retry_after"))
-    kcols = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    if not keys:
+        raise ValueError("rate_limit needs at least one key column")
     knames = [f"_k{i}" for i in range(len(keys))]
-    order = [F.col(k) for k in knames] + [F.col("_us")] + ([F.col(order_col)] if order_col else [])
+    order = [F.col("_us")] + ([F.col(order_col)] if order_col else [])
     staged = (requests.filter(~user_null)
-              .select(*cols, *kcols, F.unix_micros(F.col(ts_col)).alias("_us")))
-    if not knames:
-        raise ValueError("rate_limit needs at least one key column")
-    staged = staged.repartition(*[F.col(k) for k in knames]).sortWithinPartitions(*order)
+              .select(*cols, *[F.col(k).alias(n) for k, n in zip(keys, knames, strict=True)],
+                      F.unix_micros(F.col(ts_col)).alias("_us"))
+              .withColumn("_b", F.floor(F.col("_us") / w_us)))
+    # the run of each row: one row per key and window-wide bucket, joined null-safe
+    runs = bucket_sessions(requests.filter(~user_null), keys, ts_col, window_seconds).select(
+        *[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], F.col("_b").alias("_rb"),
+        F.col("session_start_us").alias(f"_k{len(keys)}"))
+    same = F.col("_b") == F.col("_rb")
+    for i in range(len(keys)):
+        same = same & F.col(f"_k{i}").eqNullSafe(F.col(f"_r{i}"))
+    knames.append(f"_k{len(keys)}")
+    staged = staged.join(runs, same).select(*cols, *knames, "_us")
+    staged = (staged.repartition(*[F.col(k) for k in knames])
+              .sortWithinPartitions(*[F.col(k) for k in knames], *order))
     schema = T.StructType(list(requests.schema.fields) + [
         T.StructField("admitted", T.BooleanType()), T.StructField("_before", T.LongType())])
-    flags = staged.mapInPandas(_scan(limit, w_us, len(keys)), schema)
+    flags = staged.mapInPandas(_scan(limit, w_us, len(knames)), schema)
     scanned = flags.select(
         *cols, "admitted",
-        F.when(F.col("admitted"), F.lit(limit) - F.col("_before") - 1).otherwise(F.lit(0))
+        F.when(F.col("admitted"), limit_column(limit, keys) - F.col("_before") - 1).otherwise(F.lit(0))
         .cast("bigint").alias("remaining"),
         F.when(F.col("admitted"), F.lit(None)).otherwise(F.lit(window_seconds)).cast("bigint")
         .alias("retry_after"))
     return scanned.unionByName(free)
 
 
-def cache_simulation(requests: DataFrame, keys: list[str], ts_col: str, ttl_seconds: int,
-                     order_col: str | None = None) -> DataFrame:
-    """A20 input: a TTL result cache replayed over a request log. A request is a
-    miss iff no miss of the same key lies in (t - ttl, t] (the miss stores the
-    result with a fixed TTL); that is admission with limit 1."""
-    r = rate_limit(requests, keys, ts_col, 1, ttl_seconds, order_col)
-    return r.withColumn("hit", ~F.col("admitted")).drop("admitted", "remaining", "retry_after")
+def first_requests(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """A20 input: per key how many requests there are and that the first of them is a
+    miss, every later one a hit (a result that is kept for good)."""
+    return requests.groupBy(*keys).agg(F.lit(1).cast("bigint").alias("misses"), (F.count(F.lit(1)) - 1).alias("hits"))
 
 
-def hit_rate(sim: DataFrame) -> DataFrame:
+def hit_rate(counts: DataFrame) -> DataFrame:
     """Hits, misses, hit rate = hits/(hits+misses)*100 as 2-dp text, '0%' on zero."""
-    agg = sim.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    agg = counts.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("misses"), F.lit(0)).alias("misses"))
     total = F.col("hits") + F.col("misses")
     from ..functions.text import fixed2
     rate = F.when(total == 0, F.lit("0%")).otherwise(

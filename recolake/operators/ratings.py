@@ -20,7 +20,8 @@ def prepare_ratings_first(reviews: DataFrame, user_col: str = "user_id", item_co
                           compat: bool = False) -> DataFrame:
     """M1: one rating per (item, user).
 
-    Default contract: null rows are dropped first, then the newest row is kept
+    Default contract: rows without item, user or rating are dropped first (a rating
+    without a timestamp stays; any dated one is newer), then the newest row is kept
     (ties: higher rating). ``compat=True`` keeps the reference's order (de-dup
     first, then null drop), where a null duplicate can erase a valid rating.
     The keep-newest step is ``max(struct(ts, rating))`` per key - a partial
@@ -29,11 +30,11 @@ def prepare_ratings_first(reviews: DataFrame, user_col: str = "user_id", item_co
     cols = [F.col(item_col), F.col(user_col), F.col(rating_col), F.col(ts_col)]
     df = reviews.select(*cols)
     if not compat:
-        df = df.na.drop()
+        df = df.na.drop(subset=[item_col, user_col, rating_col])
     newest = df.groupBy(item_col, user_col).agg(
         F.max(F.struct(F.col(ts_col).alias("t"), F.col(rating_col).alias("r"))).alias("_m"))
     out = newest.select(item_col, user_col, F.col("_m.r").alias(rating_col), F.col("_m.t").alias(ts_col))
-    return out.na.drop() if compat else out
+    return out.na.drop(subset=[item_col, user_col, rating_col]) if compat else out
 
 
 def prepare_ratings_mean(reviews: DataFrame, user_col: str = "user_id", item_col: str = "item_id",

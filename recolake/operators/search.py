@@ -127,7 +127,7 @@ def search(docs: DataFrame, queries: DataFrame, num: int = 10,
     parts = []
     for field, boost, kind in fields:
         if field not in docs.columns:
-            continue
+            raise ValueError(f"the documents have no field {field!r}; pass the fields to search")
         if kind == "keyword":
             parts.append(_keyword_field_scores(docs, q, field, boost))
         else:

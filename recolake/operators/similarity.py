@@ -100,7 +100,7 @@ def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
     then ignored and the final ranking keeps rank <= that query's k.
 
     ``metric``: 'cosine' (cosine + 1) or 'logistic' (sigmoid of dot) or 'dot'.
-    Rows with a null/empty vector must be filtered by the caller.
+    Rows without a usable vector (``has_vector``) must be filtered by the caller.
     """
     gcols = [group_col] if group_col else []
     q = queries.select(F.col(q_id).alias("id"), F.col(q_vec).alias("vec"), *gcols,
@@ -173,10 +173,9 @@ def similar_items(items: DataFrame, vectors: DataFrame, num: int = 10, metric: s
                            group_col="main_category", metric=metric, exclude_self=True,
                            block_size=block_size)]
     unknown = q.filter(F.col("main_category").isNull())
-    if unknown.limit(1).count() > 0:
-        parts.append(blocked_top_k(unknown, with_v, num, q_id="item_id", q_vec="model_factor",
-                                   c_id="item_id", c_vec="model_factor", metric=metric,
-                                   exclude_self=True, block_size=block_size))
+    parts.append(blocked_top_k(unknown, with_v, num, q_id="item_id", q_vec="model_factor",
+                               c_id="item_id", c_vec="model_factor", metric=metric,
+                               exclude_self=True, block_size=block_size))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)

@@ -78,8 +78,9 @@ def build_search_docs(spark: SparkSession, data_dir: str, model_dir: str, out_pa
 
 
 def recommend_job(spark: SparkSession, users: DataFrame, data_dir: str, model_dir: str,
-                  num: int = 10) -> DataFrame:
-    """R6 over a table of users with the trained model's factors."""
+                  num: int = 10, *, fallback_category: str) -> DataFrame:
+    """R6 over a table of users with the trained model's factors; ``fallback_category``
+    fills half the list of a known user without a factor."""
     from ..operators import hybrid
     from pyspark.ml.recommendation import ALSModel
     model = ALSModel.load(os.path.join(model_dir, "als_model"))
@@ -88,4 +89,5 @@ def recommend_job(spark: SparkSession, users: DataFrame, data_dir: str, model_di
     uf, itf = cf.factors_from_model(model, udim, idim)
     items = spark.read.parquet(os.path.join(data_dir, "products")).select(
         F.col("parent_asin").alias("item_id"), "title", "main_category", "average_rating", "rating_number")
-    return hybrid.hybrid_recommendations(users, udim, uf, itf, items, num)
+    items = items.dropDuplicates(["item_id"])
+    return hybrid.hybrid_recommendations(users, udim, uf, itf, items, num, fallback_category=fallback_category)

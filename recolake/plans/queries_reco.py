@@ -224,7 +224,7 @@ def q_hybrid(spark, d):
     items = T.items(spark, d, inter).checkpoint(eager=True)
     return hybrid.hybrid_recommendations(
         T.customers(spark, d), inter, T.user_factors(spark, d),
-        T.item_factors(spark, d), items, 10)
+        T.item_factors(spark, d), items, 10, fallback_category="PROMO")
 
 
 @register("factor_predictions_eval", "M6,A7,M7,P3", f"""

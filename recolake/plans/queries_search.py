@@ -56,16 +56,21 @@ def _search_sql(fuzzy: bool, keyword_fields: list[tuple[str, float]], title_boos
     where rank <= 10"""
 
 
+def _held(fields):
+    """Of an API's fields those that the part table has; it has no description and no features."""
+    return tuple(f for f in fields if f[0] in ("title", "main_category", "store"))
+
+
 @register("search_and_recommend", "T1,T3,T5,L8", _search_sql(True, [("main_category", 2.0), ("store", 1.0)]))
 def q_search_and_recommend(spark, d):
     return S.search(T.products(spark, d), T.search_queries(spark, d), 10,
-                    S.SEARCH_AND_RECOMMEND_FIELDS, fuzzy=True)
+                    _held(S.SEARCH_AND_RECOMMEND_FIELDS), fuzzy=True)
 
 
 @register("search_products", "T2,T5,L8", _search_sql(False, [("main_category", 2.0)]))
 def q_search_products(spark, d):
     return S.search(T.products(spark, d), T.search_queries(spark, d), 10,
-                    S.SEARCH_PRODUCTS_FIELDS, fuzzy=False)
+                    _held(S.SEARCH_PRODUCTS_FIELDS), fuzzy=False)
 
 
 @register("fuzzy_term_expansions", "T3,T5", f"""

@@ -56,11 +56,20 @@ def q_stream_global_views(spark, d):
     return out.select(ts_text("session_start").alias("session_start"), "rank", "event_id", "item_id", "user_id")
 
 
-@register("stream_rate_limit_admission", "ST8,ST9", REGISTRY["rate_limit_admission"].oracle)
-def q_stream_rate_limit(spark, d):
+def _stream_limited(spark, d, limit, window, name):
     ev = S.file_events(spark, d).filter(F.col("event_type").isin("search", "product_view"))
     action = F.when(F.col("event_type") == "search", "search").otherwise("recommendations")
     req = ev.select("event_id", "user_id", action.alias("action"), "ts")
-    res = S.rate_limit_stream(req, ["user_id", "action"], QA.LIMIT, QA.WINDOW)
-    out = S.run_available_now(res, "rate_limit", "append")
+    res = S.rate_limit_stream(req, ["user_id", "action"], limit, window)
+    out = S.run_available_now(res, name, "append")
     return out.select("event_id", "user_id", "action", "admitted", "remaining", "retry_after")
+
+
+@register("stream_rate_limit_admission", "ST8,ST9", REGISTRY["rate_limit_admission"].oracle)
+def q_stream_rate_limit(spark, d):
+    return _stream_limited(spark, d, QA.LIMITS, QA.HOUR, "rate_limit")
+
+
+@register("stream_rate_limit_admission_tight", "ST8,ST9", REGISTRY["rate_limit_admission_tight"].oracle)
+def q_stream_rate_limit_tight(spark, d):
+    return _stream_limited(spark, d, QA.LIMIT, QA.WINDOW, "rate_limit_tight")

@@ -46,7 +46,7 @@ def write_vector_index(vectors: DataFrame, path: str, buckets: int = 64,
     """K7: recreate the vector table, partitioned by an id hash bucket so a
     lookup by id prunes to one directory."""
     (vectors.withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)))
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+     .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 
 def write_metrics(spark, metrics: dict, path: str) -> None:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import heapq
 from collections import deque
 
 import pandas as pd
@@ -64,9 +65,12 @@ def to_event_json(events: DataFrame) -> DataFrame:
 def file_events(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
     """The fixture ``events`` parquet as a stream, mapped to the activity shape."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
-    return activity_from_events(raw)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    # a table is a folder of part files, or one file in the folder of all tables
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return activity_from_events(reader.parquet(f"{sf_dir}/events.parquet"))
+    return activity_from_events(reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir))
 
 
 def event_type_counts(events: DataFrame) -> DataFrame:
@@ -92,8 +96,13 @@ def session_totals(events: DataFrame, keys: list[str], gap: str) -> DataFrame:
             .select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n"))
 
 
-def _rate_state_fn(limit: int, window_us: int, order_col: str):
+def _rate_state_fn(limits: int | dict, window_us: int, order_col: str):
     def fn(key, pdfs, state):
+        limit = limits[key[-1]] if isinstance(limits, dict) else limits
+        if key[0] is None or key[0] != key[0]:  # no user: never limited, no state
+            for rows in pdfs:
+                yield rows.assign(admitted=True, remaining=pd.array([None] * len(rows), dtype="Int64"))
+            return
         admitted = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(pdfs), ignore_index=True)
         rows["_us"] = rows["ts"].astype("int64") // 1000  # ns -> micros
@@ -117,7 +126,7 @@ def _rate_state_fn(limit: int, window_us: int, order_col: str):
     return fn
 
 
-def rate_limit_stream(requests: DataFrame, keys: list[str], limit: int, window_seconds: int,
+def rate_limit_stream(requests: DataFrame, keys: list[str], limit: int | dict, window_seconds: int,
                       order_col: str = "event_id") -> DataFrame:
     """ST8/ST9 as keyed state: per key the admitted timestamps still in the
     window (at most ``limit`` values). Within a micro-batch a key's requests
@@ -127,8 +136,7 @@ def rate_limit_stream(requests: DataFrame, keys: list[str], limit: int, window_s
         T.StructField("admitted", T.BooleanType()), T.StructField("remaining", T.LongType())])
     state_schema = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
     fn = _rate_state_fn(limit, int(window_seconds) * 1_000_000, order_col)
-    res = (requests.filter(F.col(keys[0]).isNotNull())
-           .groupBy(*keys).applyInPandasWithState(fn, out_schema, state_schema, "append", "NoTimeout"))
+    res = (requests.groupBy(*keys).applyInPandasWithState(fn, out_schema, state_schema, "append", "NoTimeout"))
     retry = F.when(F.col("admitted"), F.lit(None)).otherwise(F.lit(window_seconds)).cast("bigint")
     return res.select(*cols, "admitted", "remaining", retry.alias("retry_after"))
 
@@ -145,8 +153,7 @@ def _counter_state_fn(ttl_us: int):
             start, last, cnt = None, None, {}
         out_s, out_i, out_n = [], [], []
         touched: set = set()
-        for t, item in zip(rows["_us"].to_numpy(), rows["item_id"].to_numpy()):
-            t, item = int(t), int(item)
+        for t, item in zip(rows["_us"].tolist(), rows["item_id"].tolist()):
             if last is not None and t - last > ttl_us:   # idle longer than the TTL: counters reset
                 for it in touched:
                     out_s.append(start), out_i.append(it), out_n.append(cnt[it])
@@ -171,10 +178,9 @@ def idle_reset_counters(events: DataFrame, key: str, ttl_seconds: int) -> DataFr
     of every (key, session, item) it touched; ``run_available_now(mode='update')``
     keeps the latest value per row key."""
     kt = dict(events.dtypes)[key]
-    out_schema = f"key {kt}, session_start_us bigint, item_id bigint, n bigint"
-    state_schema = T.StructType([
-        T.StructField("start", T.LongType()), T.StructField("last", T.LongType()),
-        T.StructField("items", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    it = dict(events.dtypes)["item_id"]
+    out_schema = f"key {kt}, session_start_us bigint, item_id {it}, n bigint"
+    state_schema = f"start bigint, last bigint, items array<{it}>, counts array<bigint>"
     res = (events.select(key, "ts", "event_id", "item_id").filter(F.col("item_id").isNotNull())
            .groupBy(key).applyInPandasWithState(_counter_state_fn(int(ttl_seconds) * 1_000_000),
                                                 out_schema, state_schema, "update", "NoTimeout"))
@@ -195,19 +201,22 @@ def _recent_state_fn(ttl_us: int, n: int):
         out = []
 
         def emit():
-            top = sorted(cur, key=lambda r: (-r[0], -r[1]))[:n]
+            top = cur
             out.extend((start, i + 1, r[1], r[2]) for i, r in enumerate(top))
 
-        for t, eid, item in zip(rows["_us"].to_numpy(), rows["event_id"].to_numpy(), rows["item_id"].to_numpy()):
-            t = int(t)
+        # ids in the columns' own types; a null in an integer column must not turn it into floats
+        items = rows["item_id"].convert_dtypes().astype(object).tolist()
+        for t, eid, item in zip(rows["_us"].tolist(), rows["event_id"].tolist(), items):
             if last is not None and t - last > ttl_us:   # idle longer than the TTL: the list resets
+                cur = heapq.nlargest(n, cur, key=lambda r: (r[0], r[1]))
                 emit()
                 cur, start = [], t
             if start is None:
                 start = t
-            cur.append((t, int(eid), None if pd.isna(item) else int(item)))
-            cur = sorted(cur, key=lambda r: (-r[0], -r[1]))[:n]    # keep the newest n only
+            cur.append((t, eid, None if pd.isna(item) else item))
+            cur = heapq.nlargest(n, cur, key=lambda r: (r[0], r[1])) if len(cur) > 2 * n else cur
             last = t if last is None else max(last, t)
+        cur = heapq.nlargest(n, cur, key=lambda r: (r[0], r[1]))
         emit()
         state.update((start, last, [r[0] for r in cur], [r[1] for r in cur], [r[2] for r in cur]))
         yield pd.DataFrame({"key": [key[0]] * len(out), "session_start_us": [o[0] for o in out],
@@ -221,9 +230,9 @@ def recent_lists(events: DataFrame, key: str, ttl_seconds: int, n: int = 100) ->
     idle, as keyed state bounded by n entries. Update mode: each batch emits the
     current list of every key it touched (rows keyed by key, session, rank)."""
     kt = dict(events.dtypes)[key]
-    out_schema = f"key {kt}, session_start_us bigint, rank bigint, event_id bigint, item_id bigint"
-    state_schema = ("start bigint, last bigint, ts array<bigint>, ids array<bigint>, "
-                    "items array<bigint>")
+    et, it = dict(events.dtypes)["event_id"], dict(events.dtypes)["item_id"]
+    out_schema = f"key {kt}, session_start_us bigint, rank bigint, event_id {et}, item_id {it}"
+    state_schema = f"start bigint, last bigint, ts array<bigint>, ids array<{et}>, items array<{it}>"
     res = (events.select(key, "ts", "event_id", "item_id").filter(F.col(key).isNotNull())
            .groupBy(key).applyInPandasWithState(_recent_state_fn(int(ttl_seconds) * 1_000_000, n),
                                                 out_schema, state_schema, "update", "NoTimeout"))
@@ -295,8 +304,9 @@ def global_idle_reset_counts(stream: DataFrame, member: str, ttl_seconds: int, n
     parts = [spark.read.parquet(versions[-1]).drop("last_us")] if versions else []
     if closed_written:
         parts.append(spark.read.parquet(out_path))
-    res = parts[0]
-    for p in parts[1:]:
+    # a stream without rows has no state
+    res = spark.createDataFrame([], f"session_start_us bigint, member {dict(stream.dtypes)[member]}, n bigint")
+    for p in parts:
         res = res.unionByName(p)
     return res.select(F.timestamp_micros("session_start_us").alias("session_start"),
                       F.col("member").alias(member), "n")
@@ -356,6 +366,10 @@ def global_recent_list(stream: DataFrame, n: int, ttl_seconds: int, name: str,
     parts = [spark.read.parquet(versions[-1])] if versions else []
     if closed_written:
         parts.append(spark.read.parquet(out_path))
+    if not parts:  # a stream without rows
+        kinds = ", ".join(f"{c} {dict(stream.dtypes)[c]}" for c in cols)
+        return spark.createDataFrame([], f"session_start timestamp, rank bigint, {kinds}").select(
+            "session_start", "rank", *[c for c in cols if c != "ts"], "ts")
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)

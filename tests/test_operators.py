@@ -97,7 +97,7 @@ def test_three_user_classes(spark):
     assert {r.source for r in by[1]} == {"cf"} and [r.item_id for r in sorted(by[1], key=lambda r: r.rank)] == [12, 11, 10]
     assert 2 not in by                                   # known, no factor -> empty
     assert {r.source for r in by[3]} == {"popular"}      # unknown -> popular
-    hy = hybrid.hybrid_recommendations(req, inter, uf, itf, items, 4)
+    hy = hybrid.hybrid_recommendations(req, inter, uf, itf, items, 4, fallback_category="PROMO")
     u2 = sorted([r for r in hy.collect() if r.user_id == 2], key=lambda r: r.rank)
     assert [r.source for r in u2] == ["popular", "popular", "category_hot", "category_hot"]
     assert all(r.main_category == "PROMO" for r in items.join(
@@ -107,7 +107,7 @@ def test_three_user_classes(spark):
 def test_hybrid_pads_short_lists_distinct(spark):
     req, inter, uf, itf, items = _reco_fixture(spark)
     few = items.filter(F.col("item_id").isin(12, 1, 2, 3))   # CF list 12..7: only 12 has a product
-    hy = sorted([r for r in hybrid.hybrid_recommendations(req, inter, uf, itf, few, 3).collect()
+    hy = sorted([r for r in hybrid.hybrid_recommendations(req, inter, uf, itf, few, 3, fallback_category="PROMO").collect()
                  if r.user_id == 1], key=lambda r: r.rank)
     assert [(r.item_id, r.source) for r in hy] == [(12, "hybrid"), (3, "popular_pad"), (2, "popular_pad")]
 
@@ -183,7 +183,8 @@ def test_search_keyword_exact_and_best_field(spark):
     docs = spark.createDataFrame([Row(item_id=1, title="red ring", main_category="PROMO", store="B1"),
                                   Row(item_id=2, title="blue ring", main_category="SMALL", store="B2")])
     qs = spark.createDataFrame([("PROMO",), ("promo",), ("red",)], "query string")
-    got = {(r.query, r.item_id) for r in search.search(docs, qs, 10).collect()}
+    fields = (("title", 3.0, "text"), ("main_category", 2.0, "keyword"), ("store", 1.0, "keyword"))
+    got = {(r.query, r.item_id) for r in search.search(docs, qs, 10, fields).collect()}
     assert ("PROMO", 1) in got and ("red", 1) in got
     assert ("promo", 1) not in got                  # keyword fields match the raw value only
 
@@ -388,7 +389,7 @@ def test_jobs_end_to_end(spark):
     n = jobs.build_search_docs(spark, os.path.join(d, "data"), os.path.join(d, "model"), os.path.join(d, "docs"))
     assert n == 20
     users = spark.createDataFrame([("U1",), ("nobody",)], "user_id string")
-    recs = jobs.recommend_job(spark, users, os.path.join(d, "data"), os.path.join(d, "model"), 5).collect()
+    recs = jobs.recommend_job(spark, users, os.path.join(d, "data"), os.path.join(d, "model"), 5, fallback_category="PROMO").collect()
     assert {r.user_id for r in recs} == {"U1", "nobody"}
     assert {r.source for r in recs if r.user_id == "nobody"} <= {"hybrid", "popular_pad"}
 
@@ -534,7 +535,7 @@ def test_hybrid_bag_padding_as_coded(spark):
     """distinct_pad=False keeps the reference's bag behaviour: pads may repeat listed items."""
     req, inter, uf, itf, items = _reco_fixture(spark)
     few = items.filter(F.col("item_id").isin(12, 1, 2, 3))
-    hy = sorted([r for r in hybrid.hybrid_recommendations(req, inter, uf, itf, few, 3, distinct_pad=False)
+    hy = sorted([r for r in hybrid.hybrid_recommendations(req, inter, uf, itf, few, 3, fallback_category="PROMO", distinct_pad=False)
                  .collect() if r.user_id == 1], key=lambda r: r.rank)
     assert [(r.item_id, r.source) for r in hy] == [(12, "hybrid"), (12, "popular_pad"), (3, "popular_pad")]
 
