@@ -13,7 +13,7 @@ and PERCENT of them must be there.
 
 Defined results: a null text, or one of fewer than five words, has no window and no row; a template of fewer
 than five words is refused; several windows with the same template count once, with the best containment, the
-smallest word position among the best, and the number of windows; rows that repeat a doc_id are one document each time
+position of the first shared word (the smallest among the best), and the number of windows; rows that repeat a doc_id are one document each time
 they are scanned and come together in one row; an empty table gives an empty result; other columns are not read.
 """
 
@@ -137,6 +137,8 @@ def scan(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: st
     met = banded.join(F.broadcast(index), ["class", "band", "h"]).dropDuplicates(["doc_id", "class", "start", "template_id"])
     common = F.size(F.array_intersect("ts", "ws"))
     found = met.withColumn("common", common).filter(F.col("common") * 100 >= F.size("ts") * PERCENT)
-    best = F.max(F.struct((F.col("common") / F.size("ts")).alias("c"), (-F.col("start")).alias("at")))
+    # where the first shared shingle stands
+    first = F.col("start") + F.array_min(F.transform(F.array_intersect("ts", "ws"), lambda x: F.array_position("ws", x))) - 1
+    best = F.max(F.struct((F.col("common") / F.size("ts")).alias("c"), (-first).alias("at")))
     return (found.groupBy("doc_id", "license", "template_id").agg(best.alias("b"), F.count(F.lit(1)).alias("n_windows"))
-            .select("doc_id", "license", "template_id", F.col("b.c").alias("containment"), (-F.col("b.at")).alias("first_word"), "n_windows"))
+            .select("doc_id", "license", "template_id", F.col("b.c").alias("containment"), (-F.col("b.at")).cast("int").alias("first_word"), "n_windows"))
