@@ -15,12 +15,14 @@ special tokens' strings in a text are encoded as ordinary text; an empty table w
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from . import simple8b
 
 BLOCK_IDS = 1 << 16
-CACHE_CHARS = 8 << 20  # of the pieces that a worker remembers, about 300 MB with their ids
+CACHE_CHARS = 3 << 20  # of the pieces that a worker remembers, about 100 MB with their ids
 END_ID = 2
 
 # white space before a space: there the pretokenizer looks back, so such a text is encoded whole
@@ -36,6 +38,18 @@ _UNSAFE = re.compile(r"[\s\x1c-\x1f\x85] ")
 _BLOCKS = "shard int, block int, before long, doc_ids array<long>, counts array<long>, words binary"
 
 
+# a piece whose parts are plain: the pretokenizer makes two of it, the letters (with the space before) and the mark
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_JOINED = 100
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the rest from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in printable)
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(rest)}
+
+
 class PieceEncoder:
     """The ids of texts by the tokenizer in a file, with a memory of pieces of bounded size."""
 
@@ -43,6 +57,16 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
+        # the same model without pretokenizer, for words already in byte letters
+        model = json.loads(self.tokenizer.to_str())
+        model |= {"pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        self.words = Tokenizer.from_str(json.dumps(model))
+        self.letters = _byte_letters()
+        vocabulary = self.tokenizer.get_vocab()
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)
+        self.marks = {m: self._whole([m])[0] if m else b"" for m in ("", ".", ",")}
         self.known: dict[str, bytes] = {}
         self.size = 0
 
@@ -50,18 +74,45 @@ class PieceEncoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in encoded]
 
+    def _spaced_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters with a space before, many in one call; token lengths tell the words apart."""
+        mapped = [(" " + w).encode().decode("latin-1").translate(self.letters) for w in words]
+        groups = [mapped[a:a + _JOINED] for a in range(0, len(mapped), _JOINED)]
+        for group, e in zip(groups, self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(x) for x in group])) + 1
+            raw, a = ids.tobytes(), 0
+            for b in (4 * ends).tolist():
+                yield raw[a:b]
+                a = b
+
+    def _learn(self, pieces: set[str]) -> None:
+        plain, other = [], []
+        for p in pieces:
+            m = _PLAIN.fullmatch(p)
+            if m:
+                plain.append(m.groups())
+            else:
+                other.append(p)
+        for a in range(0, len(other), 4000):
+            part = other[a:a + 4000]
+            self.known.update(zip(part, self._whole([" " + x for x in part]), strict=True))
+        words = list({w for w, _ in plain} - self.known.keys())
+        for a in range(0, len(words), 8000):
+            part = words[a:a + 8000]
+            self.known.update(zip(part, self._spaced_words(part), strict=True))
+        for w, mark in plain:
+            if mark:
+                self.known[w + mark] = self.known[w] + self.marks[mark]
+        self.size += sum(map(len, pieces))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         safe = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
         # the first piece of a text has no space before it, every other one has
         first = self._whole([t if p is None else p[0] for t, p in zip(texts, safe, strict=True)])
-        new = set().union(*(p for p in safe if p))
         if self.size > CACHE_CHARS:
             self.known, self.size = {}, 0
-        new = list(new - self.known.keys())
-        for a in range(0, len(new), 50_000):
-            part = new[a:a + 50_000]
-            self.known.update(zip(part, self._whole([" " + x for x in part]), strict=True))
-            self.size += sum(map(len, part))
+        self._learn(set().union(*(p for p in safe if p)) - self.known.keys())
         return [np.frombuffer(head if p is None else head + b"".join(map(self.known.__getitem__, p[1:])), np.uint32)
                 for head, p in zip(first, safe, strict=True)]
 
@@ -82,24 +133,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int |
     rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
             .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = _encoder(tokenizer_file), TaskContext.get().partitionId()
         ids, counts, values, held, block, before = [], [], [], 0, 0, 0
 
         def flush():
             nonlocal ids, counts, values, held, block, before
             v = np.concatenate(values)
-            row = pd.DataFrame({"shard": [shard], "block": [block], "before": [before], "doc_ids": [ids], "counts": [counts],
-                                "words": [simple8b.encode(v).astype("<u8").tobytes()]})
+            words = simple8b.encode(v).astype("<u8").tobytes()
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
+                 pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([words], pa.binary())],
+                names=["shard", "block", "before", "doc_ids", "counts", "words"])
             ids, counts, values, block, before, held = [], [], [], block + 1, before + held, 0
             return row
         for b in batches:
-            texts, doc_ids = b["text"].tolist(), b["doc_id"].astype("Int64").tolist()
-            for a in range(0, len(texts), 200):
-                for doc_id, v in zip(doc_ids[a:a + 200], encoder.encode(texts[a:a + 200]), strict=True):
+            for a in range(0, b.num_rows, 100):
+                part = b.slice(a, 100)
+                texts = part.column(1).to_pylist()
+                for doc_id, v in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     if end_id is not None:
                         v = np.append(v, np.uint32(end_id))
-                    ids.append(None if doc_id is pd.NA else doc_id)
+                    ids.append(doc_id)
                     counts.append(len(v))
                     values.append(v)
                     held += len(v)
@@ -107,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int |
                         yield flush()
         if ids:
             yield flush()
-    rows.mapInPandas(run, _BLOCKS).write.option("compression", "none").parquet(f"{path.rstrip('/')}/blocks")
+    rows.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path.rstrip('/')}/blocks")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
