@@ -1,10 +1,12 @@
 """Exact Jaccard join of word 5-gram sets, and the components of its links.
 
 Candidates. All sets order their shingles in one way: by how common a shingle is, then by its hash. Two sets that link
-share a shingle in their prefixes, the first n - ceil(0.75 n) + 1 in that order. The prefixes' shingles are dealt
-out by hash; sets that share one there, and lie close enough in size, come under the same leader, the smallest of them.
+share a shingle in their prefixes, the first n - ceil(0.75 n) + 1 in that order; of the smaller set the first
+n - ceil(6 n / 7) + 1 are enough (its index prefix). The prefixes' shingles are dealt out by hash; sets that share one
+there, and lie close enough in size, come under the same leader, the smallest that has it in its index prefix.
 All sets of a leader form one unit, so every pair that can link meets in some unit. (How common a
-shingle is comes from counts over all documents; the 2**20 commonest are told apart, which steers speed and never results.)
+shingle is comes from counts over all documents; the 2**20 commonest are told apart, which steers speed and never results.
+The counts go by bucket and 32 bits of the hash: sorted, as Simple-8b differences, about three bytes a shingle.)
 
 Set relations within a unit (``unit_links``). Index lists are kept in blocks of equal size ordered by the position of the
 shingle in the set, so that the rest of a block is skipped once the position rules a link out. A set's
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import simple8b
 from .common import free_name, shingle_sets, stored
 from .components import connected_components
 
@@ -51,27 +54,38 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1 if n else 0
 
 
+def index_prefix_length(n: int) -> int:
+    """Of the smaller set of a linked pair: it holds at least 2 * PERCENT / (100 + PERCENT) of its own shingles in common."""
+    return n + 2 * PERCENT * n // -(100 + PERCENT) + 1 if n else 0
+
+
 def digest(s: np.ndarray) -> int:
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def count_keys(s: np.ndarray, buckets: int) -> np.ndarray:
+    """What a shingle is counted under: its bucket (a power of two of them) and 32 further bits."""
+    return ((s & np.uint64(buckets - 1)) << np.uint64(32)) | ((s >> np.uint64(20)) & np.uint64(0xFFFFFFFF))
+
+
 class Order:
-    """Frequency classes of the commonest shingles; every other shingle has class 0."""
+    """Frequency classes of the commonest shingles, by count key; every other shingle has class 0."""
 
-    def __init__(self, shingles: np.ndarray, classes: np.ndarray):
-        self.shingles, self.classes = shingles, classes
+    def __init__(self, keys: np.ndarray, classes: np.ndarray, buckets: int):
+        self.keys, self.classes, self.buckets = keys, classes, buckets
         self.seen = np.zeros(1 << 22, bool)
-        self.seen[(shingles & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.seen[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def prefix(self, s: np.ndarray) -> np.ndarray:
         """The first shingles of a set (given sorted by hash)."""
         length = prefix_length(len(s))
-        if not len(self.shingles):
+        if not len(self.keys):
             return s[:length]
-        maybe = np.flatnonzero(self.seen[(s & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        at = np.searchsorted(self.shingles, s[maybe])
-        at[at == len(self.shingles)] = 0
-        hit = self.shingles[at] == s[maybe]
+        keys = count_keys(s, self.buckets)
+        maybe = np.flatnonzero(self.seen[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        at = np.searchsorted(self.keys, keys[maybe])
+        at[at == len(self.keys)] = 0
+        hit = self.keys[at] == keys[maybe]
         maybe, at = maybe[hit], at[hit]
         if not len(maybe):
             return s[:length]
@@ -90,15 +104,24 @@ def unit_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         both = len(np.intersect1d(*sets, assume_unique=True))
         return [(0, 1)] if both and linked(both, len(sets[0]), len(sets[1])) else []
     order = sorted(range(m), key=lambda i: len(sets[i]))
-    size = np.array([len(sets[i]) for i in order], np.int64)
-    flat = np.concatenate([sets[i] for i in order])
-    owner = np.repeat(np.arange(m), size)
-    _, element, frequency = np.unique(flat, return_inverse=True, return_counts=True)
+    while True:
+        m = len(order)
+        size = np.array([len(sets[i]) for i in order], np.int64)
+        if m < 2:
+            return links
+        owner = np.repeat(np.arange(m), size)
+        _, element, frequency = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+        # a set that shares too little even with all others together links with none
+        shared = np.bincount(owner, frequency[element] > 1, m)
+        able = shared * 100 >= size * PERCENT
+        if able.all():
+            break
+        order = [i for i, x in zip(order, able, strict=True) if x]
     # each set's elements by rarity; an element in one set alone links nothing and only takes up a position
     by = np.lexsort((element, frequency[element], owner))
     element = element[by]
     begin = np.concatenate(([0], np.cumsum(size)))
-    position = np.arange(len(flat)) - begin[owner]
+    position = np.arange(len(element)) - begin[owner]
     # index lists by element; in a list blocks by size, in a block by position
     listed = np.lexsort((position, size[owner], element))
     list_of = np.concatenate(([0], np.cumsum(frequency)))
@@ -128,11 +151,9 @@ def unit_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     def candidates(i) -> np.ndarray:
         """Sets after i (not smaller) that share a prefix element where size and position allow a link."""
         n, out = size[i], []
-        for p in range(prefix_length(n)):
-            e = element[begin[i] + p]
-            a, b = list_of[e], list_of[e + 1]
-            if b - a == 1:
-                continue
+        first = element[begin[i]:begin[i] + index_prefix_length(n)]
+        for p in np.flatnonzero(frequency[first] > 1).tolist():
+            a, b = list_of[first[p]], list_of[first[p] + 1]
             a, b = np.searchsorted(l_size[a:b], (n, n * 100 // PERCENT), "left")[0] + a, np.searchsorted(l_size[a:b], n * 100 // PERCENT, "right") + a
             while a < b:
                 block = int(np.searchsorted(l_size[a:b], l_size[a], "right")) + a
@@ -149,9 +170,15 @@ def unit_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         return element[begin[i]:begin[i + 1]]
     answered = np.zeros(m, bool)
     marks = np.zeros(len(frequency), bool)
+    roots, known = np.arange(m), 0
     for i in range(m):
         if answered[i]:
             continue
+        if len(links) > known:
+            roots, known = np.fromiter((find(j) for j in range(m)), np.int64, m), len(links)
+        within = np.searchsorted(size, size[i] * 100 // PERCENT, "right")
+        if (roots[i:within] == roots[i]).all():
+            continue  # all that it could reach from here on
         near = candidates(i)
         near = near[[find(j) != find(i) for j in near]]
         if not len(near):
@@ -168,7 +195,7 @@ def unit_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         join(i, similar)
         answered[i] = True
         distance = 1 - common / (size[i] + size - common)
-        roots = np.fromiter((find(j) for j in range(m)), np.int64, m)
+        roots, known = np.fromiter((find(j) for j in range(m)), np.int64, m), len(links)
         for j in similar:
             if answered[j]:
                 continue
@@ -179,7 +206,8 @@ def unit_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             more, less = np.setdiff1d(elements(j), elements(i), True), np.setdiff1d(elements(i), elements(j), True)
             derived = common + np.bincount(lists(more), minlength=m) - np.bincount(lists(less), minlength=m)
             join(j, np.flatnonzero(linked(derived, size[j], size) & (derived > 0)))
-            roots = np.fromiter((find(x) for x in range(m)), np.int64, m)
+            if len(links) > known:
+                roots, known = np.fromiter((find(x) for x in range(m)), np.int64, m), len(links)
     return links
 
 
@@ -187,41 +215,80 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def _sets_and_counts(texts: DataFrame) -> DataFrame:
-    """kind 0: doc_id, digest, n of every row. kind 1: shingle (as digest) and how many of a task's sets hold it, if several do."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """doc_id, digest, n of every row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n, seen = [], 0, set()
-
-        def counted():
-            s, c = np.unique(np.concatenate(held), return_counts=True)
-            s, c = s[c >= 4], c[c >= 4]
-            return pd.DataFrame({"kind": np.ones(len(s), np.int32), "doc_id": pd.array([None] * len(s), "Int64"),
-                                 "digest": s.view(np.int64), "n": c.astype(np.int64)})
         for b in batches:
             sets = shingle_sets(b["text"].tolist(), WORDS)
-            keys = [digest(s) for s in sets]
-            yield pd.DataFrame({"kind": np.zeros(len(b), np.int32), "doc_id": b["doc_id"].astype("Int64"), "digest": keys,
-                                "n": [len(s) for s in sets]})
-            for k, s in zip(keys, sets, strict=True):
-                if k not in seen:
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": [digest(s) for s in sets], "n": [len(s) for s in sets]})
+    return texts.mapInPandas(run, "doc_id long, digest long, n long")
+
+
+def _counts(texts: DataFrame, buckets: int) -> DataFrame:
+    """key, n: how many sets hold a shingle, where that is three or more (each task counts equal sets once)."""
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, total, seen = [], 0, set()
+
+        def packed():
+            keys, times = np.unique(count_keys(np.concatenate(held), buckets), return_counts=True)
+            cut = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+            rows = []
+            for bucket, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                if z > a:
+                    part = keys[a:z] & np.uint64(0xFFFFFFFF)
+                    steps = np.concatenate((part[:1], np.diff(part)))
+                    rows.append((bucket, z - a, simple8b.encode(steps).astype("<u8").tobytes(),
+                                 simple8b.encode(times[a:z]).astype("<u8").tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "size", "steps", "times"])
+        for b in batches:
+            for s in shingle_sets(b["text"].tolist(), WORDS):
+                key = digest(s)
+                if len(s) and key not in seen:
                     held.append(s)
-                    n += len(s)
-                    seen.add(k)
-                if n >= COUNT_BATCH:
-                    yield counted()
-                    held, n, seen = [], 0, set()
+                    total += len(s)
+                    seen.add(key)
+                if total >= COUNT_BATCH:
+                    yield packed()
+                    held, total, seen = [], 0, set()
         if held:
-            yield counted()
-    return texts.mapInPandas(run, "kind int, doc_id long, digest long, n long")
+            yield packed()
 
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, bucket = [], None
 
-def _order(counts: DataFrame) -> Order:
-    """The frequency classes of the COMMON commonest shingles (at most 16 MB)."""
-    total = counts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(COMMON)
-    got = total.select("digest", F.log2("n").cast("int").alias("c")).toPandas()
-    s, c = got["digest"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int8)
-    by = np.argsort(s)
-    return Order(s[by], c[by])
+        def added():
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([t for _, t in held])).astype(np.int64)
+            return pd.DataFrame({"key": keys[n >= 3].astype(np.int64) + (bucket << 32), "n": n[n >= 3]})
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if r.bucket != bucket and held:
+                    yield added()
+                    held = []
+                bucket = int(r.bucket)
+                held.append((np.cumsum(simple8b.decode(np.frombuffer(r.steps, "<u8"), r.size)),
+                             simple8b.decode(np.frombuffer(r.times, "<u8"), r.size).astype(np.int64)))
+        if held:
+            yield added()
+    parts = texts.mapInPandas(pack, "bucket int, size int, steps binary, times binary")
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(add, "key long, n long")
+
+
+def _order(texts: DataFrame) -> Order:
+    """The frequency classes of at most COMMON shingles, the commonest (at most 16 MB reach the driver)."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(1 << 20, 1 << max(8, (4 * partitions - 1).bit_length()))
+    counts = stored(_counts(texts, buckets).withColumn("grade", F.floor(8 * F.log2("n")).cast("int")), "shingle-counts")
+    least, room = 0, COMMON
+    for r in counts.groupBy("grade").count().orderBy(F.desc("grade")).collect():
+        room -= r["count"]
+        if room < 0:
+            least = r.grade + 1
+            break
+    got = counts.filter(F.col("grade") >= least).select("key", "grade").toArrow()
+    keys, grades = got["key"].to_numpy().astype(np.uint64), got["grade"].to_numpy()
+    by = np.argsort(keys)
+    return Order(keys[by], (grades[by] // 8).astype(np.int8), buckets)
 
 
 def _under_leaders(texts: DataFrame, order: Order) -> DataFrame:
@@ -242,38 +309,59 @@ def _under_leaders(texts: DataFrame, order: Order) -> DataFrame:
                     keys.append(key)
             if parts:
                 n = [len(p) for p in parts]
+                beyond = np.concatenate([np.arange(len(p)) >= index_prefix_length(k) for p, (_, k) in zip(parts, keys, strict=True)])
                 yield pd.DataFrame({"shingle": np.concatenate(parts).view(np.int64), "digest": np.repeat([k for k, _ in keys], n),
-                                    "n": np.repeat([k for _, k in keys], n).astype(np.int32)})
+                                    "n": np.repeat([k for _, k in keys], n).astype(np.int32), "beyond": beyond})
 
     def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # the row before, its run's leader, and whether the leader has been told
-        shingle = digest_ = size = leader = leader_n = None
+        # of the run that goes on: the row before, the leader, whether it has been told, and the last member
+        before = leader = member = None
         told = False
         for b in batches:
             if not len(b):
                 continue
             s, d, n = b["shingle"].to_numpy(), b["digest"].to_numpy(), b["n"].to_numpy().astype(np.int64)
-            ps, pd_, pn = (np.concatenate(([x[0] if y is None else y], x[:-1])) for x, y in ((s, shingle), (d, digest_), (n, size)))
+            index = ~b["beyond"].to_numpy(bool)
+            ps, pn = before or (s[0], n[0])
+            ps, pn = np.concatenate(([ps], s[:-1])), np.concatenate(([pn], n[:-1]))
             new = (s != ps) | (n * PERCENT > pn * 100)
-            if shingle is None:
-                new[0] = True
-            same = ~new & (d == pd_) & (n == pn)  # the same set from several tasks
-            run = np.cumsum(new)  # 0: the run that the batch before began
-            first = np.flatnonzero(new)
-            ld = np.concatenate(([0 if leader is None else leader], d[first]))[run]
-            ln = np.concatenate(([0 if leader_n is None else leader_n], n[first]))[run]
-            member = ~new & ~same
-            with_members = np.unique(run[member])
-            out = pd.DataFrame({"lead": ld[member], "lead_n": ln[member], "digest": d[member], "n": n[member]})
-            own = [r for r in with_members.tolist() if r or not told]
-            heads = pd.DataFrame({"lead": [leader if r == 0 else d[first[r - 1]] for r in own],
-                                  "lead_n": [leader_n if r == 0 else n[first[r - 1]] for r in own]}, dtype=np.int64)
-            heads["digest"], heads["n"] = heads["lead"], heads["lead_n"]
-            yield pd.concat([out, heads]).drop_duplicates()
-            told = bool(len(with_members) and with_members[-1] == run[-1]) or (told and run[-1] == 0)
-            shingle, digest_, size, leader, leader_n = s[-1], d[-1], n[-1], ld[-1], ln[-1]
-    postings = texts.mapInPandas(post, "shingle long, digest long, n int")
-    dealt = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "digest")
+            new[0] |= before is None
+            before = s[-1], n[-1]
+            if new[0]:
+                leader = member = None
+                told = False
+            run = np.cumsum(new)
+            run -= run[0]
+            # rows from a run's first index row on
+            begin = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+            seen = np.cumsum(index)
+            seen = seen - (seen[begin] - index[begin])[run] > 0
+            if leader is not None:
+                seen |= run == 0
+            last_run = run[-1]
+            run, d, n = run[seen], d[seen], n[seen]
+            head = np.concatenate(([True], run[1:] != run[:-1]))[:len(run)]
+            if leader is not None and len(run) and run[0] == 0:
+                head[0] = False
+            at = np.cumsum(head) - 1  # of the head; -1: the leader from before
+            hd, hn = d[head], n[head]
+            ld = np.where(at < 0, leader[0] if leader else 0, hd[at] if len(hd) else 0)
+            ln = np.where(at < 0, leader[1] if leader else 0, hn[at] if len(hn) else 0)
+            pd_, pn_ = (np.concatenate(([m], v[:-1])) for m, v in zip(member or (0, 0), (d, n), strict=True)) if len(d) else (d, n)
+            joins = ~head & ~((d == pd_) & (n == pn_))  # not the same set from another task
+            out = pd.DataFrame({"lead": ld[joins], "lead_n": ln[joins], "digest": d[joins], "n": n[joins]})
+            heads = out[["lead", "lead_n"]].drop_duplicates()
+            if told and leader is not None:
+                heads = heads[(heads["lead"] != leader[0]) | (heads["lead_n"] != leader[1])]
+            yield pd.concat([out, heads.assign(digest=heads["lead"], n=heads["lead_n"])]).drop_duplicates()
+            if len(run) and run[-1] == last_run:
+                told = bool(joins[run == last_run].any()) or (told and last_run == 0)
+                leader, member = (int(ld[-1]), int(ln[-1])), (int(d[-1]), int(n[-1]))
+            elif last_run > 0:
+                leader = member = None
+                told = False
+    postings = texts.mapInPandas(post, "shingle long, digest long, n int, beyond boolean")
+    dealt = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "beyond", "digest")
     return dealt.mapInPandas(lead, "lead long, lead_n long, digest long, n long").distinct()
 
 
@@ -281,9 +369,9 @@ def _with_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
     """digest, n, text: one text for every set among the members. A bitmap of fixed size keeps most others from being moved."""
     place = F.pmod("digest", F.lit(FILTER_BITS))
     words = members.select(place.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits")).toPandas()
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["w"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -344,9 +432,8 @@ def _linked_sets(texts: DataFrame, members: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) of every row."""
     texts = _texts(docs, id_col, text_col)
-    both = stored(_sets_and_counts(texts), "shingle-sets")
-    sets = both.filter("kind = 0").select("doc_id", "digest", "n")
-    members = stored(_under_leaders(texts, _order(both.filter("kind = 1").select("digest", "n"))), "candidates")
+    sets = stored(_sets(texts), "shingle-sets")
+    members = stored(_under_leaders(texts, _order(texts)), "candidates")
     links = stored(_linked_sets(texts, members), "set-links")
     # equal sets are one node: its smallest id; sets that only rows without id have get ids below all others
     nodes = sets.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("first"))
