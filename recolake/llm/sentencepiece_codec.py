@@ -207,7 +207,8 @@ def decoded(rows: DataFrame, model_file: str, ids_col: str = "ids", text_name: s
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = _pieces(model_file)
         for column in columns:
-            yield pd.Series([None if ids is None else pieces.decode(ids.tolist()) for ids in column], dtype=object)
+            # arrays from a table, lists where the encoder runs in the same stage
+            yield pd.Series([None if ids is None else pieces.decode(list(map(int, ids))) for ids in column], dtype=object)
     return rows.withColumn(text_name, run(F.col(ids_col)))
 
 

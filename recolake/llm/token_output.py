@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from . import simple8b
 
 BLOCK_IDS = 1 << 16
-CACHE_CHARS = 3 << 20  # of the pieces that a worker remembers, about 100 MB with their ids
+CACHE_CHARS = 5 << 20  # of the pieces that a worker remembers, about 150 MB with their ids
+SHORT = 8  # pieces up to this length, the common ones, are kept when the memory is full
 END_ID = 2
 
 # white space before a space: there the pretokenizer looks back, so such a text is encoded whole
@@ -111,7 +112,10 @@ class PieceEncoder:
         # the first piece of a text has no space before it, every other one has
         first = self._whole([t if p is None else p[0] for t, p in zip(texts, safe, strict=True)])
         if self.size > CACHE_CHARS:
-            self.known, self.size = {}, 0
+            self.known = {p: ids for p, ids in self.known.items() if len(p) <= SHORT}
+            self.size = sum(map(len, self.known))
+            if 2 * self.size > CACHE_CHARS:
+                self.known, self.size = {}, 0
         self._learn(set().union(*(p for p in safe if p)) - self.known.keys())
         return [np.frombuffer(head if p is None else head + b"".join(map(self.known.__getitem__, p[1:])), np.uint32)
                 for head, p in zip(first, safe, strict=True)]
