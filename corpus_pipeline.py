@@ -43,6 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def code_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with ``ids``, and the text as decoded from them."""
+    # ids of whole texts are long rows: smaller batches bound what a Python worker holds
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     model = public_tokenizers.path("piece_bpe_32k.model")
     return sentencepiece_codec.decoded(sentencepiece_codec.encoded(docs, model), model)
 
