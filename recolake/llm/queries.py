@@ -47,7 +47,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(documents(spark, sf_dir), license_scan.templates(spark))
+    return license_scan.scan(documents(spark, sf_dir), license_scan.templates(spark), short=license_scan.short_templates(spark))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,6 +214,33 @@ def test_licenses_partial_and_native(spark, make):
         license_scan.scan(make([]), license_scan.templates(spark, {"x": ["too few words"]}))
 
 
+def test_licenses_short_notices_and_kindred_licenses(spark, make):
+    rows = [(1, "x y. ALL rights, reserved"), (2, "All rights reserved. " * 3), (3, "all rights are reserved"), (4, "ISC license"), (5, "licensed"),
+            (6, "w " * 9000 + "// SPDX-License-Identifier: BSD-2-Clause"), (7, "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), (8, None), (9, "")]
+    gnu = "This library is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    kinds = [("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", "3", "LGPL-3.0"), ("Affero ", "3", "AGPL-3.0")]
+    rows += [(10 + i, gnu.format(kind, version)) for i, (kind, version, _) in enumerate(kinds)]
+    cc = ["", "-ShareAlike", "-NoDerivatives", "-NonCommercial", "-NonCommercial-ShareAlike", "-NonCommercial-NoDerivatives"]
+    rows += [(20 + i, f"This work is licensed under a Creative Commons Attribution{x} 4.0 International License.") for i, x in enumerate(cc)]
+    found = license_scan.scan(make(rows), license_scan.templates(spark), short=license_scan.short_templates(spark))
+    got = {}
+    for x in found.collect():
+        got.setdefault(x.doc_id, []).append((x.license, x.containment, x.first_word, x.n_windows))
+    reserved = "LicenseRef-All-Rights-Reserved"
+    assert {i: x for i, x in got.items() if i < 7} == {1: [(reserved, 1.0, 2, 1)], 2: [(reserved, 1.0, 0, 3)], 4: [("ISC", 1.0, 0, 1)], 6: [("BSD-2-Clause", 1.0, 9000, 1)]}
+    assert {i: {n for n, *_ in x} for i, x in got.items() if i >= 7} == {
+        7: {"GPL-2.0"}, **{10 + i: {name} for i, (*_, name) in enumerate(kinds)},
+        **{20 + i: {name} for i, name in enumerate(["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"])}}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_every_notice_is_found_under_its_own_license_only(spark, make):
+    texts = [(name, x) for d in (license_scan.NOTICES, license_scan.SHORT_NOTICES) for name, xs in d.items() for x in xs]
+    found = license_scan.scan(make([(i, x) for i, (_, x) in enumerate(texts)]), license_scan.templates(spark), short=license_scan.short_templates(spark))
+    assert {(x.doc_id, x.license) for x in found.collect()} == {(i, name) for i, (name, _) in enumerate(texts)}
+
+
 def test_quotas_fill_by_weight_and_stop_at_the_repeats():
     assert mixing.quotas({}) == {}
     got = mixing.quotas({"a": 1, "b": 100, "c": 100, None: 99})
