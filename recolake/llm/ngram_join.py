@@ -14,6 +14,9 @@ overlaps with all others are counted once; those of a set highly similar to it a
 lists of the shingles it has more and subtracting those it has less. Sets that can only reach what they are
 connected with already, by the triangle inequality of the Jaccard distance, need no answer of their own.
 
+Numbers of links (``unit_counts``, for ``jaccard_join``): every pair of a unit is evaluated, weighted by how many rows have the
+sets; a pair under several leaders counts under the first of them, a pair of one part in the part's own cell.
+
 Equal sets collapse before any of this: they travel as one (a 64-bit digest with the set's size). Units above UNIT_SHINGLES
 shingles are cut into cells that pair up all their parts, so no pair is lost and no task holds more.
 
@@ -211,6 +214,90 @@ def unit_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
+def unit_counts(sets: list[np.ndarray], weight: np.ndarray, leads: list[np.ndarray], part: np.ndarray | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For every sorted set the weight of all sets that it links with, and a spanning forest of these links. Every pair is evaluated,
+    but for those that belong to another unit (they share one of the given leaders) or cell (they are of one part)."""
+    counts, links = np.zeros(len(sets), np.int64), []
+    order = np.arange(len(sets))
+    while True:
+        m = len(order)
+        if m < 2:
+            return counts, links
+        size = np.array([len(sets[i]) for i in order], np.int64)
+        owner = np.repeat(np.arange(m), size)
+        _, element, frequency = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+        # a set that shares too little even with all others together links with none
+        able = np.bincount(owner, frequency[element] > 1, m) * 100 >= size * PERCENT
+        if able.all():
+            break
+        order = order[able]
+    weight = weight[order]
+    part = None if part is None else part[order]
+    listed = owner[np.argsort(element, kind="stable")]
+    list_of = np.concatenate(([0], np.cumsum(frequency)))
+    begin = np.concatenate(([0], np.cumsum(size)))
+    # the shared leaders in the same way; sets with the same leaders have the same answer
+    groups: dict[bytes, int] = {}
+    group = np.array([groups.setdefault(np.sort(leads[i]).tobytes(), len(groups)) for i in order])
+    signature = [np.frombuffer(x, np.int64) for x in groups]
+    lead_of = np.repeat(np.arange(len(signature)), [len(x) for x in signature])
+    _, lead, held = np.unique(np.concatenate(signature), return_inverse=True, return_counts=True)
+    led = lead_of[np.argsort(lead, kind="stable")]
+    led_at = np.concatenate(([0], np.cumsum(held)))
+    lead_begin = np.concatenate(([0], np.cumsum([len(x) for x in signature])))
+
+    def lists(which, owners, at, n) -> np.ndarray:
+        a, n = at[which], n[which]
+        return owners[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(which) else np.zeros(0, np.int64)
+
+    def elements(i) -> np.ndarray:
+        return element[begin[i]:begin[i + 1]]
+    elsewhere: dict[int, np.ndarray] = {}
+
+    def open_to(i) -> np.ndarray:
+        """The sets after i whose pair with i belongs here."""
+        g = int(group[i])
+        if g not in elsewhere:
+            if len(elsewhere) >= 64:
+                elsewhere.clear()
+            shared = np.zeros(len(signature), bool)
+            shared[lists(lead[lead_begin[g]:lead_begin[g + 1]], led, led_at, held)] = True
+            elsewhere[g] = shared[group]
+        mine = ~elsewhere[g]
+        mine[:i + 1] = False
+        return mine if part is None else mine & (part != part[i])
+    root = np.arange(m)
+
+    def answer(i, common, mine) -> None:
+        near = np.flatnonzero((common > 0) & mine)
+        near = near[linked(common[near], size[i], size[near])]
+        counts[order[i]] += weight[near].sum()
+        counts[order[near]] += weight[i]
+        apart = near[root[near] != root[i]]
+        for r, at in zip(*np.unique(root[apart], return_index=True), strict=True):
+            links.append((int(order[i]), int(order[apart[at]])))
+            root[root == r] = root[i]
+    done = np.zeros(m, bool)
+    for i in range(m):
+        if done[i]:
+            continue
+        done[i] = True
+        mine = open_to(i)
+        if not mine.any():
+            continue
+        common = np.bincount(lists(elements(i), listed, list_of, frequency), minlength=m)
+        answer(i, common, mine)
+        # the rows of highly similar sets are derived from this one
+        for j in np.flatnonzero(~done & (common > 0) & linked(common, size[i], size)).tolist():
+            done[j] = True
+            mine = open_to(j)
+            if mine.any():
+                more, less = np.setdiff1d(elements(j), elements(i), True), np.setdiff1d(elements(i), elements(j), True)
+                answer(j, common + np.bincount(lists(more, listed, list_of, frequency), minlength=m)
+                       - np.bincount(lists(less, listed, list_of, frequency), minlength=m), mine)
+    return counts, links
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -390,8 +477,9 @@ def _with_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "digest long, n long, text string").groupBy("digest", "n").agg(F.min("text").alias("text"))
 
 
-def _linked_sets(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """da, na, db, nb: links between sets that connect all of their components."""
+def _linked_sets(texts: DataFrame, members: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """da, na, db, nb, w: links between sets that connect all of their components (w is null); with weights (digest, n, w) also
+    rows of a set alone (db and nb are null), w the weight of the sets that it links with, to be added up."""
     units = members.groupBy("lead", "lead_n").agg(F.sum("n").alias("total")).withColumn(
         "parts", F.ceil(F.col("total") / UNIT_SHINGLES).cast("int"))
     large = units.filter("parts > 1").select("lead", "lead_n", "parts")
@@ -399,15 +487,31 @@ def _linked_sets(texts: DataFrame, members: DataFrame) -> DataFrame:
     parts = F.coalesce("parts", F.lit(1))
     part = F.pmod(F.xxhash64("digest", "n"), parts).cast("int")
     cells = cells.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cells = cells.select("lead", "lead_n", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "digest", "n")
+    cells = cells.select("lead", "lead_n", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "digest", "n", "part")
     rows = cells.join(_with_texts(texts, members), ["digest", "n"])
+    if weights is not None:
+        # a pair counts under the first leader that both have
+        leads = members.groupBy("digest", "n").agg(F.collect_set("lead").alias("leads"))
+        rows = rows.join(leads, ["digest", "n"]).join(weights, ["digest", "n"])
+        rows = rows.withColumn("leads", F.filter("leads", lambda x: x < F.col("lead")))
     unit = ["lead", "lead_n", "x", "y"]
     rows = rows.repartition(*unit).sortWithinPartitions(*unit, "n", "digest")
 
-    def solve(held: list[pd.DataFrame]) -> list[tuple[int, int, int, int]]:
+    counting = weights is not None
+
+    def solve(held: list[pd.DataFrame]) -> list[tuple[int, int, int | None, int | None, int | None]]:
         whole = pd.concat(held) if len(held) > 1 else held[0]
         d, n = whole["digest"].tolist(), whole["n"].tolist()
-        return [(d[i], n[i], d[j], n[j]) for i, j in unit_links(shingle_sets(whole["text"].tolist(), WORDS))]
+        sets = shingle_sets(whole["text"].tolist(), WORDS)
+        if not counting:
+            return [(d[i], n[i], d[j], n[j], None) for i, j in unit_links(sets)]
+        across = whole["part"].to_numpy() if whole["x"].iloc[0] != whole["y"].iloc[0] else None
+        counts, links = unit_counts(sets, whole["w"].to_numpy(), [np.asarray(x, np.int64) for x in whole["leads"]], across)
+        return [(d[i], n[i], d[j], n[j], None) for i, j in links] + [
+            (d[i], n[i], None, None, int(counts[i])) for i in np.flatnonzero(counts).tolist()]
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["da", "na", "db", "nb", "w"], dtype=object).astype("Int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, at = [], None
@@ -423,18 +527,31 @@ def _linked_sets(texts: DataFrame, members: DataFrame) -> DataFrame:
                     held = []
                 at = key[a]
                 held.append(b.iloc[a:z])
-            yield pd.DataFrame(out, columns=["da", "na", "db", "nb"], dtype=np.int64)
+            yield frame(out)
         if held:
-            yield pd.DataFrame(solve(held), columns=["da", "na", "db", "nb"], dtype=np.int64)
-    return rows.mapInPandas(run, "da long, na long, db long, nb long").distinct()
+            yield frame(solve(held))
+    found = rows.mapInPandas(run, "da long, na long, db long, nb long, w long")
+    return found if counting else found.distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) of every row."""
+    return _joined(docs, id_col, text_col, False)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id as ``jaccard_components``, and n_links: how many other rows link with the row (rows with the
+    same set do, also those that repeat its id; rows without words link with none). Every linked pair of sets is evaluated."""
+    return _joined(docs, id_col, text_col, True)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, counting: bool) -> DataFrame:
     texts = _texts(docs, id_col, text_col)
     sets = stored(_sets(texts), "shingle-sets")
     members = stored(_under_leaders(texts, _order(texts)), "candidates")
-    links = stored(_linked_sets(texts, members), "set-links")
+    weights = stored(sets.filter("n > 0").groupBy("digest", "n").agg(F.count(F.lit(1)).alias("w")), "set-weights") if counting else None
+    answers = stored(_linked_sets(texts, members, weights), "set-links")
+    links = answers.filter("db is not null")
     # equal sets are one node: its smallest id; sets that only rows without id have get ids below all others
     nodes = sets.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("first"))
     nodes = stored(nodes.withColumn("node", F.coalesce("first", F.xxhash64("digest", "n"))), "set-nodes")
@@ -449,7 +566,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = least.groupBy("root").agg(F.min("first").alias("component_id"))
     label = least.join(known, "root").select(F.col("digest").alias("_d"), F.col("n").alias("_n"), "component_id")
     rows = sets.join(label, (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    if not counting:
+        return rows.select(*columns)
+    linked_weight = answers.filter("db is null").groupBy("da", "na").agg(F.sum("w").alias("others"))
+    totals = weights.join(linked_weight, (F.col("digest") == F.col("da")) & (F.col("n") == F.col("na")), "left").select(
+        F.col("digest").alias("_td"), F.col("n").alias("_tn"), (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("_links"))
+    rows = rows.join(totals, (F.col("digest") == F.col("_td")) & (F.col("n") == F.col("_tn")), "left")
+    return rows.select(*columns, F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _repeated(sets: DataFrame) -> DataFrame:

@@ -28,6 +28,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op4_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(documents(spark, sf_dir))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_output.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -54,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_predictions(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_exact_dedup, op4_ngram_jaccard_join, op5_token_output,
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_exact_dedup, op4_ngram_jaccard_join, op4_ngram_jaccard_links, op5_token_output,
                                op6_sentencepiece, op7_source_mixing, op8_quality_classifier, op9_license_scan,
                                op10_language_id)}
 
@@ -107,4 +111,8 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r
 GROUP BY d.doc_id
 """
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL}
+# the same with the number of links
+OP4_LINKS_SQL = OP4_SQL.replace("AS component_id\n", "AS component_id,\n       coalesce(any_value(k.n_links), 0) AS n_links\n").replace(
+    "\nGROUP BY d.doc_id\n", "\n  LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) k ON k.a = d.doc_id\nGROUP BY d.doc_id\n")
+
+ORACLES = {"op1_line_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op4_ngram_jaccard_links": OP4_LINKS_SQL}

@@ -195,6 +195,23 @@ def test_near_copies_order_by_frequency(make, monkeypatch):
     assert sorted(rows_of(ngram_join.jaccard_components(make(rows)))) == brute_components(rows)
 
 
+def brute_links(rows):
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return [sum(1 for j, y in enumerate(sets) if i != j and x & y and 100 * len(x & y) >= 75 * len(x | y)) for i, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("unit", [2_000_000, 300])
+def test_numbers_of_links_against_brute_force(make, monkeypatch, unit):
+    monkeypatch.setattr(ngram_join, "UNIT_SHINGLES", unit)
+    rows = near_rows(200, 8)
+    got = sorted(rows_of(ngram_join.jaccard_join(make(rows))))
+    want = sorted((*x, n) for x, n in zip(sorted(brute_components(rows)), (n for _, n in sorted(zip((i for i, _ in rows), brute_links(rows), strict=True))), strict=True))
+    assert got == want and max(n for *_, n in got) > 2
+
+
 def test_near_copies_repeated_and_null_ids(make):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     got = rows_of(ngram_join.jaccard_components(make([(3, a), (3, b), (5, b), (9, a), (None, a), (None, "x y z"), (2, "q")])))
