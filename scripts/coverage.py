@@ -40,6 +40,8 @@ LIBRARY = {
     "F19": ("functions.text.stable_hash", "test_stable_query_hash"),
     "M13": ("plans.jobs.process_all", "test_jobs_end_to_end"),
     "M12": ("plans.jobs.train_and_save", "test_jobs_end_to_end"),
+    "T1": ("partial: the query searches title, main_category and store; the part table has no description and features", "-"),
+    "T2": ("partial: the query searches title and main_category; the part table has no description and features", "-"),
     "ST10": ("streaming.activity (watermark 1 h)", "test_stream_session_totals_and_late_data"),
 }
 
