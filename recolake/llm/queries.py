@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, token_output
+from . import (ann, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, prefix_trie, quality, sentencepiece_codec,
+               spelling, token_output, warc)
 from .common import documents, scratch_path
 
 
@@ -58,9 +60,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_predictions(documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(warc.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0), f"{path}/monolithic")
+    return warc.page_table(warc.read_records(warc.normalise(spark, f"{path}/monolithic", path)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(spelling.slipped_runs(documents(spark, sf_dir), every=31, least=7), least=2)
+    return spelling.variants(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    return prefix_trie.trie(prefix_trie.grafted(own, F.col("conv_id") - F.col("conv_id") % 5, head, longest=8))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_exact_dedup, op4_ngram_jaccard_join, op4_ngram_jaccard_links, op5_token_output,
                                op6_sentencepiece, op7_source_mixing, op8_quality_classifier, op9_license_scan,
-                               op10_language_id)}
+                               op10_language_id, op11_warc, op12_spelling_variants, op13_prefix_trie)}
 
 OP1_SQL = r"""
 WITH lines AS (
@@ -115,4 +134,86 @@ GROUP BY d.doc_id
 OP4_LINKS_SQL = OP4_SQL.replace("AS component_id\n", "AS component_id,\n       coalesce(any_value(k.n_links), 0) AS n_links\n").replace(
     "\nGROUP BY d.doc_id\n", "\n  LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) k ON k.a = d.doc_id\nGROUP BY d.doc_id\n")
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op4_ngram_jaccard_links": OP4_LINKS_SQL}
+# crc32 over the UTF-8 bytes of a text column: the table from its rule, then a byte at a time
+CRC_TABLE = """
+crc_table AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc(text: str) -> str:
+    return (f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(strlen({text})), lambda k: "
+            f"('0x' || substr(hex({text}), 2 * k + 1, 2))::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))")
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents),
+counted AS (
+  SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS marked, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, times, {_crc('marked')} AS h FROM counted, crc_table),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM hashed GROUP BY ALL),
+v AS MATERIALIZED (SELECT word, n FROM words WHERE length(word) >= 7 AND n >= 2),
+cut AS MATERIALIZED (
+  SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM v, (SELECT unnest(range(0, (SELECT max(length(word)) FROM v))) AS p)
+  WHERE p < length(word)),
+near AS MATERIALIZED (
+  SELECT DISTINCT * FROM (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+    UNION ALL SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word
+    UNION ALL SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word)),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+form AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN top END AS form_n,
+         CASE WHEN top >= 10 * v.n THEN (SELECT min(o.other) FROM near o WHERE o.word = v.word AND o.other_n = top) END AS form
+  FROM v LEFT JOIN best ON best.word = v.word),
+chain(word, last_form, step) AS (
+  SELECT word, word, 0 FROM form UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN form f ON f.word = c.last_form WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM form f JOIN (SELECT word, arg_max(last_form, step) AS root FROM chain GROUP BY word) r ON r.word = f.word
+"""
+
+OP13_SQL = f"""
+WITH {CRC_TABLE},
+own AS (
+  SELECT conv_id, list(turn_id ORDER BY turn NULLS FIRST, turn_id) AS steps, list(size ORDER BY turn NULLS FIRST, turn_id) AS sizes
+  FROM (SELECT conv_id, turn, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_id,
+               strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id),
+marked AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc('conv_id::VARCHAR')} % 9 AS h, steps, sizes FROM own, crc_table),
+whole AS (
+  SELECT m.conv_id, coalesce(b.steps[1:m.h], []) || m.steps[m.h + 1:] AS steps, coalesce(b.sizes[1:m.h], []) || m.sizes[m.h + 1:] AS sizes
+  FROM marked m LEFT JOIN own b ON b.conv_id = m.base),
+prefixes AS MATERIALIZED (
+  SELECT conv_id, d AS depth, array_to_string(steps[1:d], '') AS node, array_to_string(steps[1:d - 1], '') AS parent,
+         CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(steps) AS ends
+  FROM whole, (SELECT unnest(range(0, (SELECT max(len(steps)) + 1 FROM whole))) AS d) WHERE d <= len(steps)),
+nodes AS MATERIALIZED (
+  SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, depth),
+kids AS (SELECT parent, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent),
+below AS (
+  SELECT p.node, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum(u.saved)::BIGINT AS saved_tokens
+  FROM nodes u LEFT JOIN kids k ON k.parent = u.node JOIN prefixes p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY p.node)
+SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes a ON a.node = n.parent AND n.depth > 0 LEFT JOIN kids k ON k.parent = n.node JOIN below b ON b.node = n.node
+"""
+
+ORACLES = {"op1_line_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op4_ngram_jaccard_links": OP4_LINKS_SQL,
+           "op11_warc": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_prefix_trie": OP13_SQL}

@@ -19,7 +19,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS FROM '{SMALL}/{t}.parquet'")
     return c
 
