@@ -79,7 +79,7 @@ def test_pieces_equal_sentencepiece():
     texts = ODD + ["<s>", "</s><unk>", "<0x0A>", "a" * 300, "ab" * 200, " " * 99, f"x{MARK}y", "퟿"]
     texts += ["".join(r.choices([*"aabbeettnniisshh. \n\t日é0127<>", MARK, "the", " in", "ing", "   "], k=r.randrange(30))) for _ in range(3000)]
     ids = pieces.encode(texts)
-    assert ids == library.encode(texts)
+    assert [x.tolist() for x in ids] == library.encode(texts)
     assert [pieces.decode(x) for x in ids] == [library.decode(x) for x in ids]
 
 
@@ -101,11 +101,43 @@ def test_unigram_viterbi_and_shared_prefixes():
     words = ["".join(r.choices("abcx", k=r.randrange(1, 12))) for _ in range(300)]
     together = p.segment_all(list(set(words)))
     for w in words:
-        parts = together[w]
-        assert "".join(parts) == w
-        score = sum(p.scores[p.id_of[x]] if x in p.id_of else p.worst for x in parts)
+        ids = np.frombuffer(together[w], np.int32).tolist()
+        assert "".join("" if i == 0 else vocabulary[i] for i in ids) == w.replace("x", "")
+        score = sum(p.scores[i] for i in ids if i) + p.worst * w.count("x")
         assert abs(score - brute_unigram(p, w)) < 1e-9
-        assert p.segment_all([w])[w] == parts
+        assert p.segment_all([w])[w] == together[w]
+
+
+def test_neighbours_equal_merging_by_definition():
+    p, r = Pieces.load(MODEL), random.Random(5)
+    ids = [i for i in p.id_of.values() if p.pieces[i].isascii()]
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(4000)]
+    for _ in range(300):  # the neighbours in real words, and pieces cut elsewhere
+        whole = p.pieces[r.choice(ids)] + p.pieces[r.choice(ids)]
+        pairs += [(p.id_of[whole[:k]], p.id_of[whole[k:]]) for k in range(1, len(whole)) if whole[:k] in p.id_of and whole[k:] in p.id_of]
+    for a, b in pairs:
+        x, y = p.pieces[a], p.pieces[b]
+        assert p._neighbours(a, b) == (p.merged(x + y) == [x, y]), (x, y)
+
+
+def test_model_kind_is_read_from_the_file():
+    def message(kind):
+        trainer = b"\x0a\x01x" + (b"" if kind is None else bytes([3 << 3, kind]))
+        return b"\x0a\x03abc" + bytes([2 << 3 | 2, len(trainer)]) + trainer
+    assert Pieces.load(MODEL).kind == "bpe"
+    assert [sentencepiece_codec.model_kind(message(k)) for k in (None, 1, 2)] == ["unigram", "unigram", "bpe"]
+    with pytest.raises(ValueError, match="type 3"):
+        sentencepiece_codec.model_kind(message(3))
+
+
+def test_words_forgotten_and_found_again(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_PAIRS", 20)
+    p, library, r = Pieces.load(MODEL), SentencePieceProcessor(model_file=MODEL), random.Random(9)
+    for _ in range(60):
+        texts = [" ".join("".join(r.choices("abcde", k=3)) for _ in range(8)) for _ in range(3)]
+        assert [x.tolist() for x in p.encode(texts)] == library.encode(texts)
+    assert len(p.known) < 60 and len(p._fits) <= 21
 
 
 def test_codec_columns(make):
@@ -116,6 +148,11 @@ def test_codec_columns(make):
     for r in sentencepiece_codec.decoded(coded, MODEL, text_name="back").collect():
         assert r.ids == (None if r.text is None else library.encode(r.text))
         assert r.back == (None if r.text is None else library.decode(r.ids))
+    both = sentencepiece_codec.coded(docs, MODEL)
+    assert both.columns == [*docs.columns, "ids"]
+    for r in both.collect():
+        assert r.ids == (None if r.doc_id == 99 else library.encode(ODD[r.doc_id]))
+        assert r.text == (None if r.doc_id == 99 else library.decode(r.ids))
     for r in sentencepiece_codec.round_trip(docs, MODEL).collect():
         if r.doc_id == 99:
             assert (r.n_pieces, r.ids, r.decoded_sha256, r.lossless) == (0, None, None, None)
