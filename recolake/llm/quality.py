@@ -1,8 +1,9 @@
 """Quality classifier: a regularised quadratic discriminant over document statistics.
 
 Every text becomes a vector of transformed statistics. Per class the count, mean and covariance
-come from sums that Spark adds up over all labelled rows; each covariance is shrunk towards the pooled one and that towards
-its mean variance, and factored once (Cholesky). A row's score is the posterior of class 1 from the
+come from sums that Spark adds up over all labelled rows; each covariance is shrunk towards the pooled one, which counts
+as one row per statistic, and the pooled one towards its mean variance by the analytic share of Ledoit and Wolf; so few rows
+are trusted little. Each is factored once (Cholesky). A row's score is the posterior of class 1 from the
 difference of the two Gaussian log densities (Mahalanobis distances by the cached factors).
 
 Defined results: a null text counts as empty, and an empty text has a score like any other; labels that are null or neither
@@ -27,8 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, stored
 
-SHRINK_TO_POOLED = 0.1
-SHRINK_TO_SPHERE = 0.02
+LEAST_SHRINKAGE = 0.02
 THRESHOLD = 0.3
 
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()?-]")
@@ -91,42 +91,57 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
 
 
-def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Per class of rows (x, y): count, sum and sum of outer products, added up by Spark; what
-    reaches the driver is of the size of one covariance matrix per class."""
+def moments(rows: DataFrame, centres: np.ndarray | None = None, scale: np.ndarray | None = None) -> dict[int, tuple[float, np.ndarray, np.ndarray, float]]:
+    """Per class of rows (x, y), with x less the class's centre and over the scale: count, sum, sum of outer products, and sum of the fourth
+    powers of the lengths, added up by Spark; what reaches the driver is of the size of one covariance matrix per class."""
     d = len(STATISTICS)
+    centres, scale = np.zeros((2, d)) if centres is None else centres, np.ones(d) if scale is None else scale
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, 1 + d + d * d))
+        total = np.zeros((2, 2 + d + d * d))
         for b in batches:
             x, y = np.array(b["x"].tolist()).reshape(-1, d), b["y"].to_numpy()
             for c in (0, 1):
-                own = x[y == c]
-                total[c] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
+                own = (x[y == c] - centres[c]) / scale
+                fourth = ((own ** 2).sum(axis=1) ** 2).sum(keepdims=True)
+                total[c] += np.concatenate(([len(own)], fourth, own.sum(axis=0), (own.T @ own).ravel()))
         yield pd.DataFrame({"y": np.repeat([0, 1], total.shape[1]), "at": np.tile(np.arange(total.shape[1]), 2),
                             "value": total.ravel()})
     sums = rows.mapInPandas(run, "y int, at int, value double").groupBy("y", "at").agg(F.sum("value").alias("value"))
-    total = np.zeros((2, 1 + d + d * d))
+    total = np.zeros((2, 2 + d + d * d))
     for r in sums.collect():
         total[r.y, r.at] = r.value
-    return {c: (total[c, 0], total[c, 1:1 + d], total[c, 1 + d:].reshape(d, d)) for c in (0, 1)}
+    return {c: (total[c, 0], total[c, 2:2 + d], total[c, 2 + d:].reshape(d, d), total[c, 1]) for c in (0, 1)}
 
 
-def fit(rows: DataFrame, to_pooled: float = SHRINK_TO_POOLED, to_sphere: float = SHRINK_TO_SPHERE) -> Discriminant:
-    """From rows (x, y)."""
-    m = moments(rows)
-    n0, n1 = m[0][0], m[1][0]
+def shrinkage(n: float, spread: np.ndarray, fourth: float, target: np.ndarray) -> float:
+    """How far to move a covariance of n centred rows towards a target (Ledoit and Wolf): its variance, from the fourth powers of the
+    rows' lengths, over its squared distance from the target. Few rows give a share near 1, many a share near 0."""
+    noise = (fourth / n - (spread ** 2).sum()) / n
+    away = ((spread - target) ** 2).sum()
+    return float(min(1.0, max(0.0, noise) / away)) if away > 0 else 1.0
+
+
+def fit(rows: DataFrame) -> Discriminant:
+    """From rows (x, y); the first pass finds centres and scales, the second the centred moments."""
+    first = moments(rows)
+    n0, n1 = first[0][0], first[1][0]
     if min(n0, n1) < 2:
         return Discriminant(math.log((n1 + 0.5) / (n0 + 0.5)) if n0 + n1 else 0.0)
-    means = [s / n for n, s, _ in m.values()]
-    spreads = [q / n - np.outer(mu, mu) for (n, _, q), mu in zip(m.values(), means, strict=True)]
+    means = np.array([s / n for n, s, *_ in first.values()])
+    variance = sum(np.diag(q) - n * mu ** 2 for (n, _, q, _), mu in zip(first.values(), means, strict=True)) / (n0 + n1)
+    scale = np.sqrt(np.maximum(variance, 1e-9))
+    m = moments(rows, means, scale)
+    spreads = [q / n for n, _, q, _ in m.values()]
     pooled = (n0 * spreads[0] + n1 * spreads[1]) / (n0 + n1)
     sphere = np.eye(len(pooled)) * max(np.trace(pooled) / len(pooled), 1e-9)
+    to_sphere = max(LEAST_SHRINKAGE, shrinkage(n0 + n1, pooled, m[0][3] + m[1][3], sphere))
+    target = (1 - to_sphere) * pooled + to_sphere * sphere
     factors, dets = [], []
-    for s in spreads:
-        shrunk = (1 - to_pooled) * s + to_pooled * pooled
-        factor = np.linalg.cholesky((1 - to_sphere) * shrunk + to_sphere * sphere)
-        factors.append(np.linalg.inv(factor))
+    for c, s in enumerate(spreads):
+        share = len(s) / (m[c][0] + len(s))
+        factor = np.linalg.cholesky((1 - share) * s + share * target)
+        factors.append(np.linalg.inv(factor) / scale)
         dets.append(float(np.log(np.diag(factor)).sum()))
     return Discriminant(math.log(n1 / n0), tuple(means), tuple(factors), tuple(dets))
 

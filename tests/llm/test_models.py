@@ -111,14 +111,21 @@ def test_discriminant_equals_the_density_ratio(spark):
     x = np.concatenate([r.normal(0, 1, (300, d)), r.normal(0.7, 2, (500, d))])
     y = [0] * 300 + [1] * 500
     model = quality.fit(spark.createDataFrame([(a.tolist(), b) for a, b in zip(x, y, strict=True)], "x array<double>, y int"))
-    own = [x[:300], x[300:]]
+    scale = np.sqrt(sum(n * np.cov(a.T, bias=True) for n, a in ((300, x[:300]), (500, x[300:]))).diagonal() / 800)
+    own = [x[:300] / scale, x[300:] / scale]
+    centred = [a - a.mean(axis=0) for a in own]
     cov = [np.cov(a.T, bias=True) for a in own]
     pooled = (300 * cov[0] + 500 * cov[1]) / 800
     ball = np.eye(d) * np.trace(pooled) / d
+    # Ledoit and Wolf by definition: the mean squared error of the rows' own products over the distance from the target
+    noise = np.mean([((np.outer(v, v) - pooled) ** 2).sum() for v in np.concatenate(centred)]) / 800
+    share = max(quality.LEAST_SHRINKAGE, min(1, noise / ((pooled - ball) ** 2).sum()))
+    target = (1 - share) * pooled + share * ball
 
     def density(v, c):
-        s = (1 - quality.SHRINK_TO_SPHERE) * ((1 - quality.SHRINK_TO_POOLED) * cov[c] + quality.SHRINK_TO_POOLED * pooled) + quality.SHRINK_TO_SPHERE * ball
-        z = v - own[c].mean(axis=0)
+        n = len(own[c])
+        s = (n * cov[c] + d * target) / (n + d)
+        z = v / scale - own[c].mean(axis=0)
         return -0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) - 0.5 * np.linalg.slogdet(s)[1]
     logit = np.log(500 / 300) + density(x, 1) - density(x, 0)
     assert np.allclose(model.score(x), 1 / (1 + np.exp(-logit)))

@@ -29,7 +29,7 @@ def test_query_equals_its_sql(spark, con, name):
     got = queries.QUERIES[name](spark, SMALL)
     cols = ", ".join(sorted(got.columns))
     want = con.execute(f"SELECT {cols} FROM ({queries.ORACLES[name]})").fetchall()
-    assert sorted(rows_of(got.select(*sorted(got.columns)))) == sorted(want)
+    assert sorted(rows_of(got.select(*sorted(got.columns))), key=repr) == sorted(want, key=repr)
 
 
 def test_neighbours_query_recall(spark, con):
