@@ -28,7 +28,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share; n_chars follows the text."""
     kept = line_dedup.dedup_lines(docs, line_dedup.new_index(docs))
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def code_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with ``ids``, and the text as decoded from them."""
-    # ids of whole texts are long rows: smaller batches bound what a Python worker holds
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepiece_codec.decoded(sentencepiece_codec.encoded(docs, model), model)
+    return sentencepiece_codec.coded(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [("language identification", identify_language), ("line deduplication", drop_common_lines),
