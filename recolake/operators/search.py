@@ -9,24 +9,20 @@ also matches vocabulary terms within the AUTO edit distance (length <= 2:
 exact, 3-5: 1, more: 2) with weight ``1 - dist / min(len)``; a token's
 score on a document is its best expansion.
 
-Everything is joins on terms - no query x document cross product:
-
-* postings = ``explode(tokens)`` grouped by (doc, term) -> tf;
-* fuzzy candidates are found with a deletion neighbourhood (every variant
-  with up to 2 deleted characters): equal variants are an equi join, and
-  Levenshtein confirms the distance, so only near pairs are ever compared.
+Retrieval is block-max over a stored index (``search_index``), fuzzy expansion a
+pigeonhole join (``fuzzy``): no query x document rows before a block is cut.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..session import scratch_folder
+from . import search_index
+from .fuzzy import auto_fuzziness, fuzzy_expansions  # noqa: F401
 from .popular import top_k_per_key
 
-K1, B = 1.2, 0.75
-
 # (field, boost, kind) of the two reference searches
 SEARCH_AND_RECOMMEND_FIELDS = (("title", 3.0, "text"), ("features", 2.0, "text"),
                                ("main_category", 2.0, "keyword"), ("description", 1.0, "text"),
@@ -35,109 +31,13 @@ SEARCH_PRODUCTS_FIELDS = (("title", 3.0, "text"), ("description", 1.0, "text"),
                           ("main_category", 2.0, "keyword"), ("features", 1.0, "text"))
 
 
-def auto_fuzziness(term: Column) -> Column:
-    n = F.length(term)
-    return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
-
-
-def deletion_variants(term: Column, max_del: int) -> Column:
-    """Distinct strings obtained by deleting up to ``max_del`` (0..2) characters."""
-    n = F.length(term)
-    one = F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                     lambda i: F.concat(F.substring(term, 1, i - 1), F.substr(term, i + 1))))
-    out = F.array(term)
-    if max_del >= 1:
-        out = F.concat(out, F.coalesce(one, F.array().cast("array<string>")))
-    if max_del >= 2:
-        two = F.when(n >= 2, F.flatten(F.transform(
-            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-            lambda i: F.transform(
-                F.sequence(i + 1, F.greatest(n, i + 1)),
-                lambda j: F.concat(F.substring(term, 1, i - 1),
-                                   F.substring(term, i + 1, j - i - 1), F.substr(term, j + 1))))))
-        out = F.concat(out, F.coalesce(two, F.array().cast("array<string>")))
-    return F.array_distinct(out)
-
-
-def _text_value(df: DataFrame, field: str) -> Column:
-    dt = dict(df.dtypes)[field]
-    c = F.col(field)
-    return F.array_join(c, " ") if dt.startswith("array") else c
-
-
-def fuzzy_expansions(query_terms: DataFrame, vocab: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """(qterm, term, dist) pairs with dist <= AUTO(qterm); exact only when not fuzzy."""
-    qt = query_terms.select("qterm").distinct()
-    if not fuzzy:
-        return (qt.join(vocab.select(F.col("term").alias("qterm")), "qterm")
-                .select("qterm", F.col("qterm").alias("term"), F.lit(0).alias("dist")))
-    qv = qt.select("qterm", F.explode(deletion_variants(F.col("qterm"), 2)).alias("_v"))
-    qv = qv.filter(F.length("qterm") - F.length("_v") <= auto_fuzziness(F.col("qterm")))
-    # only vocabulary terms within 2 characters of some query term's length can
-    # be within the edit distance: a semi join on length drops the rest (long
-    # junk tokens never generate their O(len^2) variants)
-    lens = (qt.select(F.explode(F.sequence(F.length("qterm") - 2, F.length("qterm") + 2)).alias("_len"))
-            .distinct())
-    near = vocab.join(lens, F.length(vocab["term"]) == lens["_len"], "left_semi")
-    vv = near.select("term", F.explode(deletion_variants(F.col("term"), 2)).alias("_v"))
-    cand = qv.join(vv, "_v").select("qterm", "term").distinct()
-    dist = F.levenshtein("qterm", "term", 2)
-    return (cand.withColumn("dist", dist)
-            .filter((F.col("dist") >= 0) & (F.col("dist") <= auto_fuzziness(F.col("qterm")))))
-
-
-def _text_field_scores(docs: DataFrame, queries: DataFrame, field: str, boost: float,
-                       fuzzy: bool) -> DataFrame:
-    # a document "has" a text field when the field yields at least one token
-    # (Lucene's docCount), so empty strings / arrays do not count in N or avgdl
-    d = (docs.select("item_id", tokens(_text_value(docs, field)).alias("_t"))
-         .filter(F.size("_t") > 0))
-    # one scalar subquery for both collection statistics
-    stats = d.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl"))).scalar()
-    n_docs, avgdl = stats["n"], stats["avgdl"]
-    # postings carry the document length, so no separate length join
-    tf = (d.select("item_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-          .groupBy("item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qt = queries.select("query", F.posexplode(tokens("query")).alias("pos", "qterm"))
-    exp = fuzzy_expansions(qt, df_.select("term"), fuzzy)
-    weight = 1.0 - F.col("dist") / F.least(F.length("qterm"), F.length("term"))
-    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tfn = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    per_term = (exp.join(df_, "term").join(tf, "term")
-                .select("qterm", "item_id", (weight * idf * tfn).alias("_s")))
-    best = per_term.groupBy("qterm", "item_id").agg(F.max("_s").alias("_s"))
-    return (qt.join(best, "qterm").groupBy("query", "item_id")
-            .agg((F.sum("_s") * boost).alias("score")))
-
-
-def _keyword_field_scores(docs: DataFrame, queries: DataFrame, field: str, boost: float) -> DataFrame:
-    d = docs.filter(F.col(field).isNotNull()).select("item_id", F.col(field).alias("query"))
-    n_docs = d.agg(F.count(F.lit(1))).scalar()
-    df_ = d.groupBy("query").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return (queries.select("query").distinct().join(d, "query").join(df_, "query")
-            .select("query", "item_id", (idf * boost).alias("score")))
-
-
 def search(docs: DataFrame, queries: DataFrame, num: int = 10,
            fields=SEARCH_AND_RECOMMEND_FIELDS, fuzzy: bool = True) -> DataFrame:
-    """T1/T2 for a table of queries: (query, rank, item_id, score), score > 0."""
-    q = queries.select("query").filter(F.col("query").isNotNull()).distinct()
-    parts = []
-    for field, boost, kind in fields:
-        if field not in docs.columns:
-            raise ValueError(f"the documents have no field {field!r}; pass the fields to search")
-        if kind == "keyword":
-            parts.append(_keyword_field_scores(docs, q, field, boost))
-        else:
-            parts.append(_text_field_scores(docs, q, field, boost, fuzzy))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    best = allp.groupBy("query", "item_id").agg(F.max("score").alias("score")).filter(F.col("score") > 0)
-    return top_k_per_key(best, ["query"], [F.round("score", 9).desc(), F.col("item_id")], num).select(
-        "query", "rank", "item_id", "score")
+    """T1/T2 for a table of queries: (query, rank, item_id, score), score > 0. Builds an index for
+    these documents and asks it; a standing collection is indexed once (``search_index.build_index``)."""
+    spark = docs.sparkSession
+    path = search_index.build_index(docs, scratch_folder(spark, "index"), fields)
+    return search_index.search_index(spark, path, queries, num, fields, fuzzy)
 
 
 def regex_search(docs: DataFrame, queries: DataFrame, num: int = 10,

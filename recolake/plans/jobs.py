@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cf, documents, encode, ratings
+from ..operators import cf, documents, encode, ratings, search, search_index
 from ..sinks import writers
 from ..sources import files
 
@@ -77,6 +77,18 @@ def build_search_docs(spark: SparkSession, data_dir: str, model_dir: str, out_pa
     return writers.overwrite_table(docs, out_path)
 
 
+def build_search_index(spark: SparkSession, docs_path: str, index_path: str) -> str:
+    """The stored index over a search-document table, with the fields of both searches."""
+    docs = spark.read.parquet(docs_path).withColumnRenamed("doc_id", "item_id")
+    return search_index.build_index(docs, index_path, search.SEARCH_AND_RECOMMEND_FIELDS)
+
+
+def search_job(spark: SparkSession, index_path: str, queries: DataFrame, num: int = 10, fuzzy: bool = True) -> DataFrame:
+    """T1 (fuzzy) or T2 over a stored index for a table of queries."""
+    fields = search.SEARCH_AND_RECOMMEND_FIELDS if fuzzy else search.SEARCH_PRODUCTS_FIELDS
+    return search_index.search_index(spark, index_path, queries, num, fields, fuzzy)
+
+
 def recommend_job(spark: SparkSession, users: DataFrame, data_dir: str, model_dir: str,
                   num: int = 10, *, fallback_category: str) -> DataFrame:
     """R6 over a table of users with the trained model's factors; ``fallback_category``

@@ -51,6 +51,17 @@ VIEWS: dict[str, str] = {
                cast(json_extract_string(props, '$.k') as bigint) * 1200 - 1 as ttl_s
         from events""",
     "v_customers": "select c_custkey as user_id from customer",
+    "v_described": """
+        select p_partkey as item_id, p_name as title, p_type as main_category, p_brand as store, d.text as description, c.features
+        from part left join documents d on d.doc_id = p_partkey
+        left join (select conv_id, string_agg(text, ' ' order by turn) as features from conversations group by conv_id) c
+          on c.conv_id = p_partkey""",
+    "v_text_queries": """
+        select query from v_search_queries
+        union select array_to_string(t[1:2], ' ') from (
+          select regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from documents
+          where doc_id in (select item_id from v_activity where event_type = 'search'))
+        where len(t) > 0""",
     "v_search_queries": """
         select distinct query from (
           select unnest([lower(p.p_name), p.p_type, p.p_brand]) as query

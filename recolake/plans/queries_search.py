@@ -13,41 +13,42 @@ TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
 AUTO = "case when length({q}) <= 2 then 0 when length({q}) <= 5 then 1 else 2 end"
 
 
-def _search_sql(fuzzy: bool, keyword_fields: list[tuple[str, float]], title_boost: float = 3.0) -> str:
-    exp = (f"""exp as (select q.qterm, v.term, levenshtein(q.qterm, v.term) as dist
-                      from (select distinct qterm from qt) q, tdf v
-                      where levenshtein(q.qterm, v.term) <= {AUTO.format(q='q.qterm')})"""
+# one byte for each letter outside ASCII that the tables hold: DuckDB's levenshtein counts bytes
+ONE_BYTE = "translate({c}, 'äóçßéñèíüêö', '!\"#$%&()*+,')"
+DIST = f"levenshtein({ONE_BYTE.format(c='q.qterm')}, {ONE_BYTE.format(c='v.term')})"
+
+
+def _search_sql(fuzzy: bool, fields) -> str:
+    exp = (f"""exp as (select q.qterm, v.term, {DIST} as dist
+                      from (select distinct qterm from qt) q, (select distinct term from tdf) v
+                      where abs(length(q.qterm) - length(v.term)) <= 2 and {DIST} <= {AUTO.format(q='q.qterm')})"""
            if fuzzy else
            "exp as (select distinct q.qterm, q.qterm as term, 0 as dist from qt q join tdf v on v.term = q.qterm)")
-    kws = []
-    for f, boost in keyword_fields:
-        kws.append(f"""select q.query, d.item_id,
-                              ln(1.0 + (s.n - c.df + 0.5) / (c.df + 0.5)) * {boost} as score
-                       from v_search_queries q join docs d on d.{f} = q.query
-                       join (select {f}, count(*) as df from docs where {f} is not null group by {f}) c
-                         on c.{f} = q.query,
-                       (select count(*) as n from docs where {f} is not null) s""")
-    kw_union = "".join(f" union all {k}" for k in kws)
+    text = [(f, b) for f, b, kind in fields if kind == "text"]
+    tok = " union all ".join(f"select '{f}' as field, {b} as boost, item_id, {TOK.format(c=f)} as t from v_described" for f, b in text)
+    kw_union = "".join(f""" union all
+                       select q.query, d.item_id, ln(1.0 + (s.n - c.df + 0.5) / (c.df + 0.5)) * {boost} as score
+                       from v_text_queries q join v_described d on d.{f} = q.query
+                       join (select {f}, count(*) as df from v_described where {f} is not null group by {f}) c on c.{f} = q.query,
+                       (select count(*) as n from v_described where {f} is not null) s""" for f, boost, kind in fields if kind == "keyword")
     return f"""
-    with docs as (select item_id, title, main_category, store from v_items),
-    td as (select item_id, t from (select item_id, {TOK.format(c='title')} as t from docs) where len(t) > 0),
-    tstats as (select count(*) as n, avg(len(t)) as avgdl from td),
-    tlen as (select item_id, len(t) as dl from td),
-    ttf as (select item_id, term, count(*) as tf from (select item_id, unnest(t) as term from td)
-            group by item_id, term),
-    tdf as (select term, count(*) as df from ttf group by term),
+    with td as (select * from ({tok}) where len(t) > 0),
+    tstats as (select field, count(*) as n, avg(len(t)) as avgdl from td group by field),
+    ttf as (select field, boost, item_id, dl, term, count(*) as tf from (select field, boost, item_id, len(t) as dl, unnest(t) as term from td)
+            group by all),
+    tdf as (select field, term, count(*) as df from ttf group by field, term),
     qt as (select query, unnest(tk) as qterm, unnest(generate_series(1, len(tk))) as pos
-           from (select query, {TOK.format(c='query')} as tk from v_search_queries)),
+           from (select query, {TOK.format(c='query')} as tk from v_text_queries)),
     {exp},
-    pt as (select e.qterm, f.item_id,
+    pt as (select e.qterm, f.field, f.boost, f.item_id,
                   max((1.0 - e.dist / least(length(e.qterm), length(e.term)))
                       * ln(1.0 + (s.n - d.df + 0.5) / (d.df + 0.5))
-                      * (f.tf * 2.2 / (f.tf + 1.2 * (1 - 0.75 + 0.75 * l.dl / s.avgdl)))) as s
-           from exp e join tdf d on d.term = e.term join ttf f on f.term = e.term
-           join tlen l on l.item_id = f.item_id, tstats s
-           group by e.qterm, f.item_id),
-    allp as (select qt.query, pt.item_id, sum(pt.s) * {title_boost} as score
-             from qt join pt on pt.qterm = qt.qterm group by qt.query, pt.item_id{kw_union}),
+                      * (f.tf * 2.2 / (f.tf + 1.2 * (1 - 0.75 + 0.75 * f.dl / s.avgdl)))) as s
+           from exp e join ttf f on f.term = e.term join tdf d on d.term = f.term and d.field = f.field
+           join tstats s on s.field = f.field
+           group by all),
+    allp as (select qt.query, pt.item_id, sum(pt.s) * pt.boost as score
+             from qt join pt on pt.qterm = qt.qterm group by qt.query, pt.item_id, pt.field, pt.boost{kw_union}),
     best as (select query, item_id, max(score) as score from allp group by query, item_id
              having max(score) > 0)
     select query, rank, item_id, score from
@@ -56,21 +57,14 @@ def _search_sql(fuzzy: bool, keyword_fields: list[tuple[str, float]], title_boos
     where rank <= 10"""
 
 
-def _held(fields):
-    """Of an API's fields those that the part table has; it has no description and no features."""
-    return tuple(f for f in fields if f[0] in ("title", "main_category", "store"))
-
-
-@register("search_and_recommend", "T1,T3,T5,L8", _search_sql(True, [("main_category", 2.0), ("store", 1.0)]))
+@register("search_and_recommend", "T1,T3,T5,L8", _search_sql(True, S.SEARCH_AND_RECOMMEND_FIELDS))
 def q_search_and_recommend(spark, d):
-    return S.search(T.products(spark, d), T.search_queries(spark, d), 10,
-                    _held(S.SEARCH_AND_RECOMMEND_FIELDS), fuzzy=True)
+    return S.search(T.described_products(spark, d), T.text_search_queries(spark, d), 10, S.SEARCH_AND_RECOMMEND_FIELDS, fuzzy=True)
 
 
-@register("search_products", "T2,T5,L8", _search_sql(False, [("main_category", 2.0)]))
+@register("search_products", "T2,T5,L8", _search_sql(False, S.SEARCH_PRODUCTS_FIELDS))
 def q_search_products(spark, d):
-    return S.search(T.products(spark, d), T.search_queries(spark, d), 10,
-                    _held(S.SEARCH_PRODUCTS_FIELDS), fuzzy=False)
+    return S.search(T.described_products(spark, d), T.text_search_queries(spark, d), 10, S.SEARCH_PRODUCTS_FIELDS, fuzzy=False)
 
 
 @register("fuzzy_term_expansions", "T3,T5", f"""

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -145,3 +147,20 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = a.join(p, "item_id")
     return (j.select(F.explode(F.array(F.lower("p_name"), "p_type", "p_brand")).alias("query"))
             .distinct())
+
+
+def described_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with all searchable fields: the document of the same key is the description, the turns of the
+    conversation of that key are the features (one text each, in order)."""
+    text = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("description"))
+    said = (read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("item_id"))
+            .agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("_t")).select("item_id", F.col("_t.text").alias("features")))
+    return products(spark, sf_dir).join(text, "item_id", "left").join(said, "item_id", "left")
+
+
+def text_search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``search_queries``, and the first two words of the searched items' descriptions."""
+    a = activity(spark, sf_dir, ("search",)).select("item_id").distinct()
+    text = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    words = F.array_join(F.slice(tokens("text"), 1, 2), " ")
+    return search_queries(spark, sf_dir).union(a.join(text, "item_id").select(words).filter(words != "")).distinct()
