@@ -26,13 +26,20 @@ def bucket_sessions(df: DataFrame, keys: list[str], ts_col: str, ttl_seconds: in
     us = F.unix_micros(F.col(ts_col))
     b = df.select(*keys, us.alias("_us")).withColumn("_b", F.floor(F.col("_us") / ttl_us))
     bk = b.groupBy(*keys, "_b").agg(F.min("_us").alias("_bmin"), F.max("_us").alias("_bmax"))
+    return sessions_of_buckets(bk, keys, ttl_seconds).drop("session_end_us")
+
+
+def sessions_of_buckets(buckets: DataFrame, keys: list[str], ttl_seconds: int) -> DataFrame:
+    """(keys, _b, session_start_us, session_end_us) from each bucket's first and last event (_bmin, _bmax)."""
     w = Window.partitionBy(*keys).orderBy("_b")
-    prev_b = F.lag("_b").over(w)
-    prev_max = F.lag("_bmax").over(w)
-    brk = prev_b.isNull() | (prev_b < F.col("_b") - 1) | (F.col("_bmin") - prev_max > ttl_us)
-    marked = bk.withColumn("_start", F.when(brk, F.col("_bmin")))
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.select(*keys, "_b", F.max("_start").over(run).alias("session_start_us"))
+    prev_b, prev_max = F.lag("_b").over(w), F.lag("_bmax").over(w)
+    next_b, next_min = F.lead("_b").over(w), F.lead("_bmin").over(w)
+    ttl_us = int(ttl_seconds) * _US
+    opens = prev_b.isNull() | (prev_b < F.col("_b") - 1) | (F.col("_bmin") - prev_max > ttl_us)
+    closes = next_b.isNull() | (next_b > F.col("_b") + 1) | (next_min - F.col("_bmax") > ttl_us)
+    marked = buckets.withColumns({"_start": F.when(opens, F.col("_bmin")), "_end": F.when(closes, F.col("_bmax"))})
+    before, after = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return marked.select(*keys, "_b", F.max("_start").over(before).alias("session_start_us"), F.min("_end").over(after).alias("session_end_us"))
 
 
 def with_session(df: DataFrame, keys: list[str], ts_col: str, ttl_seconds: int) -> DataFrame:

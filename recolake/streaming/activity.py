@@ -6,30 +6,30 @@ not on this image's classpath). Results are written by ``foreachBatch`` into
 a parquet table under the session's checkpoint directory (never the driver's
 memory), so a restarted query resumes from its checkpoint.
 
-Late data (ST10): event-time watermark of 1 hour on ``ts``. Rows within the
-watermark are always counted; state older than the watermark is evicted and,
-in append mode, final sessions are emitted then. Rows older than the
-watermark may be dropped (Spark's contract does not promise either way);
-complete mode keeps all state by definition.
+Idle-TTL state (ST4-ST7) is a ``session_log``: late rows join their session, a replayed epoch counts once, a restarted
+query goes on. Late data (ST10): session windows take an event-time watermark (1 hour unless given); rows within it
+are always counted, final sessions are emitted when it has passed. Rows older than the watermark may be
+dropped (Spark's contract does not promise either way); complete mode keeps all state by definition.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-import heapq
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_folder
 from ..sources.tables import activity_from_events
+from .session_log import SessionLog
 
 # ST1: one nullable schema for the five event variants (ISO-8601 timestamp text)
 EVENT_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
     T.StructField("event_type", T.StringType()),
     T.StructField("user_id", T.StringType()),
     T.StructField("timestamp", T.StringType()),
@@ -42,7 +42,7 @@ WATERMARK = "1 hour"
 
 
 def parse_events(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """ST1: JSON text -> typed events, plus the side output of unparsable rows."""
+    """ST1: JSON text -> typed events, plus the side output of unparsable rows (text that is no JSON object, or without an event type)."""
     parsed = raw.select(F.col(value_col).cast("string").alias("_raw"),
                         F.from_json(F.col(value_col).cast("string"), EVENT_SCHEMA).alias("e"))
     ok = F.col("e").isNotNull() & F.col("e.event_type").isNotNull()
@@ -51,15 +51,51 @@ def parse_events(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, D
     return good, bad
 
 
+def typed_activity(events: DataFrame) -> DataFrame:
+    """Parsed events in the shape of the activity table: numeric user and item ids."""
+    return events.select("event_id", "ts", F.col("user_id").try_cast("bigint").alias("user_id"), "event_type",
+                         F.col("asin").try_cast("bigint").alias("item_id"))
+
+
+def ingest(raw: DataFrame, path: str, value_col: str = "value", **trigger):
+    """ST1: a stream of JSON text into two sinks, typed events and rejected rows. Both are folders of one write per epoch
+    (``rejected=false`` and ``rejected=true``), which a replayed epoch overwrites; returns the running query."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        text = F.col(value_col).cast("string")
+        e = F.from_json(text, EVENT_SCHEMA)
+        rows = batch.select(text.alias("_raw"), e.alias("e")).withColumn("rejected", F.col("e").isNull() | F.col("e.event_type").isNull())
+        rows = rows.select("rejected", F.when(F.col("rejected"), F.col("_raw")).alias("raw"),
+                           *(F.when(~F.col("rejected"), F.col(f"e.{f.name}")).alias(f.name) for f in EVENT_SCHEMA.fields),
+                           F.when(~F.col("rejected"), F.to_timestamp("e.timestamp")).alias("ts"))
+        rows.write.mode("overwrite").partitionBy("rejected").parquet(f"{path}/epochs/epoch={epoch}")
+    return (raw.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def ingested(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The typed events and the rejected texts that ``ingest`` wrote."""
+    schema = T.StructType([T.StructField("epoch", T.LongType()), T.StructField("rejected", T.BooleanType()), T.StructField("raw", T.StringType()),
+                           *EVENT_SCHEMA.fields, T.StructField("ts", T.TimestampType())])
+    rows = spark.read.schema(schema).parquet(f"{path}/epochs")
+    return rows.filter(~F.col("rejected")).drop("rejected", "raw", "epoch"), rows.filter("rejected").select("raw")
+
+
+def text_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """A folder of JSON lines as a stream of raw values (the shape that the Kafka source has)."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+
+
 def kafka_events(spark: SparkSession, servers: str, topic: str = "recommendation_events") -> DataFrame:
     """The event topic as a stream of raw JSON values."""
     return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
             .option("subscribe", topic).option("startingOffsets", "latest").load())
 
 
-def to_event_json(events: DataFrame) -> DataFrame:
-    """K8: events as JSON values for a Kafka (or any text) sink."""
-    return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
+def to_event_json(events: DataFrame, beside: list[str] | None = None) -> DataFrame:
+    """K8: events as JSON values for a Kafka (or any text) sink: the columns of the event schema, with the events' other columns ``beside``."""
+    own = [f.name for f in EVENT_SCHEMA.fields if f.name in events.columns]
+    extra = [c for c in beside or [] if c not in own] + [c for c in ("event_id",) if beside and c in own]
+    return events.select(F.to_json(F.struct(*own)).alias("value"), *extra)
 
 
 def file_events(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
@@ -84,25 +120,32 @@ def item_views(events: DataFrame) -> DataFrame:
             .groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
 
 
-def session_totals(events: DataFrame, keys: list[str], gap: str) -> DataFrame:
+def session_totals(events: DataFrame, keys: list[str], gap: str, watermark: str = WATERMARK) -> DataFrame:
     """ST4/ST7 (stream): idle-TTL sessions per key with their event counts, via
     session windows (a gap equal to ``gap`` still merges, like the batch twin's
     'gap > TTL'). Session windows are formed per grouping key, so the per-member
     counters inside one key's session are produced by the batch twin
     (``operators.activity.session_counts``), not here."""
-    w = events.withWatermark("ts", WATERMARK)
+    w = events.withWatermark("ts", watermark)
     return (w.groupBy(*keys, F.session_window("ts", gap).alias("s"))
             .agg(F.count(F.lit(1)).alias("n"))
             .select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n"))
 
 
+SPREAD = 64  # groups over which the requests without a user are dealt
+
+
 def _rate_state_fn(limits: int | dict, window_us: int, order_col: str):
     def fn(key, pdfs, state):
-        limit = limits[key[-1]] if isinstance(limits, dict) else limits
-        if key[0] is None or key[0] != key[0]:  # no user: never limited, no state
+        if state.hasTimedOut:  # every admitted request has left the window
+            state.remove()
+            return
+        *own, action, _ = key
+        if not own or own[0] is None or own[0] != own[0]:  # no user: never limited, no state
             for rows in pdfs:
-                yield rows.assign(admitted=True, remaining=pd.array([None] * len(rows), dtype="Int64"))
+                yield rows.drop(columns="_spread").assign(admitted=True, remaining=pd.array([None] * len(rows), dtype="Int64"))
             return
+        limit = limits[action] if isinstance(limits, dict) else limits
         admitted = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(pdfs), ignore_index=True)
         rows["_us"] = rows["ts"].astype("int64") // 1000  # ns -> micros
@@ -118,8 +161,13 @@ def _rate_state_fn(limits: int | dict, window_us: int, order_col: str):
             else:
                 ok.append(False)
                 rem.append(0)
-        state.update((list(admitted),))
-        out = rows.drop(columns=["_us"]).copy()
+        over = (admitted[-1] + window_us) // 1000 + 1 if admitted else 0
+        if over > state.getCurrentWatermarkMs():
+            state.update((list(admitted),))
+            state.setTimeoutTimestamp(over)
+        elif state.exists:
+            state.remove()
+        out = rows.drop(columns=["_us", "_spread"]).copy()
         out["admitted"] = ok
         out["remaining"] = rem
         yield out
@@ -127,254 +175,62 @@ def _rate_state_fn(limits: int | dict, window_us: int, order_col: str):
 
 
 def rate_limit_stream(requests: DataFrame, keys: list[str], limit: int | dict, window_seconds: int,
-                      order_col: str = "event_id") -> DataFrame:
-    """ST8/ST9 as keyed state: per key the admitted timestamps still in the
-    window (at most ``limit`` values). Within a micro-batch a key's requests
-    are admitted in event-time order."""
+                      order_col: str = "event_id", watermark: str = WATERMARK) -> DataFrame:
+    """ST8/ST9 as keyed state: per key (the user first, the action last) the admitted timestamps still in the window (at most ``limit`` values).
+    Within a micro-batch a key's requests are admitted in event-time order. A key's state goes when the watermark has passed
+    its window; requests older than the watermark may be dropped. Requests without a user have no state and are spread over tasks."""
     cols = requests.columns
     out_schema = T.StructType(list(requests.schema.fields) + [
         T.StructField("admitted", T.BooleanType()), T.StructField("remaining", T.LongType())])
     state_schema = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
     fn = _rate_state_fn(limit, int(window_seconds) * 1_000_000, order_col)
-    res = (requests.groupBy(*keys).applyInPandasWithState(fn, out_schema, state_schema, "append", "NoTimeout"))
+    spread = F.when(F.col(keys[0]).isNull(), F.pmod(F.xxhash64(order_col), F.lit(SPREAD))).otherwise(0)
+    res = (requests.withWatermark("ts", watermark).withColumn("_spread", spread).groupBy(*keys, "_spread")
+           .applyInPandasWithState(fn, out_schema, state_schema, "append", "EventTimeTimeout"))
     retry = F.when(F.col("admitted"), F.lit(None)).otherwise(F.lit(window_seconds)).cast("bigint")
     return res.select(*cols, "admitted", "remaining", retry.alias("retry_after"))
 
 
-def _counter_state_fn(ttl_us: int):
-    def fn(key, pdfs, state):
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        rows["_us"] = rows["ts"].astype("int64") // 1000
-        rows = rows.sort_values(["_us", "event_id"], kind="stable")
-        if state.exists:
-            start, last, items, counts = state.get
-            cnt = dict(zip(items, counts))
-        else:
-            start, last, cnt = None, None, {}
-        out_s, out_i, out_n = [], [], []
-        touched: set = set()
-        for t, item in zip(rows["_us"].tolist(), rows["item_id"].tolist()):
-            if last is not None and t - last > ttl_us:   # idle longer than the TTL: counters reset
-                for it in touched:
-                    out_s.append(start), out_i.append(it), out_n.append(cnt[it])
-                touched, cnt, start = set(), {}, t
-            if start is None:
-                start = t
-            cnt[item] = cnt.get(item, 0) + 1
-            touched.add(item)
-            last = t if last is None else max(last, t)
-        for it in touched:
-            out_s.append(start), out_i.append(it), out_n.append(cnt[it])
-        state.update((start, last, list(cnt.keys()), list(cnt.values())))
-        yield pd.DataFrame({"key": [key[0]] * len(out_s), "session_start_us": out_s,
-                            "item_id": out_i, "n": out_n})
-    return fn
+def _run(stream: DataFrame, log: SessionLog, columns: str) -> DataFrame:
+    log.start(stream).awaitTermination()
+    found = log.sessions(stream.sparkSession)
+    return stream.sparkSession.createDataFrame([], columns) if found is None else found
 
 
-def idle_reset_counters(events: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
-    """ST4 with the per-item breakdown: per ``key`` (category) item counters that
-    reset after ``ttl_seconds`` without events, as keyed state (session start,
-    last event, item -> count). Update mode: each batch emits the current count
-    of every (key, session, item) it touched; ``run_available_now(mode='update')``
-    keeps the latest value per row key."""
-    kt = dict(events.dtypes)[key]
-    it = dict(events.dtypes)["item_id"]
-    out_schema = f"key {kt}, session_start_us bigint, item_id {it}, n bigint"
-    state_schema = f"start bigint, last bigint, items array<{it}>, counts array<bigint>"
-    res = (events.select(key, "ts", "event_id", "item_id").filter(F.col("item_id").isNotNull())
-           .groupBy(key).applyInPandasWithState(_counter_state_fn(int(ttl_seconds) * 1_000_000),
-                                                out_schema, state_schema, "update", "NoTimeout"))
-    return res.select(F.col("key").alias(key), F.timestamp_micros("session_start_us").alias("session_start"),
-                      "item_id", "n")
-
-
-def _recent_state_fn(ttl_us: int, n: int):
-    def fn(key, pdfs, state):
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        rows["_us"] = rows["ts"].astype("int64") // 1000
-        rows = rows.sort_values(["_us", "event_id"], kind="stable")
-        if state.exists:
-            start, last, lts, lids, litems = state.get
-            cur = list(zip(lts, lids, litems))
-        else:
-            start, last, cur = None, None, []
-        out = []
-
-        def emit():
-            top = cur
-            out.extend((start, i + 1, r[1], r[2]) for i, r in enumerate(top))
-
-        # ids in the columns' own types; a null in an integer column must not turn it into floats
-        items = rows["item_id"].convert_dtypes().astype(object).tolist()
-        for t, eid, item in zip(rows["_us"].tolist(), rows["event_id"].tolist(), items):
-            if last is not None and t - last > ttl_us:   # idle longer than the TTL: the list resets
-                cur = heapq.nlargest(n, cur, key=lambda r: (r[0], r[1]))
-                emit()
-                cur, start = [], t
-            if start is None:
-                start = t
-            cur.append((t, eid, None if pd.isna(item) else item))
-            cur = heapq.nlargest(n, cur, key=lambda r: (r[0], r[1])) if len(cur) > 2 * n else cur
-            last = t if last is None else max(last, t)
-        cur = heapq.nlargest(n, cur, key=lambda r: (r[0], r[1]))
-        emit()
-        state.update((start, last, [r[0] for r in cur], [r[1] for r in cur], [r[2] for r in cur]))
-        yield pd.DataFrame({"key": [key[0]] * len(out), "session_start_us": [o[0] for o in out],
-                            "rank": [o[1] for o in out], "event_id": [o[2] for o in out],
-                            "item_id": [o[3] for o in out]})
-    return fn
+def _log(stream: DataFrame, name: str, path: str | None, keys: list[str], ttl_seconds: int, **more) -> SessionLog:
+    return SessionLog(path or scratch_folder(stream.sparkSession, f"streams/{name}"), keys, ttl_seconds, **more)
 
 
-def recent_lists(events: DataFrame, key: str, ttl_seconds: int, n: int = 100) -> DataFrame:
-    """ST5: per key (user) the newest ``n`` events, reset after ``ttl_seconds``
-    idle, as keyed state bounded by n entries. Update mode: each batch emits the
-    current list of every key it touched (rows keyed by key, session, rank)."""
-    kt = dict(events.dtypes)[key]
-    et, it = dict(events.dtypes)["event_id"], dict(events.dtypes)["item_id"]
-    out_schema = f"key {kt}, session_start_us bigint, rank bigint, event_id {et}, item_id {it}"
-    state_schema = f"start bigint, last bigint, ts array<bigint>, ids array<{et}>, items array<{it}>"
-    res = (events.select(key, "ts", "event_id", "item_id").filter(F.col(key).isNotNull())
-           .groupBy(key).applyInPandasWithState(_recent_state_fn(int(ttl_seconds) * 1_000_000, n),
-                                                out_schema, state_schema, "update", "NoTimeout"))
-    return res.select(F.col("key").alias(key), F.timestamp_micros("session_start_us").alias("session_start"),
-                      "rank", "event_id", "item_id")
-
-
-def global_idle_reset_counts(stream: DataFrame, member: str, ttl_seconds: int, name: str) -> DataFrame:
-    """ST7 (and ST6-style global state) without a single hot key: one global
-    counter set (e.g. search popularity) that resets after ``ttl_seconds`` idle.
-
-    Each micro-batch is merged in ``foreachBatch`` with distributed batch
-    operators: the batch rows plus an anchor row for the previous last event
-    are sessionised with the bucketed session operator, counts are
-    pre-aggregated per (bucket, member), the continuing session adds the stored
-    counts, closed sessions are appended to the output table and the open one
-    becomes the new state table (bounded by the distinct members of one
-    session). Returns the final (session_start, member, n) table after an
-    availableNow run.
-    """
-    from ..operators.activity import bucket_sessions
-    spark = stream.sparkSession
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
-    out_path = os.path.join(base, "closed")
-    ttl_us = int(ttl_seconds) * 1_000_000
-    versions: list[str] = []
-    closed_written: list[bool] = []   # the checkpoint dir may be a URI: track writes, not os.path
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select(F.col("ts"), F.col(member).alias("member")).filter(F.col("ts").isNotNull())
-        prev = spark.read.parquet(versions[-1]) if versions else None
-        anchor = None
-        if prev is not None:
-            head = prev.agg(F.max("session_start_us").alias("s"), F.max("last_us").alias("l")).first()
-            anchor = (head["s"], head["l"])
-            rows_all = rows.select("ts").unionByName(
-                spark.range(1).select(F.timestamp_micros(F.lit(anchor[1])).alias("ts")))
-        else:
-            rows_all = rows.select("ts")
-        sess = bucket_sessions(rows_all, [], "ts", ttl_seconds)
-        pre = (rows.withColumn("_b", F.floor(F.unix_micros("ts") / ttl_us))
-               .groupBy("_b", "member").agg(F.count(F.lit(1)).alias("n"),
-                                            F.max(F.unix_micros("ts")).alias("last_us")))
-        counts = pre.join(sess, "_b").select("session_start_us", "member", "n", "last_us")
-        if anchor is not None:
-            # the session holding the previous last event continues the stored session
-            cont = sess.filter(F.col("_b") == F.floor(F.lit(anchor[1]) / ttl_us)).select("session_start_us")
-            cont_start = F.lit(cont.agg(F.max("session_start_us")).first()[0])  # one value
-            counts = counts.withColumn("session_start_us", F.when(
-                F.col("session_start_us") == cont_start, F.least(F.lit(anchor[0]), F.col("session_start_us")))
-                .otherwise(F.col("session_start_us")))
-            counts = counts.unionByName(prev.select("session_start_us", "member", "n", "last_us"))
-        merged = (counts.groupBy("session_start_us", "member")
-                  .agg(F.sum("n").cast("bigint").alias("n"), F.max("last_us").alias("last_us")))
-        newest = merged.agg(F.max("session_start_us")).first()[0]
-        merged = merged.withColumn("_open", F.col("session_start_us") == F.lit(newest))
-        merged.filter(~F.col("_open")).drop("_open", "last_us").write.mode("append").parquet(out_path)
-        closed_written.append(True)
-        state = os.path.join(base, f"state-{epoch}")
-        (merged.filter("_open").drop("_open")
-         .withColumn("last_us", F.max("last_us").over(Window.partitionBy("session_start_us")))
-         .write.mode("overwrite").parquet(state))
-        versions.append(state)
-
-    q = (stream.writeStream.foreachBatch(merge)
-         .option("checkpointLocation", os.path.join(base, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    parts = [spark.read.parquet(versions[-1]).drop("last_us")] if versions else []
-    if closed_written:
-        parts.append(spark.read.parquet(out_path))
-    # a stream without rows has no state
-    res = spark.createDataFrame([], f"session_start_us bigint, member {dict(stream.dtypes)[member]}, n bigint")
-    for p in parts:
-        res = res.unionByName(p)
-    return res.select(F.timestamp_micros("session_start_us").alias("session_start"),
-                      F.col("member").alias(member), "n")
-
-
-def global_recent_list(stream: DataFrame, n: int, ttl_seconds: int, name: str,
-                       order_col: str = "event_id") -> DataFrame:
-    """ST6: one global newest-``n`` list that resets after ``ttl_seconds`` idle,
-    merged per micro-batch without a hot key: the batch's rows are sessionised
-    with the bucketed operator (plus an anchor for the previous last event),
-    cut to the newest n per session with a partial ``WindowGroupLimit``, and
-    merged with the stored list of the continuing session. Closed sessions'
-    lists are appended to the output, the open session's list is the state
-    (n rows). Returns (session_start, rank, event columns...)."""
-    from ..operators.activity import bucket_sessions
-    from ..operators.popular import top_k_per_key
-    spark = stream.sparkSession
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
-    out_path = os.path.join(base, "closed")
-    ttl_us = int(ttl_seconds) * 1_000_000
-    versions: list[str] = []
-    closed_written: list[bool] = []
-    cols = [c for c in stream.columns]
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select(*cols).filter(F.col("ts").isNotNull()).withColumn("_us", F.unix_micros("ts"))
-        prev = spark.read.parquet(versions[-1]) if versions else None
-        stamps = rows.select("ts")
-        anchor = None
-        if prev is not None:
-            head = prev.agg(F.max("session_start_us").alias("s"), F.max("_us").alias("l")).first()
-            anchor = (head["s"], head["l"])
-            stamps = stamps.unionByName(spark.range(1).select(F.timestamp_micros(F.lit(anchor[1])).alias("ts")))
-        sess = bucket_sessions(stamps, [], "ts", ttl_seconds)
-        tagged = rows.withColumn("_b", F.floor(F.col("_us") / ttl_us)).join(sess, "_b").drop("_b")
-        if anchor is not None:
-            # single values, fetched as such (one row each)
-            cont = sess.filter(F.col("_b") == F.floor(F.lit(anchor[1]) / ttl_us)).agg(
-                F.max("session_start_us")).first()[0]
-            tagged = tagged.withColumn("session_start_us", F.when(
-                F.col("session_start_us") == F.lit(cont), F.least(F.lit(anchor[0]), F.col("session_start_us")))
-                .otherwise(F.col("session_start_us")))
-            tagged = tagged.unionByName(prev.drop("rank"))
-        top = top_k_per_key(tagged, ["session_start_us"], [F.col("_us").desc(), F.col(order_col).desc()], n)
-        newest = tagged.agg(F.max("session_start_us")).first()[0]
-        top = top.withColumn("_open", F.col("session_start_us") == newest)
-        top.filter(~F.col("_open")).drop("_open").write.mode("append").parquet(out_path)
-        closed_written.append(True)
-        state = os.path.join(base, f"state-{epoch}")
-        top.filter("_open").drop("_open").write.mode("overwrite").parquet(state)
-        versions.append(state)
-
-    q = (stream.writeStream.foreachBatch(merge)
-         .option("checkpointLocation", os.path.join(base, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    parts = [spark.read.parquet(versions[-1])] if versions else []
-    if closed_written:
-        parts.append(spark.read.parquet(out_path))
-    if not parts:  # a stream without rows
-        kinds = ", ".join(f"{c} {dict(stream.dtypes)[c]}" for c in cols)
-        return spark.createDataFrame([], f"session_start timestamp, rank bigint, {kinds}").select(
-            "session_start", "rank", *[c for c in cols if c != "ts"], "ts")
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res.select(F.timestamp_micros("session_start_us").alias("session_start"), "rank",
-                      *[c for c in cols if c != "ts"], "ts")
+def _kinds(stream: DataFrame, columns: list[str]) -> str:
+    return "".join(f"{c} {dict(stream.dtypes)[c]}, " for c in columns)
+
+
+def idle_reset_counters(stream: DataFrame, key: str, ttl_seconds: int, name: str, path: str | None = None, **more) -> DataFrame:
+    """ST4: per ``key`` (category) item counters that reset after ``ttl_seconds`` without events: (key, session_start, item_id, n) of all
+    that is available. State is per (key, bucket, item). ``path`` names a standing log that later runs go on with."""
+    rows = stream.filter(F.col("item_id").isNotNull())
+    return _run(rows, _log(stream, name, path, [key], ttl_seconds, member="item_id", **more),
+                _kinds(stream, [key]) + "session_start timestamp, " + _kinds(stream, ["item_id"]) + "n bigint")
+
+
+def recent_lists(stream: DataFrame, key: str, ttl_seconds: int, name: str, n: int = 100, path: str | None = None, **more) -> DataFrame:
+    """ST5: per key (user) the newest ``n`` events of each session: (key, session_start, rank, event_id, item_id); a key that is null has none."""
+    columns = ["event_id", "item_id"]
+    return _run(stream.filter(F.col(key).isNotNull()), _log(stream, name, path, [key], ttl_seconds, newest=n, columns=columns, **more),
+                _kinds(stream, [key]) + "session_start timestamp, rank bigint, " + _kinds(stream, columns)[:-2])
+
+
+def global_idle_reset_counts(stream: DataFrame, member: str, ttl_seconds: int, name: str, path: str | None = None, **more) -> DataFrame:
+    """ST7: one global counter set (search popularity) that resets after ``ttl_seconds`` idle: (session_start, member, n)."""
+    return _run(stream, _log(stream, name, path, [], ttl_seconds, member=member, **more),
+                "session_start timestamp, " + _kinds(stream, [member]) + "n bigint")
+
+
+def global_recent_list(stream: DataFrame, n: int, ttl_seconds: int, name: str, order_col: str = "event_id", path: str | None = None, **more) -> DataFrame:
+    """ST6: one global list of the newest ``n`` events that resets after ``ttl_seconds`` idle: (session_start, rank, the columns)."""
+    columns = [c for c in stream.columns if c != "ts"] + ["ts"]
+    return _run(stream, _log(stream, name, path, [], ttl_seconds, newest=n, columns=columns, order_col=order_col, **more),
+                "session_start timestamp, rank bigint, " + _kinds(stream, columns)[:-2])
 
 
 def run_available_now(stream: DataFrame, name: str, mode: str = "complete",

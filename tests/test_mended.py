@@ -163,10 +163,9 @@ def test_stateful_operators_keep_string_ids(spark, tmp_path):
     schema = "event_id string, user_id string, item_id string, main_category string, ts timestamp"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    counts = S.run_available_now(S.idle_reset_counters(stream, "main_category", 3600), "ids_a", "update",
-                                 ["main_category", "session_start", "item_id"])
+    counts = S.idle_reset_counters(stream, "main_category", 3600, "ids_a")
     assert [(r.item_id, r.n) for r in counts.collect()] == [("B075", 3)]
-    lists = S.run_available_now(S.recent_lists(stream, "user_id", 3600, 4), "ids_b", "update", ["user_id", "session_start", "rank"])
+    lists = S.recent_lists(stream, "user_id", 3600, "ids_b", 4)
     assert [(r.rank, r.event_id, r.item_id) for r in lists.orderBy("rank").collect()] == [
         (1, "e05", "B075"), (2, "e04", None), (3, "e03", "B075"), (4, "e02", None)]
 
