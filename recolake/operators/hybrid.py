@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cf import cf_lists, collaborative_recommendations, user_classes
+from .similarity import BLOCK_ROWS
 from .popular import category_hot_items, popular_items, ranked_list
 
 
@@ -21,7 +22,7 @@ def hybrid_recommendations(requests: DataFrame, user_dim: DataFrame, user_factor
                            item_factors: DataFrame, items: DataFrame, num: int = 10,
                            cf_weight: float = 0.6, cb_weight: float = 0.4,
                            *, fallback_category: str, distinct_pad: bool = True,
-                           block_size: int = 512) -> DataFrame:
+                           block_size: int = BLOCK_ROWS) -> DataFrame:
     """R2 for every requested user: (user_id, rank, item_id, score, source).
 
     1. CF list of 2*num (popular list for users outside the dim, trap 5)

@@ -1,150 +1,214 @@
 """Vector scoring joins with per-key top-k (J7, W2, R3, M10 scoring).
 
-Exact top-k similarity is a blocked matrix product:
-
-* each side is packed into blocks of at most ~``block_size`` rows, keyed by
-  (group, block) where block = hash(id) mod ceil(group size / block_size);
-  a hot group becomes many blocks, never one huge row;
-* every query block meets every candidate block of its group through an
-  *equi* join on (group, candidate block, salt) (the query block is replicated
-  once per candidate block of its group, a candidate block once per salt
-  value so that few candidate blocks still spread over many tasks - no cross
-  join, no pair rows);
-* a vectorised kernel (numpy matmul inside ``mapInPandas``) scores the
-  block pair and emits only the k best candidates per query;
-* the final ``row_number() <= k`` per query is planned with a partial
+Exact top-k similarity as blocked matrix products that leave out what cannot win:
+
+* each side is written once (group, id, vector) and cut by a hash of the id into parts of at most ``block_size`` rows of a
+  group; every query part meets every candidate part of its group in one task, by an equi join on (group, query part,
+  candidate part) - no cross join, no pair rows, and a row is copied once per part of the other side;
+* in a task the candidates lie in chunks with a bound on what any of them can score for a query: by norm for dot products
+  (|q| times the chunk's largest norm, norms descending), by pivots for cosines (the triangle inequality of angles: a
+  candidate whose angle to a pivot lies in [low, high] is at least as far from a query as the query's own angle to
+  the pivot lies outside of it). Every query scores its most promising chunk first; of the others only those
+  whose bound reaches its k-th best score so far;
+* a task emits only the k best candidates per query; the final ``row_number() <= k`` is planned with a partial
   ``WindowGroupLimit`` before its shuffle.
 
 Ordering is ``round(score, 9)`` desc, then candidate id asc, so ties are
-deterministic and equal to the SQL oracle.
+deterministic and equal to the SQL oracle; a bound that ties with the k-th best score is scored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import scratch_folder
 from .popular import top_k_per_key
 
-def _blocks(df: DataFrame, id_col: str, vec_col: str, group_col: str | None, block_size: int,
-            prefix: str) -> DataFrame:
-    """(group, blk, nblk, ids, vecs): hash blocks of <= ~block_size rows per group.
-    Without a group the block count is one scalar (no join on a constant key)."""
-    if group_col is None:
-        n = df.agg(F.count(F.lit(1))).scalar()
-        sized = df.withColumn(f"{prefix}nblk", F.greatest(F.ceil(n / block_size), F.lit(1)).cast("bigint"))
-        keys = []
-    else:
-        sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
-        nblk = F.greatest(F.ceil(F.col("_n") / block_size), F.lit(1)).cast("bigint")
-        sized = df.join(sizes.select(group_col, nblk.alias(f"{prefix}nblk")), group_col)
-        keys = [group_col]
-    blk = F.pmod(F.xxhash64(F.col(id_col)), F.col(f"{prefix}nblk"))
-    fields = [F.col(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v")]
-    if "_k" in df.columns:  # per-row k travels with its row
-        fields.append(F.col("_k").alias("k"))
-    grouped = (sized.withColumn(f"{prefix}blk", blk)
-               .groupBy(*keys, f"{prefix}blk", f"{prefix}nblk")
-               .agg(F.collect_list(F.struct(*fields)).alias("_m")))
-    # one list of structs, split into aligned arrays
-    out = [*keys, f"{prefix}blk", f"{prefix}nblk",
-           F.transform("_m", lambda m: m["i"]).alias(f"{prefix}ids"),
-           F.transform("_m", lambda m: m["v"]).alias(f"{prefix}vecs")]
-    if "_k" in df.columns:
-        out.append(F.transform("_m", lambda m: m["k"]).alias(f"{prefix}ks"))
-    return grouped.select(*out)
-
-
-def _kernel(metric: str, k: int, exclude_self: bool):
-    def run(batches):
-        for pdf in batches:
-            out_q, out_c, out_s = [], [], []
-            qks_col = pdf["qks"] if "qks" in pdf.columns else [None] * len(pdf)
-            for qids, qvecs, cids, cvecs, qks in zip(pdf["qids"], pdf["qvecs"], pdf["cids"], pdf["cvecs"], qks_col):
-                qi = np.asarray(qids)
-                ci = np.asarray(cids)
-                qm = np.vstack(qvecs).astype(np.float64)
-                cm = np.vstack(cvecs).astype(np.float64)
-                s = qm @ cm.T
-                if metric == "logistic":
-                    s = 1.0 / (1.0 + np.exp(-s))
-                elif metric == "cosine":  # unit vectors: cosine + 1
-                    s = s + 1.0
-                if exclude_self:
-                    s = np.where(qi[:, None] == ci[None, :], -np.inf, s)
-                key = np.round(s, 9)
-                for r in range(len(qi)):
-                    kk = min(int(qks[r]) if qks is not None else k, len(ci))
-                    order = np.lexsort((ci, -key[r]))[:kk]
-                    order = order[np.isfinite(s[r, order])]
-                    out_q.append(np.full(len(order), qi[r], dtype=qi.dtype))
-                    out_c.append(ci[order])
-                    out_s.append(s[r, order])
-            if out_q:
-                yield pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
-                                    "score": np.concatenate(out_s)})
+BLOCK_ROWS = 32_768  # of a part, on either side
+LEAST_QUERIES = 256  # of a part that is made smaller only to keep all tasks busy
+CHUNK_ROWS = 512
+PIVOTS = 8
+DIGITS = 9
+SLACK = 1e-8  # what rounding to DIGITS and the last bits of a bound can amount to
+
+
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Equally long vectors as a matrix."""
+    flat = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+def _chunks(c: np.ndarray, q: np.ndarray, metric: str, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows of the candidates by chunk, and per query and chunk a bound on the dot product."""
+    norm = np.sqrt((c * c).sum(axis=1))
+    if metric != "cosine":
+        order = np.argsort(-norm, kind="stable")
+        rows = [order[a:a + size] for a in range(0, len(order), size)]
+        return rows, np.sqrt((q * q).sum(axis=1))[:, None] * np.array([norm[r[0]] for r in rows])
+    # vectors without a direction score 0 with everything and are no part of the angles
+    zero, rest = np.flatnonzero(norm < 0.5), np.flatnonzero(norm >= 0.5)
+    rows = [zero[a:a + size] for a in range(0, len(zero), size)]
+    bound = [np.zeros((len(q), len(rows)))]
+    if len(rest):
+        # pivots far from each other: each is the candidate that lies furthest from those before
+        chosen, nearest = [rest[0]], np.full(len(rest), -np.inf)
+        while len(chosen) < min(PIVOTS, len(rest)):
+            nearest = np.maximum(nearest, c[rest] @ c[chosen[-1]])
+            chosen.append(rest[nearest.argmin()])
+        angle = np.arccos(np.clip(c[rest] @ c[chosen].T, -1, 1))
+        asked = np.arccos(np.clip(q @ c[chosen].T, -1, 1))
+        home = angle.argmin(axis=1)
+        order = np.lexsort((angle[np.arange(len(rest)), home], home))
+        own = [order[a:a + size] for a in range(0, len(order), size)]
+        gap = np.zeros((len(q), len(own)))
+        for k, part in enumerate(own):
+            low, high = angle[part].min(axis=0), angle[part].max(axis=0)
+            gap[:, k] = np.maximum(low - asked, asked - high).max(axis=1)
+        best = np.cos(np.maximum(gap, 0))
+        best[(q * q).sum(axis=1) < 0.5] = 0.0
+        bound.append(best)
+        rows += [rest[part] for part in own]
+    return rows, np.concatenate(bound, axis=1)
+
+
+def _score(dots: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "logistic":
+        return 1.0 / (1.0 + np.exp(np.minimum(-dots, 700)))
+    return dots + 1.0 if metric == "cosine" else dots
+
+
+def top_k_of_part(q: np.ndarray, c: np.ndarray, place: np.ndarray, own: np.ndarray, k: np.ndarray, metric: str,
+                  size: int = CHUNK_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query rows, candidate rows and scores of the best k[i] candidates of every query, and how many pairs were scored. ``place`` ranks
+    candidates that tie; ``own`` is the candidate row that a query is not to meet (-1: none)."""
+    rows, bound = _chunks(c, q, metric, size)
+    bound = _score(bound, metric) + SLACK
+    most = int(k.max())
+    least = np.full(len(q), -np.inf)  # the k-th best rounded score so far
+    held: list[tuple[np.ndarray, ...]] = []
+    waiting = scored = 0
+
+    def cut() -> None:
+        nonlocal held, waiting
+        i, j, s, r = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((place[j], -r, i))
+        i, j, s, r = i[order], j[order], s[order], r[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = rank < k[i]
+        full = rank == k[i] - 1
+        least[i[full]] = np.maximum(least[i[full]], r[full])
+        held, waiting = [(i[keep], j[keep], s[keep], r[keep])], 0
+
+    def meet(at: np.ndarray, chunk: np.ndarray) -> None:
+        nonlocal waiting, scored
+        for a in range(0, len(at), 4096):
+            part = at[a:a + 4096]
+            s = _score(q[part] @ c[chunk].T, metric)
+            scored += s.size
+            s[own[part][:, None] == chunk[None, :]] = -np.inf
+            r = np.round(s, DIGITS)
+            if r.shape[1] > most:
+                least[part] = np.maximum(least[part], np.partition(r, -most, axis=1)[:, -most])
+            i, j = np.nonzero((r >= least[part][:, None]) & np.isfinite(s))
+            held.append((part[i], chunk[j], s[i, j], r[i, j]))
+            waiting += len(i)
+            if waiting > 1 << 20:
+                cut()
+
+    if len(rows) and len(q):
+        first = bound.argmax(axis=1)
+        for n, chunk in enumerate(rows):
+            if len(at := np.flatnonzero(first == n)):
+                meet(at, chunk)
+        if held:
+            cut()
+        # chunks that promise most on the whole come first
+        for n in np.argsort(-bound.max(axis=0), kind="stable"):
+            if len(at := np.flatnonzero((bound[:, n] >= least - SLACK) & (first != n))):
+                meet(at, rows[n])
+        if held:
+            cut()
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), scored
+    i, j, s, _ = held[0]
+    return i, j, s, scored
+
+
+def _kernel(metric: str, exclude_self: bool, size: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, others = left["id"].combine_chunks(), right["id"].combine_chunks()
+        if not len(ids) or not len(others):
+            return pa.table({"qid": ids.slice(0, 0), "cid": others.slice(0, 0), "score": pa.array([], pa.float64()), "pairs": pa.array([], pa.int64())})
+        place = np.empty(len(others), np.int64)
+        place[pa.compute.sort_indices(others).to_numpy()] = np.arange(len(others))
+        own = np.full(len(ids), -1)
+        if exclude_self:
+            own = pa.compute.index_in(ids, value_set=others).fill_null(-1).to_numpy(zero_copy_only=False)
+        i, j, s, scored = top_k_of_part(_matrix(left["vec"]), _matrix(right["vec"]), place, own, left["_k"].to_numpy(), metric, size)
+        # a row without a query reports how many of the part's pairs were scored, and how many there are
+        return pa.table({"qid": pa.concat_arrays([ids.take(pa.array(i)), pa.nulls(1, ids.type)]), "cid": pa.concat_arrays(
+            [others.take(pa.array(j)), pa.nulls(1, others.type)]), "score": pa.array(np.append(s, float(len(ids) * len(others)))),
+            "pairs": pa.array([None] * len(s) + [scored], pa.int64())})
     return run
 
 
 def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
                   q_id: str, q_vec: str, c_id: str, c_vec: str,
                   group_col: str | None = None, metric: str = "cosine",
-                  exclude_self: bool = False, block_size: int = 512,
-                  k_col: str | None = None) -> DataFrame:
+                  exclude_self: bool = False, block_size: int = BLOCK_ROWS,
+                  k_col: str | None = None, report: dict | None = None) -> DataFrame:
     """(qid, cid, score, rank): exact top-k candidates per query.
 
     ``k_col`` (a column of ``queries``) gives each query its own k; ``k`` is
     then ignored and the final ranking keeps rank <= that query's k.
 
     ``metric``: 'cosine' (cosine + 1) or 'logistic' (sigmoid of dot) or 'dot'.
-    Rows without a usable vector (``has_vector``) must be filtered by the caller.
+    Rows without a usable vector (``has_vector``) or id must be filtered by the caller; all vectors have one length.
+    ``report`` receives the pairs there were and the pairs scored.
     """
-    gcols = [group_col] if group_col else []
-    q = queries.select(F.col(q_id).alias("id"), F.col(q_vec).alias("vec"), *gcols,
-                       *([F.col(k_col).cast("bigint").alias("_k")] if k_col else []))
-    c = candidates.select(F.col(c_id).alias("id"), F.col(c_vec).alias("vec"), *gcols)
-    if metric == "cosine":
-        q = q.withColumn("vec", _unit("vec"))
-        c = c.withColumn("vec", _unit("vec"))
-    qb = _blocks(q, "id", "vec", group_col, block_size, "q")
-    cb = _blocks(c, "id", "vec", group_col, block_size, "c")
-    # replicate each query block once per candidate block of its group, then an
-    # equi join on (group, candidate block)
-    # two numbers about the (small) block table: how many blocks, the most per group
-    n_cb, max_nb = cb.agg(F.count(F.lit(1)), F.max("cnblk")).first()
-    if group_col:
-        cn = cb.select(group_col, "cnblk").distinct()
-        qx = qb.join(cn, group_col)
-        nb = F.col("cnblk")
-    else:
-        qx = qb
-        nb = F.lit(max_nb or 1).cast("bigint")
-    qx = qx.withColumn("cblk", F.explode(F.sequence(F.lit(0).cast("bigint"), nb - 1)))
-    # few candidate blocks would leave few join partitions busy: salt the join by
-    # query block and replicate each candidate block ``salt`` times so the block
-    # pairs spread over at least the configured shuffle partitions
     spark = queries.sparkSession
-    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = max(1, -(-target // max(1, n_cb or 0)))
-    qx = qx.withColumn("_salt", F.pmod(F.col("qblk"), F.lit(salt)))
-    cbs = cb.drop("cnblk").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1))))
-    pairs = qx.join(cbs, [*gcols, "cblk", "_salt"]).select(
-        "qids", "qvecs", "cids", "cvecs", *(["qks"] if k_col else []))
+    scratch = scratch_folder(spark, "top-k")
+    group = F.col(group_col) if group_col else F.lit(0)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def written(df: DataFrame, vec: str, name: str, *more) -> DataFrame:
+        v = _unit(vec) if metric == "cosine" else F.col(vec).cast("array<double>")
+        df.select(group.alias("g"), *more, v.alias("vec")).write.parquet(f"{scratch}/{name}")
+        return spark.read.parquet(f"{scratch}/{name}")
+    own_k = (F.col(k_col) if k_col else F.lit(k)).cast("bigint").alias("_k")
+    q = written(queries, q_vec, "queries", F.col(q_id).alias("id"), own_k)
+    if candidates is queries and (q_id, q_vec) == (c_id, c_vec):
+        c = spark.read.parquet(f"{scratch}/queries").drop("_k")
+    else:
+        c = written(candidates, c_vec, "candidates", F.col(c_id).alias("id"))
+    n = q.count()
+    per_part = min(block_size, max(LEAST_QUERIES, -(-n // parts)))
+    sizes = (q.groupBy("g").agg(F.count(F.lit(1)).alias("nq")).join(c.groupBy("g").agg(F.count(F.lit(1)).alias("nc")), "g")
+             .select("g", F.ceil(F.col("nq") / per_part).alias("qparts"), F.ceil(F.col("nc") / block_size).alias("cparts")))
+    part = lambda of: F.pmod(F.xxhash64("id"), F.col(of))
+    spread = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(of) - 1))
+    left = q.join(sizes, "g").select("g", part("qparts").alias("qpart"), spread("cparts").alias("cpart"), "id", "_k", "vec")
+    right = c.join(sizes, "g").select("g", spread("qparts").alias("qpart"), part("cparts").alias("cpart"), "id", "vec")
+    keys = ["g", "qpart", "cpart"]
     # ids keep their type (integer or string labels)
-    schema = f"qid {dict(q.dtypes)['id']}, cid {dict(c.dtypes)['id']}, score double"
-    scored = pairs.mapInPandas(_kernel(metric, k, exclude_self), schema)
+    schema = f"qid {dict(q.dtypes)['id']}, cid {dict(c.dtypes)['id']}, score double, pairs bigint"
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        _kernel(metric, exclude_self, min(block_size, CHUNK_ROWS)), schema)
+    if report is not None:
+        scored.write.parquet(f"{scratch}/scored")
+        scored = spark.read.parquet(f"{scratch}/scored")
+        total = scored.filter("qid is null").agg(F.sum("score"), F.sum("pairs")).first()
+        report.update(pairs=int(total[0] or 0), scored=int(total[1] or 0))
+    scored = scored.filter("qid is not null").drop("pairs")
+    order = [F.round("score", DIGITS).desc(), F.col("cid")]
     if k_col:
-        kq = q.select(F.col("id").alias("qid"), F.col("_k"))
-        order = [F.round("score", 9).desc(), F.col("cid")]
-        from pyspark.sql import Window
-        w = Window.partitionBy("qid").orderBy(*order)
-        return (scored.join(kq, "qid").withColumn("rank", F.row_number().over(w).cast("bigint"))
-                .filter(F.col("rank") <= F.col("_k")).drop("_k"))
-    ranked = top_k_per_key(scored, ["qid"], [F.round("score", 9).desc(), F.col("cid")], k)
-    return ranked
+        kq = q.select(F.col("id").alias("qid"), "_k")
+        return top_k_per_key(scored.join(kq, "qid"), ["qid"], order, 1 << 62).filter(F.col("rank") <= F.col("_k")).drop("_k")
+    return top_k_per_key(scored, ["qid"], order, k)
 
 
 def _unit(col: str):
@@ -154,7 +218,7 @@ def _unit(col: str):
 
 
 def similar_items(items: DataFrame, vectors: DataFrame, num: int = 10, metric: str = "cosine",
-                  queries: DataFrame | None = None, block_size: int = 512) -> DataFrame:
+                  queries: DataFrame | None = None, block_size: int = BLOCK_ROWS, report: dict | None = None) -> DataFrame:
     """For each query item with a vector: the num most similar items of the
     same category (all items when its category is null), self excluded.
 
@@ -163,30 +227,28 @@ def similar_items(items: DataFrame, vectors: DataFrame, num: int = 10, metric: s
     ``queries`` (item_id) restricts the query side, default = every item.
     Output: item_id, rank, similar_id, score.
     """
-    vec_items = (items.select("item_id", "main_category")
-                 .join(vectors.select("item_id", "model_factor"), "item_id", "left"))
-    with_v = vec_items.filter(V.has_vector("model_factor"))
+    spark = items.sparkSession
+    path = f"{scratch_folder(spark, 'similar')}/items"
+    # items and vectors are joined and written once; every branch below reads what it needs of that
+    (items.select("item_id", "main_category").join(vectors.select("item_id", "model_factor"), "item_id", "left")
+     .withColumn("has", V.has_vector("model_factor")).write.parquet(path))
+    vec_items = spark.read.parquet(path)
+    with_v = vec_items.filter("has").drop("has")
     q = with_v if queries is None else with_v.join(queries.select("item_id").distinct(), "item_id", "left_semi")
     known = q.filter(F.col("main_category").isNotNull())
-    parts = [blocked_top_k(known, with_v.filter(F.col("main_category").isNotNull()), num,
-                           q_id="item_id", q_vec="model_factor", c_id="item_id", c_vec="model_factor",
-                           group_col="main_category", metric=metric, exclude_self=True,
-                           block_size=block_size)]
+    columns = dict(q_id="item_id", q_vec="model_factor", c_id="item_id", c_vec="model_factor", metric=metric, exclude_self=True,
+                   block_size=block_size)
+    held = known if queries is None else with_v.filter(F.col("main_category").isNotNull())
+    scored = blocked_top_k(known, held, num, group_col="main_category", report=report, **columns).select("qid", "cid", "score")
     unknown = q.filter(F.col("main_category").isNull())
-    parts.append(blocked_top_k(unknown, with_v, num, q_id="item_id", q_vec="model_factor",
-                               c_id="item_id", c_vec="model_factor", metric=metric,
-                               exclude_self=True, block_size=block_size))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    scored = scored.select("qid", "cid", "score")
+    if not unknown.isEmpty():
+        scored = scored.unionByName(blocked_top_k(unknown, with_v, num, **columns).select("qid", "cid", "score"))
     # zero-score padding: per category the num lowest-id items without a vector
-    no_v = vec_items.filter(~V.has_vector("model_factor") & F.col("main_category").isNotNull())
+    no_v = vec_items.filter(~F.col("has") & F.col("main_category").isNotNull())
     pad = top_k_per_key(no_v, ["main_category"], [F.col("item_id")], num, "_r")
     pads = (known.select(F.col("item_id").alias("qid"), "main_category")
             .join(pad.select("main_category", F.col("item_id").alias("cid")), "main_category")
             .filter(F.col("qid") != F.col("cid"))
             .select("qid", "cid", F.lit(0.0).alias("score")))
-    allc = scored.unionByName(pads)
-    ranked = top_k_per_key(allc, ["qid"], [F.round("score", 9).desc(), F.col("cid")], num)
+    ranked = top_k_per_key(scored.unionByName(pads), ["qid"], [F.round("score", DIGITS).desc(), F.col("cid")], num)
     return ranked.select(F.col("qid").alias("item_id"), "rank", F.col("cid").alias("similar_id"), "score")
