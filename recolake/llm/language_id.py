@@ -7,7 +7,7 @@ kernel is a product of presence vectors, landmarks, Nystrom map and ridge weight
 n-grams by languages: a batch of texts is scored by one product with it, the same numbers as by way of the landmarks.
 
 Bounds (documented parameters): the classifier is fitted on at most SAMPLE labelled rows, the first per
-language by a hash of the id, in equal shares over at most MAX_LANGUAGES languages (the commonest); LANDMARKS of them
+language by a hash of the id, in equal shares over all languages, one row of each at least; LANDMARKS of them (more for many languages)
 are landmarks. Prediction reads every whole text.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; an empty table gives an empty result; without any labelled row every
@@ -30,7 +30,8 @@ from .common import free_name, held_out
 UNDETERMINED = "und"
 SAMPLE = 2000
 LANDMARKS = 256
-MAX_LANGUAGES = 200
+MOST_LANDMARKS = 1024  # where there are more languages than half of that; two a language below
+SALTS = 64  # a language's rows are cut in so many parts first
 RIDGE = 1e-3
 SHARPNESS = 6.0  # of the softmax that turns the margins into a score
 LENGTHS = (1, 2, 3, 4)
@@ -65,6 +66,8 @@ class KernelModel:
     languages: tuple[str, ...]
     weights: np.ndarray
     bias: np.ndarray
+    # with more languages than landmark features the first matrix leads to those, and this one on to the languages
+    head: np.ndarray | None = None
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """One product of the batch's (sparse) presence matrix with the weights."""
@@ -72,7 +75,8 @@ class KernelModel:
         sizes = np.fromiter(map(len, grams), np.int64, len(grams))
         rows = self.weights[np.concatenate(grams)]
         product = np.add.reduceat(rows, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
-        return product / np.sqrt(sizes)[:, None] + self.bias
+        product = product / np.sqrt(sizes)[:, None]
+        return (product if self.head is None else product @ self.head) + self.bias
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         known = [i for i, t in enumerate(texts) if isinstance(t, str) and _LETTER.search(t)]
@@ -97,7 +101,7 @@ def fit_sample(langs: list[str], grams: list[np.ndarray], landmarks: int = LANDM
     for i, x in enumerate(langs):
         order.append((turn[x], x, i))
         turn[x] += 1
-    marks = [i for _, _, i in sorted(order)[:landmarks]]
+    marks = [i for _, _, i in sorted(order)[:max(landmarks, min(2 * len(names), MOST_LANDMARKS))]]
     vocabulary = np.unique(np.concatenate([grams[i] for i in marks]))
     column = np.full(_OFFSETS[-1], -1, np.int64)
     column[vocabulary] = np.arange(len(vocabulary))
@@ -118,32 +122,37 @@ def fit_sample(langs: list[str], grams: list[np.ndarray], landmarks: int = LANDM
     centre, level = phi.mean(axis=0), y.mean(axis=0)
     inner = (phi - centre).T @ (phi - centre) + ridge * len(langs) * np.eye(phi.shape[1])
     w = np.linalg.solve(inner, (phi - centre).T @ (y - level))
-    weights = np.zeros((_OFFSETS[-1], len(names)), np.float32)
-    weights[vocabulary] = z.T @ (nystrom @ w)
-    return KernelModel(names, weights, level - centre @ w)
+    direct = len(names) <= nystrom.shape[1]
+    onto = z.T @ (nystrom @ w) if direct else z.T @ nystrom
+    weights = np.zeros((_OFFSETS[-1], onto.shape[1]), np.float32)
+    weights[vocabulary] = onto
+    return KernelModel(names, weights, level - centre @ w, None if direct else w)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
-        max_languages: int = MAX_LANGUAGES) -> KernelModel:
-    """From a bounded sample of the rows that are not held out and have a language and a letter."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> KernelModel:
+    """From a bounded sample of the rows that are not held out and have a language and a letter: ``sample`` rows, dealt evenly to all
+    languages, and one row at least of each."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     rows = rows.filter(~held_out())
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not common:
+    languages = rows.select("lang").distinct().count()
+    if not languages:
         return fit_sample([], [])
-    each = max(1, sample // len(common))
-    # the rows are chosen by id alone; only the chosen rows' texts are read on
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (rows.filter(F.col("lang").isin([r.lang for r in common])).select("doc_id", "lang")
-              .withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("doc_id", "lang").distinct())
+    each = max(1, sample // languages)
+    # the rows are chosen by id alone; only the chosen rows' texts are read on. A hot language is cut in parts first
+    h = F.xxhash64("doc_id")
+    some = rows.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.pmod(h, F.lit(SALTS)).alias("salt")).distinct()
+    for keys in (["lang", "salt"], ["lang"]):
+        first = Window.partitionBy(*keys).orderBy(h, "doc_id")
+        some = some.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).drop("rank")
+    chosen = some.select("doc_id", "lang")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, doc_id, text in zip(b["lang"], b["doc_id"], b["text"], strict=True):
                 if _LETTER.search(text):
                     yield pd.DataFrame({"lang": [lang], "doc_id": [doc_id], "grams": [present(text).astype(np.int32).tobytes()]})
-    # at most ``sample`` ids are broadcast
+    # at most ``sample`` ids are broadcast, or one a language
     picked = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
     got = picked.mapInPandas(run, "lang string, doc_id long, grams binary").collect()
     got.sort(key=lambda r: (r.lang, r.doc_id))
