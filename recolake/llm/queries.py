@@ -48,6 +48,13 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_decisions(documents(spark, sf_dir))
 
 
+def op7_source_mixing_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document belongs to its source and to its language: the flow decides which of the two its words count for."""
+    docs = documents(spark, sf_dir)
+    sources = F.array_compact(F.array(F.concat(F.lit("source:"), "source"), F.concat(F.lit("lang:"), "lang")))
+    return mixing.mix_overlapping(docs.withColumn("source", sources)).withColumn("sources", F.concat_ws(",", "sources"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -78,7 +85,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_exact_dedup, op4_ngram_jaccard_join, op4_ngram_jaccard_links, op5_token_output,
-                               op6_sentencepiece, op7_source_mixing, op8_quality_classifier, op9_license_scan,
+                               op6_sentencepiece, op7_source_mixing, op7_source_mixing_overlapping, op8_quality_classifier, op9_license_scan,
                                op10_language_id, op11_warc, op12_spelling_variants, op13_prefix_trie)}
 
 OP1_SQL = r"""

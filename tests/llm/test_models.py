@@ -321,6 +321,71 @@ def test_mix_of_overlapping_sources(spark):
     assert sum(r["count"] for r in got) == pytest.approx(100, abs=2) and () not in {tuple(r.s) for r in got}
 
 
+def test_mix_near_targets_with_null_and_repeated_ids(make):
+    r = random.Random(3)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{i} " + "w " * r.choice([1, 4, 9]), "en", "abc"[i % 7 % 3]) for i in range(3000)]
+    got = mixing.mix_decisions(make(rows)).collect()
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want, taken = mixing.quotas(sizes), {}
+    for x in got:
+        taken[round(x.target, 6)] = taken.get(round(x.target, 6), 0) + x.taken
+    assert taken.keys() == {round(v, 6) for v in want.values()}
+    assert all(abs(t - n) <= max(10, 0.01 * t) for t, n in taken.items()), taken
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 5)
+    n = 3000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("w w w").alias("text"), F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("source"))
+    got = mixing.mix_decisions(docs).collect()
+    want = mixing.quotas({f"s{i:05}": 3 for i in range(n)})
+    assert len(got) == n and all(x.target == pytest.approx(want[f"s{x.doc_id:05}"]) and abs(x.taken - x.target) <= 3 for x in got)
+    two = docs.withColumn("source", F.array("source", F.lit("all")))
+    with pytest.raises(ValueError, match="overlap"):
+        mixing.mixed(two)
+
+
+def test_overlapping_query_against_the_flow(spark):
+    rows = [(i, "w " * (5 + i % 7), ["lang:en" if i % 3 else "lang:de", "source:a" if i % 2 else "source:b"]) for i in range(400)]
+    got = mixing.mix_overlapping(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    patterns = {}
+    for _, t, m in rows:
+        patterns[tuple(sorted(m))] = patterns.get(tuple(sorted(m)), 0) + len(t.split())
+    sizes = {}
+    for m, size in patterns.items():
+        for s in m:
+            sizes[s] = sizes.get(s, 0) + size
+    quota = mixing.quotas(sizes, total=sum(patterns.values()))
+    flow = mixing.min_cost_flow(sorted(patterns.items()), quota)
+    taken = {}
+    for x in got:
+        taken[tuple(x.sources)] = taken.get(tuple(x.sources), 0) + x.taken
+        assert x.source_size == sum(sizes[s] for s in x.sources) and x.target == pytest.approx(sum(quota[s] for s in x.sources))
+    for (m, _), f in zip(sorted(patterns.items()), flow, strict=True):
+        assert abs(taken[m] - sum(f.values())) <= 6
+
+
+def test_three_hundred_languages():
+    r = random.Random(2)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03}": ["".join(r.choices(alphabet, k=5)) for _ in range(8)] for k in range(300)}
+    train = [(lang, " ".join(r.choices(w, k=30))) for lang, w in words.items() for _ in range(6)]
+    model = language_id.fit_sample([lang for lang, _ in train], [language_id.present(t) for _, t in train])
+    assert len(model.languages) == 300 and model.weights.shape[1] <= 2 * 300
+    test = [(lang, " ".join(r.choices(w, k=30))) for lang, w in words.items()]
+    got, _ = model.predict([t for _, t in test])
+    assert np.mean([a == b for a, (b, _) in zip(got, test, strict=True)]) > 0.95
+
+
+def test_rare_languages_are_learned(make, monkeypatch):
+    monkeypatch.setattr(language_id, "SALTS", 3)
+    rows = lang_rows() + [(5000 + i, " ".join(["zug", "quax", "yorn"] * 6), "rare") for i in range(4)]
+    got = language_id.language_predictions(make(rows)).collect()
+    assert {r.lang_pred for r in got if r.doc_id >= 5000} == {"rare"}
+
+
 def test_mix_of_nothing(make):
     assert rows_of(mixing.mix_decisions(make([]))) == []
     assert rows_of(mixing.mixed(make([]))) == []
