@@ -545,7 +545,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _joined(docs, id_col, text_col, True)
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, counting: bool) -> DataFrame:
+def _labelled(docs: DataFrame, id_col: str, text_col: str, counting: bool, tie: bool):
+    """The sets of all rows (doc_id, digest, n), the component of each distinct set (_d, _n, root, component_id), the links' answers and the
+    sets' weights. ``tie``: rows that repeat an id tie their sets together, as they are one document."""
     texts = _texts(docs, id_col, text_col)
     sets = stored(_sets(texts), "shingle-sets")
     members = stored(_under_leaders(texts, _order(texts)), "candidates")
@@ -554,17 +556,26 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, counting: bool) -> Data
     links = answers.filter("db is not null")
     # equal sets are one node: its smallest id; sets that only rows without id have get ids below all others
     nodes = sets.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("first"))
-    nodes = stored(nodes.withColumn("node", F.coalesce("first", F.xxhash64("digest", "n"))), "set-nodes")
+    if not tie:  # an id that several sets have is no name for one of them
+        shared = _repeated(sets).withColumnRenamed("doc_id", "first").withColumn("shared", F.lit(True))
+        nodes = nodes.join(shared, "first", "left").withColumn("name", F.when(F.col("shared").isNull(), F.col("first")))
+    else:
+        nodes = nodes.withColumn("name", F.col("first"))
+    nodes = stored(nodes.select("digest", "n", "first", F.coalesce("name", F.xxhash64("digest", "n")).alias("node")), "set-nodes")
     a = nodes.select(F.col("digest").alias("da"), F.col("n").alias("na"), F.col("node").alias("a"))
     b = nodes.select(F.col("digest").alias("db"), F.col("n").alias("nb"), F.col("node").alias("b"))
     pairs = links.join(a, ["da", "na"]).join(b, ["db", "nb"]).select("a", "b")
-    # rows that repeat an id tie their sets together
-    tied = sets.filter("n > 0 and doc_id is not null").join(nodes, ["digest", "n"]).filter("doc_id <> node").join(
-        _repeated(sets), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = connected_components(pairs.unionByName(tied))
-    least = nodes.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    if tie:
+        pairs = pairs.unionByName(sets.filter("n > 0 and doc_id is not null").join(nodes, ["digest", "n"]).filter("doc_id <> node").join(
+            _repeated(sets), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    least = nodes.join(connected_components(pairs), "node", "left").withColumn("root", F.coalesce("component", "node"))
     known = least.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = least.join(known, "root").select(F.col("digest").alias("_d"), F.col("n").alias("_n"), "component_id")
+    label = least.join(known, "root").select(F.col("digest").alias("_d"), F.col("n").alias("_n"), "root", "component_id")
+    return sets, label, answers, weights
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, counting: bool) -> DataFrame:
+    sets, label, answers, weights = _labelled(docs, id_col, text_col, counting, tie=True)
     rows = sets.join(label, (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
     if not counting:
@@ -581,12 +592,30 @@ def _repeated(sets: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; documents without words and rows without an id all stay.
-    Of rows that repeat an id the longest text stays. Columns as they were."""
-    found = jaccard_components(docs, id_col, text_col)
-    name, one = free_name(docs, "_kept_id"), free_name(docs, "_row")
-    kept = found.filter("n_shingles = 0 or doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    known = docs.filter(F.col(id_col).isNotNull())
-    at = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), text_col)
-    rows = known.join(kept, known[id_col].cast("long") == kept[name], "left_semi").withColumn(one, F.row_number().over(at))
-    return rows.filter(F.col(one) == 1).drop(one).unionByName(docs.filter(F.col(id_col).isNull()))
+    """One row of each group of near copies, that with the smallest id (a row without an id only where none has one); rows without words all stay.
+    An id that several rows have does not make them copies: they are told apart by their texts, of equal ones a
+    single row stays. Columns as they were."""
+    sets, label, _, _ = _labelled(docs, id_col, text_col, False, tie=False)
+    placed = sets.join(label, (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "n")).alias("w"))
+    name, digest_, n_, one = (free_name(docs, x) for x in ("_kept_id", "_digest", "_n", "_row"))
+    kept = stored(first.select("w.doc_id", "w.digest", "w.n").unionByName(sets.filter("n = 0").select("doc_id", "digest", "n").distinct()), "kept-sets")
+    # an id of a single row says which row is meant; the others' texts are looked at again
+    shared = stored(_repeated(sets).filter("doc_id is not null").select(F.col("doc_id").alias(name), F.lit(True).alias(one)), "shared-ids")
+    own = F.col(id_col).cast("long")
+    flagged = docs.join(shared, own == F.col(name), "left").drop(name)
+    unsure = F.coalesce(F.col(one), F.col(id_col).isNull())
+    sure = flagged.filter(~unsure).drop(one).join(kept.select(F.col("doc_id").alias(name)), own == F.col(name), "left_semi")
+
+    @F.pandas_udf("digest long, n long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = shingle_sets([t if isinstance(t, str) else "" for t in texts], WORDS)
+        return pd.DataFrame({"digest": [digest(x) for x in found], "n": [len(x) for x in found]})
+    told = flagged.filter(unsure).drop(one).withColumn(digest_, of(F.col(text_col).cast("string"))).withColumn(n_, F.col(digest_)["n"])
+    told = told.withColumn(digest_, F.col(digest_)["digest"])
+    sought = kept.select(F.col("doc_id").alias("_a"), F.col("digest").alias("_b"), F.col("n").alias("_c")).alias("k")
+    told = told.join(sought, own.eqNullSafe(F.col("k._a")) & (F.col(digest_) == F.col("k._b")) & (F.col(n_) == F.col("k._c")), "left_semi")
+    at = Window.partitionBy(id_col, digest_, n_).orderBy(F.length(text_col).desc_nulls_last(), text_col)
+    wordless, rest = told.filter(F.col(n_) == 0), told.filter(F.col(n_) > 0)
+    rest = rest.withColumn(one, F.row_number().over(at)).filter(F.col(one) == 1).drop(one)
+    return sure.unionByName(wordless.unionByName(rest).drop(digest_, n_))

@@ -224,7 +224,16 @@ def test_near_copies_empty_table_and_one_of_each(make):
     docs = make([(1, a), (2, a + " end"), (3, "other words"), (4, None), (5, ""), (None, a), (6, a.upper())])
     got = ngram_join.one_of_each(docs)
     assert got.columns == docs.columns
-    assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 3, 4, 5, None]
+    assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 3, 4, 5]
+    # an id that different texts have ties nothing together, and no text is lost to it
+    b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "bc")
+    docs = make([(1, a), (1, b), (1, b + " end"), (1, b), (2, c), (1, c), (None, c), (None, a + " x"), (None, "own words of no id"), (None, "own words of no id"),
+                 (1, None), (1, ""), (None, None)]).withColumnsRenamed({"lang": "digest", "source": "n"})
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    # of near copies under one id it is told by their digests which stays
+    assert sorted((r.doc_id or 0, (r.text or "").removesuffix(" end")) for r in kept.collect()) == sorted(
+        [(1, a), (1, b), (1, c), (0, "own words of no id"), (1, ""), (1, ""), (0, "")])
 
 
 @pytest.mark.parametrize("seed", range(3))
