@@ -1,11 +1,13 @@
 """Reversible line deduplication: exact reference counts with sharded cuckoo filters in front.
 
-State, in the folder given (generations of plain Parquet tables; the last complete one holds):
+State, in the folder given, as generations of plain Parquet tables that hold what an insertion or deletion changes:
 
 * ``refs``: one row per document and distinct long line of it (shard, k1, k2, doc_id): the exact
-  references. Deleting a document deletes its rows, so the state is that without the document.
-* ``counts``: per line key its reference count and the largest doc_id (shard, k1, k2, n_docs, max_doc).
-* ``filters``: per shard one cuckoo filter of the keys that reach the drop threshold.
+  references; ``gone``: deleted ids, which end all their references of earlier generations, so the state is that without the document.
+* ``counts``: per touched line key its reference count and the largest doc_id (shard, k1, k2, n_docs, max_doc); the last generation's row holds.
+* ``filters``: per touched shard one cuckoo filter of the keys that reach the drop threshold.
+
+An insertion writes in proportion to its documents, never to the index; every ``COMPACT`` generations all is folded into one.
 
 A line's shard comes from its hash. A generation touches a shard's filter only where keys cross the
 threshold: inserted on the way up, deleted on the way down. To mark lines, references are
@@ -28,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, scratch_path
+from .common import WHITESPACE, scratch_path, stored
 from .cuckoo import CuckooFilter, build
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-# filters are sent to the tasks only up to this many bytes; beyond it references are joined with the counts directly
+# filters are sent to all tasks up to this many bytes; beyond it each goes with its shard's references
 FILTER_BYTES = 64 << 20
+PROBE_REFS = 1_000_000  # of a shard that meet its filter in one task
+COMPACT = 32  # generations after which everything is written anew
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
+_KEY = ["shard", "k1", "k2"]
+_REFS = "shard int, k1 long, k2 long, doc_id long"
 _COUNTS = "shard int, k1 long, k2 long, n_docs long, max_doc long"
 
 
@@ -97,59 +103,104 @@ class LineIndex:
     def _at(self, table: str, generation: int | None = None) -> str:
         return f"{self.path}/g{self.generation if generation is None else generation}/{table}"
 
-    def _read(self, table: str, schema: str) -> DataFrame:
-        if not self.generation:
+    def _read(self, table: str, schema: str) -> DataFrame | None:
+        """A table of all generations since the last full one; the column gen says which a row is from."""
+        first = max(1, self.generation - self.generation % COMPACT)
+        paths = [p for g in range(first, self.generation + 1) if self._exists(p := self._at(table, g))]
+        return self.spark.read.schema(f"{schema}, gen int").parquet(*paths) if paths else None
+
+    def _latest(self, table: str, schema: str, keys: list[str], values: list[str]) -> DataFrame:
+        """Of every key the row of its last generation."""
+        rows = self._read(table, schema)
+        if rows is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._at(table))
+        if self.generation - self.generation % COMPACT >= self.generation or self.generation == 1:
+            return rows.drop("gen")
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "gen").alias("v")).select(*keys, "v.*")
 
     def refs(self) -> DataFrame:
-        return self._read("refs", "shard int, k1 long, k2 long, doc_id long")
+        """All references of documents that are there."""
+        rows, gone = self._read("refs", _REFS), self._read("gone", "doc_id long")
+        if rows is None:
+            return self.spark.createDataFrame([], _REFS)
+        if gone is not None:
+            dead = gone.groupBy("doc_id").agg(F.max("gen").alias("until"))
+            rows = rows.alias("r").join(dead.alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.gen") < F.col("d.until")), "left_anti")
+        return rows.select("shard", "k1", "k2", "doc_id")
 
     def counts(self) -> DataFrame:
-        return self._read("counts", _COUNTS)
+        return self._latest("counts", _COUNTS, _KEY, ["n_docs", "max_doc"]).filter("n_docs > 0").select(*_KEY, "n_docs", "max_doc")
 
     def filters(self) -> DataFrame:
-        return self._read("filters", "shard int, filter binary")
+        return self._latest("filters", "shard int, filter binary", ["shard"], ["filter"]).select("shard", "filter")
 
-    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Add the rows' references and raise the counts."""
+    def _next(self) -> int:
+        """The number of the next generation. Numbers divisible by COMPACT hold everything anew, the others what changed."""
         g = self.generation + 1
-        new = references(docs, self.shards, self.min_chars, id_col, text_col)
-        (new if g == 1 else self.refs().unionByName(new)).write.parquet(self._at("refs", g), mode="overwrite")
-        self._count_anew(g)
+        if g % COMPACT == 0:
+            tagged = F.lit(g).alias("gen")
+            for table, rows in (("refs", self.refs()), ("counts", self.counts()), ("filters", self.filters())):
+                rows.select("*", tagged).write.parquet(self._at(table, g), mode="overwrite")
+            self.generation = g
+            g += 1
+        return g
+
+    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Add the rows' references; counts and filters of the keys and shards that they touch are written, no others."""
+        g = self._next()
+        (references(docs, self.shards, self.min_chars, id_col, text_col).withColumn("gen", F.lit(g))
+         .write.parquet(self._at("refs", g), mode="overwrite"))
+        added = _count(self.spark.read.schema(f"{_REFS}, gen int").parquet(self._at("refs", g)))
+        if not self.generation:
+            self._advance(g, None, added)
+            return
+        old = self._touched(added)
+        merged = added.alias("a").join(old.alias("o"), _KEY, "left").select(
+            *_KEY, (F.col("a.n_docs") + F.coalesce("o.n_docs", F.lit(0))).alias("n_docs"), F.greatest("a.max_doc", "o.max_doc").alias("max_doc"))
+        self._advance(g, old, merged)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
-        """Remove all references of the documents with these ids: the state is as if they had never come."""
-        g = self.generation + 1
-        gone = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-        kept = self.refs().alias("r").join(gone.alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")), "left_anti")
-        kept.write.parquet(self._at("refs", g), mode="overwrite")
-        self._count_anew(g)
-
-    def _count_anew(self, g: int) -> None:
-        refs = self.spark.read.schema("shard int, k1 long, k2 long, doc_id long").parquet(self._at("refs", g))
-        _count(refs).write.parquet(self._at("counts", g), mode="overwrite")
-        counts = self.spark.read.schema(_COUNTS).parquet(self._at("counts", g))
-        heavy = F.col("n_docs") >= self.min_docs
-        if self.generation:
-            old = self.counts().filter(heavy).select("shard", "k1", "k2", F.lit(1).alias("was"))
-            now = counts.filter(heavy).select("shard", "k1", "k2", F.lit(1).alias("is"))
-            moved = old.join(now, ["shard", "k1", "k2"], "full").filter("was is null or `is` is null")
-            keys = moved.select("shard", "k1", F.col("was").isNull().alias("up"))
+        """Remove all references of the documents with these ids: the state is as if they had never come. The ids are written, and the
+        counts of the keys that they held, counted anew from what is left."""
+        g = self._next()
+        gone = stored(ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "line-gone")
+        lost = self.refs().alias("r").join(gone.alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")), "left_semi")
+        keys = stored(lost.select(*_KEY).distinct(), "line-keys")
+        old = self._touched(keys)
+        left = self.refs().alias("r").join(gone.alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")), "left_anti")
+        counted = keys.join(_count(left.join(keys, _KEY, "left_semi")), _KEY, "left").select(
+            *_KEY, F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "max_doc")
+        gone.withColumn("gen", F.lit(g)).write.parquet(self._at("gone", g), mode="overwrite")
+        self._advance(g, old, counted)
+
+    def _touched(self, keys: DataFrame) -> DataFrame:
+        return stored(self.counts().join(keys.select(*_KEY), _KEY, "left_semi"), "line-counts")
+
+    def _advance(self, g: int, old: DataFrame | None, new: DataFrame) -> None:
+        """Write the touched keys' new counts, and the filters of the shards where a key crosses the threshold."""
+        new.select(*_KEY, "n_docs", "max_doc", F.lit(g).alias("gen")).write.parquet(self._at("counts", g), mode="overwrite")
+        new = self.spark.read.schema(f"{_COUNTS}, gen int").parquet(self._at("counts", g))
+        over = F.col("n_docs") >= self.min_docs
+        if old is None:
+            moved = new.filter(over).select("shard", "k1", F.lit(True).alias("up"))
+        else:
+            before = old.filter(over).select(*_KEY, F.lit(True).alias("was"))
+            moved = (new.join(before, _KEY, "left").withColumn("up", over)
+                     .filter(F.col("up") != F.coalesce("was", F.lit(False))).select("shard", "k1", "up"))
+        moved = stored(moved, "line-moved")
+        mine = self.filters().join(moved.select("shard").distinct(), "shard", "left_semi")
+        # written before they are read twice: a lost executor must not make them anew, in another order of rows
+        filters = stored(moved.groupBy("shard").cogroup(mine.groupBy("shard")).applyInPandas(_crossed, "shard int, filter binary, grow boolean"), "line-filters")
+        full = filters.filter("grow").select("shard")
+        tagged = F.lit(g).alias("gen")
+        if full.isEmpty():
+            rebuilt = filters.limit(0).select("shard", "filter")
         else:
-            keys = counts.filter(heavy).select("shard", "k1", F.lit(True).alias("up"))
-        filters = keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(
-            _crossed, "shard int, filter binary, grow boolean")
-        filters = filters.select("shard", "filter", "grow").persist()
-        try:
-            full = filters.filter("grow").select("shard")
             # a filter that overflows is built again from the exact counts
-            rebuilt = (counts.filter(heavy).join(full, "shard", "left_semi").select("shard", "k1")
-                       .groupBy("shard").applyInPandas(_rebuilt, "shard int, filter binary"))
-            (filters.filter("not grow").select("shard", "filter").unionByName(rebuilt)
-             .write.parquet(self._at("filters", g), mode="overwrite"))
-        finally:
-            filters.unpersist()
+            now = self.counts().join(new.select(*_KEY), _KEY, "left_anti").unionByName(new.drop("gen")).filter(over)
+            rebuilt = now.join(full, "shard", "left_semi").select("shard", "k1").groupBy("shard").applyInPandas(_rebuilt, "shard int, filter binary")
+        (filters.filter("not grow").select("shard", "filter").unionByName(rebuilt).select("*", tagged)
+         .write.parquet(self._at("filters", g), mode="overwrite"))
         self.generation = g
 
     def dropped(self, refs: DataFrame | None = None) -> DataFrame:
@@ -158,6 +209,8 @@ class LineIndex:
         sizes = self.filters().agg(F.sum(F.length("filter"))).first()[0] or 0
         if sizes <= FILTER_BYTES:
             refs = _probed(refs, {r.shard: bytes(r.filter) for r in self.filters().toLocalIterator()}, self.shards)
+        else:
+            refs = _probed_by_shard(refs, self.filters(), self.shards)
         heavy = self.counts().filter(F.col("n_docs") >= self.min_docs).select("k1", "k2", "max_doc")
         return (refs.join(heavy, ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
                 .groupBy("doc_id").agg(F.collect_set("k1").alias("lines")))
@@ -184,6 +237,22 @@ def _rebuilt(heavy):
     return pd.DataFrame({"shard": heavy["shard"].iloc[:1], "filter": [build(heavy["k1"].to_numpy(np.int64)).dump()]})
 
 
+def _probed_by_shard(refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The references that their shard's filter holds. Where all filters together are too large to be sent to every task, each
+    goes with its shard's references, which are dealt out in parts of about ``PROBE_REFS``."""
+    parts = max(1, -(-refs.count() // (shards * PROBE_REFS)))
+    dealt = refs.withColumn("part", F.pmod(F.xxhash64("doc_id", "k1"), F.lit(parts)))
+    sent = filters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def probe(rows: pa.Table, own: pa.Table) -> pa.Table:
+        rows = rows.select(["shard", "k1", "k2", "doc_id"])
+        if not rows.num_rows or not own.num_rows:
+            return rows.slice(0, 0)
+        hit = CuckooFilter.load(own["filter"][0].as_py()).contains(rows["k1"].to_numpy())
+        return rows.filter(pa.array(hit))
+    return dealt.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(probe, "shard int, k1 long, k2 long, doc_id long")
+
+
 def _probed(refs: DataFrame, filters: dict[int, bytes], shards: int) -> DataFrame:
     sent = refs.sparkSession.sparkContext.broadcast(filters)
 

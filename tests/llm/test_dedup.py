@@ -120,6 +120,33 @@ def test_lines_inserted_in_parts_and_deleted_again(spark, make, tmp_path):
         assert (held.table > 0).sum() == sum(s == f.shard for s, _ in heavy)
 
 
+def state(index):
+    filters = {f.shard: int((CuckooFilter.load(f["filter"]).table > 0).sum()) for f in index.filters().collect()}
+    return sorted(rows_of(index.refs()), key=str), sorted(rows_of(index.counts())), {s: n for s, n in filters.items() if n}
+
+
+@pytest.mark.parametrize("compact", [3, 100])
+def test_lines_grow_and_shrink_as_a_fresh_build(spark, make, tmp_path, monkeypatch, compact):
+    monkeypatch.setattr(line_dedup, "COMPACT", compact)
+    rows = line_rows()
+    index = line_dedup.LineIndex(spark, str(tmp_path / "lines"), shards=4)
+    for k in range(4):
+        index.insert(make(rows[k::4]))
+    index.delete(spark.createDataFrame([(i,) for i in range(0, 60, 2)] + [(None,)], "doc_id long"))
+    index.insert(make([r for r in rows if r[0] in (0, 10, 20)]))  # deleted ids may come again
+    left = [r for r in rows if r[0] in (0, 10, 20) or r[0] % 2 or r[0] >= 60]
+    fresh = line_dedup.new_index(make(left), shards=4)
+    assert state(index) == state(fresh)
+    assert sorted(rows_of(line_dedup.line_decisions(make(left), index))) == brute_lines(left)
+    # one more document writes no more than itself
+    index.insert(make([(7000, LONG % 1 + "\n" + LONG % 2)]))
+    last = f"{tmp_path}/lines/g{index.generation}"
+    assert spark.read.parquet(f"{last}/refs").count() == spark.read.parquet(f"{last}/counts").count() == 2
+    assert spark.read.parquet(f"{last}/filters").count() <= 2
+    index.delete(spark.createDataFrame([(7000,)], "doc_id long"))
+    assert state(index) == state(fresh)
+
+
 def test_lines_empty_table_and_kept_texts(make):
     empty = make([])
     assert rows_of(line_dedup.line_decisions(empty, line_dedup.new_index(empty, shards=2))) == []
