@@ -99,14 +99,11 @@ def trailing_counts(df: DataFrame, keys: list[str], ts_col: str, window_seconds:
                         F.lit(1).alias("_kind"), F.col("_us").alias("_t"))
     cum = prefix_sum(rows.unionByName(probes), [*[F.col(k) for k in keys], F.col("_us"), F.col("_kind")],
                      "_n", "_p")
-    hi = cum.filter(F.col("_kind") == 0).select(*keys, F.col("_t"), F.col("_p").alias("_hi"))
-    lo = cum.filter(F.col("_kind") == 1).select(*keys, F.col("_t"), F.col("_p").alias("_lo"))
-    # a null key is a key of its own, so keys are compared null-safe
+    # both bounds of a window from one pass; a null key is a key of its own
     at = ["_t", *keys]
-    lo = lo.select(F.col("_lo"), *[F.col(k).alias(f"_lo_{k}") for k in at])
-    both = hi.join(lo, _same(hi, lo, at, "_lo_"))
-    counts = both.select(*[F.col(k).alias(f"_c_{k}") for k in at],
-                         F.round(F.col("_hi") - F.col("_lo")).cast("bigint").alias(out))
+    bound = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_p")))
+    both = cum.groupBy(*at).agg(F.round(bound(0) - bound(1)).cast("bigint").alias(out))
+    counts = both.select(*[F.col(k).alias(f"_c_{k}") for k in at], out)
     rows = df.withColumn("_t", F.unix_micros(F.col(ts_col)))
     return rows.join(counts, _same(rows, counts, at, "_c_"), "left").select(*df.columns, out)
 

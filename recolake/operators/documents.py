@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import has_vector
+from ..functions.text import fixed2
 
 
 def latest_vectors(vectors: DataFrame, key: str = "item_id", order: str | None = "model_timestamp") -> DataFrame:
@@ -41,14 +41,12 @@ def product_documents(products: DataFrame, vectors: DataFrame, key: str = "item_
 
 def upsert(existing: DataFrame, updates: DataFrame, key: str = "doc_id",
            seq: str | None = None) -> DataFrame:
-    """K6: keyed upsert. Within ``updates`` the last write per key wins (highest
-    ``seq``; without one any one of them stays); the result is the updates plus every existing row whose key was
-    not updated (anti join) - a MERGE expressed as union + anti join."""
-    if seq is not None:
-        last = updates.groupBy(key).agg(F.max_by(F.struct(*updates.columns), F.col(seq)).alias("_r"))
-        updates = last.select("_r.*")
-    else:
-        updates = updates.dropDuplicates([key])
+    """K6: keyed upsert. Within ``updates`` the last write per key wins: the highest ``seq``; without one, or where it ties, the row that is
+    largest by its columns in turn, so that a rerun keeps the same. The result is the updates plus every existing row whose key was
+    not updated (anti join) - a MERGE expressed as union + anti join. A standing table is merged bucket by bucket: ``document_store``."""
+    order = ([F.col(seq)] if seq is not None else []) + [F.to_json(F.struct(*updates.columns))]
+    last = updates.groupBy(key).agg(F.max_by(F.struct(*updates.columns), F.struct(*order)).alias("_r"))
+    updates = last.select("_r.*")
     kept = existing.join(updates.select(key), key, "left_anti")
     return kept.unionByName(updates, allowMissingColumns=True)
 
@@ -62,6 +60,18 @@ def display_projection(items: DataFrame) -> DataFrame:
     return items.select(*cols)
 
 
-def vector_presence(docs: DataFrame) -> DataFrame:
-    """Documents with/without a usable vector."""
-    return docs.select("*", has_vector("model_factor").alias("has_vector"))
+def product_page(items: DataFrame) -> DataFrame:
+    """What product and result pages show: 60-char title, 150-char text, the first three descriptions and five features, the score
+    (``score`` or the mean rating) with two decimals. Columns that the items lack are left out."""
+    cols = [F.col("item_id"), F.substring("title", 1, 60).alias("short_title")]
+    kinds = dict(items.dtypes)
+    if "description" in kinds:
+        text = F.array_join("description", " ") if kinds["description"].startswith("array") else F.col("description")
+        cols.append(F.substring(text, 1, 150).alias("short_text"))
+    for name, most in (("descriptions", 3), ("features", 5)):
+        if name in kinds:
+            cols.append(F.slice(name, 1, most).alias(name))
+    score = "score" if "score" in kinds else "average_rating"
+    if score in kinds:
+        cols.append(fixed2(score).alias("score"))
+    return items.select(*cols)

@@ -70,10 +70,10 @@ def prefix_sum(df: DataFrame, order: list, value_col: str, out_col: str = "cum")
 
 
 def dense_index(values: DataFrame, label_col: str, idx_col: str = "idx",
-                count_col: str = "n", checkpoint: bool = True) -> DataFrame:
-    """(label, n, idx): idx 0.. by frequency desc, then label asc (StringIndexer order)."""
-    counts = (values.filter(F.col(label_col).isNotNull())
-              .groupBy(label_col).agg(F.count(F.lit(1)).alias(count_col)))
+                count_col: str = "n", checkpoint: bool = True, weight_col: str | None = None) -> DataFrame:
+    """(label, n, idx): idx 0.. by frequency desc, then label asc (StringIndexer order). ``weight_col``: rows stand for so many."""
+    n = F.count(F.lit(1)) if weight_col is None else F.sum(weight_col)
+    counts = values.filter(F.col(label_col).isNotNull()).groupBy(label_col).agg(n.alias(count_col))
     return row_positions(counts, [F.desc(count_col), F.col(label_col)], idx_col, checkpoint)
 
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
 from ..functions.text import format_bytes, glob_to_like, key_part
-from .popular import top_k
+from ..session import scratch_folder
+from .popular import top_k, top_k_per_key
 
 
 def match(inv: DataFrame, pattern: str) -> DataFrame:
@@ -78,32 +80,67 @@ def trending_totals(activity: DataFrame, cap: int = 100) -> DataFrame:
                       F.least("p", F.lit(cap)).cast("bigint").alias("total_purchased_products"))
 
 
-def inventory_report(inv: DataFrame, activity: DataFrame, hit: DataFrame | None = None) -> DataFrame:
-    """Every report as one long table (section, metric, value)."""
-    def long(df: DataFrame, section: str, metric_cols: list[str]) -> DataFrame:
-        pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in metric_cols]
-        return df.select(F.lit(section).alias("section"), F.explode(F.array(*pairs)).alias("p")).select(
-            "section", "p.metric", "p.value")
-
-    parts = [
-        long(key_size_totals(inv, "*"), "key_sizes", ["total_bytes", "total_size", "total_keys"]),
-        long(expiry_buckets(inv), "expiry", ["total_expiring", "expiring_within_1h", "expiring_within_1d"]),
-        long(recommendation_cache(inv), "recommendation_cache",
-             ["total_cached_recommendations", "users_with_cache"]),
-        long(search_cache(inv), "search_cache", ["total_cached_searches", "unique_queries"]),
-        long(trending_totals(activity), "trending", ["total_viewed_products", "total_purchased_products"]),
-        key_type_distribution(inv).select(
-            F.lit("key_types").alias("section"), F.coalesce("type", F.lit("total")).alias("metric"),
-            F.col("n").cast("string").alias("value")),
-        keys_per_db(inv).select(
-            F.lit("keys_per_db").alias("section"), F.coalesce("db", F.lit("total")).alias("metric"),
-            F.col("keys").cast("string").alias("value")),
-    ]
-    tc = inv.agg(F.count_distinct("type").alias("type_count"))
-    parts.append(long(tc, "key_types", ["type_count"]))
+def report_log(inv: DataFrame, activity: DataFrame) -> DataFrame:
+    """One log of key and event rows for ``inventory_report``, where they come from tables of their own."""
+    return inv.unionByName(activity.select("event_type", "item_id"), allowMissingColumns=True)
+
+
+def inventory_report(log: DataFrame, hit: DataFrame | None = None, top: int = 10, cap: int = 100) -> DataFrame:
+    """Every report as one long table (section, metric, value), from one pass over a log of keys (db, key, type, size_bytes, ttl_s)
+    and events (event_type, item_id); a row may be both, and the columns of what it is not are null.
+
+    Every row becomes a few counted things (a type, a db, a user with cached recommendations, a viewed item ...). These are added up where they
+    lie, so what is shuffled is a row per thing and task; the sections are then sums, counts and top lists over the things."""
+    key, ttl = F.col("key"), F.col("ttl_s")
+    is_key, size = key.isNotNull(), F.coalesce("size_bytes", F.lit(0))
+
+    def thing(section: str, name, when, amount=None):
+        return F.when(when, F.struct(F.lit(section).alias("section"), name.cast("string").alias("name"),
+                                     (F.lit(0).cast("bigint") if amount is None else amount.cast("bigint")).alias("amount"), (ttl > 0).alias("expires")))
+    item, kind = F.col("item_id"), F.col("event_type")
+    things = F.array_compact(F.array(
+        thing("db", F.col("db"), is_key, ttl), thing("type", F.col("type"), is_key),
+        thing("bytes", F.lit("all"), is_key & (size != 0), size),
+        thing("within", F.when(ttl < 3600, "1h").when(ttl < 86400, "1d").otherwise("later"), is_key & (ttl > 0)),
+        thing("recs", F.split_part(key, F.lit(":"), F.lit(2)), key.startswith("recs:")), thing("search", F.lit("all"), key.startswith("search:")),
+        thing("viewed", item, item.isNotNull() & (kind == "product_view")), thing("purchased", item, item.isNotNull() & (kind == "purchase"))))
+    summed = (log.select(F.explode(things).alias("t")).groupBy("t.section", "t.name")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("t.amount").alias("amount"), F.count_if("t.expires").alias("expires"),
+                   F.sum(F.when(F.col("t.expires"), F.col("t.amount"))).alias("ttl")))
+    path = f"{scratch_folder(log.sparkSession, 'report')}/things"
+    summed.write.parquet(path)
+    summed = log.sparkSession.read.parquet(path)
+
+    def of(section: str, value):
+        return F.coalesce(F.sum(F.when(F.col("section") == section, value)), F.lit(0)).cast("bigint")
+
+    def names(section: str):
+        return F.count_if((F.col("section") == section) & F.col("name").isNotNull())
+    n = F.col("n")
+    totals = summed.agg(
+        of("bytes", F.col("amount")).alias("b"), of("bytes", n).alias("k"), of("within", n).alias("e"),
+        of("within", F.when(F.col("name") == "1h", n)).alias("h"), of("within", F.when(F.col("name") != "later", n)).alias("d"),
+        of("recs", n).alias("r"), names("recs").alias("u"), of("search", n).alias("s"), names("viewed").alias("v"), names("purchased").alias("p"),
+        names("type").alias("types"), of("type", n).alias("keys"), of("db", F.col("expires")).alias("x"), of("db", F.col("ttl")).alias("t"))
+    mean = lambda t, x: F.floor(t / F.when(x > 0, x)).cast("bigint")
+    fixed = [("key_sizes", "total_bytes", F.col("b")), ("key_sizes", "total_size", TX.format_bytes("b")), ("key_sizes", "total_keys", F.col("k")),
+             ("expiry", "total_expiring", F.col("e")), ("expiry", "expiring_within_1h", F.col("h")), ("expiry", "expiring_within_1d", F.col("d")),
+             ("recommendation_cache", "total_cached_recommendations", F.col("r")), ("recommendation_cache", "users_with_cache", F.col("u")),
+             ("search_cache", "total_cached_searches", F.col("s")), ("search_cache", "unique_queries", F.col("s")),
+             ("trending", "total_viewed_products", F.least("v", F.lit(cap))), ("trending", "total_purchased_products", F.least("p", F.lit(cap))),
+             ("key_types", "type_count", F.col("types")), ("key_types", "total", F.col("keys")), ("keys_per_db", "total", F.col("keys")),
+             ("expires_per_db", "total", F.col("x")), ("avg_ttl_per_db", "total", mean(F.col("t"), F.col("x")))]
+    row = lambda section, metric, value: F.struct(F.lit(section).alias("section"), metric.alias("metric"), value.cast("string").alias("value"))
+    out = totals.select(F.explode(F.array(*(row(a, F.lit(b), c) for a, b, c in fixed))).alias("r")).select("r.*")
+    per = summed.filter("section in ('type', 'db') and name is not null").select(F.explode(F.when(F.col("section") == "type", F.array(
+        row("key_types", F.col("name"), n))).otherwise(F.array(
+            row("keys_per_db", F.col("name"), n), row("expires_per_db", F.col("name"), F.col("expires")),
+            row("avg_ttl_per_db", F.col("name"), mean(F.col("ttl"), F.col("expires")))))).alias("r")).select("r.*")
+    # ties by item id from the end, as a sorted set read in reverse order
+    order = [n.desc(), F.col("name").try_cast("bigint").desc_nulls_last(), F.col("name").desc()]
+    tops = top_k_per_key(summed.filter("section in ('viewed', 'purchased')"), ["section"], order, top).select(
+        F.concat(F.lit("top_"), "section").alias("section"), F.col("name").alias("metric"), n.cast("string").alias("value"))
+    out = out.unionByName(per).unionByName(tops)
     if hit is not None:
-        parts.append(long(hit, "performance", ["hits", "misses", "hit_rate"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(hit.select(F.explode(F.array(*(row("performance", F.lit(c), F.col(c)) for c in ("hits", "misses", "hit_rate")))).alias("r")).select("r.*"))
     return out

@@ -99,20 +99,32 @@ def rating_histogram(ratings: DataFrame, rating_col: str = "rating", bins: int =
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
+def pair_fact(reviews: DataFrame, user_col: str = "user_id", item_col: str = "item_id", rating_col: str = "rating",
+              ts_col: str = "ts") -> DataFrame:
+    """One row per (user, item), nulls included: ``n`` rows, ``n_rated`` with all three of user, item and rating, and the ``newest`` of those
+    as (ts, rating). Written once, it holds what the rating table, both label indexes and the stage counts need."""
+    complete = F.col(user_col).isNotNull() & F.col(item_col).isNotNull() & F.col(rating_col).isNotNull()
+    return reviews.groupBy(user_col, item_col).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(complete).alias("n_rated"),
+        F.max(F.when(complete, F.struct(F.col(ts_col).alias("ts"), F.col(rating_col).alias("rating")))).alias("newest"))
+
+
+def newest_of(pairs: DataFrame, user_col: str = "user_id", item_col: str = "item_id") -> DataFrame:
+    """M1 from the fact of pairs: (item, user, rating, ts)."""
+    return pairs.filter("newest is not null").select(item_col, user_col, "newest.rating", "newest.ts")
+
+
 def stage_counts(reviews: DataFrame, user_col: str = "user_id", item_col: str = "item_id",
                  rating_col: str = "rating") -> DataFrame:
-    """Rows at each preparation stage in one job: raw, complete, distinct pairs."""
+    """Rows at each preparation stage in one pass: raw, complete, distinct pairs, users and items. Rows are combined by
+    pair first; the distinct counts then run over pairs."""
     complete = F.col(user_col).isNotNull() & F.col(item_col).isNotNull() & F.col(rating_col).isNotNull()
-    raw = reviews.agg(F.count(F.lit(1)).alias("raw_rows"),
-                      F.count_if(complete).alias("complete_rows"))
-    pairs = (reviews.filter(complete).select(user_col, item_col).distinct()
-             .agg(F.count(F.lit(1)).alias("distinct_pairs")))
-    distinct = reviews.filter(complete).agg(F.struct(
-        F.count_distinct(user_col).alias("u"), F.count_distinct(item_col).alias("i"))).scalar()
-    return raw.select("raw_rows", "complete_rows",
-                      pairs.scalar().alias("distinct_pairs"),
-                      distinct["u"].alias("distinct_users"),
-                      distinct["i"].alias("distinct_items"))
+    pairs = reviews.groupBy(user_col, item_col).agg(F.count(F.lit(1)).alias("n"), F.count_if(complete).alias("c"))
+    rated = F.col("c") > 0
+    return pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("raw_rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("complete_rows"),
+        F.count_if(rated).alias("distinct_pairs"), F.count_distinct(F.when(rated, F.col(user_col))).alias("distinct_users"),
+        F.count_distinct(F.when(rated, F.col(item_col))).alias("distinct_items"))
 
 
 def top_categories(items: DataFrame, category_col: str = "main_category", k: int = 10) -> DataFrame:
@@ -132,19 +144,32 @@ def _whole():
     return Window.partitionBy()
 
 
+def key_hash(df: DataFrame, key_cols: list[str], seed: int = 42) -> Column:
+    """A hash of the key that any engine has: the MD5 (hex) of seed and key values as text, timestamps as microseconds, nulls empty."""
+    kinds = dict(df.dtypes)
+
+    def text(c: str) -> Column:
+        v = F.unix_micros(c) if kinds[c] == "timestamp" else F.col(c)
+        return F.coalesce(v.cast("string"), F.lit(""))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(text(c) for c in key_cols)).cast("binary"))
+
+
+def split_share(df: DataFrame, key_cols: list[str], seed: int = 42) -> Column:
+    """Where a key falls in [0, 10000): the first eight hex digits of its hash, modulo."""
+    return F.conv(F.substring(key_hash(df, key_cols, seed), 1, 8), 16, 10).cast("bigint") % 10000
+
+
 def hash_split(df: DataFrame, key_cols: list[str], train_fraction: float = 0.8,
                seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """M4: deterministic split by a hash of the key; stable under re-partitioning
     and re-execution, unlike ``randomSplit`` over an uncached source."""
-    h = F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(10000))
     cut = int(round(train_fraction * 10000))
-    tagged = df.withColumn("_h", h)
+    tagged = df.withColumn("_h", split_share(df, key_cols, seed))
     return (tagged.filter(F.col("_h") < cut).drop("_h"),
             tagged.filter(F.col("_h") >= cut).drop("_h"))
 
 
 def hash_sample(df: DataFrame, key_cols: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Fixed-size deterministic sample: the n rows with the smallest keyed
-    hash (planned as TakeOrderedAndProject: a per-partition top-n, then merge)."""
-    h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", *key_cols).limit(n).drop("_h")
+    """Fixed-size deterministic sample: the n rows with the smallest keyed hash, equal keys by all columns. The bottom n of a union are the
+    bottom n of the parts' bottom n, so it is planned as TakeOrderedAndProject: a top-n in every task, then a merge."""
+    return df.withColumn("_h", key_hash(df, key_cols, seed)).orderBy("_h", *key_cols, *[c for c in df.columns if c not in key_cols]).limit(n).drop("_h")

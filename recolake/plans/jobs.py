@@ -28,6 +28,9 @@ def process_all(spark: SparkSession, review_path: str, meta_path: str, out_dir:
     r = ratings.prepare_ratings_first(
         saved.select("user_id", F.col("asin").alias("item_id"), "rating",
                      F.timestamp_millis("timestamp").alias("ts")), compat=compat)
+    # written once: both dimensions and the encoded table read the de-duplicated ratings
+    writers.overwrite_table(r, os.path.join(out_dir, "ratings_prepared"))
+    r = spark.read.parquet(os.path.join(out_dir, "ratings_prepared"))
     udim = encode.dense_index(r.select("user_id"), "user_id")
     idim = encode.dense_index(r.select("item_id"), "item_id")
     counts["user_dim"] = writers.overwrite_table(udim, os.path.join(out_dir, "user_dim"))

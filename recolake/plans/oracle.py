@@ -56,6 +56,10 @@ VIEWS: dict[str, str] = {
         from part left join documents d on d.doc_id = p_partkey
         left join (select conv_id, string_agg(text, ' ' order by turn) as features from conversations group by conv_id) c
           on c.conv_id = p_partkey""",
+    "v_described_lists": """
+        select p_partkey as item_id, p_name as title, d.text as description, c.features
+        from part left join documents d on d.doc_id = p_partkey
+        left join (select conv_id, list(text order by turn) as features from conversations group by conv_id) c on c.conv_id = p_partkey""",
     "v_text_queries": """
         select query from v_search_queries
         union select array_to_string(t[1:2], ' ') from (

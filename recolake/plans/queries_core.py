@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ts_text
 from ..operators import encode, ratings
+from ..session import scratch_folder
 from ..sources import tables as T
 from .catalog import register
 
@@ -104,11 +105,12 @@ def q_item_index(spark, d):
     select r.user_id, r.item_id, r.rating, u.user_idx, i.item_idx
     from r join u using (user_id) join i using (item_id)""")
 def q_encoded_ratings(spark, d):
-    inter = T.interactions(spark, d)
-    r = ratings.prepare_ratings_first(inter).select("item_id", "user_id", "rating")
-    udim = encode.dense_index(inter.select("user_id"), "user_id")
-    idim = encode.dense_index(inter.select("item_id"), "item_id")
-    return encode.encode_ratings(r, udim, idim).select("user_id", "item_id", "rating", "user_idx", "item_idx")
+    path = f"{scratch_folder(spark, 'pairs')}/fact"
+    ratings.pair_fact(T.interactions(spark, d)).write.parquet(path)
+    pairs = spark.read.parquet(path)
+    udim = encode.dense_index(pairs.select("user_id", "n"), "user_id", weight_col="n")
+    idim = encode.dense_index(pairs.select("item_id", "n"), "item_id", weight_col="n")
+    return encode.encode_ratings(ratings.newest_of(pairs), udim, idim).select("user_id", "item_id", "rating", "user_idx", "item_idx")
 
 
 @register("training_users_first", "L10,M11,K11,L9", """
@@ -130,20 +132,50 @@ def q_top_categories(spark, d):
     return ratings.top_categories(T.items(spark, d))
 
 
-@register("hash_split_counts", "M4", None)
+KEY_HASH = "md5('42|' || user_id || '|' || item_id || '|' || epoch_us(ts))"
+
+
+@register("hash_split_counts", "M4", f"""
+    select case when cast('0x' || substr({KEY_HASH}, 1, 8) as bigint) % 10000 < 8000 then 'train' else 'test' end as part, count(*) as n
+    from v_interactions group by 1""")
 def q_hash_split_counts(spark, d):
-    train, test = ratings.hash_split(T.interactions(spark, d), ["user_id", "item_id", "ts"])
-    return (train.select(F.lit("train").alias("part")).unionByName(test.select(F.lit("test").alias("part")))
-            .groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    inter = T.interactions(spark, d)
+    share = ratings.split_share(inter, ["user_id", "item_id", "ts"])
+    return inter.groupBy(F.when(share < 8000, "train").otherwise("test").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("hash_sample", "S5", None)
+@register("hash_sample", "S5", f"""
+    select user_id, item_id, rating, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts
+    from (select * from v_interactions order by {KEY_HASH}, user_id, item_id, ts, rating limit 1000)""")
 def q_hash_sample(spark, d):
     r = T.interactions(spark, d)
     return ratings.hash_sample(r, ["user_id", "item_id", "ts"], 1000).select(
         "user_id", "item_id", "rating", ts_text("ts").alias("ts"))
 
 
+@register("training_split", "M4,M3,P8,J8", """
+    with r as (select user_id, item_id, rating from
+                 (select *, row_number() over (partition by item_id, user_id order by ts desc, rating desc) rn from v_interactions) where rn = 1),
+         u as (select user_id, row_number() over (order by count(*) desc, user_id) - 1 as idx from v_interactions group by user_id),
+         i as (select item_id, row_number() over (order by count(*) desc, item_id) - 1 as idx from v_interactions group by item_id)
+    select case when cast('0x' || substr(md5('42|' || u.user_id || '|' || i.item_id), 1, 8) as bigint) % 10000 < 8000 then 'train' else 'test' end as part,
+           i.item_id, count(*) as n, cast(sum(u.idx) as bigint) as sum_user_idx, sum(rating) as sum_rating
+    from r join u using (user_id) join i using (item_id) where i.idx < 500 group by all""")
+def q_training_split(spark, d):
+    """The encoded split as training sees it, decoded again: per part and item label (of the 500 commonest items) its rows. Indexes without a label
+    in the shortened dictionary drop out."""
+    path = f"{scratch_folder(spark, 'pairs')}/fact"
+    ratings.pair_fact(T.interactions(spark, d)).write.parquet(path)
+    pairs = spark.read.parquet(path)
+    udim = encode.dense_index(pairs.select("user_id", "n"), "user_id", weight_col="n")
+    idim = encode.dense_index(pairs.select("item_id", "n"), "item_id", weight_col="n")
+    enc = encode.encode_ratings(ratings.newest_of(pairs), udim, idim)
+    part = F.when(ratings.split_share(enc, ["user_id", "item_id"]) < 8000, "train").otherwise("test")
+    indexed = enc.select(part.alias("part"), "user_idx", "item_idx", "rating")
+    decoded = encode.labels_to_items(indexed, encode.first_labels(idim, 500), "item_idx", "item_id")
+    return decoded.groupBy("part", "item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("user_idx").alias("sum_user_idx"), F.sum("rating").alias("sum_rating"))
+
+
 @register("distinct_items", "A3", "select distinct item_id from v_interactions")
 def q_distinct_items(spark, d):
     return T.interactions(spark, d).select("item_id").distinct()

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ts_text
 from ..functions.vectors import has_vector
+from ..operators import document_store as DS
 from ..operators import documents as D
 from ..operators import inventory as I
 from ..operators import users as U
+from ..session import scratch_folder
 from ..sources import tables as T
 from .catalog import register
 
@@ -114,9 +116,16 @@ def q_trending_totals(spark, d):
     union all select 'trending', 'total_purchased_products', cast(p as varchar) from tr
     union all select 'key_types', coalesce(type, 'total'), cast(count(*) as varchar) from inv group by rollup (type)
     union all select 'keys_per_db', coalesce(db, 'total'), cast(count(*) as varchar) from inv group by rollup (db)
-    union all select 'key_types', 'type_count', cast(count(distinct type) as varchar) from inv""")
+    union all select 'key_types', 'type_count', cast(count(distinct type) as varchar) from inv
+    union all select 'expires_per_db', coalesce(db, 'total'), cast(count(*) filter (where ttl_s > 0) as varchar) from inv group by rollup (db)
+    union all select 'avg_ttl_per_db', coalesce(db, 'total'),
+                     cast(cast(floor(sum(ttl_s) filter (where ttl_s > 0) / count(*) filter (where ttl_s > 0)) as bigint) as varchar) from inv group by rollup (db)
+    union all select * from (
+      select case event_type when 'purchase' then 'top_purchased' else 'top_viewed' end as section, cast(item_id as varchar), cast(count(*) as varchar)
+      from v_activity where item_id is not null and event_type in ('product_view', 'purchase') group by event_type, item_id
+      qualify row_number() over (partition by event_type order by count(*) desc, item_id desc) <= 10)""")
 def q_inventory_report(spark, d):
-    return I.inventory_report(T.key_inventory(spark, d), T.activity(spark, d))
+    return I.inventory_report(T.keys_and_events(spark, d))
 
 
 USERS_SQL = """
@@ -191,3 +200,59 @@ def q_search_documents(spark, d):
     from v_items""")
 def q_display_items(spark, d):
     return D.display_projection(T.items(spark, d))
+
+
+@register("display_products", "P14", f"""
+    with words as (select item_id, title, description, features,
+                          regexp_extract_all(description, '[^ \\x09-\\x0D]+') as w from v_described_lists),
+    scored as (select words.*, s.average_rating from words left join v_item_stats s using (item_id))
+    select item_id, substr(title, 1, 60) as short_title, substr(description, 1, 150) as short_text,
+           array_to_string(w[1:3], '|') as descriptions, array_to_string(features[1:5], '|') as features,
+           {F2.format(v='average_rating')} as score
+    from scored""")
+def q_display_products(spark, d):
+    """The product and result pages: text of 150 characters, three descriptions, five features, a score of two decimals."""
+    items = T.described_products(spark, d).join(T.item_stats(T.interactions(spark, d)), "item_id", "left")
+    parts = items.withColumn("descriptions", F.regexp_extract_all("description", F.lit(r"[^ \x09-\x0D]+"), F.lit(0)))
+    return D.product_page(parts).select("item_id", "short_title", "short_text", F.array_join("descriptions", "|").alias("descriptions"),
+                                        F.array_join("features", "|").alias("features"), "score")
+
+
+@register("page_image_urls", "F12,P15", """
+    select page_id, case page_id % 3 when 0 then 'large:' || url || '|thumb:' || url when 1 then 'thumb:' || url else '' end as urls from pages""")
+def q_page_image_urls(spark, d):
+    """Image objects over the page urls: both sizes and a second one with a thumb only, a thumb only, or neither; the internal id goes."""
+    pages = T.read(spark, d, "pages")
+    kind, kinds = F.col("page_id") % 3, "struct<thumb:string,large:string>"
+    thumb, large = F.concat(F.lit("thumb:"), "url"), F.concat(F.lit("large:"), "url")
+    image = lambda t, l: F.struct(t.cast("string").alias("thumb"), l.cast("string").alias("large"))
+    none = F.lit(None)
+    images = F.when(kind == 0, F.array(image(thumb, large), image(none, none), image(thumb, none))).when(
+        kind == 1, F.array(image(thumb, none))).otherwise(F.array(image(none, none)))
+    items = pages.select(F.col("page_id").alias("item_id"), F.lit("x").alias("_id"), images.cast(f"array<{kinds}>").alias("images"))
+    vectors = T.item_vectors(spark, d).limit(0)
+    docs = D.product_documents(items, vectors)
+    return docs.select([c for c in docs.columns if c not in ("doc_id", "model_factor")]).select(
+        F.col("item_id").alias("page_id"), F.array_join("images", "|").alias("urls"))
+
+
+@register("spoken_lines", "F17,S6", """
+    select trim(line) as user_id from (select unnest(string_split(text, chr(10))) as line from conversations) where trim(line) <> ''""")
+def q_spoken_lines(spark, d):
+    """Lines trimmed, blank ones dropped: what reading an id list does, over the lines of all turns."""
+    return U.clean_id_lines(T.read(spark, d, "conversations").select(F.explode(F.split("text", "\n")).alias("value")))
+
+
+@register("event_documents", "K6,W7,P9", """
+    with e as (select coalesce(item_id, -1) as doc_id, event_id, event_type, user_id, value from v_activity where item_id is not null),
+    last as (select * from e qualify row_number() over (partition by doc_id order by event_id desc) = 1)
+    select doc_id, event_id as seq, user_id, value from last where event_type <> 'user_registration'""")
+def q_event_documents(spark, d):
+    """Events as writes to their item's document, in order of event_id; a registration event deletes it. Three batches, out of order,
+    are merged into a bucketed snapshot: the last write of each id stays, rows without an item are no documents."""
+    e = T.activity(spark, d).select(F.col("item_id").alias("doc_id"), F.col("event_id").alias("seq"), "user_id", "value",
+                                    (F.col("event_type") == "user_registration").alias("deleted"))
+    store = DS.DocumentStore(scratch_folder(spark, "documents"), buckets=8)
+    for k in (1, 2, 0):
+        store.merge(e.filter(F.col("seq") % 3 == k))
+    return store.read(spark).select("doc_id", "seq", "user_id", "value")

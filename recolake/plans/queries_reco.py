@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ts_text
 from ..operators import cf, encode, hybrid, popular, ratings, similarity
+from ..session import scratch_folder
 from ..sources import tables as T
 from .catalog import register
 
@@ -100,6 +101,28 @@ def q_recent_global(spark, d):
     return r.select("rank", "event_id", "user_id", "item_id", ts_text("ts").alias("ts"))
 
 
+@register("recent_products", "R5,W4,J3", """
+    with r as (select row_number() over (order by ts desc, event_id desc) as rank, event_id, user_id, item_id
+               from v_activity where event_type = 'product_view' order by ts desc, event_id desc limit 100)
+    select r.rank, r.event_id, r.user_id, r.item_id, i.title, i.main_category, i.average_rating, i.rating_number from r join v_items i using (item_id)""")
+def q_recent_products(spark, d):
+    """The recently viewed page: the newest views with their products; views of unknown products are left out."""
+    r = popular.recent_global(T.activity(spark, d, ("product_view",)), 100).select("rank", "event_id", "user_id", "item_id")
+    return popular.enrich(r, T.items(spark, d))
+
+
+@register("category_products", "R5,L6,J3", """
+    with c as (select main_category, item_id, n, rank from
+      (select i.main_category, v.item_id, v.n, row_number() over (partition by i.main_category order by v.n desc, v.item_id desc) as rank
+       from (select item_id, count(*) as n from v_activity where event_type = 'product_view' and item_id is not null group by item_id) v
+       join v_items i using (item_id) where i.main_category is not null) where rank <= 20)
+    select c.main_category, c.item_id, c.n, c.rank, i.title, i.average_rating, i.rating_number from c join v_items i using (item_id)""")
+def q_category_products(spark, d):
+    """The category page: a category's most viewed products as they are shown."""
+    top = popular.category_popular(T.activity(spark, d, ("product_view",)), T.products(spark, d), 20).select("main_category", "item_id", "n", "rank")
+    return popular.enrich(top, T.items(spark, d), cols=("title", "average_rating", "rating_number"))
+
+
 @register("recent_views_per_user", "W3,R5", """
     select user_id, rank, event_id, item_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts from
       (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rank
@@ -245,31 +268,33 @@ _MODELS: dict = {}
 
 
 def _als(spark, d, variant: str = "A"):
-    """Fit once per (session, data, variant): encode, hash split, ALS.
+    """Fit once per (application, data, variant): encode, hash split, ALS. The split is written to the shared folder, not kept in memory.
     A = rank 25, reg 0.01, nonnegative; B = rank 50, reg 0.1, unconstrained."""
-    key = (id(spark), d, variant)
+    key = (spark.sparkContext.applicationId, d, variant)
     if key not in _MODELS:
-        inter = T.interactions(spark, d)
-        r = ratings.prepare_ratings_first(inter)
-        udim = encode.dense_index(inter.select("user_id"), "user_id")
-        idim = encode.dense_index(inter.select("item_id"), "item_id")
-        enc = encode.encode_ratings(r, udim, idim)
-        train, test = ratings.hash_split(enc, ["user_id", "item_id"])
-        train = train.select(F.col("user_idx").cast("int"), F.col("item_idx").cast("int"), "rating")
+        path = scratch_folder(spark, "als")
+        ratings.pair_fact(T.interactions(spark, d)).write.parquet(f"{path}/pairs")
+        pairs = spark.read.parquet(f"{path}/pairs")
+        udim = encode.dense_index(pairs.select("user_id", "n"), "user_id", weight_col="n")
+        idim = encode.dense_index(pairs.select("item_id", "n"), "item_id", weight_col="n")
+        enc = encode.encode_ratings(ratings.newest_of(pairs), udim, idim)
+        share = ratings.split_share(enc, ["user_id", "item_id"])
+        (enc.select(F.col("user_idx").cast("int"), F.col("item_idx").cast("int"), "rating", (share < 8000).cast("int").alias("train"))
+         .write.partitionBy("train").parquet(f"{path}/split"))
+        split = spark.read.parquet(f"{path}/split")
+        train, test = split.filter("train = 1").drop("train"), split.filter("train = 0").drop("train")
         params = (dict(rank=25, reg_param=0.01, nonnegative=True) if variant == "A"
                   else dict(rank=50, reg_param=0.1, nonnegative=False))
-        model = cf.fit_als(train.persist(), **params)
-        _MODELS[key] = (model, udim, idim, train, test)
+        _MODELS[key] = (cf.fit_als(train, **params), udim, idim, train, test)
     return _MODELS[key]
 
 
 @register("als_fit_metrics", "M4,M5,M6,M7,M12,A7", None)
 def q_als_metrics(spark, d):
     model, udim, idim, train, test = _als(spark, d)
-    pred = model.transform(test.select(F.col("user_idx").cast("int"), F.col("item_idx").cast("int"), "rating"))
-    m = cf.regression_metrics(pred.na.drop())
+    m = cf.regression_metrics(model.transform(test).na.drop())
     return m.select("rmse", "mae", F.col("n").alias("n_test"),
-                    F.lit(train.count()).alias("n_train"), F.lit(25).alias("rank"))
+                    train.agg(F.count(F.lit(1))).scalar().alias("n_train"), F.lit(25).alias("rank"))
 
 
 @register("als_recommendations", "M5,M8,M9,M10,J2,J8", None)
@@ -280,6 +305,38 @@ def q_als_recs(spark, d):
                                             T.items(spark, d), 10)
 
 
+TRAIN = """
+    with r as (select user_id, item_id from
+                 (select *, row_number() over (partition by item_id, user_id order by ts desc, rating desc) rn from v_interactions) where rn = 1),
+         t as (select user_id, item_id, cast('0x' || substr(md5('42|' || user_id || '|' || item_id), 1, 8) as bigint) % 10000 < 8000 as train from r),"""
+
+
+@register("als_recommendation_ranks", "M5,M8,M9,M10,P8,J8", f"""{TRAIN}
+         known as (select distinct user_id from v_interactions),
+         trained as (select distinct user_id from t where train),
+         n as (select least(10, count(distinct item_id)) as k from t where train),
+         p as (select least(10, count(*)) as k from v_items)
+    select c.user_id, r.rank, case when k.user_id is not null then 'cf' else 'popular' end as source, true as labelled
+    from v_customers c left join known k using (user_id) left join trained f using (user_id), n, p, (select unnest(range(1, 11)) as rank) r
+    where (k.user_id is not null and f.user_id is not null and r.rank <= n.k) or (k.user_id is null and r.rank <= p.k)""")
+def q_als_ranks(spark, d):
+    """Who gets a list from the trained model, how long it is, and that every item of it is a label of the item dictionary."""
+    labels = _als(spark, d)[2].select("item_id", F.lit(True).alias("known"))
+    rows = q_als_recs(spark, d).join(labels, "item_id", "left")
+    return rows.select("user_id", "rank", "source", (F.coalesce("known", F.lit(False)) | (F.col("source") == "popular")).alias("labelled"))
+
+
+@register("als_split_sizes", "M4,M5,M7,M12", f"""{TRAIN}
+         s as (select count(*) filter (where train) as n_train, count(*) filter (where not train) as n_held from t),
+         h as (select count(*) as n_test from t where not train and user_id in (select user_id from t where train) and item_id in (select item_id from t where train))
+    select s.n_train, s.n_held, h.n_test from s, h""")
+def q_als_split_sizes(spark, d):
+    """Rows that the model is trained on, held out, and predicted: pairs of a user or an item that training never saw are dropped."""
+    model, _, _, train, test = _als(spark, d)
+    return model.transform(test).na.drop().agg(F.count(F.lit(1)).alias("n_test")).select(
+        train.agg(F.count(F.lit(1))).scalar().alias("n_train"), test.agg(F.count(F.lit(1))).scalar().alias("n_held"), "n_test")
+
+
 @register("sql_prediction_errors", "M6,A7,F6,F7", f"""
     with r as (select item_id, user_id, rating from
                  (select *, row_number() over (partition by item_id, user_id order by ts desc, rating desc) rn
@@ -322,6 +379,5 @@ def q_similar_items_api(spark, d):
 def q_als_variant_b(spark, d):
     """Second training configuration: rank 50, reg 0.1, no nonnegativity."""
     model, udim, idim, train, test = _als(spark, d, "B")
-    pred = model.transform(test.select(F.col("user_idx").cast("int"), F.col("item_idx").cast("int"), "rating"))
-    m = cf.regression_metrics(pred.na.drop())
+    m = cf.regression_metrics(model.transform(test).na.drop())
     return m.select("rmse", "mae", F.col("n").alias("n_test"), F.lit(50).alias("rank"))

@@ -122,17 +122,30 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def key_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache key inventory (db, key, type, size_bytes, ttl_s); ttl <= 0 = no expiry."""
-    e = read(spark, sf_dir, "events")
-    et = F.col("event_type")
-    eid = F.col("event_id")
+    return read(spark, sf_dir, "events").select(*_key_columns())
+
+
+def _key_columns() -> list:
+    et, eid = F.col("event_type"), F.col("event_id")
     prefix = F.when(et == "view", "recs:").when(et == "click", "search:").otherwise("product:")
     suffix = F.when(et == "view", F.when(eid % 2 == 0, ":cf").otherwise(":hybrid")).otherwise("")
-    return e.select(
+    return [
         F.concat(F.lit("db"), (eid % 2).cast("string")).alias("db"),
         F.concat(prefix, eid.cast("string"), suffix).alias("key"),
         F.when(et == "purchase", "zset").when(et == "error", "list").otherwise("string").alias("type"),
         F.floor(F.col("value") * 100).cast("bigint").alias("size_bytes"),
-        (F.get_json_object("props", "$.k").cast("bigint") * 1200 - 1).alias("ttl_s"))
+        (F.get_json_object("props", "$.k").cast("bigint") * 1200 - 1).alias("ttl_s")]
+
+
+def keys_and_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event row as the key that it stands for and as an event (of no type and item where it is an error): one scan for reports on both."""
+    et = F.col("event_type")
+    mapped = et
+    for raw, name in EVENT_TYPE_MAP.items():
+        mapped = F.when(et == raw, name).otherwise(mapped)
+    good = et != "error"
+    return read(spark, sf_dir, "events").select(
+        *_key_columns(), F.when(good, mapped).alias("event_type"), F.when(good, F.get_json_object("props", "$.k").cast("bigint")).alias("item_id"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

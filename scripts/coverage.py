@@ -20,7 +20,7 @@ LIBRARY = {
     "S3": ("sources.files.load_raw_json", "-"),
     "S4": ("sources.files.load_table / sources.tables.read", "every registered query"),
     "S6": ("sources.files.load_id_lines, operators.users.clean_id_lines", "test_json_sources_permissive, test_clean_id_lines"),
-    "S7": ("streaming.activity.kafka_events / file_events", "stream_* queries (file source)"),
+    "S7": ("streaming.activity.text_events; kafka_events needs a broker", "stream_* queries (JSON text in files)"),
     "S8": ("sources.files.load_models", "test_jobs_end_to_end (recommend_job)"),
     "S9": ("sources.files.load_metrics", "test_sinks_and_metrics_roundtrip"),
     "S10": ("sources.files.load_reviews (PATH_NOT_FOUND)", "test_json_sources_permissive"),
@@ -30,7 +30,7 @@ LIBRARY = {
     "K4": ("sinks.writers.export_vectors_json", "test_sinks_and_metrics_roundtrip"),
     "K5": ("sinks.writers.export_dimension", "test_sinks_and_metrics_roundtrip"),
     "K7": ("sinks.writers.write_vector_index", "test_sinks_and_metrics_roundtrip"),
-    "K8": ("streaming.activity.to_event_json", "event_messages query"),
+    "K8": ("streaming.activity.to_event_json", "test_ingest_has_two_sinks_in_one_epoch"),
     "K9": ("sinks.writers.write_metrics", "test_sinks_and_metrics_roundtrip"),
     "K10": ("sinks.writers.save_model", "test_jobs_end_to_end"),
     "K11": ("sinks.writers.write_first_labels", "test_sinks_and_metrics_roundtrip"),
@@ -40,9 +40,11 @@ LIBRARY = {
     "F19": ("functions.text.stable_hash", "test_stable_query_hash"),
     "M13": ("plans.jobs.process_all", "test_jobs_end_to_end"),
     "M12": ("plans.jobs.train_and_save", "test_jobs_end_to_end"),
-    "T1": ("partial: the query searches title, main_category and store; the part table has no description and features", "-"),
-    "T2": ("partial: the query searches title and main_category; the part table has no description and features", "-"),
-    "ST10": ("streaming.activity (watermark 1 h)", "test_stream_session_totals_and_late_data"),
+    "T1": ("operators.search_index", "test_search_index"),
+    "T2": ("operators.search_index", "test_search_index"),
+    "T3": ("operators.fuzzy", "test_search_index"),
+    "ST1": ("streaming.activity.parse_events, ingest", "test_ingest_has_two_sinks_in_one_epoch"),
+    "ST10": ("streaming.session_log, streaming.activity.session_totals", "test_session_log, test_stream_session_totals_and_late_data"),
 }
 
 
