@@ -16,12 +16,11 @@ pigeonhole join (``fuzzy``): no query x document rows before a block is cut.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..session import scratch_folder
 from . import search_index
 from .fuzzy import auto_fuzziness, fuzzy_expansions  # noqa: F401
-from .popular import top_k_per_key
+from .regex_index import regex_search  # noqa: F401
 
 # (field, boost, kind) of the two reference searches
 SEARCH_AND_RECOMMEND_FIELDS = (("title", 3.0, "text"), ("features", 2.0, "text"),
@@ -38,40 +37,3 @@ def search(docs: DataFrame, queries: DataFrame, num: int = 10,
     spark = docs.sparkSession
     path = search_index.build_index(docs, scratch_folder(spark, "index"), fields)
     return search_index.search_index(spark, path, queries, num, fields, fuzzy)
-
-
-def regex_search(docs: DataFrame, queries: DataFrame, num: int = 10,
-                 max_queries: int = 10_000) -> DataFrame:
-    """T4/P10: case-insensitive match of each query (quoted: literal text) over
-    title, any description element or any features element; first num matches
-    by item id, score 1.0.
-
-    Patterns have no join key. The query table is cut into passes of at most
-    ``max_queries`` patterns (a checked bound); each pass's patterns travel as
-    one array value (an uncorrelated scalar subquery) and every document keeps
-    the patterns it matches - no join operator, only matching rows emitted.
-    """
-    q = queries.select("query").filter(F.col("query").isNotNull()).distinct()
-    n = q.agg(F.count(F.lit(1))).first()[0]
-    passes = max(1, -(-n // max_queries))
-    arrays = [a for a in ("description", "features") if a in docs.columns]
-    d = docs.select("item_id", "title", *arrays)
-
-    def hit(p):
-        # the query is matched as literal text (quoted), case-insensitively, so
-        # metacharacters in user input cannot make the job fail
-        rx = F.concat(F.lit("(?i)\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-        c = F.coalesce(F.rlike(F.col("title"), rx), F.lit(False))
-        for arr in arrays:
-            c = c | F.coalesce(F.exists(F.col(arr), lambda x: F.rlike(x, rx)), F.lit(False))
-        return c
-
-    out = None
-    for i in range(passes):
-        chunk = q.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == i) if passes > 1 else q
-        # attached as a column first: higher-order functions cannot contain subqueries
-        pats = d.withColumn("_pats", chunk.agg(F.collect_list("query")).scalar())
-        m = pats.select("item_id", F.explode(F.filter(F.col("_pats"), hit)).alias("query"))
-        out = m if out is None else out.unionByName(m)
-    ranked = top_k_per_key(out, ["query"], [F.col("item_id")], num)
-    return ranked.select("query", "rank", "item_id", F.lit(1.0).alias("score"))

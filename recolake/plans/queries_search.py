@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators import regex_index as RX
 from ..operators import search as S
 from ..sources import tables as T
 from .catalog import register
@@ -78,11 +79,30 @@ def q_fuzzy_terms(spark, d):
     return S.fuzzy_expansions(qt, vocab, True).select("qterm", "term", F.col("dist").cast("bigint").alias("dist"))
 
 
-@register("regex_search", "T4,P10", r"""
+PATTERNS = """
+    with q as (select query from v_text_queries union
+               select split_part(p_type, ' ', 1) || '.*' || split_part(p_type, ' ', -1) from part where p_type is not null union select '^red|BLUE$' union select '(')"""
+
+
+def _patterns(spark, d):
+    """The search queries, a pattern with a gap for every category, one that requires no literal, and one that is none."""
+    kind = F.split("p_type", " ")
+    gaps = T.read(spark, d, "part").filter("p_type is not null").select(F.concat(kind[0], F.lit(".*"), F.element_at(kind, -1)).alias("query"))
+    return T.text_search_queries(spark, d).union(gaps.distinct()).union(spark.createDataFrame([("^red|BLUE$",), ("(",)], "query string"))
+
+
+@register("regex_search", "T4,P10", f"""{PATTERNS}
     select query, rank, item_id, cast(1.0 as double) as score from
       (select q.query, d.item_id, row_number() over (partition by q.query order by d.item_id) as rank
-       from v_search_queries q join v_items d
-         on regexp_matches(d.title, '\Q' || replace(q.query, '\E', '\E\\E\Q') || '\E', 'i'))
+       from q join v_described_lists d on regexp_matches(coalesce(d.title, ''), q.query, 'i') or regexp_matches(coalesce(d.description, ''), q.query, 'i')
+         or len(list_filter(coalesce(d.features, []), lambda f: regexp_matches(f, q.query, 'i'))) > 0
+       where q.query <> '(')
     where rank <= 10""")
 def q_regex_search(spark, d):
-    return S.regex_search(T.products(spark, d), T.search_queries(spark, d), 10)
+    return S.regex_search(T.described_products(spark, d), _patterns(spark, d), 10, literal=False)
+
+
+@register("rejected_patterns", "T4,P10", "select '(' as query from (select count(*) as n from part) where n >= 0")
+def q_rejected_patterns(spark, d):
+    """Queries that are no patterns are reported, they do not fail the job."""
+    return RX.bad_patterns(_patterns(spark, d)).select("query")
