@@ -38,8 +38,8 @@ from .common import free_name
 
 MARK = "\u2581"
 BATCH_CHARS = 1 << 20
-CACHE_BYTES = 48 << 20  # of each of the two generations of words that a worker remembers, with their ids
-CACHE_PAIRS = 400_000  # pairs of pieces of which a worker remembers whether they are neighbours
+CACHE_BYTES = 8 << 20  # of each of the two generations of words that a worker remembers, with their ids
+CACHE_PAIRS = 200_000  # pairs of pieces of which a worker remembers whether they are neighbours
 WORD_BYTES = 230  # what a remembered word takes besides its letters and ids
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
