@@ -72,10 +72,6 @@ def user_id_from_time(ts) -> Column:
     return F.concat(F.lit("USER_"), F.unix_timestamp(_c(ts)).cast("string"))
 
 
-def cache_key(*parts) -> Column:
-    return F.concat_ws(":", *[_c(p).cast("string") for p in parts])
-
-
 def key_part(key, i: int) -> Column:
     """0-based i-th ``:`` part of a key (null when absent)."""
     return F.try_element_at(F.split(_c(key), ":"), F.lit(i + 1))
@@ -99,7 +95,3 @@ def glob_to_like(pattern: str) -> str:
 def stable_hash(text) -> Column:
     """Process-independent query hash (the reference's per-process ``hash``)."""
     return F.xxhash64(_c(text))
-
-
-def truncate(text, n: int) -> Column:
-    return F.substring(_c(text), 1, n)

@@ -27,13 +27,6 @@ def norm(a) -> Column:
     return F.sqrt(F.aggregate(sq, F.lit(0.0).cast("double"), lambda acc, v: acc + v))
 
 
-def normalize(a) -> Column:
-    """Unit vector in double; null when the norm is 0 (cosine is undefined)."""
-    a = _c(a)
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
-
-
 def cosine(a, b) -> Column:
     """Cosine similarity; 0 when either vector has zero norm."""
     na, nb = norm(a), norm(b)
@@ -49,11 +42,6 @@ def has_vector(a) -> Column:
     return F.coalesce(a.isNotNull() & (F.size(a) > 0) & finite, F.lit(False))
 
 
-def cosine_plus_one(a, b) -> Column:
-    """Similar-item score: cosine + 1 when the candidate has a vector, else 0."""
-    return F.when(has_vector(b), cosine(a, b) + 1.0).otherwise(F.lit(0.0))
-
-
 def logistic_dot(a, b) -> Column:
     """sigmoid(dot) = 1 / (1 + e^-dot) when the candidate has a vector, else 0."""
     return F.when(has_vector(b), 1.0 / (1.0 + F.exp(-dot(a, b)))).otherwise(F.lit(0.0))

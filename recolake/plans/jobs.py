@@ -97,10 +97,9 @@ def recommend_job(spark: SparkSession, users: DataFrame, data_dir: str, model_di
     """R6 over a table of users with the trained model's factors; ``fallback_category``
     fills half the list of a known user without a factor."""
     from ..operators import hybrid
-    from pyspark.ml.recommendation import ALSModel
-    model = ALSModel.load(os.path.join(model_dir, "als_model"))
-    udim = spark.read.parquet(os.path.join(data_dir, "user_dim"))
-    idim = spark.read.parquet(os.path.join(data_dir, "item_dim"))
+    model, _ = files.load_models(os.path.join(model_dir, "als_model"))
+    udim = files.load_table(spark, os.path.join(data_dir, "user_dim"))
+    idim = files.load_table(spark, os.path.join(data_dir, "item_dim"))
     uf, itf = cf.factors_from_model(model, udim, idim)
     items = spark.read.parquet(os.path.join(data_dir, "products")).select(
         F.col("parent_asin").alias("item_id"), "title", "main_category", "average_rating", "rating_number")

@@ -17,6 +17,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a row may be a whole text: what goes to a Python worker at once is bounded in rows
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -42,7 +44,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply runtime-settable options to a session we did not build."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for k in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        spark.conf.set(k, SESSION_CONF[k])
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -95,13 +95,3 @@ def load_models(path_model: str, path_indexer: str | None = None):
     model = ALSModel.load(path_model)
     indexer = PipelineModel.load(path_indexer) if path_indexer else None
     return model, indexer
-
-
-def epoch_to_timestamp(col: str, unit: str = "seconds") -> F.Column:
-    """F4 with an explicit unit (trap 19): seconds, millis or micros."""
-    c = F.col(col)
-    if unit == "millis":
-        return F.timestamp_millis(c)
-    if unit == "micros":
-        return F.timestamp_micros(c)
-    return F.timestamp_seconds(c)

@@ -17,7 +17,7 @@ from recolake.plans.catalog import load_all  # noqa: E402
 LIBRARY = {
     "S1": ("sources.files.load_reviews", "test_json_sources_permissive, test_jobs_end_to_end"),
     "S2": ("sources.files.load_products", "test_jobs_end_to_end"),
-    "S3": ("sources.files.load_raw_json", "-"),
+    "S3": ("sources.files.load_raw_json", "test_raw_json_and_tables"),
     "S4": ("sources.files.load_table / sources.tables.read", "every registered query"),
     "S6": ("sources.files.load_id_lines, operators.users.clean_id_lines", "test_json_sources_permissive, test_clean_id_lines"),
     "S7": ("streaming.activity.text_events; kafka_events needs a broker", "stream_* queries (JSON text in files)"),

@@ -115,3 +115,15 @@ def test_session_ends(spark):
     got = sorted((r._b, r.session_start_us, r.session_end_us) for r in activity.sessions_of_buckets(rows, ["k"], 1).collect())
     assert got == [(0, 0, 150), (1, 0, 150), (3, 300, 350)]
     assert os.path.isabs(scratch_folder(spark, "x").removeprefix("file:")) and F is not None
+
+
+def test_raw_json_and_tables(spark, tmp_path):
+    from recolake.sources import files
+    with open(tmp_path / "raw.jsonl", "w") as f:
+        f.write('{"a": 1, "b": {"c": "x"}}\n{"a": 2, "d": [1]}\n')
+    raw = files.load_raw_json(spark, str(tmp_path / "raw.jsonl"))
+    assert {(r.a, r.b and r.b.c) for r in raw.collect()} == {(1, "x"), (2, None)}
+    raw.select("a").write.csv(str(tmp_path / "csv"), header=True)
+    assert sorted(r.a for r in files.load_table(spark, str(tmp_path / "csv"), "csv", header=True, inferSchema=True).collect()) == [1, 2]
+    raw.select("a").createOrReplaceTempView("raw_numbers")
+    assert files.load_table(spark, "raw_numbers", "table").count() == 2
