@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from recolake.llm import language_id, line_dedup, mixing, ngram_join, sentencepiece_codec
 from recolake.llm.common import documents, stored
+from recolake.session import prepare
 
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language can be told."""
+    prepare(spark)  # the settings that every query of the library has, for a caller that goes through the stages by itself
     return language_id.identified(docs)
 
 
