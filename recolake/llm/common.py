@@ -18,7 +18,7 @@ WHITESPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 # text handled at once by the vectorised hashing below (bytes); a longer text is a batch of its own
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -603,6 +603,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # an id of a single row says which row is meant; the others' texts are looked at again
     shared = stored(_repeated(sets).filter("doc_id is not null").select(F.col("doc_id").alias(name), F.lit(True).alias(one)), "shared-ids")
     own = F.col(id_col).cast("long")
+    if shared.isEmpty() and sets.filter("doc_id is null").isEmpty():  # every id says which row is meant
+        return docs.join(kept.select(F.col("doc_id").alias(name)), own == F.col(name), "left_semi")
     flagged = docs.join(shared, own == F.col(name), "left").drop(name)
     unsure = F.coalesce(F.col(one), F.col(id_col).isNull())
     sure = flagged.filter(~unsure).drop(one).join(kept.select(F.col("doc_id").alias(name)), own == F.col(name), "left_semi")
