@@ -203,3 +203,13 @@ def test_hit_rate_counts_first_requests_as_misses(spark):
     r = ratelimit.hit_rate(ratelimit.first_requests(df, ["k"])).first()
     assert (r.hits, r.misses, r.hit_rate) == (1, 2, "33.33%")
     assert ratelimit.hit_rate(ratelimit.first_requests(df.limit(0), ["k"])).first().hit_rate == "0%"
+
+
+def test_als_fit_cleans_its_shuffles(spark):
+    """A checkpoint every second iteration; the model is that of a single one."""
+    from recolake.operators import cf
+    train = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(12) for i in range(9) if (u + i) % 3],
+                                  "user_idx int, item_idx int, rating double")
+    model, plain = cf.fit_als(train, rank=3), cf.fit_als(train, rank=3, checkpoint_interval=10)
+    assert model._java_obj.parent().getCheckpointInterval() == 2
+    assert sorted(model.userFactors.collect()) == sorted(plain.userFactors.collect())
