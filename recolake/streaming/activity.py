@@ -132,60 +132,79 @@ def session_totals(events: DataFrame, keys: list[str], gap: str, watermark: str
             .select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n"))
 
 
-SPREAD = 64  # groups over which the requests without a user are dealt
+BUCKETS = 1024  # of keys; a bucket's state is one row, and one call of Python takes all of its requests of a micro-batch
 
 
-def _rate_state_fn(limits: int | dict, window_us: int, order_col: str):
+def _plain(values: pd.Series) -> list:
+    return [None if v is None or v != v else v for v in values.tolist()]
+
+
+def _rate_state_fn(keys: list[str], limits: int | dict, window_us: int, order_col: str):
     def fn(key, pdfs, state):
-        if state.hasTimedOut:  # every admitted request has left the window
-            state.remove()
-            return
-        *own, action, _ = key
-        if not own or own[0] is None or own[0] != own[0]:  # no user: never limited, no state
-            for rows in pdfs:
-                yield rows.drop(columns="_spread").assign(admitted=True, remaining=pd.array([None] * len(rows), dtype="Int64"))
-            return
-        limit = limits[action] if isinstance(limits, dict) else limits
-        admitted = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        rows["_us"] = rows["ts"].astype("int64") // 1000  # ns -> micros
-        rows = rows.sort_values(["_us", order_col], kind="stable")
-        ok, rem = [], []
-        for t in rows["_us"].to_numpy():
-            while admitted and admitted[0] <= t - window_us:
-                admitted.popleft()
-            if len(admitted) < limit:
-                admitted.append(int(t))
-                ok.append(True)
-                rem.append(limit - len(admitted))
-            else:
-                ok.append(False)
-                rem.append(0)
-        over = (admitted[-1] + window_us) // 1000 + 1 if admitted else 0
-        if over > state.getCurrentWatermarkMs():
-            state.update((list(admitted),))
-            state.setTimeoutTimestamp(over)
+        now = state.getCurrentWatermarkMs()
+        held: dict[tuple, deque] = {}
+        if state.exists:
+            *own, sizes, stamps = state.get
+            at = 0
+            for k, n in zip(zip(*own, strict=True), sizes, strict=True):
+                held[k] = deque(stamps[at:at + n])
+                at += n
+        out = None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(pdfs), ignore_index=True)
+            rows["_us"] = rows["ts"].astype("int64") // 1000  # ns -> micros
+            rows = rows.sort_values(["_us", order_col], kind="stable", ignore_index=True)
+            ok, rem = [], []
+            for k, t in zip(zip(*(_plain(rows[c]) for c in keys), strict=True), rows["_us"].tolist(), strict=True):
+                if k[0] is None:  # no user: never limited, no state
+                    ok.append(True)
+                    rem.append(None)
+                    continue
+                limit = limits[k[-1]] if isinstance(limits, dict) else limits
+                admitted = held.get(k)
+                if admitted is None:
+                    admitted = held[k] = deque()
+                while admitted and admitted[0] <= t - window_us:
+                    admitted.popleft()
+                if len(admitted) < limit:
+                    admitted.append(t)
+                    ok.append(True)
+                    rem.append(limit - len(admitted))
+                else:
+                    ok.append(False)
+                    rem.append(0)
+            out = rows.drop(columns=["_us", "_bucket"]).assign(admitted=ok, remaining=pd.array(rem, dtype="Int64"))
+        # a key goes when every request that it was admitted has left the window
+        ends = {k: (v[-1] + window_us) // 1000 + 1 for k, v in held.items() if v}
+        left = {k: held[k] for k, end in ends.items() if end > now}
+        if left:
+            state.update((*(list(c) for c in zip(*left, strict=True)), [len(v) for v in left.values()], [t for v in left.values() for t in v]))
+            state.setTimeoutTimestamp(max(ends.values()))
         elif state.exists:
             state.remove()
-        out = rows.drop(columns=["_us", "_spread"]).copy()
-        out["admitted"] = ok
-        out["remaining"] = rem
-        yield out
+        if out is not None:
+            yield out
     return fn
 
 
 def rate_limit_stream(requests: DataFrame, keys: list[str], limit: int | dict, window_seconds: int,
-                      order_col: str = "event_id", watermark: str = WATERMARK) -> DataFrame:
+                      order_col: str = "event_id", watermark: str = WATERMARK, buckets: int = BUCKETS) -> DataFrame:
     """ST8/ST9 as keyed state: per key (the user first, the action last) the admitted timestamps still in the window (at most ``limit`` values).
     Within a micro-batch a key's requests are admitted in event-time order. A key's state goes when the watermark has passed
-    its window; requests older than the watermark may be dropped. Requests without a user have no state and are spread over tasks."""
+    its window; requests older than the watermark may be dropped. Requests without a user have no state and are spread over tasks.
+
+    Keys are dealt by hash into ``buckets`` whose state is one row, as a call of Python for every key costs far more than its requests;
+    a bucket's requests of one micro-batch are in memory at once. The number of buckets is fixed for the life of a checkpoint."""
     cols = requests.columns
     out_schema = T.StructType(list(requests.schema.fields) + [
         T.StructField("admitted", T.BooleanType()), T.StructField("remaining", T.LongType())])
-    state_schema = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
-    fn = _rate_state_fn(limit, int(window_seconds) * 1_000_000, order_col)
-    spread = F.when(F.col(keys[0]).isNull(), F.pmod(F.xxhash64(order_col), F.lit(SPREAD))).otherwise(0)
-    res = (requests.withWatermark("ts", watermark).withColumn("_spread", spread).groupBy(*keys, "_spread")
+    state_schema = T.StructType([T.StructField(k, T.ArrayType(requests.schema[k].dataType)) for k in keys] + [
+        T.StructField("_sizes", T.ArrayType(T.LongType())), T.StructField("_stamps", T.ArrayType(T.LongType()))])
+    fn = _rate_state_fn(keys, limit, int(window_seconds) * 1_000_000, order_col)
+    dealt = F.when(F.col(keys[0]).isNull(), F.xxhash64(order_col)).otherwise(F.xxhash64(*keys))
+    # in a bucket a key column is null everywhere or nowhere: pandas would make floats of a mixture
+    nulls = sum((F.col(k).isNull().cast("int") * 2 ** i for i, k in enumerate(keys)), F.lit(0))
+    res = (requests.withWatermark("ts", watermark).withColumn("_bucket", nulls * buckets + F.pmod(dealt, F.lit(buckets))).groupBy("_bucket")
            .applyInPandasWithState(fn, out_schema, state_schema, "append", "EventTimeTimeout"))
     retry = F.when(F.col("admitted"), F.lit(None)).otherwise(F.lit(window_seconds)).cast("bigint")
     return res.select(*cols, "admitted", "remaining", retry.alias("retry_after"))

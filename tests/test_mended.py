@@ -205,6 +205,34 @@ def test_hit_rate_counts_first_requests_as_misses(spark):
     assert ratelimit.hit_rate(ratelimit.first_requests(df.limit(0), ["k"])).first().hit_rate == "0%"
 
 
+def test_limiter_takes_the_keys_of_a_bucket_in_one_call(spark, tmp_path):
+    """Large ids stay exact beside requests without a user, any number of buckets gives the same rows, state goes on over micro-batches."""
+    import datetime as dt
+
+    from recolake.streaming import activity as S
+    big, start = 2 ** 60, dt.datetime(2024, 1, 1)
+    rows = [(e, None if e % 10 == 0 else big + e % 7, "ab"[e % 2], start + dt.timedelta(seconds=37 * e)) for e in range(240)]
+    for k in range(3):
+        spark.createDataFrame(rows[80 * k:80 * k + 80], "event_id bigint, user_id bigint, action string, ts timestamp").coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+    got = {}
+    for buckets in (1, 1024):
+        stream = spark.readStream.schema("event_id bigint, user_id bigint, action string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(
+            str(tmp_path / "in"))
+        res = S.rate_limit_stream(stream, ["user_id", "action"], {"a": 1, "b": 2}, 900, buckets=buckets)
+        got[buckets] = {(r.event_id, r.user_id, r.admitted, r.remaining) for r in S.run_available_now(res, "bucket_test", "append").collect()}
+    want, held = set(), {}
+    for e, u, a, t in rows:
+        if u is None:
+            want.add((e, u, True, None))
+            continue
+        limit, own = {"a": 1, "b": 2}[a], [x for x in held.get((u, a), []) if x > t - dt.timedelta(seconds=900)]
+        ok = len(own) < limit
+        held[u, a] = own + [t] if ok else own
+        want.add((e, u, ok, limit - len(held[u, a]) if ok else 0))
+    assert got[1] == want and got[1024] == want
+
+
 def test_als_fit_cleans_its_shuffles(spark):
     """A checkpoint every second iteration; the model is that of a single one."""
     from recolake.operators import cf
