@@ -2,9 +2,10 @@
 
 Exact top-k similarity as blocked matrix products that leave out what cannot win:
 
-* each side is written once (group, id, vector) and cut by a hash of the id into parts of at most ``block_size`` rows of a
-  group; every query part meets every candidate part of its group in one task, by an equi join on (group, query part,
-  candidate part) - no cross join, no pair rows, and a row is copied once per part of the other side;
+* each side is written once (group, id, vector) and cut by a hash of the id into parts of a group, of at most ``block_size`` queries
+  and ``CANDIDATE_BLOCKS`` times as many candidates; every query part meets every candidate part of its group in one task, by an
+  equi join on (group, query part, candidate part) - no cross join, no pair rows, and a row is copied once per part of the other
+  side. Queries are cut finer only as far as the pairs of all parts are fewer than the tasks: every further part is a copy of all candidates;
 * in a task the candidates lie in chunks with a bound on what any of them can score for a query: by norm for dot products
   (|q| times the chunk's largest norm, norms descending), by pivots for cosines (the triangle inequality of angles: a
   candidate whose angle to a pivot lies in [low, high] is at least as far from a query as the query's own angle to
@@ -28,7 +29,8 @@ from ..functions import vectors as V
 from ..session import scratch_folder
 from .popular import top_k_per_key
 
-BLOCK_ROWS = 32_768  # of a part, on either side
+BLOCK_ROWS = 32_768  # queries of a part
+CANDIDATE_BLOCKS = 4  # times as many candidates: each of their parts is a copy of all queries and returns k rows for each
 LEAST_QUERIES = 256  # of a part that is made smaller only to keep all tasks busy
 CHUNK_ROWS = 512
 PIVOTS = 8
@@ -156,6 +158,15 @@ def _kernel(metric: str, exclude_self: bool, size: int):
     return run
 
 
+def part_sizes(counts: DataFrame, most_queries: int, most_candidates: int, tasks: int) -> DataFrame:
+    """(g, qparts, cparts) for (g, nq, nc): candidates in as few parts as may be; queries in parts of at most ``most_queries``, smaller ones
+    (``LEAST_QUERIES`` at least) only where the parts would otherwise not give every task its share of all pairs."""
+    pairs = counts.agg(F.sum(F.col("nq").cast("double") * F.col("nc"))).first()[0] or 0.0
+    share = F.ceil(F.lit(pairs / tasks) / F.least("nc", F.lit(most_candidates)))
+    rows = F.least(F.lit(most_queries), F.greatest(F.lit(LEAST_QUERIES), share))
+    return counts.select("g", F.ceil(F.col("nq") / rows).alias("qparts"), F.ceil(F.col("nc") / most_candidates).alias("cparts"))
+
+
 def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
                   q_id: str, q_vec: str, c_id: str, c_vec: str,
                   group_col: str | None = None, metric: str = "cosine",
@@ -176,7 +187,8 @@ def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def written(df: DataFrame, vec: str, name: str, *more) -> DataFrame:
-        v = _unit(vec) if metric == "cosine" else F.col(vec).cast("array<double>")
+        # single precision stays as it is on the way, the kernel computes in double
+        v = _unit(vec) if metric == "cosine" else F.col(vec) if dict(df.dtypes)[vec] == "array<float>" else F.col(vec).cast("array<double>")
         df.select(group.alias("g"), *more, v.alias("vec")).write.parquet(f"{scratch}/{name}")
         return spark.read.parquet(f"{scratch}/{name}")
     own_k = (F.col(k_col) if k_col else F.lit(k)).cast("bigint").alias("_k")
@@ -185,10 +197,9 @@ def blocked_top_k(queries: DataFrame, candidates: DataFrame, k: int, *,
         c = spark.read.parquet(f"{scratch}/queries").drop("_k")
     else:
         c = written(candidates, c_vec, "candidates", F.col(c_id).alias("id"))
-    n = q.count()
-    per_part = min(block_size, max(LEAST_QUERIES, -(-n // parts)))
-    sizes = (q.groupBy("g").agg(F.count(F.lit(1)).alias("nq")).join(c.groupBy("g").agg(F.count(F.lit(1)).alias("nc")), "g")
-             .select("g", F.ceil(F.col("nq") / per_part).alias("qparts"), F.ceil(F.col("nc") / block_size).alias("cparts")))
+    most = CANDIDATE_BLOCKS * block_size
+    counts = q.groupBy("g").agg(F.count(F.lit(1)).alias("nq")).join(c.groupBy("g").agg(F.count(F.lit(1)).alias("nc")), "g")
+    sizes = part_sizes(counts, block_size, most, parts)
     part = lambda of: F.pmod(F.xxhash64("id"), F.col(of))
     spread = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(of) - 1))
     left = q.join(sizes, "g").select("g", part("qparts").alias("qpart"), spread("cparts").alias("cpart"), "id", "_k", "vec")

@@ -97,3 +97,12 @@ def test_sources_are_read_once(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "v")).withColumn("vec", seen("vec"))
     similarity.blocked_top_k(df, df, 3, q_id="id", q_vec="vec", c_id="id", c_vec="vec", metric="dot").collect()
     assert reads.value == len(x)
+
+
+def test_more_tasks_do_not_copy_candidates_more_often(spark):
+    """Every part of queries is a copy of all candidates: there are as many as fill the tasks together with the candidates' parts."""
+    counts = spark.createDataFrame([(0, 900_000, 1_200_000), (1, 100, 50), (2, 0, 5)], "g int, nq bigint, nc bigint")
+    got = {r.g: (r.qparts, r.cparts) for r in similarity.part_sizes(counts, 32_768, 131_072, 200).collect()}
+    assert got[0] == (28, 10) and got[1] == (1, 1) and got[2][0] == 0
+    few = spark.createDataFrame([(0, 5000, 5000)], "g int, nq bigint, nc bigint")
+    assert similarity.part_sizes(few, 32_768, 131_072, 8).first()[1:] == (8, 1)
