@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_folder
 from .popular import top_k_per_key
 
+FIRST_PAIRS = 20  # times the wanted matches of a pattern are verified before the others
 SCAN_PATTERNS = 1_000  # that require no trigram, verified together in one pass over the documents
 _QUANTIFIER = re.compile(r"[?*+]|\{\d*,?\d*\}")
 
@@ -118,8 +119,11 @@ def _texts(docs: DataFrame, fields: tuple[str, ...]) -> Column:
 
 
 def regex_matches(docs: DataFrame, queries: DataFrame, fields: tuple[str, ...] = ("title", "description", "features"),
-                  literal: bool = False, report: dict | None = None) -> DataFrame:
-    """(query, item_id) of all matches. ``literal``: queries are quoted text. ``report`` receives how many pairs were verified by way of trigrams."""
+                  literal: bool = False, report: dict | None = None, first: int | None = None) -> DataFrame:
+    """(query, item_id) of all matches. ``literal``: queries are quoted text. ``report`` receives how many pairs were verified by way of trigrams.
+
+    ``first``: only the matches with a pattern's ``first`` smallest ids are certain to be among the rows. The pairs of smallest ids are then verified
+    before the others, and patterns that have enough matches among them are done; of the rest every pair is verified."""
     spark = docs.sparkSession
     path = scratch_folder(spark, "regex")
 
@@ -136,15 +140,30 @@ def regex_matches(docs: DataFrame, queries: DataFrame, fields: tuple[str, ...] =
     counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = needed.join(counts, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
     pairs = kept(rarest.select("query", F.col("g.gram").alias("gram")).join(postings, "gram").select("query", "item_id"), "pairs")
+    @F.pandas_udf("array<string>")
+    def held(asked: pd.Series, texts: pd.Series) -> pd.Series:
+        found = {q["pattern"]: re.compile(q["pattern"], re.IGNORECASE) for own in asked for q in own}
+        return pd.Series([[q["query"] for q in own if any(found[q["pattern"]].search(t) for t in ts)] for own, ts in zip(asked, texts, strict=True)], dtype=object)
+    # a text goes once with its patterns, a bounded number of them, not once with each
+    spread = F.pmod(F.xxhash64("query"), F.lit(max(1, -(-asked.count() // SCAN_PATTERNS))))
+
+    def verified(some: DataFrame) -> DataFrame:
+        of_doc = (some.join(asked.select("query", "pattern"), "query").groupBy("item_id", spread.alias("_s"))
+                  .agg(F.collect_list(F.struct("query", "pattern")).alias("_asked")))
+        return of_doc.join(texts, "item_id").select(F.explode(held("_asked", "texts")).alias("query"), "item_id")
+    id_type, early, late = dict(texts.dtypes)["item_id"], None, pairs
+    if first is not None:
+        reached = (top_k_per_key(pairs.filter(F.col("item_id").isNotNull()), ["query"], [F.col("item_id")], FIRST_PAIRS * first)
+                   .groupBy("query").agg(F.max("item_id").alias("_reached")))
+        reached = kept(reached, "reached")
+        # all rows of an id are on the same side
+        early = pairs.join(reached, "query").filter(F.col("item_id") <= F.col("_reached")).select("query", "item_id")
+        sure = kept(verified(early), "sure")
+        done = sure.groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= first).select("query")
+        late = pairs.join(done, "query", "left_anti").join(reached, "query").filter(F.col("item_id") > F.col("_reached")).select("query", "item_id")
     if report is not None:
-        report.update(verified=pairs.count())
-    id_type = dict(texts.dtypes)["item_id"]
-
-    @F.pandas_udf("boolean")
-    def holds(patterns: pd.Series, texts: pd.Series) -> pd.Series:
-        found = {p: re.compile(p, re.IGNORECASE) for p in patterns.unique()}
-        return pd.Series([any(found[p].search(t) for t in own) for p, own in zip(patterns, texts, strict=True)])
-    met = pairs.join(asked.select("query", "pattern"), "query").join(texts, "item_id").filter(holds("pattern", "texts")).select("query", "item_id")
+        report.update(verified=late.count() + (early.count() if first is not None else 0))
+    met = verified(late) if first is None else sure.unionByName(verified(late))
 
     free = asked.join(needed.select("query").distinct(), "query", "left_anti").select("query", "pattern")
     passes = -(-free.count() // SCAN_PATTERNS)
@@ -167,5 +186,5 @@ def regex_matches(docs: DataFrame, queries: DataFrame, fields: tuple[str, ...] =
 
 def regex_search(docs: DataFrame, queries: DataFrame, num: int = 10, literal: bool = True, report: dict | None = None) -> DataFrame:
     """The first ``num`` matches of each query by item id: (query, rank, item_id, score = 1.0), over title, description and features."""
-    ranked = top_k_per_key(regex_matches(docs, queries, literal=literal, report=report), ["query"], [F.col("item_id")], num)
+    ranked = top_k_per_key(regex_matches(docs, queries, literal=literal, report=report, first=num), ["query"], [F.col("item_id")], num)
     return ranked.select("query", "rank", "item_id", F.lit(1.0).alias("score"))

@@ -59,3 +59,19 @@ def test_nothing_to_match(spark):
     assert RX.regex_search(none, asked).count() == 0
     docs = spark.createDataFrame([("a", "red", None, None)], SCHEMA)
     assert RX.regex_search(docs, asked.limit(0)).count() == 0
+
+
+def test_pairs_beyond_the_wanted_matches_are_not_verified(spark, monkeypatch):
+    """A pattern with enough matches among its smallest ids is done; one without goes on to all; rows of one id stay together."""
+    monkeypatch.setattr(RX, "FIRST_PAIRS", 2)
+    rows = [(f"i{i:04}", "large box" if i % 2 else "boxer large", None, None) for i in range(1000)] + [("i0003", "large box", None, None)] * 2
+    rows += [("i0990", "large large box", None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    asked = spark.createDataFrame([("large",), ("large.*large",), ("nothing",)], "query string")
+    report = {}
+    got = RX.regex_search(docs, asked, 4, literal=False, report=report).collect()
+    by = lambda q: [r.item_id for r in sorted(got, key=lambda r: r["rank"]) if r.query == q]
+    # rows of an id count by the square, as the pairs and the texts have each of them
+    assert by("large") == ["i0000", "i0001", "i0002", "i0003"] and by("large.*large") == ["i0990"] * 2 and by("nothing") == []
+    # 1003 pairs of "large.*large", few of "large"
+    assert report["verified"] < 1100
