@@ -31,7 +31,7 @@ from .popular import top_k_per_key
 
 BLOCK_ROWS = 32_768  # queries of a part
 CANDIDATE_BLOCKS = 4  # times as many candidates: each of their parts is a copy of all queries and returns k rows for each
-LEAST_QUERIES = 256  # of a part that is made smaller only to keep all tasks busy
+TASK_PAIRS = 1 << 27  # that a task meets at least (seconds of work), where its parts can hold them
 CHUNK_ROWS = 512
 PIVOTS = 8
 DIGITS = 9
@@ -160,10 +160,10 @@ def _kernel(metric: str, exclude_self: bool, size: int):
 
 def part_sizes(counts: DataFrame, most_queries: int, most_candidates: int, tasks: int) -> DataFrame:
     """(g, qparts, cparts) for (g, nq, nc): candidates in as few parts as may be; queries in parts of at most ``most_queries``, smaller ones
-    (``LEAST_QUERIES`` at least) only where the parts would otherwise not give every task its share of all pairs."""
+    only as far as every task gets its share of all pairs, ``TASK_PAIRS`` at least."""
     pairs = counts.agg(F.sum(F.col("nq").cast("double") * F.col("nc"))).first()[0] or 0.0
-    share = F.ceil(F.lit(pairs / tasks) / F.least("nc", F.lit(most_candidates)))
-    rows = F.least(F.lit(most_queries), F.greatest(F.lit(LEAST_QUERIES), share))
+    share = F.ceil(F.lit(max(TASK_PAIRS, pairs / tasks)) / F.least("nc", F.lit(most_candidates)))
+    rows = F.least(F.lit(most_queries), share)
     return counts.select("g", F.ceil(F.col("nq") / rows).alias("qparts"), F.ceil(F.col("nc") / most_candidates).alias("cparts"))
 
 

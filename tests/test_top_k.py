@@ -104,5 +104,5 @@ def test_more_tasks_do_not_copy_candidates_more_often(spark):
     counts = spark.createDataFrame([(0, 900_000, 1_200_000), (1, 100, 50), (2, 0, 5)], "g int, nq bigint, nc bigint")
     got = {r.g: (r.qparts, r.cparts) for r in similarity.part_sizes(counts, 32_768, 131_072, 200).collect()}
     assert got[0] == (28, 10) and got[1] == (1, 1) and got[2][0] == 0
-    few = spark.createDataFrame([(0, 5000, 5000)], "g int, nq bigint, nc bigint")
-    assert similarity.part_sizes(few, 32_768, 131_072, 8).first()[1:] == (8, 1)
+    few = spark.createDataFrame([(0, 51_282, 51_282)], "g int, nq bigint, nc bigint")
+    assert similarity.part_sizes(few, 32_768, 131_072, 200).first()[1:] == (20, 1) and similarity.part_sizes(few, 32_768, 131_072, 8).first()[1:] == (8, 1)
