@@ -61,7 +61,9 @@ def build_index(docs: DataFrame, path: str, fields, block_docs: int = BLOCK_DOCS
             rows = placed.filter(F.col(field).isNotNull()).select("block", "item_id", F.col(field).alias("term"), F.lit(1.0).alias("factor")).repartition("block")
         else:
             # blocks are dealt out whole: counting a document's terms and gathering a block's needs no further shuffle
-            rows = (placed.select("block", "item_id", tokens(_text(placed, field)).alias("_t")).repartition("block")
+            # texts are dealt, not their words, which take twice the room
+            rows = (placed.select("block", "item_id", _text(placed, field).alias("_x")).repartition("block")
+                    .select("block", "item_id", tokens("_x").alias("_t"))
                     .select("block", "item_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
                     .groupBy("block", "item_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
             rows = rows.select("block", "item_id", "term", (F.col("tf") * (K1 + 1) / (
@@ -136,9 +138,9 @@ def _scored(num: int):
     return run
 
 
-def block_bounds(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+def block_bounds(postings: DataFrame, asked: DataFrame) -> DataFrame:
     """query, block, bound, first: the most that a document of the block can score, and its smallest id that is concerned."""
-    tops = _postings(spark, path).select("field", "bucket", "term", "block", "top", F.col("items")[0].alias("first"))
+    tops = postings.select("field", "bucket", "term", "block", "top", F.col("items")[0].alias("first"))
     return (asked.join(tops, ["field", "bucket", "term"]).select("query", "block", "field", "pos", (F.col("w") * F.col("top")).alias("s"), "first")
             .repartition("query", "block")
             .groupBy("query", "block", "field", "pos").agg(F.max("s").alias("s"), F.min("first").alias("first"))
@@ -156,8 +158,10 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, num: int, f
         return spark.read.parquet(f"{scratch}/{name}")
     q = queries.select("query").filter(F.col("query").isNotNull()).distinct()
     asked = kept(_query_terms(spark, path, q, fields, fuzzy), "terms")
-    bounds = kept(block_bounds(spark, path, asked), "bounds")
-    postings = _postings(spark, path).select("field", "bucket", "term", "block", "items", "factors")
+    # the postings of terms that some query asks for, read three times below
+    postings = kept(_postings(spark, path).join(asked.select("field", "bucket", "term").distinct(), ["field", "bucket", "term"], "left_semi"), "postings")
+    bounds = kept(block_bounds(postings, asked), "bounds")
+    postings = postings.select("field", "bucket", "term", "block", "items", "factors")
     item_type = postings.schema["items"].dataType.elementType.simpleString()
 
     def scored(pairs: DataFrame) -> DataFrame:

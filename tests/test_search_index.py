@@ -129,3 +129,15 @@ def test_index_and_query_jobs(spark, tmp_path):
     got = sorted((r.query, r.item_id) for r in jobs.search_job(spark, str(tmp_path / "index"), asked).collect())
     assert got == [("blue", "P2"), ("rinf", "P1")]
     assert [r.query for r in jobs.search_job(spark, str(tmp_path / "index"), asked, fuzzy=False).collect()] == ["blue"]
+
+
+def test_only_postings_that_are_asked_for_are_met(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"red word{i}") for i in range(300)], "item_id bigint, title string")
+    fields, seen = (("title", 1.0, "text"),), []
+    path = search_index.build_index(docs, str(tmp_path / "index"), fields, block_docs=50)
+    plain = search_index.block_bounds
+    monkeypatch.setattr(search_index, "block_bounds", lambda postings, asked: seen.append(postings) or plain(postings, asked))
+    asked = spark.createDataFrame([("red word7",)], "query string")
+    got = search_index.search_index(spark, path, asked, 2, fields, fuzzy=False).collect()
+    assert [r.item_id for r in sorted(got, key=lambda r: r["rank"])] == [7, 0]
+    assert {r.term for r in seen[0].select("term").distinct().collect()} == {"red", "word7"}
