@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +47,45 @@ def test_pieces_equal_the_library_on_whole_texts():
     assert [v.tolist() for v in encoder.encode(texts)] == whole
 
 
+def test_texts_are_cut_at_words_and_marks():
+    """A word is learned once, not once for every mark that may follow it."""
+    encoder = token_output.PieceEncoder(BPE)
+    words, marks = [f"w{chr(97 + i)}é" for i in range(20)], [",&&&", "!!", ".\nAnd", "?", "###", "'s"]
+    texts = [f"first {w}{m} last" for w in words for m in marks]
+    assert [v.tolist() for v in encoder.encode(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert {f" {w}".encode() for w in words} <= encoder.known.keys()
+    assert len(encoder.known) <= 20 + 8 + 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from([*"ab'slvret.,!12 \n\t\r\x0b\x1c\x85\xa0\u200b\u3000\u2028\u180eéß×²日ı\u0301\x00Ā\U0001F600"]), max_size=14), max_size=8))
+def test_cuts_never_change_the_ids(texts):
+    encoder = token_output._encoder(BPE)
+    assert [v.tolist() for v in encoder.encode(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_columns_with_ends_and_slices(monkeypatch):
+    monkeypatch.setattr(token_output, "PART_BYTES", 9)
+    encoder = token_output.PieceEncoder(BPE)
+    batch = pa.record_batch({"doc_id": list(range(len(ODD) + 2)), "text": ["", *ODD, ""]})
+    got = []
+    for part in token_output._parts(batch.slice(1)):
+        assert part.num_rows == 1 or part.column(1).nbytes < 200
+        ids, counts = encoder.encode_column(part.column(1), 2)
+        got += np.split(ids, np.cumsum(counts)[:-1])
+    assert [v.tolist() for v in got] == [[*e.ids, 2] for e in encoder.tokenizer.encode_batch([*ODD, ""], add_special_tokens=False)]
+    assert [len(v) for v in encoder.encode(["", ""])] == [0, 0] and encoder.encode([]) == []
+
+
+def test_pieces_forgotten_and_found_again(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE_CHARS", 200)
+    encoder, r = token_output.PieceEncoder(BPE), random.Random(4)
+    for _ in range(60):
+        texts = [" ".join("".join(r.choices("abcde", k=r.randrange(1, 14))) for _ in range(8)) for _ in range(3)]
+        assert [v.tolist() for v in encoder.encode(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.size < 2000
+
+
 def test_token_files(spark, make, tmp_path, monkeypatch):
     rows = [(i * 7 % 50, t) for i, t in enumerate(ODD)] + [(900 + i, f"text {i} " * i) for i in range(200)] + [(3, "tie b"), (3, "tie a"),
                                                                                                            (None, "no id"), (60, None)]
