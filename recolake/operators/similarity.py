@@ -10,7 +10,8 @@ Exact top-k similarity as blocked matrix products that leave out what cannot win
   (|q| times the chunk's largest norm, norms descending), by pivots for cosines (the triangle inequality of angles: a
   candidate whose angle to a pivot lies in [low, high] is at least as far from a query as the query's own angle to
   the pivot lies outside of it). Every query scores its most promising chunk first; of the others only those
-  whose bound reaches its k-th best score so far;
+  whose bound reaches its k-th best score so far. Products are taken in single precision; pairs that reach the k-th best score
+  within its error are scored again in double precision, and only those are ranked;
 * a task emits only the k best candidates per query; the final ``row_number() <= k`` is planned with a partial
   ``WindowGroupLimit`` before its shuffle.
 
@@ -33,6 +34,7 @@ BLOCK_ROWS = 32_768  # queries of a part
 CANDIDATE_BLOCKS = 4  # times as many candidates: each of their parts is a copy of all queries and returns k rows for each
 TASK_PAIRS = 1 << 27  # that a task meets at least (seconds of work), where its parts can hold them
 CHUNK_ROWS = 512
+TILE_ROWS = 1024  # queries that meet a chunk at once: few enough for the processor's cache
 PIVOTS = 8
 DIGITS = 9
 SLACK = 1e-8  # what rounding to DIGITS and the last bits of a bound can amount to
@@ -83,16 +85,37 @@ def _score(dots: np.ndarray, metric: str) -> np.ndarray:
     return dots + 1.0 if metric == "cosine" else dots
 
 
+def _least_dot(least: np.ndarray, metric: str) -> np.ndarray:
+    """The dot product below which a rounded score cannot reach ``least``."""
+    low = least - SLACK
+    if metric == "logistic":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(low > 0, np.log(low) - np.log1p(-low), -np.inf)
+    return low - 1.0 if metric == "cosine" else low
+
+
 def top_k_of_part(q: np.ndarray, c: np.ndarray, place: np.ndarray, own: np.ndarray, k: np.ndarray, metric: str,
                   size: int = CHUNK_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Query rows, candidate rows and scores of the best k[i] candidates of every query, and how many pairs were scored. ``place`` ranks
-    candidates that tie; ``own`` is the candidate row that a query is not to meet (-1: none)."""
+    candidates that tie; ``own`` is the candidate row that a query is not to meet (-1: none).
+
+    Dot products are taken in single precision first, whose error is at most ``margin``; pairs that can still be among the best are scored in
+    double precision, and only these are ranked."""
     rows, bound = _chunks(c, q, metric, size)
     bound = _score(bound, metric) + SLACK
-    most = int(k.max())
-    least = np.full(len(q), -np.inf)  # the k-th best rounded score so far
+    most = int(k.max()) if len(k) else 0
+    least = np.full(len(q), -np.inf)  # the k-th best rounded score so far, or less
+    below = np.full(len(q), -np.inf)  # the dot product that it takes
     held: list[tuple[np.ndarray, ...]] = []
     waiting = scored = 0
+    width, large = c.shape[1], max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
+    # beyond these numbers single precision could overflow; what it loses of tiny ones is far less than SLACK
+    kind = np.float32 if large < 1e15 else np.float64
+    unit = np.finfo(kind).eps * (width + 8)
+    fast, chunks = q.astype(kind), [c[chunk].astype(kind).T for chunk in rows]
+    length, longest = np.sqrt((q * q).sum(axis=1)), [np.sqrt((c[chunk] ** 2).sum(axis=1).max()) for chunk in rows]
+    alone = not (own >= 0).any()
+    tile = np.empty((TILE_ROWS, size), kind)
 
     def cut() -> None:
         nonlocal held, waiting
@@ -103,35 +126,53 @@ def top_k_of_part(q: np.ndarray, c: np.ndarray, place: np.ndarray, own: np.ndarr
         keep = rank < k[i]
         full = rank == k[i] - 1
         least[i[full]] = np.maximum(least[i[full]], r[full])
+        below[i[full]] = _least_dot(least[i[full]], metric)
         held, waiting = [(i[keep], j[keep], s[keep], r[keep])], 0
 
-    def meet(at: np.ndarray, chunk: np.ndarray) -> None:
+    def meet(at: np.ndarray, n: int, seed: bool = False) -> None:
         nonlocal waiting, scored
-        for a in range(0, len(at), 4096):
-            part = at[a:a + 4096]
-            s = _score(q[part] @ c[chunk].T, metric)
+        chunk = rows[n]
+        for a in range(0, len(at), TILE_ROWS):
+            part = at[a:a + TILE_ROWS]
+            s = np.matmul(fast[part], chunks[n], out=tile[:len(part), :len(chunk)])
             scored += s.size
-            s[own[part][:, None] == chunk[None, :]] = -np.inf
-            r = np.round(s, DIGITS)
-            if r.shape[1] > most:
-                least[part] = np.maximum(least[part], np.partition(r, -most, axis=1)[:, -most])
-            i, j = np.nonzero((r >= least[part][:, None]) & np.isfinite(s))
-            held.append((part[i], chunk[j], s[i, j], r[i, j]))
-            waiting += len(i)
+            margin = unit * longest[n] * length[part] + SLACK
+            if not alone:
+                s[own[part][:, None] == chunk[None, :]] = -np.inf
+            if seed and s.shape[1] > most:
+                # so many reach this at least
+                reached = np.partition(s, -most, axis=1)[:, -most] - margin
+                least[part] = np.maximum(least[part], np.round(_score(reached, metric), DIGITS))
+                below[part] = _least_dot(least[part], metric)
+            floor = below[part] - margin
+            # rows without a pair that reaches its floor are done; "not below" keeps what is not a number for the exact score
+            some = np.flatnonzero(~(s.max(axis=1) < floor))
+            at_flat = np.flatnonzero(~(s[some] < floor[some][:, None]))
+            i, j = part[some[at_flat // s.shape[1]]], chunk[at_flat % s.shape[1]]
+            if not alone:
+                other = own[i] != j
+                i, j = i[other], j[other]
+            exact = _score(np.einsum("ij,ij->i", q[i], c[j]), metric)
+            r = np.round(exact, DIGITS)
+            keep = (r >= least[i]) & np.isfinite(exact)
+            held.append((i[keep], j[keep], exact[keep], r[keep]))
+            waiting += int(keep.sum())
             if waiting > 1 << 20:
                 cut()
 
     if len(rows) and len(q):
         first = bound.argmax(axis=1)
-        for n, chunk in enumerate(rows):
+        for n in range(len(rows)):
             if len(at := np.flatnonzero(first == n)):
-                meet(at, chunk)
+                meet(at, n, True)
         if held:
             cut()
-        # chunks that promise most on the whole come first
-        for n in np.argsort(-bound.max(axis=0), kind="stable"):
+        # chunks that promise most on the whole come first; the k-th best rises as fast as the number of chunks doubles
+        for done, n in enumerate(np.argsort(-bound.max(axis=0), kind="stable"), 1):
             if len(at := np.flatnonzero((bound[:, n] >= least - SLACK) & (first != n))):
-                meet(at, rows[n])
+                meet(at, n)
+            if held and waiting and done & (done - 1) == 0:
+                cut()
         if held:
             cut()
     if not held:

@@ -63,6 +63,34 @@ def test_skipped_share_in_a_task(metric, most):
     assert scored < most * len(q) * len(c)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "logistic"])
+def test_few_pairs_are_scored_exactly(monkeypatch, metric):
+    """Vectors that bounds skip few of: single precision passes over most pairs, and the rows are those of brute force."""
+    r = np.random.default_rng(8)
+    c, q = np.abs(r.normal(size=(9000, 16))) + 1, np.abs(r.normal(size=(30, 16))) / 20
+    if metric == "cosine":
+        c, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (c, q))
+    seen, plain = [], similarity._score
+    monkeypatch.setattr(similarity, "_score", lambda d, m: seen.append(d.size) or plain(d, m))
+    i, j, s, scored = similarity.top_k_of_part(q, c, np.arange(len(c)), np.full(len(q), -1), np.full(len(q), 10), metric)
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    assert set(zip(i.tolist(), j.tolist(), (rank + 1).tolist(), strict=True)) == brute(metric, q, c, 10, False)
+    assert scored > 0.2 * len(q) * len(c) and sum(seen) < 0.2 * scored
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1e-6, 1e3, 1e25])
+def test_single_precision_cuts_nothing(scale):
+    """Nearly equal scores, and numbers that single precision cannot hold."""
+    r = np.random.default_rng(9)
+    c = (1 + 1e-9 * r.integers(0, 5, size=(3000, 8))) * r.choice([1.0, 1 + 1e-7], size=(3000, 1)) * scale
+    q = np.abs(r.normal(size=(20, 8))) / scale
+    i, j, s, _ = similarity.top_k_of_part(q, c, np.arange(len(c)), np.arange(20), np.full(len(q), 7), "dot", 64)
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    got, d = sorted(zip(i.tolist(), rank.tolist(), j.tolist(), strict=True)), np.round(np.einsum("ik,jk->ij", q, c), similarity.DIGITS)
+    best = np.array([sorted((-d[x, y], y) for y in range(len(c)) if y != x)[:7] for x in range(20)])
+    assert len(got) == 140 and abs(d[i, j] + best[i, rank, 0]).max() <= 1.1e-9
+
+
 def test_groups_self_and_own_k(spark):
     x = vectors(5, 150, 0.3)
     df = spark.createDataFrame([(f"v{i:03}", "abc"[i % 3], v.tolist(), i % 4 + 1) for i, v in enumerate(x)], "id string, g string, vec array<double>, n int")
