@@ -241,3 +241,23 @@ def test_als_fit_cleans_its_shuffles(spark):
     model, plain = cf.fit_als(train, rank=3), cf.fit_als(train, rank=3, checkpoint_interval=10)
     assert model._java_obj.parent().getCheckpointInterval() == 2
     assert sorted(model.userFactors.collect()) == sorted(plain.userFactors.collect())
+
+
+def test_als_blocks_follow_what_a_task_holds(spark):
+    """The factors that a block's ratings name stay within the limit at any size; small fits keep Spark's ten blocks and their rows."""
+    import math
+
+    from recolake.operators import cf
+    assert cf.als_blocks(0, 0, 0, 50) == cf.als_blocks(28_800_000, 900_000, 1_200_000, 50) == 10
+    for ratings, users, items in ((172_800_000, 5_400_000, 7_200_000), (2_000_000_000, 50_000_000, 300_000), (10 ** 10, 1 << 31, 1 << 31)):
+        blocks = cf.als_blocks(ratings, users, items, 50)
+        for m in (users, items):
+            assert m * -math.expm1(-ratings / blocks / m) * (4 * 50 + cf.ROW_BYTES) <= 1.001 * cf.BLOCK_BYTES
+    assert 10 < cf.als_blocks(172_800_000, 5_400_000, 7_200_000, 50) < 40
+    train = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(60) for i in range(40) if (u + i) % 3],
+                                  "user_idx int, item_idx int, rating double")
+    model, plain = cf.fit_als(train, rank=3, block_bytes=800), cf.fit_als(train, rank=3)
+    used, kept = model._java_obj.parent(), plain._java_obj.parent()
+    assert used.getNumUserBlocks() == used.getNumItemBlocks() > 10 and used.getIntermediateStorageLevel() == "DISK_ONLY"
+    assert kept.getNumUserBlocks() == kept.getNumItemBlocks() == 10 and kept.getIntermediateStorageLevel() == "MEMORY_AND_DISK"
+    assert model.userFactors.count() == 60 and model.itemFactors.count() == 40
