@@ -256,7 +256,7 @@ def test_als_blocks_follow_what_a_task_holds(spark):
     assert 10 < cf.als_blocks(172_800_000, 5_400_000, 7_200_000, 50) < 40
     train = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(60) for i in range(40) if (u + i) % 3],
                                   "user_idx int, item_idx int, rating double")
-    model, plain = cf.fit_als(train, rank=3, block_bytes=800), cf.fit_als(train, rank=3)
+    model, plain = cf.fit_als(train, rank=3, max_iter=1, block_bytes=1300), cf.fit_als(train, rank=3, max_iter=1)
     used, kept = model._java_obj.parent(), plain._java_obj.parent()
     assert used.getNumUserBlocks() == used.getNumItemBlocks() > 10 and used.getIntermediateStorageLevel() == "DISK_ONLY"
     assert kept.getNumUserBlocks() == kept.getNumItemBlocks() == 10 and kept.getIntermediateStorageLevel() == "MEMORY_AND_DISK"
